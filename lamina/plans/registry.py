@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lamina.plans import base, element_queries, scalar_queries
+
+QUERIES, ORACLES = base.QUERIES, base.ORACLES
+MODULES = (element_queries, scalar_queries)

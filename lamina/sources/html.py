@@ -157,9 +157,7 @@ def scan_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     def run(batches):
         for pdf in batches:
             rows = [{key: k} | r for k, h in zip(pdf[key], pdf[html], strict=True) for r in scan(h)]
-            out = pd.DataFrame(rows, columns=[key, *names])
-            for c in ("list_level", "table_seq", "row_idx", "col_idx"):
-                out[c] = out[c].astype("Int32")
-            yield out.astype({"is_header": "boolean"})
+            out = pd.DataFrame(rows, columns=[key, *names], dtype=object)
+            yield out.where(out.notna(), None)
 
     return pages.select(key, html).mapInPandas(run, f"{key} {kind}, {SCHEMA}")
