@@ -17,12 +17,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from lamina.llm import common
 from lamina.llm.encoders import BYTE_PIECES, CACHE_ENTRIES, ChunkCache, Encoder, byte_alphabet, token_bytes
 
 #: The pre-tokenizer's pattern for texts beyond Latin-1 (fixed value of the vocabulary file's ByteLevel step).
 ANY_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pairs whose verdict is kept (about 150 bytes each).
-PAIR_ENTRIES = 400_000
+PAIR_ENTRIES = 200_000
 
 
 class PrefixEncoder(Encoder):
@@ -157,7 +158,7 @@ def encode_and_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield out.astype({"n_tokens": "int64", "round_trip": bool})
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInPandas(run, schema)
+    return common.text_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInPandas(run, schema)
 
 
 __all__ = ["BYTE_PIECES", "ChunkCache", "PrefixEncoder", "encode_and_decode", "shared_prefix_encoder"]

@@ -37,6 +37,14 @@ def held_remainder(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def text_batches(docs: DataFrame, rows: int = 2000) -> DataFrame:
+    """``docs``, with the session's Arrow batches cut to ``rows`` rows if they are larger: Python workers hold whole texts."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return docs
+
+
 def file_system(path: str):
     """pyarrow's file system of a Hadoop-style path and the path below it."""
     from pyarrow import fs

@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Entries in each of a cache's two generations (about 200 bytes an entry).
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 
 
 class ChunkCache(dict):

@@ -114,10 +114,12 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *keep: str) -> Dat
     def run(batches):
         classifier = _classifier(items)
         for pdf in batches:
-            found = [classifier.predict(t) for t in pdf["_text"]]
-            yield pdf.drop(columns="_text").assign(lang_pred=[x[0] for x in found], score=[x[1] for x in found], accepted=[x[0] != "und" and x[1] >= MARGIN for x in found])
+            found = [classifier.predict(t) for t in pdf[column]]
+            yield (pdf if column in keep else pdf.drop(columns=column)).assign(lang_pred=[x[0] for x in found], score=[x[1] for x in found], accepted=[x[0] != "und" and x[1] >= MARGIN for x in found])
 
-    return docs.select(F.col("text").alias("_text"), *keep).mapInPandas(run, f"{schema}, lang_pred string, score double, accepted boolean")
+    column = "text" if "text" in keep else "_text"
+    docs = docs.select(*keep) if "text" in keep else docs.select(F.col("text").alias("_text"), *keep)
+    return common.text_batches(docs).mapInPandas(run, f"{schema}, lang_pred string, score double, accepted boolean")
 
 
 def held_out_identification(docs: DataFrame) -> DataFrame:

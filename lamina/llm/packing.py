@@ -132,7 +132,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, length: int, keep_id
             yield out
 
     body = "binary" if keep_ids else "array<long>"
-    return docs.mapInPandas(run, f"doc_id long, h int, n long, body {body}")
+    return common.text_batches(docs).mapInPandas(run, f"doc_id long, h int, n long, body {body}")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH) -> DataFrame:

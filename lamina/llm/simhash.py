@@ -55,15 +55,18 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(bits.tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` columns and fp of every row."""
+def fingerprints(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """``keep`` columns and fp of every row's ``text`` column."""
+    column = text if text in keep else "_text"
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
 
     def run(batches):
         for pdf in batches:
-            yield pdf.drop(columns="_text").assign(fp=np.array([fingerprint(t) for t in pdf["_text"]], dtype=np.int64))
+            own = pdf if column in keep else pdf.drop(columns=column)
+            yield own.assign(fp=np.array([fingerprint(t) for t in pdf[column]], dtype=np.int64))
 
-    return docs.select(F.col("text").alias("_text"), *keep).mapInPandas(run, f"{schema}, fp long")
+    docs = docs.select(*keep) if text in keep else docs.select(F.col(text).alias("_text"), *keep)
+    return common.text_batches(docs).mapInPandas(run, f"{schema}, fp long")
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:
@@ -220,9 +223,9 @@ def representatives(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """
     folder = common.scratch(docs.sparkSession)
     names = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.select(*(F.col(c).alias(n) for c, n in names.items()), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    order = F.xxhash64("text").alias("_order")
-    rows = common.written(fingerprints(rows.withColumn("_order", order), *names.values(), "doc_id", "_order").withColumn("_rid", F.monotonically_increasing_id()), "rows", folder)
+    rows = docs.select(*(F.col(c).alias(n) for c, n in names.items()), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_order"))
+    rows = fingerprints(rows, *names.values(), "doc_id", "_order", text=names["text"])
+    rows = common.written(rows.withColumn("_rid", F.monotonically_increasing_id()), "rows", folder)
     named = grouped(rows.select("doc_id", "fp"), folder, limit)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_order", "_rid")
     chosen = rows.select("fp", "doc_id", "_order", "_rid").join(named, "fp").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(F.min(place)["_rid"].alias("_rid"))

@@ -158,7 +158,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, r
             fs.move(temporary, final)  # a task that runs again writes the same bytes
             yield pd.DataFrame({"file_no": [file_no], "path": [f"{folder}/{final.rpartition('/')[2]}"], "n_docs": [len(writer.doc_ids)], "n_tokens": [sum(writer.n_tokens)]})
 
-    encoded = docs.mapInPandas(encode, "file_no int, doc_id long, ids binary")
+    encoded = common.text_batches(docs).mapInPandas(encode, "file_no int, doc_id long, ids binary")
     dealt = encoded.repartitionById(files, "file_no").sortWithinPartitions("file_no", F.col("doc_id").asc_nulls_first(), "ids")
     manifest = common.written(dealt.mapInPandas(write, "file_no int, path string, n_docs long, n_tokens long"), "manifest", folder + "-index")
     rows, start, out = manifest.orderBy("file_no").collect(), 0, []
