@@ -27,7 +27,7 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: it cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{folder or scratch(spark)}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
