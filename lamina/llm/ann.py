@@ -21,11 +21,11 @@ from lamina.llm import common
 
 TOP, EVERY = 20, 20
 #: Distinct vectors a list, most lists, and most bytes of the sample that the clustering sees.
-LIST, LISTS, SAMPLE_BYTES = 96, 4096, 32 << 20
+LIST, LISTS, SAMPLE_BYTES = 96, 128, 32 << 20
 #: A vector goes to at most COPIES lists, within this ratio of the nearest centroid's distance.
 COPIES, BOUNDARY = 6, 1.15
-#: A query searches at most PROBES lists, within this ratio.
-PROBES, RATIO = 96, 1.35
+#: A query searches the lists within this ratio, at most this share of all (16 at least): vectors without clusters need many lists.
+SHARE, RATIO = 0.65, 1.5
 #: Neighbours of a centroid in the graph, and the width of the search.
 DEGREE, ENTRIES = 24, 32
 #: Most vectors and most queries in one cell.
@@ -132,7 +132,7 @@ class CentroidGraph:
 
     def probes(self, x: np.ndarray) -> list[np.ndarray]:
         """The lists that each query searches."""
-        ids, d = self.search(x, PROBES)
+        ids, d = self.search(x, max(16, int(SHARE * len(self.centers))))
         return [row[(row >= 0) & (dist <= RATIO**2 * max(dist[0], 1e-12))] for row, dist in zip(ids, d, strict=True)]
 
 
