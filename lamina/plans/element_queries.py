@@ -168,7 +168,7 @@ def relationship_lookup(spark, d):
     return S.lookup(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey", table(spark, d, "nation"), "n_nationkey", F.col("n_name").alias("target")).select("s_suppkey", "target")
 
 
-@query("table_csv", "SELECT o_orderkey AS doc_id, string_agg(l_linenumber || ',' || l_returnflag || ',\"' || l_linestatus || ',' || l_partkey || '\"', chr(10) ORDER BY l_linenumber) AS csv FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+@query("table_csv", "SELECT l_orderkey AS doc_id, array_to_string(list_sort(list(l_linenumber || ',' || l_returnflag || ',\"' || l_linestatus || ',' || l_partkey || '\"')), chr(10)) AS csv FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
 def table_csv(spark, d):
     own = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
     cells = F.array(F.col("l_linenumber").cast("string"), "l_returnflag", F.concat_ws(",", "l_linestatus", "l_partkey"))
