@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lamina.plans import base, element_queries, scalar_queries
+from lamina.plans import base, document_queries, element_queries, scalar_queries
 
 QUERIES, ORACLES = base.QUERIES, base.ORACLES
-MODULES = (element_queries, scalar_queries)
+MODULES = (element_queries, scalar_queries, document_queries)
