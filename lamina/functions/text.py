@@ -153,10 +153,14 @@ def inline_markup(text: str, bold: str, italic: str, underline: str) -> str:
 
 
 def ligatures(text: str) -> str:
-    """Places (from 0) and forms of fi, fl, ff, ffi, ffl and ft, overlapping ones too."""
-    forms = "array('ffi', 'ffl', 'fi', 'fl', 'ff', 'ft')"
-    at = f"filter(sequence(0, greatest(length({text}) - 1, 0)), i -> substring({text}, i + 1, 1) = 'f')"
-    return f"flatten(transform({at}, i -> transform(filter({forms}, l -> substring({text}, i + 1, length(l)) = l), l -> named_struct('at', i, 'form', l))))"
+    """Places (from 0) and forms of fi, fl, ff, ffi, ffl and ft, overlapping ones too.
+
+    The text is cut at each f once and the pieces are bound to a variable, so no place is looked for from the text's start again.
+    """
+    starts = "aggregate(slice(ps, 1, size(ps) - 1), CAST(array() AS array<int>), (a, p) -> array_append(a, coalesce(try_element_at(a, -1), -1) + 1 + length(p)))"
+    behind = "concat(left(ps[k + 1], 2), if(ps[k + 1] = '' AND k + 2 < size(ps), concat('f', left(get(ps, k + 2), 1)), ''))"
+    found = f"transform({starts}, (at, k) -> transform(filter(array('ffi', 'ffl', 'fi', 'fl', 'ff', 'ft'), l -> startswith({behind}, substring(l, 2))), l -> named_struct('at', at, 'form', l)))"
+    return f"transform(array(split({text}, 'f', -1)), ps -> flatten({found}))[0]"
 
 
 def heading_level(style: str) -> str:

@@ -85,3 +85,31 @@ def page_issues(pages: DataFrame) -> DataFrame:
     rules = {"page_number": F.col("page") != F.col("place"), "empty_page": (F.col("blocks") == 0) & (F.col("page") > 1)}
     found = F.array_compact(F.array(*(F.when(broken, F.lit(rule)) for rule, broken in rules.items())))
     return pages.select("doc_id", "page", F.explode(found).alias("rule"))
+
+
+def paragraph_break(total: str, start: str, line: str, available: str, top: str = "0D", bottom: str = "0D", keep: str = "false", least: int = 2) -> str:
+    """SQL expression: the line before which a paragraph breaks (``start`` if none fits, ``total`` if all do), with lines of one height.
+
+    ``top`` counts before the first line and ``bottom`` behind the last. At least ``least`` lines go over and at least as many stay.
+    A paragraph that is kept together and doesn't fit gives null.
+    """
+    room = f"({available} + 1e-6 - if({start} = 0, {top}, 0D))"
+    rest = f"({total} - {start})"
+    natural = f"least(greatest(CAST(floor({room} / {line}) AS int), 0), {rest} - 1)"
+    here = f"({natural} - greatest({least} - ({rest} - {natural}), 0))"
+    return f"CASE WHEN {rest} <= 0 OR {rest} * {line} + {bottom} <= {room} THEN {total} WHEN {keep} AND {start} = 0 THEN NULL WHEN {natural} <= 0 OR {here} < {least} THEN {start} ELSE {start} + {here} END"
+
+
+def header_places(items: DataFrame, page_height: float, distance: float) -> DataFrame:
+    """y of each header item of (doc_id, variant, seq, before, h, after), stacked downwards from the header's distance."""
+    h = F.when(F.col("h") > 0, F.col("h")).otherwise(20.0)
+    above = Window.partitionBy("doc_id", "variant").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    used = F.coalesce(F.sum(F.col("before") + h + F.col("after")).over(above), F.lit(0.0))
+    return items.withColumn("y", page_height - distance - used - F.col("before") - h)
+
+
+def body_offsets(items: DataFrame, distance: float, margin: float) -> DataFrame:
+    """(doc_id, variant, offset): where the body begins: the margin, or behind what the variant's items use if that is more."""
+    h = F.when(F.col("h") > 0, F.col("h")).otherwise(20.0)
+    used = distance + F.sum(F.col("before") + h + F.col("after"))
+    return items.groupBy("doc_id", "variant").agg(F.greatest(F.lit(margin), used).alias("offset"))

@@ -94,3 +94,26 @@ def field_value(instruction: str, page: str, pages: str, moment: str) -> str:
     bookmark = f"split_part(trim({instruction}), ' ', 2)"
     return f"""CASE WHEN {head} LIKE 'PAGE%' THEN CAST({page} AS string) WHEN {head} LIKE 'DATE%' THEN {T.date(moment)} WHEN {head} LIKE 'REF%' THEN concat('[REF: ', {bookmark}, ']')
         WHEN {head} LIKE 'TOC%' THEN '[TOC]' WHEN {head} LIKE 'NUMPAGES%' THEN CAST({pages} AS string) WHEN {head} LIKE 'TIME%' THEN {T.date(moment, 'time')} ELSE {instruction} END"""
+
+
+def replaced_in_runs(rows: DataFrame, runs: str, placeholder: str, value: Column) -> DataFrame:
+    """Array column ``runs`` of texts with the first occurrence of a placeholder replaced, even where it spans runs.
+
+    The run in which it begins takes the value and what follows the placeholder in the run where it ends; those between become empty.
+    """
+    begin = F.instr("_full", placeholder) - 1
+    end = F.col("_begin") + len(placeholder)
+    rows = rows.withColumn("_full", F.array_join(runs, "")).withColumn("_begin", begin).withColumn("_end", end)
+    ends = F.aggregate(runs, F.array().cast("array<int>"), lambda a, r: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.char_length(r)))
+    last = F.array_min(F.filter("_ends", lambda e: e >= F.col("_end")))
+
+    def run(text: Column, i: Column) -> Column:
+        stop = F.get("_ends", i)
+        start = stop - F.char_length(text)
+        met = (start < F.col("_end")) & (stop > F.col("_begin"))
+        first = F.concat(F.substring(text, F.lit(1), F.col("_begin") - start), value, F.substring("_full", F.col("_end") + 1, F.col("_last") - F.col("_end")))
+        return F.when(~met, text).when(start <= F.col("_begin"), first).otherwise("")
+
+    rows = rows.withColumn("_ends", ends).withColumn("_last", last)
+    rows = rows.withColumn(runs, F.when(F.col("_begin") < 0, F.col(runs)).otherwise(F.transform(runs, run)))
+    return rows.drop("_full", "_begin", "_end", "_ends", "_last")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lamina.operators import checks as C
 from lamina.operators import elements as E
 from lamina.operators import layout as L
 from lamina.operators import merging as M
@@ -263,3 +264,73 @@ sql("payload_resolve", "SELECT event_id, get_json_object(j, '$.id') AS id, get_j
     "SELECT event_id, event_id::VARCHAR AS id, event_type AS kind, '{{No}}' AS kept FROM events")
 sql("tab_stops", "SELECT p_partkey, array_join(transform(filter(array(p_size * 20, -p_size, p_partkey % 7), t -> t >= 0), t -> cast(t AS string)), ';') AS v, p_size BETWEEN 10 AND 500 AS zoom_ok FROM part",
     "SELECT p_partkey, (p_size * 20) || ';' || (p_partkey % 7) AS v, p_size BETWEEN 10 AND 500 AS zoom_ok FROM part WHERE p_size > 0")
+
+
+@query("layout_summary", f"WITH b AS (SELECT *, y - lag(y + h) OVER (PARTITION BY doc_id, page ORDER BY idx) AS gap, lag(after) OVER (PARTITION BY doc_id, page ORDER BY idx) + before AS wanted FROM ({PLACED})) SELECT doc_id, sum(e) = 0 AS valid, sum(e)::BIGINT AS errors, sum(w)::BIGINT AS warnings, count(DISTINCT page) AS pages, count(*) AS blocks FROM (SELECT doc_id, page, " + " + ".join(f"coalesce(({broken})::INT, 0)" for level, _, broken in CHECKS if level == "error") + " AS e, " + " + ".join(f"coalesce(({broken})::INT, 0)" for level, _, broken in CHECKS if level == "warning") + " AS w FROM b) GROUP BY doc_id")
+def layout_summary(spark, d):
+    return C.summary(para(spark, d).selectExpr("doc_id", "seq div 10 + 1 AS page"), layout_issues(spark, d))
+
+
+sql("paragraph_breaks", f"SELECT p_partkey, {L.paragraph_break('p_size', '(p_partkey % 3)', '12D', '(p_partkey % 300)', '4D', '2D', '(p_partkey % 5 = 0)')} AS line FROM part",
+    "SELECT p_partkey, CASE WHEN n <= 0 OR n * 12 + 2 + t <= a THEN p_size WHEN p_partkey % 5 = 0 AND s = 0 THEN NULL WHEN h < 2 THEN s ELSE s + h END::BIGINT AS line FROM (SELECT *, CASE WHEN n - m < 2 THEN m - 1 ELSE m END AS h FROM (SELECT *, least(greatest(floor((a - t) / 12), 0), n - 1) AS m FROM (SELECT p_partkey, p_size, p_partkey % 3 AS s, p_partkey % 300 + 1e-6 AS a, CASE WHEN p_partkey % 3 = 0 THEN 4 ELSE 0 END AS t, p_size - p_partkey % 3 AS n FROM part)))")
+
+
+def header_items(spark, d):
+    return table(spark, d, "nation").selectExpr("n_regionkey AS doc_id", "'default' AS variant", "n_nationkey AS seq", "cast(n_nationkey % 3 AS double) AS before", "cast(n_nationkey % 20 AS double) AS h", "2D AS after")
+
+
+USED = "n_nationkey % 3 + CASE WHEN n_nationkey % 20 > 0 THEN n_nationkey % 20 ELSE 20 END"
+
+
+@query("header_places", f"SELECT n_regionkey AS doc_id, n_nationkey AS seq, (842 - 36 + 2 - sum({USED} + 2) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::DOUBLE AS y FROM nation")
+def header_places(spark, d):
+    return L.header_places(header_items(spark, d), 842.0, 36.0).select("doc_id", "seq", "y")
+
+
+@query("body_offsets", f"SELECT n_regionkey AS doc_id, 'default' AS variant, greatest(90, 36 + sum({USED} + 2))::DOUBLE AS \"offset\" FROM nation GROUP BY 1")
+def body_offsets(spark, d):
+    return L.body_offsets(header_items(spark, d), 36.0, 90.0)
+
+
+@query("run_safe_replace", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Dear ' || p_brand || ' of |||' || p_name WHEN 1 THEN 'a ' || p_brand || ' {TEXT:Name}|' || p_name ELSE p_name END AS v FROM part")
+def run_safe_replace(spark, d):
+    own = table(spark, d, "part").withColumn("runs", F.expr("CASE p_partkey % 3 WHEN 0 THEN array('Dear {TE', 'XT:Na', 'me} of ', p_name) WHEN 1 THEN array('a {TEXT:Name} {TEXT:Name}', p_name) ELSE array(p_name) END"))
+    return P.replaced_in_runs(own, "runs", "{TEXT:Name}", F.col("p_brand")).select("p_partkey", F.array_join("runs", "|").alias("v"))
+
+
+@query("flat_json", f"SELECT doc_id, count(*) AS elements, count(nullif(text, '')) AS texts, md5(string_agg(kind || '_' || seq || text, '|' ORDER BY seq)) AS v FROM (SELECT *, {KIND} AS kind FROM $PARA) GROUP BY doc_id")
+def flat_json(spark, d):
+    read = out.flat_json(rows(spark, d)).select("doc_id", F.from_json("json", "elements array<struct<id:string,text:string>>")["elements"].alias("e"))
+    texts = F.transform("e", lambda x: F.concat(x["id"], F.coalesce(x["text"], F.lit(""))))
+    return read.select("doc_id", F.size("e").cast("long").alias("elements"), F.size(F.filter("e", lambda x: x["text"].isNotNull())).cast("long").alias("texts"), F.md5(F.array_join(texts, "|")).alias("v"))
+
+
+@query("html_paragraphs", "SELECT doc_id, md5(string_agg('<p>' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') || '</p>', chr(10) ORDER BY seq)) AS v FROM $PARA GROUP BY doc_id")
+def html_paragraphs(spark, d):
+    return out.html(para(spark, d)).select("doc_id", F.md5("html").alias("v"))
+
+
+@query("round_trip_compare", "SELECT doc_id, count_if(seq % 6 = 5)::BIGINT AS lost, sum(CASE WHEN seq % 6 = 5 THEN length(text) ELSE 0 END)::BIGINT AS text_lost, CASE WHEN sum(length(text)) > 0 THEN round(sum(CASE WHEN seq % 6 = 5 THEN length(text) ELSE 0 END) / sum(length(text)) * 100, 2) ELSE 0 END AS lost_percent, count_if(seq < 20 AND seq % 6 <> 5)::BIGINT AS equal_places FROM $PARA GROUP BY doc_id")
+def round_trip_compare(spark, d):
+    return C.compared(para(spark, d), para(spark, d).filter("seq % 6 <> 5"))
+
+
+@query("document_issues", """
+  SELECT o_orderkey AS doc_id, 'warning' AS level, 'no_text' AS rule, 'document' AS kind, o_orderkey::VARCHAR AS element FROM orders WHERE o_orderstatus = 'P'
+  UNION ALL SELECT l_orderkey, 'warning', 'no_rows', 'table', l_partkey::VARCHAR FROM lineitem WHERE l_linenumber % 4 = 0 UNION ALL SELECT l_orderkey, 'warning', 'empty_table', 'table', l_partkey::VARCHAR FROM lineitem WHERE l_returnflag = 'R'
+  UNION ALL SELECT o_orderkey, 'warning', 'no_styles', 'styles', o_orderkey::VARCHAR FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber < 3)
+  UNION ALL SELECT o_orderkey, 'warning', 'no_sections', 'sections', o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 7 = 0
+  UNION ALL SELECT l_orderkey, 'warning', 'no_name', 'style', l_linenumber::VARCHAR FROM lineitem WHERE l_linenumber < 3 AND l_linestatus = 'O' UNION ALL SELECT l_orderkey, 'warning', 'no_type', 'style', l_linenumber::VARCHAR FROM lineitem WHERE l_linenumber < 3 AND l_returnflag = 'N'
+  UNION ALL SELECT a.l_orderkey, 'warning', 'missing_base', 'style', a.l_linenumber::VARCHAR FROM lineitem a WHERE a.l_linenumber < 3 AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_linenumber = 3 - a.l_linenumber)
+  UNION ALL SELECT l_orderkey, 'warning', 'missing_abstract', 'numbering', l_linenumber::VARCHAR FROM lineitem WHERE l_suppkey % 9 NOT IN (0, 4)
+  UNION ALL SELECT o_orderkey, 'warning', 'no_margins', 'section', '0' FROM orders WHERE o_orderkey % 7 = 1""")
+def document_issues(spark, d):
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "doc_id")
+    documents = orders.selectExpr("o_orderkey AS doc_id", "if(o_orderstatus = 'P', ' ', o_orderstatus) AS text")
+    styles = lines.filter("l_linenumber < 3").selectExpr("doc_id", "cast(l_linenumber AS string) AS style_id", "if(l_linestatus = 'O', NULL, 'n') AS name", "if(l_returnflag = 'N', '', 'paragraph') AS type", "cast(3 - l_linenumber AS string) AS based_on")
+    abstract = orders.selectExpr("o_orderkey AS doc_id", "explode(array('0', '4')) AS abstract_id")
+    return C.document_issues(
+        documents, lines.selectExpr("doc_id", "l_partkey AS table_id", "l_linenumber % 4 AS n_rows", "nullif(l_returnflag, 'R') AS text"), styles,
+        lines.selectExpr("doc_id", "l_linenumber AS num_id", "cast(l_suppkey % 9 AS string) AS abstract_id"), abstract,
+        orders.filter("o_orderkey % 7 > 0").selectExpr("o_orderkey AS doc_id", "0 AS section", "o_orderkey % 7 <> 1 AS margins"),
+    )

@@ -34,3 +34,15 @@ def csv_stream(rows: DataFrame, separator: str = ",") -> DataFrame:
 def markdown_line_valid(line: str) -> str:
     """SQL expression: headings have a blank behind one to six signs; rows of tables start with a bar, unless they are list items."""
     return f"(NOT startswith({line}, '#') OR {line} RLIKE '^#{{1,6}}[ \\\\t]') AND ({line} RLIKE '^[ \\\\t]*([*+-]|[0-9]+[.])[ \\\\t]' OR NOT contains({line}, '|') OR startswith(ltrim({line}), '|'))"
+
+
+def flat_json(rows: DataFrame) -> DataFrame:
+    """(doc_id, json): the elements of a document in order as one list; empty texts leave no key."""
+    element = F.struct("seq", F.struct(F.col("kind").alias("type"), F.concat_ws("_", "kind", "seq").alias("id"), F.nullif("text", F.lit("")).alias("text")).alias("e"))
+    return rows.groupBy("doc_id").agg(F.to_json(F.struct(F.lit("flat").alias("document_type"), F.sort_array(F.collect_list(element))["e"].alias("elements"))).alias("json"))
+
+
+def html(rows: DataFrame) -> DataFrame:
+    """(doc_id, html): paragraphs in order, escaped, line ends as breaks."""
+    line = F.concat(F.lit("<p>"), F.replace(F.expr(T.escape_html("text")), F.lit("\n"), F.lit("<br/>")), F.lit("</p>"))
+    return rows.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("seq", line.alias("line"))))["line"], "\n").alias("html"))
