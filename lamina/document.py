@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import text as T
-from lamina.operators import elements, merging, styles
+from lamina.operators import assembly, elements, merging, styles
 from lamina.sinks import package as package_sink
+from lamina.sinks import pdf as pdf_sink
 from lamina.sinks import text as text_sink
+from lamina.sinks import workbook as workbook_sink
 from lamina.sources import html, package
 
 
@@ -102,6 +104,48 @@ class Documents:
     def to_html(self) -> DataFrame:
         return text_sink.html(self.rows)
 
+    def _body(self) -> DataFrame:
+        """Elements without headers, footers and the links that paragraphs hold anyway."""
+        rows = self.rows.filter("part = 'document'") if "part" in self.rows.columns else self.rows
+        return rows.filter("kind <> 'hyperlink'")
+
+    def to_nested_json(self) -> DataFrame:
+        """Tables hold rows and cells where the documents come from packages."""
+        cells = self._body().filter("kind = 'cell'").select("doc_id", "seq", "row_idx", "col_idx", "text") if "row_idx" in self.rows.columns else None
+        rows = self._body().filter("kind <> 'cell'").select("doc_id", "seq", "kind", "text")
+        if cells is not None:
+            rows = rows.unionByName(cells.select("doc_id", "seq").distinct().select("doc_id", "seq", F.lit("table").alias("kind"), F.lit("").alias("text")))
+        return text_sink.nested_json(rows, cells)
+
+    def to_editable_html(self) -> DataFrame:
+        return text_sink.editable_html(self.of_kind("paragraph"))
+
+    def assembled(self, **options) -> DataFrame:
+        """Pieces of paragraphs, images and rows of tables on A4 pages."""
+        if "row_idx" not in self.rows.columns:
+            return assembly.assembled(assembly.measured(self.rows), **options)
+        body = self._body().filter("kind IN ('paragraph', 'cell', 'image')").withColumn("kind", F.when(F.col("kind") == "cell", "table").otherwise(F.col("kind")))
+        blocks = body.groupBy("doc_id", "seq", "kind").agg(F.max("text").alias("text"), (F.coalesce(F.max("row_idx"), F.lit(0)) + 1).alias("_rows"))
+        measured = assembly.measured(blocks, "_rows")
+        return assembly.assembled(measured, **options)
+
+    def to_pdf(self, size: float = 11.0, per_page: int = 50, width: float = 451.3) -> DataFrame:
+        """(doc_id, content): one file a document, its texts wrapped by the plain width rule."""
+        columns = max(1, int(width / (0.6 * size)))
+        at = ["seq", *(c for c in ("row_idx", "col_idx") if c in self.rows.columns)]
+        lines = self._body().filter("text IS NOT NULL").select("doc_id", *at, F.posexplode(F.split(F.expr(T.wrap("text", columns)), "\n")).alias("_line", "text"))
+        whole = lines.select("doc_id", F.struct(*at, "_line").alias("seq"), "text")
+        return pdf_sink.write_pdfs(pdf_sink.set_lines(whole, per_page=per_page, size=size), "doc_id")
+
+    def to_workbooks(self) -> DataFrame:
+        """(doc_id, content): one workbook a document: tables with captions, and paragraphs, in order."""
+        own = self._body().filter("kind NOT IN ('cell', 'image')").select("doc_id", "seq", F.lit("paragraph").alias("kind"), "text", F.lit(0).alias("row_idx"), F.array().cast("array<string>").alias("cells"), F.lit(False).alias("is_header"))
+        if "row_idx" in self.rows.columns:
+            cells = F.sort_array(F.collect_list(F.struct("col_idx", "text")))["text"].alias("cells")
+            tables = self._body().filter("kind = 'cell'").groupBy("doc_id", "seq", "row_idx").agg(cells, F.max("is_header").alias("is_header"))
+            own = own.unionByName(tables.withColumns({"kind": F.lit("table"), "text": F.lit("")}))
+        return workbook_sink.write_workbooks(workbook_sink.row_plan(own))
+
     def to_packages(self) -> DataFrame:
         """(doc_id, content): one package a document, of its paragraphs in order."""
         own = F.sort_array(F.collect_list(F.struct("seq", "text")))["text"]

@@ -5,7 +5,7 @@ Cells stay in their array; statistics fold over it and aggregate with a map-side
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Advice on a document's layout.
@@ -87,3 +87,19 @@ def markdown(style: str = "pipe") -> Column:
     if style != "simple":
         lines = F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))))
     return F.when(F.size("rows") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+
+
+def border_groups(rows: DataFrame, border: str) -> DataFrame:
+    """(doc_id, first_seq, last_seq, n): neighbours with one border that is drawn around them together; null borders make no group."""
+    order = Window.partitionBy("doc_id").orderBy("seq")
+    new = F.when(F.lag(border).over(order) == F.col(border), 0).otherwise(1)
+    numbered = rows.withColumn("_new", new).withColumn("_g", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    groups = numbered.filter(F.col(border).isNotNull()).groupBy("doc_id", "_g").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n"))
+    return groups.filter("n > 1").drop("_g")
+
+
+def autofit_widths(cells: DataFrame, key: str, column: str, width: str, usable: float, padding: float = 10.0, least: float = 20.0) -> DataFrame:
+    """(key, column, width): each column as wide as its widest cell with padding, at least ``least``; all shrink alike if they exceed ``usable``."""
+    own = cells.groupBy(key, column).agg(F.greatest(F.max(width) + padding, F.lit(least)).alias("width"))
+    total = F.sum("width").over(Window.partitionBy(key))
+    return own.withColumn("width", F.when(total > usable, F.col("width") * usable / total).otherwise(F.col("width")))

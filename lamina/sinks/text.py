@@ -46,3 +46,30 @@ def html(rows: DataFrame) -> DataFrame:
     """(doc_id, html): paragraphs in order, escaped, line ends as breaks."""
     line = F.concat(F.lit("<p>"), F.replace(F.expr(T.escape_html("text")), F.lit("\n"), F.lit("<br/>")), F.lit("</p>"))
     return rows.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("seq", line.alias("line"))))["line"], "\n").alias("html"))
+
+
+def nested_json(rows: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """(doc_id, json): the elements of a document in order below its body; tables hold their rows, and these the cells (doc_id, seq, row_idx, col_idx, text)."""
+    own = rows.withColumn("_table", F.lit(None).cast("struct<rows:array<struct<cells:array<struct<text:string>>>>>"))
+    if cells is not None:
+        row = cells.repartition("doc_id", "seq").groupBy("doc_id", "seq", "row_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("col_idx", "text"))), lambda c: F.struct(c["text"].alias("text"))).alias("cells"))
+        table = row.groupBy("doc_id", "seq").agg(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "cells"))), lambda r: F.struct(r["cells"].alias("cells"))).alias("rows")).alias("_table"))
+        own = rows.join(table, ["doc_id", "seq"], "left")
+    element = F.struct("seq", F.struct(F.col("kind").alias("type"), F.concat_ws("_", "kind", "seq").alias("id"), F.nullif("text", F.lit("")).alias("text"), F.col("_table").alias("table")).alias("e"))
+    body = F.struct(F.lit("body").alias("type"), F.sort_array(F.collect_list(element))["e"].alias("elements"))
+    return own.groupBy("doc_id").agg(F.to_json(F.struct(F.lit("hierarchical").alias("document_type"), F.struct(body.alias("body")).alias("document"))).alias("json"))
+
+
+def html_pages(placed: DataFrame, width: int = 595, height: int = 842) -> DataFrame:
+    """(doc_id, html): a division a page, in it one a block of (doc_id, page, seq, x, y, w, text) at its place in points."""
+    at = F.concat(*(p for name, c in (("left", "x"), ("top", "y"), ("width", "w")) for p in (F.lit(f"{name}:"), F.col(c).cast("string"), F.lit("pt;"))))
+    block = F.concat(F.lit('<div class="block" style="'), at, F.lit('">'), F.replace(F.expr(T.escape_html("text")), F.lit("\n"), F.lit("<br/>")), F.lit("</div>"))
+    pages = placed.repartition("doc_id").groupBy("doc_id", "page").agg(F.array_join(F.sort_array(F.collect_list(F.struct("seq", block.alias("b"))))["b"], "").alias("own"))
+    page = F.concat(F.lit('<div class="page" data-page="'), F.col("page").cast("string"), F.lit(f'" style="position:relative;width:{width}pt;height:{height}pt">'), "own", F.lit("</div>"))
+    return pages.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("page", page.alias("p"))))["p"], "\n").alias("html"))
+
+
+def editable_html(rows: DataFrame) -> DataFrame:
+    """(doc_id, html): paragraphs that can be edited in a browser, each with its place, so that an update finds it again."""
+    line = F.concat(F.lit('<p contenteditable="true" data-seq="'), F.col("seq").cast("string"), F.lit('">'), F.replace(F.expr(T.escape_html("text")), F.lit("\n"), F.lit("<br/>")), F.lit("</p>"))
+    return rows.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("seq", line.alias("line"))))["line"], "\n").alias("html"))
