@@ -5,10 +5,11 @@ that in the longest known context of up to ORDER bytes. It escapes to the next s
 mass that method C gives (a count for each distinct byte) plus the mass of what was pruned, and excludes there the bytes that the
 longer context had offered. Below the empty context all bytes left are equally likely.
 
-The trie is kept as sorted tables of contexts and of context-byte strings of each order. Counts come from all training texts. A string
-stays if it has at least 1/NODES of all positions (orders over 1), so each order keeps at most NODES strings, whatever the corpus.
-A context's bytes are a subset of those of its suffix, so what is excluded after an escape depends on the longer context alone and is
-worked out once for each. A batch of text is then scored by sorting its strings and looking up the distinct ones.
+A byte's code length depends on its string alone, the byte and the ORDER bytes before it. So every distinct string of all texts is valued
+once, with the counts of all training texts and nothing pruned. The strings are dealt out by the LOW last bytes of their contexts: a task has
+every string of the orders from LOW that its own can escape to, and the strings of LOW bytes and a byte (those of the lower orders follow)
+go to all tasks. A context's bytes are a subset of those of its suffix, so what is excluded after an escape depends on the longer context alone
+and is worked out once for each. Texts are then scored by looking their strings up; what is not among the frequent ones meets its value in a join.
 """
 
 from __future__ import annotations
@@ -24,12 +25,15 @@ from pyspark.sql import functions as F
 from lamina.llm import common
 
 ORDER = 5
-#: Most strings of one order in the model, and most words whose counts are sent to all tasks.
+#: Orders below LOW are known to all tasks: at most 2 ** (8 * LOW) strings.
+LOW = 3
+#: Most strings whose values, and most words whose counts, are sent to all tasks.
 NODES, WORDS = 1 << 21, 1 << 18
 #: Bytes that are sorted at once, and strings or words that a task holds before it hands them on.
 CHUNK, HELD = 1 << 23, 1 << 20
+#: Strings that a task values, some more or fewer.
+SHARD = 1 << 18
 END = b"\n"
-LOW = (1 << 8 * ORDER) - 1
 
 
 def spelled(words: list[bytes]) -> bytes:
@@ -122,73 +126,118 @@ class Model:
         out[active] += self.log_rest
         return out
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each spelled text."""
-        total = np.zeros(len(texts))
-        for held in cut(texts):
-            grams, owner = strings([p for _, p in held])
-            mixed = grams << np.uint64(16) | owner.astype(np.uint64)
-            mixed.sort()
-            grams = mixed >> np.uint64(16)
-            new = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-            values = np.repeat(self.log10(grams[new]), np.diff(np.r_[new, len(grams)]))
-            sums = np.bincount((mixed & np.uint64(0xFFFF)).astype(np.int64), values, len(held))
-            np.add.at(total, [i for i, _ in held], sums)
-        return total
-
 
-def gather(training: DataFrame, folder: str) -> DataFrame:
-    """(word binary, gram long, n long): the count of every word (END: texts) and of every string, over all training texts."""
+def looked_up(texts: list[bytes], grams: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """For each spelled text the sum of its strings' values, then the strings that ``grams`` (sorted) lacks and how often they occur."""
+    total, rest = np.zeros(len(texts)), [(np.zeros(0, np.int64),) * 3]
+    for held in cut(texts):
+        own, owner = strings([p for _, p in held])
+        mixed = own << np.uint64(16) | owner.astype(np.uint64)
+        mixed.sort()
+        new = np.flatnonzero(np.r_[True, mixed[1:] != mixed[:-1]]) if len(mixed) else np.zeros(0, np.int64)
+        times, own = np.diff(np.r_[new, len(mixed)]), (mixed[new] >> np.uint64(16)).astype(np.int64)
+        text = np.array([i for i, _ in held])[(mixed[new] & np.uint64(0xFFFF)).astype(np.int64)]
+        at = np.searchsorted(grams, own)
+        hit = at < len(grams)
+        hit[hit] = grams[at[hit]] == own[hit]
+        total += np.bincount(text[hit], values[at[hit]] * times[hit], len(texts))
+        rest.append((text[~hit], own[~hit], times[~hit]))
+    text, own, times = (np.concatenate(x) for x in zip(*rest, strict=True))
+    order = np.argsort(text, kind="stable")
+    ends = np.searchsorted(text[order], np.arange(1, len(texts)))
+    return total, np.split(own[order], ends), np.split(times[order], ends)
+
+
+def gather(docs: DataFrame, folder: str) -> DataFrame:
+    """(word binary, gram long, n long, m long): the count of every word (END: texts) of the training texts and of every string, in them (n) and in all texts (m)."""
 
     def run(batches):
         words, grams, counts = Counter(), [], []
 
         def hand_on():
             if words:
-                yield pd.DataFrame({"word": list(words), "gram": pd.array([None] * len(words), "Int64"), "n": list(words.values())})
+                n = list(words.values())
+                yield pd.DataFrame({"word": list(words), "gram": pd.array([None] * len(words), "Int64"), "n": n, "m": n})
             if grams:
                 found, where = np.unique(np.concatenate(grams), return_inverse=True)
-                n = np.bincount(where, np.concatenate(counts), len(found)).astype(np.int64)
-                yield pd.DataFrame({"word": None, "gram": pd.array(found.astype(np.int64), "Int64"), "n": n})
+                n, m = (np.bincount(where, np.concatenate(x), len(found)).astype(np.int64) for x in zip(*counts, strict=True))
+                yield pd.DataFrame({"word": None, "gram": pd.array(found.astype(np.int64), "Int64"), "n": n, "m": m})
             words.clear(), grams.clear(), counts.clear()
 
         for pdf in batches:
-            texts = []
-            for text in pdf.text:
+            texts: dict[bool, list[bytes]] = {True: [], False: []}
+            for text, train in zip(pdf.text, pdf.train, strict=True):
                 own = common.words_of(text)
-                words.update(own)
-                texts.append(spelled(own))
-            words[END] += len(texts)
-            for held in cut(texts):
-                found, n = np.unique(strings([p for _, p in held])[0], return_counts=True)
-                grams.append(found)
-                counts.append(n)
+                texts[bool(train)].append(spelled(own))
+                if train:
+                    words.update(own)
+            if texts[True]:
+                words[END] += len(texts[True])
+            for train, own in texts.items():
+                for held in cut(own):
+                    found, m = np.unique(strings([p for _, p in held])[0], return_counts=True)
+                    grams.append(found)
+                    counts.append((m if train else np.zeros_like(m), m))
             if len(words) > HELD or sum(map(len, grams)) > 2 * HELD:
                 yield from hand_on()
         yield from hand_on()
 
-    counted = common.text_batches(training.select("text")).mapInPandas(run, "word binary, gram long, n long")
-    return common.written(counted.groupBy("word", "gram").agg(F.sum("n").alias("n")), "counts", folder)
+    counted = common.text_batches(docs.selectExpr("text", "coalesce(train, false) train")).mapInPandas(run, "word binary, gram long, n long, m long")
+    return common.written(counted.groupBy("word", "gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "counts", folder)
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, where = np.unique(keys, return_inverse=True)
+    return found, np.bincount(where, counts, len(found)).astype(np.int64)
 
 
-def fit(counts: DataFrame, nodes: int = NODES) -> dict[int, tuple]:
-    """The model's tables. What reaches the driver is at most ``nodes`` strings and contexts an order."""
-    grams = counts.filter("gram IS NOT NULL").select("gram", "n")
-    positions = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-positions // nodes))
-    orders = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("g")) for j in range(ORDER + 1)))).alias("x")
-    every = grams.select(orders, "n").groupBy("x.j", "x.g").agg(F.sum("n").alias("n"))
-    kept = (F.col("j") <= 1) | (F.col("n") >= least)
-    by_context = every.groupBy("j", F.shiftright("g", 8).alias("c")).agg(F.sum("n").alias("total"), F.collect_list(F.when(kept, F.struct("g", "n"))).alias("own")).filter(F.size("own") > 0)
-    found = by_context.select("j", "c", "total", F.col("own.g").alias("g"), F.col("own.n").alias("n")).toPandas()
+def fit(grams: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray]) -> Model:
+    """The model of trained strings that are all or none of those whose contexts end in the same LOW bytes; ``low``: all strings of LOW bytes, with their counts."""
     tables = {}
-    for j in range(ORDER + 1):
-        own = found[found.j == j].sort_values("c")
-        g = np.concatenate([np.zeros(0, np.int64), *own.g]).astype(np.int64)
-        n = np.concatenate([np.zeros(0, np.int64), *own.n]).astype(np.int64)
-        order = np.argsort(g)
-        tables[j] = (g[order], n[order], own.c.to_numpy(np.int64), own.total.to_numpy(np.int64))
-    return tables
+    for j in range(ORDER, -1, -1):
+        if j == LOW - 1:
+            grams, counts = low
+        grams, counts = summed(grams & (1 << 8 * (j + 1)) - 1, counts)
+        tables[j] = (grams, counts, *summed(grams >> 8, counts))
+    return Model(tables)
+
+
+def columns(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a bounded table on the driver, by way of Arrow: no row becomes a Python object."""
+    return [c.to_numpy() for c in df.toArrow().columns]
+
+
+def valued(counts: DataFrame, folder: str) -> DataFrame:
+    """(gram, m, value): log10 probability of each distinct string's last byte, and how often it occurs in all texts."""
+    grams = counts.filter("gram IS NOT NULL").select("gram", "n", "m")
+    low = grams.filter("n > 0").groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * LOW) - 1)).alias("g")).agg(F.sum("n").alias("n"))
+    shared = counts.sparkSession.sparkContext.broadcast(tuple(columns(low)))
+
+    def run(batches):
+        parts = [(p.gram.to_numpy(np.int64), p.n.to_numpy(np.int64), p.m.to_numpy(np.int64)) for p in batches]
+        if not sum(len(p[0]) for p in parts):
+            return
+        own, n, m = (np.concatenate(x) for x in zip(*parts, strict=True))
+        model = fit(own[n > 0], n[n > 0], shared.value)
+        for at in range(0, len(own), SHARD):
+            part = own[at : at + SHARD]
+            yield pd.DataFrame({"gram": part, "m": m[at : at + SHARD], "value": model.log10(part.astype(np.uint64))})
+
+    tasks = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-grams.count() // SHARD))
+    ending = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * LOW) - 1))
+    return common.written(grams.repartition(tasks, ending).mapInPandas(run, "gram long, m long, value double"), "values", folder)
+
+
+def most(values: DataFrame, nodes: int) -> int:
+    """The least count (of eight binary digits, then zeros) that at most ``nodes`` strings reach."""
+    digits = values.selectExpr("m", "greatest(0, length(bin(m)) - 8) s").selectExpr("shiftleft(shiftright(m, s), s) m")
+    least, sent = 1 << 62, 0
+    for row in sorted(digits.groupBy("m").count().collect(), reverse=True):
+        sent += row["count"]
+        if sent > nodes:
+            break
+        least = row.m
+    return least
 
 
 def score(docs: DataFrame, training: F.Column, order_by: str = "doc_id") -> DataFrame:
@@ -196,23 +245,24 @@ def score(docs: DataFrame, training: F.Column, order_by: str = "doc_id") -> Data
 
     Null and blank texts are the end alone. Rows of equal doc_id are scored each for itself. Without training rows every byte has
     1/256 and the base is 0 for each token (N and V are 0: one of one). Counts of frequent words (at most WORDS) go to all tasks; the others meet their
-    words in a join. The order of sums may differ in the last digits.
+    words in a join. So do strings: the values of the most frequent ones (at most NODES) go to all tasks. The order of sums may differ in the last digits.
     """
     spark = docs.sparkSession
     folder = common.scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", training.alias("train"))
-    counts = gather(docs.filter("train"), folder)
+    counts = gather(docs, folder)
+    values = valued(counts, folder)
+    string_from = most(values, NODES)
+    grams, logs = columns(values.filter(F.col("m") >= string_from).select("gram", "value"))
+    order = np.argsort(grams)
     words = counts.filter("word IS NOT NULL").select("word", "n")
     n_all, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent_from = max(1, -(-n_all // WORDS))
     frequent = {bytes(r.word): r.n for r in words.filter(F.col("n") >= frequent_from).collect()}
-    shared = spark.sparkContext.broadcast((fit(counts), {w: log10(n + 1) for w, n in frequent.items()}))
-    made: dict = {}
+    shared = spark.sparkContext.broadcast((grams[order], logs[order], {w: log10(n + 1) for w, n in frequent.items()}))
 
     def run(batches):
-        if "model" not in made:
-            made["model"] = Model(shared.value[0])
-        model, logs = made["model"], shared.value[1]
+        grams, logs = shared.value[:2], shared.value[2]
         for pdf in batches:
             rows, texts = [], []
             for text in pdf.text:
@@ -233,25 +283,30 @@ def score(docs: DataFrame, training: F.Column, order_by: str = "doc_id") -> Data
             out = pd.DataFrame(rows, columns=["n_tokens", "known", "logs", "rest", "times", "n_bytes"])
             out.insert(0, "train", pdf.train.to_numpy())
             out.insert(0, "doc_id", pdf.doc_id.astype("Int64").to_numpy())
-            yield out.assign(score=model.scores(texts))
+            score, strange, often = looked_up(texts, *grams)
+            yield out.assign(grams=strange, often=often, score=score)
 
-    schema = "doc_id long, train boolean, n_tokens long, known long, logs double, rest array<binary>, times array<int>, n_bytes long, score double"
+    schema = "doc_id long, train boolean, n_tokens long, known long, logs double, rest array<binary>, times array<int>, n_bytes long, grams array<long>, often array<int>, score double"
     scored = common.written(common.text_batches(docs).mapInPandas(run, schema).withColumn("rid", F.monotonically_increasing_id()), "scored", folder)
     rare = scored.select("rid", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("rid", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
     rare = rare.join(words.filter(F.col("n") < frequent_from), "word")
-    rare = rare.groupBy("rid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("more_known"))
+    rare = rare.select("rid", (F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.col("times").cast("long").alias("more_known"), F.lit(0.0).alias("more_score"))
+    strange = scored.select("rid", F.explode(F.arrays_zip("grams", "often")).alias("x")).select("rid", F.col("x.grams").alias("gram"), F.col("x.often").alias("often"))
+    strange = strange.join(values.filter(F.col("m") < string_from), "gram")
+    rare = rare.unionByName(strange.select("rid", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("more_known"), (F.col("often") * F.col("value")).alias("more_score")))
+    rare = rare.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("more", "more_known", "more_score")))
     none = lambda c: F.coalesce(c, F.lit(0))
     base = F.col("logs") + none("more") - F.col("n_tokens") * F.lit(log10(n_all + n_distinct + 1))
     return scored.join(rare, "rid", "left").select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("known") + none("more_known")).cast("long").alias("n_known"),
-        F.lit(int(n_all)).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes",
+        F.lit(int(n_all)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + none("more_score")).alias("score"), "n_bytes",
     )
 
 
 class Trie:
     """The same model byte by byte, and its adaptive form, which learns each byte after coding it. For single texts and as a check.
 
-    It prunes nothing; ``score`` of a trained trie equals the tables' scores where they prune nothing either.
+    ``score`` of a trained trie equals the tables' scores.
     """
 
     def __init__(self, order: int = ORDER):

@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lamina.llm import ann, bpe_dp, common, langid, line_templates, packing, ppm, quality, sharding, simhash, token_store
@@ -78,6 +79,26 @@ def test_ppm_base_and_trie(docs, none):
     assert ppm.score(none, train).count() == 0
 
 
+def test_ppm_keeps_rare_strings(spark, monkeypatch):
+    # over 2 ** 21 positions of one passage, so a bound by the share of all positions would drop what occurs once
+    common_text = " ".join(f"{PASSAGE[i:]} {PASSAGE[:i]}" for i in range(0, 300, 43))
+    copies = -(-(1 << 21) // len(common_text)) + 1
+    texts = [("Zürich quartz wordaa zebu", True, 1), ("quixotic wordba zebra 日本", True, 1), ("Zürich quartz wordaa xylophone", False, 1), ("日本 zephyr \x01\x02 wordca", False, 1), (common_text, True, copies)]
+    rows = [(i, text, train) for i, (text, train, n) in enumerate((t for t in texts for _ in range(t[2])))]
+    trie = ppm.Trie()
+    for text, train, n in texts:
+        if train:
+            data = ppm.END * ppm.ORDER + ppm.spelled(common.words_of(text))
+            for k in range(ppm.ORDER, len(data)):
+                for j in range(ppm.ORDER + 1):
+                    trie.counts[data[k - j : k]][data[k]] += n
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    for nodes in (ppm.NODES, 100, 0):  # all values sent, some, none
+        monkeypatch.setattr(ppm, "NODES", nodes)
+        found = {r.doc_id: r.score for r in ppm.score(df, F.col("train")).filter("doc_id < 5").collect()}
+        assert found == {i: pytest.approx(trie.score(text), rel=1e-9) for i, (text, _, _) in enumerate(texts)}
+
+
 def test_quality_against_sql(docs, none, tmp_path):
     found = quality.assess(docs).toPandas()
     con = duckdb.connect()
