@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLANKS = r"' \t\n\u000B\f\r'"
+#: A Spark literal, which has no escape \f (it is the letter f there).
+BLANKS = r"' \t\n\u000B\u000C\r'"
 SYMBOLS = "#*$%&|<>"
 
 #: name -> condition over the measurements under which a document fails; a rule's bit is its place here. Integer arithmetic only.

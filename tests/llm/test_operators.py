@@ -116,6 +116,16 @@ def test_quality_against_sql(docs, none, tmp_path):
     assert total["few_words"] == (found.n_words < 50).sum()
 
 
+def test_quality_of_f_and_form_feeds(spark):
+    texts = ["foo of elf", "fff word fff", "ff\nff\nelf\nff", "\f" + PASSAGE + "\f", " ".join(["word"] * 49) + "\f", "f", "\f\n\f", "of\x0b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    documents = df.toPandas()  # noqa: F841
+    theirs = duckdb.connect().sql(quality.ORACLE).df().sort_values("doc_id")
+    ours = quality.assess(df).toPandas().sort_values("doc_id")
+    for c in theirs.columns:
+        assert ours[c].astype("int64").tolist() == theirs[c].astype("int64").tolist(), c
+
+
 def test_token_store(docs, none, tmp_path):
     library = Tokenizer.from_file(BYTE)
     manifest = token_store.write_store(docs, f"file://{tmp_path}/a", BYTE, rows_per_file=4)
