@@ -3,7 +3,8 @@
 A bounded sample is clustered by k-means whose overfull clusters are split, so the lists come out balanced. A graph of near
 neighbours among the centroids stays in memory and is searched best-first. Every distinct vector goes to its nearest centroid's list,
 and a boundary vector also to further lists whose centroids are nearly as near, unless one of them lies nearer to a chosen centroid
-than to the vector. A query searches the lists whose centroids are within a ratio of its nearest one's distance.
+than to the vector. A query searches the lists whose centroids are within a ratio of its nearest one's distance,
+and further ones until they hold more vectors than it wants.
 
 The largest inner product becomes the least distance by one more coordinate, which gives all vectors the largest norm and is zero in
 queries. Equal vectors are one entry with its least ids, as many as a result can hold. Lists and their queries are cut into cells of bounded
@@ -130,10 +131,19 @@ class CentroidGraph:
             out.append(np.array(chosen))
         return out
 
-    def probes(self, x: np.ndarray) -> list[np.ndarray]:
-        """The lists that each query searches."""
+    def probes(self, x: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """The lists that each query searches: those within the ratio, and on down the nearest until they hold ``least`` vectors (``sizes``: vectors nearest to each centroid)."""
         ids, d = self.search(x, max(16, int(SHARE * len(self.centers))))
-        return [row[(row >= 0) & (dist <= RATIO**2 * max(dist[0], 1e-12))] for row, dist in zip(ids, d, strict=True)]
+        out = []
+        for i, (row, dist) in enumerate(zip(ids, d, strict=True)):
+            row, dist = row[row >= 0], dist[row >= 0]
+            if sizes[row].sum() < least:  # all centroids, in exact order
+                every = squared(x[i : i + 1].astype(np.float32), self.centers)[0]
+                row = np.argsort(every, kind="stable")
+                dist = every[row]
+            few = np.r_[0, np.cumsum(sizes[row])[:-1]] < least
+            out.append(row[few | (dist <= RATIO**2 * max(dist[0], 1e-12))])
+        return out
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -191,10 +201,13 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame:
         for pdf in batches:
             for at in range(0, len(pdf), 2048):
                 part = pdf.iloc[at : at + 2048]
-                yield part.assign(lists=[c.tolist() for c in shared.value.probes(lifted(stacked(part.v), True))])
+                yield part.assign(lists=[c.tolist() for c in shared.value.probes(lifted(stacked(part.v), True), sizes, top + 1)])
 
-    postings = entries.select("key", "v").mapInPandas(post, "key long, v array<double>, lists array<int>").select("key", "v", F.explode("lists").alias("c"))
+    postings = entries.select("key", "v").mapInPandas(post, "key long, v array<double>, lists array<int>").select("key", "v", F.posexplode("lists").alias("place", "c"))
     postings = common.written(postings, "postings", folder)
+    sizes = np.zeros(len(graph.centers), np.int64)  # each vector once, on its first list
+    for row in postings.filter("place = 0").groupBy("c").agg(F.count("*").alias("m")).collect():
+        sizes[row.c] = row.m
     probes = entries.filter("asked").select("key", "v").mapInPandas(probe, "key long, v array<double>, lists array<int>").select("key", "v", F.explode("lists").alias("c"))
     probes = common.written(probes, "probes", folder)
     # crowded lists, and lists with many queries, are cut into cells of bounded size

@@ -58,6 +58,17 @@ def test_ann_recall_ties_and_bad_rows(spark):
     assert ann.search(df.filter("false")).count() == 0
 
 
+def test_ann_small_lists(spark):
+    rng = np.random.default_rng(2)
+    vectors = np.zeros((201, 8))
+    vectors[:190, 0], vectors[190:200, 1], vectors[200, 2] = 1, 1, 1
+    vectors += rng.normal(size=vectors.shape) * 1e-3
+    ids = np.arange(201) * 20
+    found = ann.search(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>")).toPandas()
+    assert found.groupby("query_id").size().tolist() == [20] * 201
+    assert ann.recall(found, vectors, ids) >= 0.9
+
+
 def test_ppm_base_and_trie(docs, none):
     train = common.held_remainder("doc_id", 7) != 2
     found = sorted(ppm.score(docs, train).collect(), key=key)
