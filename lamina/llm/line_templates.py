@@ -5,14 +5,17 @@ tokens, and a leaf holds the templates of its lines: a line joins the most simil
 whose other places become wildcards, or starts its own. A template recurs if its lines occur in two documents or more (short
 ones: SHORT_SUPPORT). The first document (least doc_id) keeps its lines of a recurring template; all later ones drop theirs.
 
-Equal masked lines are counted before they meet, so copies weigh nothing. Leaves with one line need no tokens compared. A leaf with more than
-CROWDED lines is parsed on, at twice the depth, until it has fewer or the tokens are used up; no task holds more than a leaf.
+Equal masked lines are counted before they meet, so copies weigh nothing. Leaves with one line need no tokens compared. A line joins a template
+only if it agrees with the template's first line at SIMILAR of the places, so one of a few blocks of tokens (one more than places may differ) is
+equal in both. A line is compared with the templates that share a block with it. A leaf with more than CROWDED lines is split into the groups of lines that
+shared blocks connect, which never meet, and gives the same templates as in one piece; no task holds more than a group.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm import common
+from lamina.llm.components import components
 
 DEPTH, SIMILAR, CROWDED = 3, 0.8, 512
 #: Lines of fewer tokens than SHORT drop only with a support of SHORT_SUPPORT documents; of fewer than LEAST, never.
@@ -51,21 +55,36 @@ def leaf_of(tokens: F.Column, depth: int) -> F.Column:
     return F.xxhash64(F.size(tokens), F.lit(depth), F.array_join(F.slice(tokens, 1, depth), " "))
 
 
+def blocks(size: F.Column, tokens: F.Column) -> F.Column:
+    """The hashes of a line's blocks: of two lines that may share a template, one at least is equal."""
+    parts = (size - F.ceil(size * SIMILAR - 1e-9) + 1).cast("int")
+    edge = lambda k: F.floor(k * F.greatest(size - DEPTH, F.lit(0)) / parts).cast("int")
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.xxhash64("leaf", size, k, F.array_join(F.slice(tokens, DEPTH + 1 + edge(k), edge(k + 1) - edge(k)), " ")))
+
+
 def cluster(lines: list[list[str]], weights: list[int]) -> list[int]:
     """The template number of each line of one leaf (all of one length): frequent lines first, ties by their tokens."""
     ids: dict[str, int] = {}
-    rows = np.array([[ids.setdefault(t, len(ids)) for t in line] for line in lines])
-    need = SIMILAR * rows.shape[1]
-    templates, of = np.zeros((0, rows.shape[1]), np.int64), [0] * len(lines)
+    rows = np.array([[ids.setdefault(t, len(ids)) for t in line] for line in lines], np.int32)
+    width = rows.shape[1]
+    need = SIMILAR * width
+    parts = width - ceil(need - 1e-9) + 1
+    edges = [DEPTH + k * max(width - DEPTH, 0) // parts for k in range(parts + 1)]
+    templates, n, of = np.zeros_like(rows), 0, [0] * len(lines)
+    sharing: dict[tuple[int, bytes], list[int]] = {}
     for i in sorted(range(len(lines)), key=lambda i: (-weights[i], lines[i])):
-        same = (templates == rows[i]).sum(1)
-        best = int(same.argmax()) if len(same) else -1
+        own = [(k, rows[i, edges[k] : edges[k + 1]].tobytes()) for k in range(parts)]
+        near = sorted({t for key in own for t in sharing.get(key, ())})
+        same = (templates[near] == rows[i]).sum(1)
+        best = int(same.argmax()) if len(near) else -1
         if best >= 0 and same[best] >= need:
-            templates[best][templates[best] != rows[i]] = -1
-            of[i] = best
+            of[i] = near[best]
+            templates[of[i]][templates[of[i]] != rows[i]] = -1
         else:
-            of[i] = len(templates)
-            templates = np.vstack([templates, rows[i]])
+            of[i], templates[n] = n, rows[i]
+            for key in own:
+                sharing.setdefault(key, []).append(n)
+            n += 1
     return of
 
 
@@ -93,15 +112,13 @@ def recurring(docs: DataFrame, folder: str) -> DataFrame:
     lines = common.written(lines, "lines", folder)
     many = lines.groupBy("leaf").agg(F.count("*").alias("m")).filter("m > 1")
     shared = common.written(lines.join(many, "leaf"), "shared", folder)
-    ready, depth = shared.filter(F.col("m") <= CROWDED).drop("m"), DEPTH
-    crowded = shared.filter(F.col("m") > CROWDED).drop("m")
-    while crowded.limit(1).count():  # twice the depth each time: as many rounds as a line's length has binary digits
-        depth *= 2
-        deeper = crowded.withColumn("leaf", leaf_of(F.split("line", " "), depth))
-        sizes = deeper.groupBy("leaf").agg(F.count("*").alias("m"))
-        deeper = common.written(deeper.join(sizes, "leaf"), f"crowded-{depth}", folder)
-        ready = ready.unionByName(deeper.filter(F.col("m") <= CROWDED).drop("m"))
-        crowded = deeper.filter(F.col("m") > CROWDED).drop("m")
+    ready, crowded = shared.filter(F.col("m") <= CROWDED).drop("m"), shared.filter(F.col("m") > CROWDED).drop("m")
+    if crowded.limit(1).count():
+        tokens = F.split("line", " ")
+        links = crowded.select(F.xxhash64("key").alias("u"), F.explode(blocks(F.size(tokens), tokens)).alias("v"))
+        groups = components(common.written(links, "links", folder), folder).withColumnRenamed("root", "group")
+        grouped = crowded.withColumn("node", F.xxhash64("key")).join(groups, "node", "left")
+        ready = ready.unionByName(grouped.withColumn("leaf", F.xxhash64("leaf", "group")).drop("node", "group"))
 
     def templates(batches):
         kept = None
@@ -117,7 +134,7 @@ def recurring(docs: DataFrame, folder: str) -> DataFrame:
     def parsed(pdf: pd.DataFrame):
         if not len(pdf):
             return
-        leaf, out = pdf.leaf.to_numpy(), np.zeros(len(pdf), np.int32)
+        leaf, out = pdf.leaf.to_numpy(), np.zeros(len(pdf), np.int64)
         starts = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
         lines, weights = [x.split(" ") for x in pdf.line], pdf.n.tolist()
         for a, b in zip(starts, np.r_[starts[1:], len(leaf)], strict=True):
@@ -131,8 +148,8 @@ def recurring(docs: DataFrame, folder: str) -> DataFrame:
         yield pdf[["key", "leaf", "n", "low", "high"]].assign(template=out, words=[len(x) for x in lines])
 
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = ready.repartition(count, "leaf").sortWithinPartitions("leaf", "key").mapInPandas(templates, "key binary, leaf long, n long, low long, high long, template int, words int")
-    alone = lines.join(many, "leaf", "left_anti").select("key", "leaf", "n", "low", "high", F.lit(0).alias("template"), F.size(F.split("line", " ")).alias("words"))
+    found = ready.repartition(count, "leaf").sortWithinPartitions("leaf", "key").mapInPandas(templates, "key binary, leaf long, n long, low long, high long, template long, words int")
+    alone = lines.join(many, "leaf", "left_anti").select("key", "leaf", "n", "low", "high", F.lit(0).cast("long").alias("template"), F.size(F.split("line", " ")).alias("words"))
     own = Window.partitionBy("leaf", "template")
     found = found.withColumns({"support": F.sum("n").over(own), "keeper": F.min("low").over(own), "last": F.max("high").over(own)})
     alone = alone.withColumns({"support": F.col("n"), "keeper": F.col("low"), "last": F.col("high")})

@@ -187,6 +187,38 @@ def test_line_templates(spark, docs, none):
     assert line_templates.deduplicated(none).count() == 0
 
 
+def slow_cluster(lines, weights):
+    templates, of = [], [0] * len(lines)
+    for i in sorted(range(len(lines)), key=lambda i: (-weights[i], lines[i])):
+        same = [sum(a == b for a, b in zip(t, lines[i], strict=True)) for t in templates]
+        if same and max(same) >= 0.8 * len(lines[i]):
+            of[i] = same.index(max(same))
+            templates[of[i]] = [a if a == b else None for a, b in zip(templates[of[i]], lines[i], strict=True)]
+        else:
+            of[i] = len(templates)
+            templates.append(lines[i])
+    return of
+
+
+def test_crowded_leaves(spark, monkeypatch):
+    names = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}ma" for i in range(600)]
+    df = spark.createDataFrame([(i, f"Thanks for contacting {name} about the order you placed") for i, name in enumerate(names)], "doc_id long, text string")
+    found = {r.doc_id: r.n_dropped for r in line_templates.deduplicated(df).collect()}
+    assert found == {i: int(i > 0) for i in range(600)}
+    rng = np.random.default_rng(4)
+    for width in (4, 5, 8, 11, 15):
+        lines = [["a", "b", "c", *(str(chr(97 + x)) for x in rng.integers(0, 4, width - 3))] for _ in range(300)]
+        lines = [list(x) for x in sorted(set(map(tuple, lines)))]
+        weights = rng.integers(1, 4, len(lines)).tolist()
+        assert line_templates.cluster(lines, weights) == slow_cluster(lines, weights)
+    rows = [(i, " ".join(["a", "b", "c", *(chr(97 + x) for x in rng.integers(0, 6, 9))])) for i in range(400)]
+    df, drops = spark.createDataFrame(rows, "doc_id long, text string"), []
+    for crowded in (512, 4):
+        monkeypatch.setattr(line_templates, "CROWDED", crowded)
+        drops.append({r.doc_id: r.n_dropped for r in line_templates.deduplicated(df).collect()})
+    assert drops[0] == drops[1] and 0 < sum(drops[0].values()) < 400
+
+
 def slow_fingerprint(text):
     words = W.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
