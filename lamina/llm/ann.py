@@ -1,36 +1,38 @@
 """Operator 1: approximate nearest neighbours from balanced posting lists.
 
-A bounded sample is clustered by k-means whose overfull clusters are split, so the lists come out balanced. A graph of near
-neighbours among the centroids stays in memory and is searched best-first. Every distinct vector goes to its nearest centroid's list,
-and a boundary vector also to further lists whose centroids are nearly as near, unless one of them lies nearer to a chosen centroid
-than to the vector. A query searches the lists whose centroids are within a ratio of its nearest one's distance,
-and further ones until they hold more vectors than it wants.
+A bounded sample is clustered by k-means whose overfull clusters are split, so the lists come out balanced; their number grows with the square root of
+the number of vectors. A graph of near neighbours among the centroids stays in memory and is searched best-first. Every distinct vector goes to
+its nearest centroid's list, and a boundary vector also to further lists whose centroids are nearly as near, unless one lies too close to a
+centroid chosen before. A query searches the lists whose centroids are within a ratio of its nearest one's distance, and further ones until they hold READ vectors.
 
 The largest inner product becomes the least distance by one more coordinate, which gives all vectors the largest norm and is zero in
-queries. Equal vectors are one entry with its least ids, as many as a result can hold. Lists and their queries are cut into cells of bounded
-size; each cell scores its pairs in double precision and gives each query's best.
+queries. Equal vectors are one entry with its least ids, as many as a result can hold. Neighbouring lists are dealt out together, so that a vector travels
+once for each such group; groups and their queries are cut into cells of bounded size. A cell scores in double precision the entries that share a list with a
+query, and keeps its best by score, then least vec_id: nothing that ties with the last one is cut unseen.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.llm import common
 
 TOP, EVERY = 20, 20
-#: Distinct vectors a list, most lists, and most bytes of the sample that the clustering sees.
-LIST, LISTS, SAMPLE_BYTES = 96, 128, 32 << 20
-#: A vector goes to at most COPIES lists, within this ratio of the nearest centroid's distance.
-COPIES, BOUNDARY = 6, 1.15
-#: A query searches the lists within this ratio, at most this share of all (16 at least): vectors without clusters need many lists.
-SHARE, RATIO = 0.65, 1.5
+#: Lists: so many times the square root of the number of vectors, with LIST vectors or more each; most bytes of the sample that the clustering sees.
+LISTS, LIST, SAMPLE_BYTES = 4, 24, 32 << 20
+#: A vector goes to at most COPIES lists, within this ratio of the nearest centroid's distance; centroids of one vector differ by this share of their squared distance.
+COPIES, BOUNDARY, APART = 4, 1.2, 0.3
+#: A query searches the lists within this ratio, and more until they hold so many vectors.
+RATIO, READ = 1.17, 1024
 #: Neighbours of a centroid in the graph, and the width of the search.
 DEGREE, ENTRIES = 24, 32
-#: Most vectors and most queries in one cell.
-CELL = 4096
+#: Entries of a group of lists, and most entries and queries in one cell.
+GROUP, CELL = 8192, 8192
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -118,7 +120,7 @@ class CentroidGraph:
         return (ids, d) if pad <= 0 else (np.pad(ids, ((0, 0), (0, pad)), constant_values=-1), np.pad(d, ((0, 0), (0, pad)), constant_values=np.inf))
 
     def lists_of(self, x: np.ndarray) -> list[np.ndarray]:
-        """The lists that each vector is put on."""
+        """The lists that each vector is put on, the nearest first."""
         ids, d = self.search(x, 4 * COPIES)
         out = []
         for row, dist in zip(ids, d, strict=True):
@@ -126,23 +128,32 @@ class CentroidGraph:
             for c, dc in zip(row[1:], dist[1:], strict=True):
                 if c < 0 or dc > BOUNDARY**2 * dist[0] or len(chosen) >= COPIES:
                     break
-                if (((self.centers[chosen] - self.centers[c]) ** 2).sum(1) >= dc).all():
+                if (((self.centers[chosen] - self.centers[c]) ** 2).sum(1) >= APART * dc).all():
                     chosen.append(int(c))
             out.append(np.array(chosen))
         return out
 
-    def probes(self, x: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
-        """The lists that each query searches: those within the ratio, and on down the nearest until they hold ``least`` vectors (``sizes``: vectors nearest to each centroid)."""
-        ids, d = self.search(x, max(16, int(SHARE * len(self.centers))))
-        out = []
-        for i, (row, dist) in enumerate(zip(ids, d, strict=True)):
-            row, dist = row[row >= 0], dist[row >= 0]
-            if sizes[row].sum() < least:  # all centroids, in exact order
-                every = squared(x[i : i + 1].astype(np.float32), self.centers)[0]
-                row = np.argsort(every, kind="stable")
-                dist = every[row]
-            few = np.r_[0, np.cumsum(sizes[row])[:-1]] < least
-            out.append(row[few | (dist <= RATIO**2 * max(dist[0], 1e-12))])
+    def probes(self, x: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """The lists that each query searches: those within the ratio, and on down the nearest until they hold READ vectors (``sizes``: vectors nearest to each centroid)."""
+        out, left, width = [None] * len(x), np.arange(len(x)), 2 * ENTRIES
+        while len(left):
+            ids, d = self.search(x[left], width)
+            again = []
+            for i, row, dist in zip(left, ids, d, strict=True):
+                found = row >= 0
+                row, dist = row[found], dist[found]
+                whole = len(row) >= min(width, len(self.centers))
+                if width >= len(self.centers) and not whole:  # the graph didn't reach all centroids
+                    every = squared(x[i : i + 1].astype(np.float32), self.centers)[0]
+                    row = np.argsort(every, kind="stable")
+                    dist = every[row]
+                few = np.r_[0, np.cumsum(sizes[row])[:-1]] < READ
+                wanted = few | (dist <= RATIO**2 * max(dist[0], 1e-12))
+                if wanted.all() and width < len(self.centers):
+                    again.append(i)
+                else:
+                    out[i] = row[wanted]
+            left, width = np.array(again, np.int64), 4 * width
         return out
 
 
@@ -156,25 +167,72 @@ def stacked(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0))
 
 
+def best_of(queries: pd.DataFrame, entries: pd.DataFrame, top: int) -> pd.DataFrame:
+    """One row a query: its ``top`` entries among those that share a list with it, by exact score and then least id, as arrays."""
+    found = []
+    if len(queries) and len(entries):
+        x, q = stacked(entries.v), stacked(queries.v)
+        names = np.unique(np.concatenate([*queries.lists, *entries.lists]))
+
+        def incidence(lists) -> np.ndarray:
+            out = np.zeros((len(lists), len(names)), np.float32)
+            out[np.repeat(np.arange(len(lists)), [len(k) for k in lists]), np.searchsorted(names, np.concatenate(list(lists)))] = 1
+            return out
+
+        low = np.array([i[0] for i in entries.ids])
+        asked, held = incidence(queries.lists), incidence(entries.lists)
+        keys = queries.key.to_numpy()
+        for at in range(0, len(q), 256):
+            rough = q[at : at + 256] @ x.T
+            rough[asked[at : at + 256] @ held.T == 0] = -np.inf
+            m = min(top, len(x))
+            least = np.partition(rough, len(x) - m, axis=1)[:, len(x) - m]
+            slack = 1e-9 * (1 + np.abs(rough, where=np.isfinite(rough), out=np.zeros_like(rough)).max(1))
+            for i, row in enumerate(rough):
+                chosen = np.flatnonzero(np.isfinite(row) & (row >= least[i] - slack[i]))
+                exact = (x[chosen] * q[at + i]).sum(1)  # one order of summation wherever a pair is scored
+                order = np.lexsort((low[chosen], -exact))[:m]
+                found.append((keys[at + i], [entries.ids.iloc[j] for j in chosen[order]], exact[order]))
+    return pd.DataFrame(found, columns=["query", "ids", "scores"])
+
+
 def search(vectors: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: for each vec_id divisible by ``every`` the ``top`` rows of largest inner product found.
 
     Vectors that are null, empty, zero or hold a null or non-finite component, rows with a null vec_id, and vectors of another
     length than the most frequent (ties: the longest) take no part. A row repeated with its vec_id and vector counts once; one vec_id with several vectors
-    is several candidates and queries, and none of them finds its own vec_id. Ties go to the smaller vec_id. An empty table gives no rows.
+    is several candidates and queries, and none of them finds its own vec_id (so one with over ``top`` vectors of its own may find fewer). Ties go to the smaller
+    vec_id among what is read. An empty table gives no rows; other columns play no part.
     """
+    return found_by(index(vectors, top, every), top, every)
+
+
+class Index:
+    """What ``index`` leaves: written tables and the counts that say how much was copied and pruned."""
+
+    def __init__(self, **parts):
+        self.__dict__ |= parts
+
+    def figures(self) -> dict[str, float]:
+        """lists, copies of a vector, lists that a query reads on average, and their share of all lists."""
+        one = lambda df: df.agg(F.sum(F.size("lists"))).first()[0] or 0
+        read = one(self.probes) / max(1, self.entries.filter("asked").count())
+        return {"vectors": self.n, "lists": self.lists, "copies": one(self.postings) / max(1, self.n), "read": read, "share": read / self.lists}
+
+
+def index(vectors: DataFrame, top: int = TOP, every: int = EVERY) -> Index | None:
+    """Posting lists of ``vectors`` and the lists that each query reads; None if no vector takes part."""
     spark = vectors.sparkSession
     folder = common.scratch(spark)
-    schema = "query_id long, rank int, vec_id long, score double"
     rows = valid(vectors)
     widths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
     if not widths:
-        return spark.createDataFrame([], schema)
+        return None
     width, largest = widths[0].d, widths[0].m
     rows = common.written(rows.filter(F.size("v") == width).dropDuplicates(["vec_id", "v"]), "rows", folder)
     # the least ids of each vector: a group limit before the shuffle bounds what a repeated vector sends
     least = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("r") <= top + 1)
-    asked = rows.filter(F.col("vec_id") % every == 0).select("v").distinct().withColumn("asked", F.lit(True))
+    asked = rows.filter(F.col("vec_id") % every == 0).groupBy("v").agg(F.count("*").alias("n"), F.lit(True).alias("asked"))
     entries = least.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).join(asked, "v", "left")
     entries = common.written(entries.withColumn("key", F.monotonically_increasing_id()), "entries", folder)
     n = entries.count()
@@ -188,62 +246,64 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame:
         more = np.zeros(len(x)) if query else np.sqrt(np.maximum(largest - (x * x).sum(1), 0))
         return np.hstack([x, more[:, None]])
 
-    graph = CentroidGraph(kmeans(lifted(sample), int(max(1, min(LISTS, len(sample), n // LIST)))))
-    shared = spark.sparkContext.broadcast(graph)  # at most 2 x LISTS centroids
+    graph = CentroidGraph(kmeans(lifted(sample), int(max(1, min(LISTS * isqrt(n), n // LIST, len(sample) // 2)))))
+    near = kmeans(graph.centers.astype(float), max(1, min(len(graph.centers), n * COPIES // GROUP)))
+    group_of = squared(graph.centers.astype(float), near).argmin(1)
+    shared = spark.sparkContext.broadcast((graph, group_of))  # no more centroids than the sample has vectors
 
-    def post(batches):
+    def dealt(batches, lists_of):
         for pdf in batches:
             for at in range(0, len(pdf), 2048):
                 part = pdf.iloc[at : at + 2048]
-                yield part.assign(lists=[c.tolist() for c in shared.value.lists_of(lifted(stacked(part.v)))])
+                first, groups = [], []
+                for own in lists_of(stacked(part.v)):
+                    g = shared.value[1][own]
+                    first.append(int(own[0]))
+                    groups.append([{"g": int(k), "lists": own[g == k].tolist()} for k in np.unique(g)])
+                yield part.assign(first=first, groups=groups)
+
+    def post(batches):
+        yield from dealt(batches, lambda v: shared.value[0].lists_of(lifted(v)))
 
     def probe(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), 2048):
-                part = pdf.iloc[at : at + 2048]
-                yield part.assign(lists=[c.tolist() for c in shared.value.probes(lifted(stacked(part.v), True), sizes, top + 1)])
+        yield from dealt(batches, lambda v: shared.value[0].probes(lifted(v, True), sizes))
 
-    postings = entries.select("key", "v").mapInPandas(post, "key long, v array<double>, lists array<int>").select("key", "v", F.posexplode("lists").alias("place", "c"))
-    postings = common.written(postings, "postings", folder)
+    grouped = "first int, groups array<struct<g: int, lists: array<int>>>"
+    postings = common.written(entries.select("key", "ids", "v").mapInPandas(post, f"key long, ids array<long>, v array<double>, {grouped}"), "placed", folder)
     sizes = np.zeros(len(graph.centers), np.int64)  # each vector once, on its first list
-    for row in postings.filter("place = 0").groupBy("c").agg(F.count("*").alias("m")).collect():
-        sizes[row.c] = row.m
-    probes = entries.filter("asked").select("key", "v").mapInPandas(probe, "key long, v array<double>, lists array<int>").select("key", "v", F.explode("lists").alias("c"))
-    probes = common.written(probes, "probes", folder)
-    # crowded lists, and lists with many queries, are cut into cells of bounded size
-    parts = lambda df, name: df.groupBy("c").agg(F.ceil(F.count("*") / CELL).cast("int").alias(name))
-    cut = F.broadcast(parts(postings, "np").join(parts(probes, "nq"), "c"))  # one row a list
+    for row in postings.groupBy("first").agg(F.count("*").alias("m")).collect():
+        sizes[row["first"]] = row.m
+    postings = postings.select("key", "ids", "v", F.inline("groups"))
+    probes = entries.filter("asked").select("key", "v").mapInPandas(probe, f"key long, v array<double>, {grouped}").select("key", "v", F.inline("groups"))
+    return Index(rows=rows, entries=entries, postings=postings, probes=common.written(probes, "probes", folder), n=n, lists=len(graph.centers), folder=folder, spark=spark)
+
+
+def found_by(built: Index | None, top: int, every: int) -> DataFrame:
+    """The results of an index' queries: cells of a group's entries and queries, then each query's best of all its cells."""
+    if built is None:
+        return SparkSession.active().createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows, entries, postings, probes = built.rows, built.entries, built.postings, built.probes
+    # crowded groups, and groups with many queries, are cut into cells of bounded size
+    parts = lambda df, name: df.groupBy("g").agg(F.ceil(F.count("*") / CELL).cast("int").alias(name))
+    cut = F.broadcast(parts(postings, "np").join(parts(probes, "nq"), "g"))  # one row a group
 
     def dealt(df: DataFrame, mine: str, others: str, a: str, b: str) -> DataFrame:
-        df = df.join(cut, "c").withColumn(a, F.pmod(F.xxhash64("key"), F.col(mine)).cast("int"))
-        return df.withColumn(b, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).select("key", "v", "c", "a", "b")
-
-    def score(queries: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(lists):
-            return pd.DataFrame({"query": [], "keys": [], "scores": []})
-        x, q, keys = stacked(lists.v), stacked(queries.v), lists.key.to_numpy()
-        found = []
-        for at in range(0, len(q), 256):
-            rough = q[at : at + 256] @ x.T
-            m = min(top + 4, len(x))
-            best = np.argpartition(-rough, m - 1, axis=1)[:, :m]
-            for i, chosen in enumerate(best):
-                exact = (x[chosen] * q[at + i]).sum(1)  # one order of summation wherever a pair is scored
-                found.append((queries.key.iloc[at + i], keys[chosen], exact))
-        return pd.DataFrame(found, columns=["query", "keys", "scores"])
-
-    cells = dealt(probes, "nq", "np", "b", "a").groupBy("c", "a", "b").cogroup(dealt(postings, "np", "nq", "a", "b").groupBy("c", "a", "b"))
-    pairs = cells.applyInPandas(score, "query long, keys array<long>, scores array<double>")
-    pairs = pairs.select("query", F.explode(F.arrays_zip("keys", "scores")).alias("x")).select("query", F.col("x.keys").alias("key"), F.col("x.scores").alias("score"))
-    pairs = pairs.groupBy("query", "key").agg(F.first("score").alias("score"))
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "key")
-    pairs = pairs.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= top + 1)
-    pairs = pairs.join(entries.select("key", "ids"), "key").select("query", "score", F.explode("ids").alias("vec_id"))
-    results = pairs.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, 8 * top).alias("found"))
-    named = entries.filter("asked").select("v", "key").join(results, F.col("key") == F.col("query")).select("v", "found")
-    asked_rows = rows.filter(F.col("vec_id") % every == 0).join(named, "v").select(F.col("vec_id").alias("query_id"), "found")
+        own = df.columns
+        df = df.join(cut, "g").withColumn(a, F.pmod(F.xxhash64("key"), F.col(mine)).cast("int"))
+        return df.withColumn(b, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).select(*own, "a", "b")
+
+    cells = dealt(probes, "nq", "np", "b", "a").groupBy("g", "a", "b").cogroup(dealt(postings, "np", "nq", "a", "b").groupBy("g", "a", "b"))
+    pairs = cells.applyInPandas(lambda queries, own: best_of(queries, own, top + 1), "query long, ids array<array<long>>, scores array<double>")
+    pairs = pairs.select("query", F.inline(F.arrays_zip("ids", "scores"))).withColumn("low", F.col("ids")[0])
+    pairs = pairs.groupBy("query", "ids", "low").agg(F.max("scores").alias("score"))  # an entry may lie in several groups
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "low")
+    pairs = pairs.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= top + 1).select("query", "score", F.explode("ids").alias("vec_id"))
+    results = pairs.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("found"))  # at most (top + 1) squared
+    named = common.written(entries.filter("asked").select("v", "key", "n").join(results, F.col("key") == F.col("query")).select("v", "found", "n"), "found", built.folder)
+    questions = rows.filter(F.col("vec_id") % every == 0)
+    met = common.joined(questions, named, ["v"], rows.count()).select(F.col("vec_id").alias("query_id"), "found")
     own = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, top)
-    return asked_rows.select("query_id", F.posexplode(own).alias("r", "x")).select("query_id", (F.col("r") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    return met.select("query_id", F.posexplode(own).alias("r", "x")).select("query_id", (F.col("r") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
 
 
 def recall(found: pd.DataFrame, vectors: np.ndarray, ids: np.ndarray, top: int = TOP, every: int = EVERY) -> float:

@@ -142,7 +142,8 @@ def shared_prefix_encoder(path: str) -> PrefixEncoder:
 def encode_and_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean, for every row as it comes.
 
-    Null texts count as empty (no ids). Nothing is shuffled; a row is the unit of work and the caches are bounded.
+    Null texts count as empty (no ids). Repeated rows and equal or null doc_ids stay rows of their own; an empty table gives no rows; other columns play
+    no part, whatever their names. Nothing is shuffled; a row is the unit of work, so memory follows the longest text (some 30 bytes a byte), and the caches are bounded.
     """
 
     def run(batches):
@@ -154,11 +155,11 @@ def encode_and_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
                 decoded = encoder.decode(ids.tolist()).encode("utf-8", "surrogatepass")
                 rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest(), decoded == (text or "").encode("utf-8", "surrogatepass")))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
-            out.insert(0, "doc_id", pdf.doc_id.astype("Int64").to_numpy())
+            out.insert(0, "doc_id", pdf.doc_id.to_numpy())
             yield out.astype({"n_tokens": "int64", "round_trip": bool})
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
-    return common.text_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInPandas(run, schema)
+    schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
+    return common.id_long(common.text_batches(docs).select(common.id_text(), "text").mapInPandas(run, schema))
 
 
 __all__ = ["BYTE_PIECES", "ChunkCache", "PrefixEncoder", "encode_and_decode", "shared_prefix_encoder"]

@@ -1,6 +1,6 @@
 """Operator 8: language identification by compression.
 
-A bounded sample of labelled texts becomes one raw-content zstandard dictionary a language. Every whole text is cut into blocks,
+A bounded sample of whole labelled texts becomes one raw-content zstandard dictionary a language. Every whole text is cut into blocks,
 each block is compressed with each dictionary, and the language whose blocks take the fewest bytes in sum is chosen. A text whose
 best two languages lie too close together is rejected.
 """
@@ -11,14 +11,14 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import common
 
-#: Bounds of the sample: labelled rows a language, bytes of each, and bytes of a language's dictionary.
-SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 2048, 1 << 17
+#: Bounds of the sample that the dictionaries are made of, in whole texts: rows a language, bytes of a text, bytes of a language's dictionary, and
+#: languages (the most frequent). Predictions know no such bounds.
+SAMPLE_ROWS, TEXT_BYTES, DICTIONARY_BYTES, LANGUAGES = 400, 1 << 15, 1 << 17, 256
 BLOCK_BYTES = 4096
 #: A text is rejected if the second language takes less than this share of bytes more.
 MARGIN = 0.002
@@ -73,27 +73,31 @@ class Classifier:
 
 
 def fit(docs: DataFrame) -> dict[str, bytes]:
-    """language -> dictionary from (doc_id, text, lang) rows with a language. The rows of lowest doc_id hash are taken, equal texts once."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """language -> dictionary from (doc_id, text, lang) rows with a language, in order of a hash of doc_id, equal texts once.
+
+    A text is taken whole or not at all: those of over TEXT_BYTES and those that no longer fit in DICTIONARY_BYTES are left out. Rows without a text or a
+    language teach nothing; of more than LANGUAGES languages the most frequent are learned (ties: the least name). Without labelled rows: no dictionary.
+    """
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= TEXT_BYTES))
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return {}
-    spot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30))
+    spot = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.length("text")), F.lit(1 << 30))
     limit = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, 1.5 * SAMPLE_ROWS / n) * (1 << 30))))])
-    # the excerpt bounds what a long document gives to the dictionary; predictions read whole texts
-    rows = labelled.withColumn("spot", spot).filter(F.col("spot") <= limit[F.col("lang")]).select("lang", "spot", F.left("text", F.lit(SAMPLE_BYTES)).alias("text")).collect()
+    chosen = labelled.withColumn("spot", spot).filter(F.col("spot") <= limit[F.col("lang")]).select("lang", "spot", "text")
     found: dict[str, bytes] = {}
-    for language in counts:
+    for language in counts:  # one at a time: at most 1.5 x SAMPLE_ROWS texts of TEXT_BYTES are on the driver
+        rows = sorted(chosen.filter(F.col("lang") == language).orderBy("spot", "text").limit(SAMPLE_ROWS).collect(), key=lambda r: (r.spot, r.text))
         seen, parts, size = set(), [], 0
-        for r in sorted((r for r in rows if r.lang == language), key=lambda r: (r.spot, r.text))[: 2 * SAMPLE_ROWS]:
+        for r in rows:
             part = letters_of(r.text)
             key = hashlib.md5(part).digest()
-            if part and key not in seen and size < DICTIONARY_BYTES:
+            if part and key not in seen and size + len(part) + 1 <= DICTIONARY_BYTES:
                 seen.add(key)
                 parts.append(part)
                 size += len(part) + 1
         if parts:
-            found[language] = b" ".join(parts)[-DICTIONARY_BYTES:]
+            found[language] = b" ".join(parts)
     return found
 
 
@@ -105,21 +109,20 @@ def _classifier(items: tuple[tuple[str, bytes], ...]) -> Classifier:
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], *keep: str) -> DataFrame:
     """Adds lang_pred, score and accepted to ``keep`` columns of each row; only the text is looked at.
 
-    Null texts and texts without a letter are `und`, score 0, not accepted; so is every row if no language was learned.
-    Ties of sizes go to the language that sorts first and are not accepted. Rows stay where they are: nothing is shuffled.
+    Null texts and texts without a letter are `und`, score 0, not accepted. If no language was learned, every row is `und`, score 0, and those with a
+    letter are accepted: nothing speaks against them. Ties of sizes go to the language that sorts first and are not accepted. A very long text is compressed
+    block by block, whole. Repeated rows stay rows; kept columns pass untouched, whatever their names and nulls; an empty table gives no rows.
+    Rows stay where they are: nothing is shuffled. The dictionaries that go to all tasks hold at most LANGUAGES x DICTIONARY_BYTES.
     """
-    items = tuple(sorted(dictionaries.items()))  # at most DICTIONARY_BYTES a language
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(sorted(dictionaries.items())))
 
-    def run(batches):
-        classifier = _classifier(items)
-        for pdf in batches:
-            found = [classifier.predict(t) for t in pdf[column]]
-            yield (pdf if column in keep else pdf.drop(columns=column)).assign(lang_pred=[x[0] for x in found], score=[x[1] for x in found], accepted=[x[0] != "und" and x[1] >= MARGIN for x in found])
+    def compute(texts):
+        classifier = _classifier(shared.value)
+        found = [classifier.predict(t) for t in texts]
+        accepted = [x[1] >= MARGIN and x[0] != "und" if classifier.languages else has_letter(t) for x, t in zip(found, texts, strict=True)]
+        return [[x[0] for x in found], [x[1] for x in found], accepted]
 
-    column = "text" if "text" in keep else "_text"
-    docs = docs.select(*keep) if "text" in keep else docs.select(F.col("text").alias("_text"), *keep)
-    return common.text_batches(docs).mapInPandas(run, f"{schema}, lang_pred string, score double, accepted boolean")
+    return common.beside(docs, list(keep), ["text"], compute, "lang_pred string, score double, accepted boolean")
 
 
 def held_out_identification(docs: DataFrame) -> DataFrame:
@@ -127,5 +130,3 @@ def held_out_identification(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").withColumn("held_out", common.held_remainder("doc_id", 3) == 1)
     return identify(docs, fit(docs.filter(~F.col("held_out"))), "doc_id", "held_out")
 
-
-__all__ = ["Classifier", "fit", "held_out_identification", "identify", "pd"]

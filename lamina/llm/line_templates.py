@@ -1,227 +1,211 @@
 """Operator 6: line dedup by a log-template tree of fixed depth.
 
-A line is its tokens, those with a digit replaced by a wildcard. The tree's first level is the number of tokens, the next are the leading
-tokens, and a leaf holds the templates of its lines: a line joins the most similar template with the same token at SIMILAR of the places,
-whose other places become wildcards, or starts its own. A template recurs if its lines occur in two documents or more (short
-ones: SHORT_SUPPORT). The first document (least doc_id) keeps its lines of a recurring template; all later ones drop theirs.
-
-Equal masked lines are counted before they meet, so copies weigh nothing. Leaves with one line need no tokens compared. A line joins a template
-only if it agrees with the template's first line at SIMILAR of the places, so one of a few blocks of tokens (one more than places may differ) is
-equal in both. A line is compared with the templates that share a block with it. A leaf with more than CROWDED lines is split into the groups of lines that
-shared blocks connect, which never meet, and gives the same templates as in one piece; no task holds more than a group.
+A line is its tokens, those with a digit replaced by a wildcard. The tree's first level is the number of tokens, the next DEPTH are the
+leading tokens. The places behind those are cut into equal stretches. Two lines of a leaf have one template if they are equal but for FIELDS of
+the stretches at most, which hold VARIABLE of the places at most: these are the variable fields that a template generalises. A template is all lines that
+such pairs connect. A template recurs if its lines occur in two documents or more (short ones: SHORT_SUPPORT). The first document (least
+doc_id) keeps its lines of a recurring template; all later ones drop theirs.
+
+Equal masked lines are counted before they meet, so copies weigh nothing. Lines equal but for given stretches share the hash of all the others, so
+each choice of stretches is a key, and a key's lines are a star round the least of them: no two lines are ever compared, a leaf or a template with a third of all
+lines is summed up like any other, and the result is the same whatever a leaf's size and the order of its lines. Before that, lines that share none of
+FIELDS + 1 parts of a leaf with any other line are set aside: two lines of a template share one.
+Nodes and keys are 64-bit hashes: with n distinct lines that share a part, two clash with a chance of n * n / 2 ** 65.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import common
 from lamina.llm.components import components
 
-DEPTH, SIMILAR, CROWDED = 3, 0.8, 512
+#: Leading tokens of a leaf, share of the places that may vary, stretches that may.
+DEPTH, VARIABLE, FIELDS = 3, 0.2, 2
+SALTS = 256
 #: Lines of fewer tokens than SHORT drop only with a support of SHORT_SUPPORT documents; of fewer than LEAST, never.
 SHORT, SHORT_SUPPORT, LEAST = 8, 10, 3
-WILD = "<*>"
+WILD = b"<*>"
 #: Up to so many dropped lines (24 bytes each) are sent to all tasks; more meet their documents in a join.
 BROADCAST_LINES = 500_000
-DIGIT = re.compile(r"[0-9]")
+DIGIT = re.compile(rb"[0-9]")
 
 
-def masked(line: str) -> list[str]:
-    """The line's tokens between ASCII white space; what holds a digit is a variable field."""
-    tokens = [t.decode("utf-8", "surrogatepass") for t in line.encode("utf-8", "surrogatepass").split()]
-    return [WILD if DIGIT.search(t) else t for t in tokens] if DIGIT.search(line) else tokens
-
-
-def keyed(text: str | None) -> list[tuple[int, bytes, str]]:
-    """(number, key, masked tokens) of the lines that could recur."""
+def keyed(text: str | None, at_most: int = 1 << 62) -> list[tuple[int, bytes, bytes]]:
+    """(number, key, masked tokens) of the lines that could recur, of ``at_most`` tokens. bytes.split() knows ASCII white space only."""
     out = []
-    for i, line in enumerate((text or "").split("\n")):
-        tokens = masked(line)
-        if len(tokens) >= LEAST and any(t != WILD for t in tokens):
-            joined = " ".join(tokens)
-            out.append((i, hashlib.md5(joined.encode("utf-8", "surrogatepass")).digest(), joined))
+    for i, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
+        tokens = line.split()
+        if LEAST <= len(tokens) <= at_most:
+            if DIGIT.search(line):
+                tokens = [WILD if DIGIT.search(t) else t for t in tokens]
+                if tokens.count(WILD) == len(tokens):
+                    continue
+            joined = b" ".join(tokens)
+            out.append((i, hashlib.md5(joined).digest(), joined))
     return out
 
 
-def leaf_of(tokens: F.Column, depth: int) -> F.Column:
-    return F.xxhash64(F.size(tokens), F.lit(depth), F.array_join(F.slice(tokens, 1, depth), " "))
-
-
-def blocks(size: F.Column, tokens: F.Column) -> F.Column:
-    """The hashes of a line's blocks: of two lines that may share a template, one at least is equal."""
-    parts = (size - F.ceil(size * SIMILAR - 1e-9) + 1).cast("int")
-    edge = lambda k: F.floor(k * F.greatest(size - DEPTH, F.lit(0)) / parts).cast("int")
-    return F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.xxhash64("leaf", size, k, F.array_join(F.slice(tokens, DEPTH + 1 + edge(k), edge(k + 1) - edge(k)), " ")))
-
-
-def cluster(lines: list[list[str]], weights: list[int]) -> list[int]:
-    """The template number of each line of one leaf (all of one length): frequent lines first, ties by their tokens."""
-    ids: dict[str, int] = {}
-    rows = np.array([[ids.setdefault(t, len(ids)) for t in line] for line in lines], np.int32)
-    width = rows.shape[1]
-    need = SIMILAR * width
-    parts = width - ceil(need - 1e-9) + 1
-    edges = [DEPTH + k * max(width - DEPTH, 0) // parts for k in range(parts + 1)]
-    templates, n, of = np.zeros_like(rows), 0, [0] * len(lines)
-    sharing: dict[tuple[int, bytes], list[int]] = {}
-    for i in sorted(range(len(lines)), key=lambda i: (-weights[i], lines[i])):
-        own = [(k, rows[i, edges[k] : edges[k + 1]].tobytes()) for k in range(parts)]
-        near = sorted({t for key in own for t in sharing.get(key, ())})
-        same = (templates[near] == rows[i]).sum(1)
-        best = int(same.argmax()) if len(near) else -1
-        if best >= 0 and same[best] >= need:
-            of[i] = near[best]
-            templates[of[i]][templates[of[i]] != rows[i]] = -1
-        else:
-            of[i], templates[n] = n, rows[i]
-            for key in own:
-                sharing.setdefault(key, []).append(n)
-            n += 1
-    return of
-
-
-def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, key binary, line): the distinct masked lines of every document."""
+def stretches(words: int) -> tuple[list[int], int]:
+    """Edges of the stretches of a line of ``words`` tokens, and how many of them may vary."""
+    vary = int(VARIABLE * words + 1e-9)
+    rest = words - DEPTH
+    if vary < 1 or rest < 1:
+        return [DEPTH], 0
+    fields = min(FIELDS, vary)
+    parts = -(-rest // (vary // fields))
+    return [DEPTH + k * rest // parts for k in range(parts + 1)], min(fields, parts - 1) or 1
+
+
+def _hashes(tokens: str) -> str:
+    """SQL: a hash for each stretch of the array ``tokens``, by the rule of ``stretches``."""
+    rest, vary = f"(size({tokens}) - {DEPTH})", f"int(floor({VARIABLE} * size({tokens}) + 1e-9))"
+    parts = f"int(ceil({rest} / floor({vary} / least({FIELDS}, {vary}))))"
+    cut = f"slice({tokens}, int({DEPTH} + 1 + floor(k * {rest} / {parts})), int(floor((k + 1) * {rest} / {parts}) - floor(k * {rest} / {parts})))"
+    return f"transform(sequence(0, {parts} - 1), k -> xxhash64('stretch', k, array_join({cut}, ' ')))"
+
+
+def line_table(docs: DataFrame, at_most: int | None = None, *also: str) -> DataFrame:
+    """(doc_id, key binary, line, then columns ``also``): the distinct masked lines of every row, of ``at_most`` tokens if given (then without their texts)."""
 
     def run(batches):
         for pdf in batches:
-            ids, keys, lines = [], [], []
-            for doc_id, text in zip(pdf.doc_id.astype("Int64"), pdf.text, strict=True):
-                own = {key: line for _, key, line in keyed(text)}
-                ids += [doc_id] * len(own)
+            at, keys, lines = [], [], []
+            for i, text in enumerate(pdf.text):
+                own = {key: line if at_most else line.decode("utf-8", "surrogatepass") for _, key, line in keyed(text, at_most or 1 << 62)}
+                at += [i] * len(own)
                 keys += own.keys()
                 lines += own.values()
-            if ids:
-                yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "key": keys, "line": lines})
-
-    return common.text_batches(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, key binary, line string")
+            same = {c: [own[i] for i in at] for c in ("doc_id", *also) for own in [pdf[c].tolist()]}
+            yield pd.DataFrame({"doc_id": same.pop("doc_id"), "key": keys, "line": [None] * len(keys) if at_most else lines} | same)
+
+    extra = "".join(f", {c} {dict(docs.dtypes)[c]}" for c in also)
+    return common.id_long(common.text_batches(docs).select(common.id_text(), "text", *also).mapInPandas(run, f"doc_id string, key binary, line string{extra}"))
+
+
+def stars(keys: DataFrame) -> DataFrame:
+    """(node, key) rows -> (u, v): edges that connect the nodes of each key. A key's nodes are dealt to SALTS salts, so no task holds a frequent key."""
+    salted = keys.withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("key", "salt").agg(F.min("node").alias("v"), F.count("*").alias("n"))
+    inner = salted.join(parts.filter("n > 1").select("key", "salt", "v"), ["key", "salt"]).filter("node <> v").select(F.col("node").alias("u"), "v")
+    tops = parts.groupBy("key").agg(F.sort_array(F.collect_set("v")).alias("vs")).filter("size(vs) > 1")  # at most SALTS
+    outer = tops.select(F.explode(F.expr("slice(vs, 2, size(vs))")).alias("u"), F.expr("vs[0]").alias("v"))
+    return inner.unionByName(outer)
+
+
+def templates(lines: DataFrame, folder: str) -> DataFrame:
+    """(node, root): the lines (node long, line string, words; a written table) whose template has more than one, with the least node of the template."""
+    leaves = lines.filter(f"floor({VARIABLE} * words + 1e-9) >= 1 AND words > {DEPTH}").selectExpr("node", "line", f"xxhash64('leaf', words, substring_index(line, ' ', {DEPTH})) leaf")
+    many = leaves.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = common.written(common.joined(leaves, many, ["leaf"], lines.count()).drop("n"), "shared", folder)
+    # inline(array(struct)) keeps the optimizer from writing an expression out wherever its value is used
+    tokens = shared.selectExpr("inline(array(struct(node, leaf, split(line, ' ') t)))")
+    parts = tokens.selectExpr(f"inline(array(struct(node, leaf, {_hashes('t')} h, int(floor({VARIABLE} * size(t) + 1e-9)) vary)))")
+    parts = common.written(parts.selectExpr("node", "leaf", "h", f"greatest(1, least({FIELDS}, vary, size(h) - 1)) fields"), "parts", folder)
+    # of fields + 1 runs of stretches two lines of a template share one at least; with a single stretch, the leaf alone
+    run = "slice(h, int(1 + floor(p * size(h) / (fields + 1))), int(floor((p + 1) * size(h) / (fields + 1)) - floor(p * size(h) / (fields + 1))))"
+    part = parts.selectExpr("node", f"explode(if(size(h) > fields, transform(sequence(0, fields), p -> xxhash64(leaf, p, {run})), array(leaf))) part")
+    often = part.groupBy("part").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low <> high").select("part", "n")
+    near = common.joined(part, often, ["part"], (FIELDS + 1) * parts.count()).select("node").distinct()
+    near = common.written(parts.join(near, "node"), "near", folder)
+    rest = near.selectExpr("inline(array(struct(node, leaf, h, fields, aggregate(h, 0L, (a, x) -> a ^ x) e)))")
+    one = "transform(h, (x, i) -> xxhash64(leaf, i, e ^ x))"
+    two = "flatten(transform(h, (x, i) -> transform(slice(h, i + 2, size(h)), (y, j) -> xxhash64(leaf, i, i + 1 + j, e ^ x ^ y))))"
+    keys = rest.selectExpr("node", f"explode(if(fields = 1, {one}, {two})) key")
+    keys = common.written(keys, "keys", folder)
+    often = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    return components(common.written(stars(common.joined(keys, often, ["key"], keys.count()).select("node", "key")), "links", folder), folder)
 
 
 def recurring(docs: DataFrame, folder: str) -> DataFrame:
-    """(key, keeper): masked lines of templates that recur, with the document that keeps them."""
-    lines = line_table(docs).groupBy("key").agg(F.first("line").alias("line"), F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    lines = lines.withColumn("leaf", leaf_of(F.split("line", " "), DEPTH))
-    lines = common.written(lines, "lines", folder)
-    many = lines.groupBy("leaf").agg(F.count("*").alias("m")).filter("m > 1")
-    shared = common.written(lines.join(many, "leaf"), "shared", folder)
-    ready, crowded = shared.filter(F.col("m") <= CROWDED).drop("m"), shared.filter(F.col("m") > CROWDED).drop("m")
-    if crowded.limit(1).count():
-        tokens = F.split("line", " ")
-        links = crowded.select(F.xxhash64("key").alias("u"), F.explode(blocks(F.size(tokens), tokens)).alias("v"))
-        groups = components(common.written(links, "links", folder), folder).withColumnRenamed("root", "group")
-        grouped = crowded.withColumn("node", F.xxhash64("key")).join(groups, "node", "left")
-        ready = ready.unionByName(grouped.withColumn("leaf", F.xxhash64("leaf", "group")).drop("node", "group"))
-
-    def templates(batches):
-        kept = None
-        for pdf in batches:
-            pdf = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
-            leaf = pdf.leaf.to_numpy()
-            done = int(np.searchsorted(leaf, leaf[-1])) if len(leaf) else 0
-            kept = pdf.iloc[done:]
-            yield from parsed(pdf.iloc[:done])
-        if kept is not None:
-            yield from parsed(kept)
-
-    def parsed(pdf: pd.DataFrame):
-        if not len(pdf):
-            return
-        leaf, out = pdf.leaf.to_numpy(), np.zeros(len(pdf), np.int64)
-        starts = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
-        lines, weights = [x.split(" ") for x in pdf.line], pdf.n.tolist()
-        for a, b in zip(starts, np.r_[starts[1:], len(leaf)], strict=True):
-            if b - a > 1:
-                by_size: dict[int, list[int]] = {}
-                for i in range(a, b):
-                    by_size.setdefault(len(lines[i]), []).append(i)  # one size, unless leaf hashes collide
-                for size, own in by_size.items():
-                    for i, t in zip(own, cluster([lines[i] for i in own], [weights[i] for i in own]), strict=True):
-                        out[i] = t * 4096 + size % 4096
-        yield pdf[["key", "leaf", "n", "low", "high"]].assign(template=out, words=[len(x) for x in lines])
-
-    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = ready.repartition(count, "leaf").sortWithinPartitions("leaf", "key").mapInPandas(templates, "key binary, leaf long, n long, low long, high long, template long, words int")
-    alone = lines.join(many, "leaf", "left_anti").select("key", "leaf", "n", "low", "high", F.lit(0).cast("long").alias("template"), F.size(F.split("line", " ")).alias("words"))
-    own = Window.partitionBy("leaf", "template")
-    found = found.withColumns({"support": F.sum("n").over(own), "keeper": F.min("low").over(own), "last": F.max("high").over(own)})
-    alone = alone.withColumns({"support": F.col("n"), "keeper": F.col("low"), "last": F.col("high")})
-    again = (F.col("keeper") < F.col("last")) & ((F.col("words") >= SHORT) | (F.col("support") >= SHORT_SUPPORT))
-    return common.written(found.unionByName(alone).filter(again).select("key", "keeper"), "recurring", folder)
+    """(key, keeper, n): masked lines of templates that recur, with the document that keeps them and how many rows have them."""
+    lines = line_table(docs).groupBy("key").agg(F.first("line").alias("line"), F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(F.col("doc_id").isNull()).alias("nameless"))
+    lines = common.written(lines.withColumns({"node": F.xxhash64("key"), "words": F.size(F.split("line", " "))}), "lines", folder)
+    named = common.written(templates(lines.select("node", "line", "words"), folder), "templates", folder)
+    own = ["key", "n", "low", "high", "nameless", "words"]
+    several = common.written(lines.join(named, "node").select("root", *own), "several", folder)
+    again = "(low < high OR (nameless AND low IS NOT NULL))"
+    whole = several.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("nameless").alias("nameless"))
+    whole = whole.filter(again).select("root", F.col("m").alias("n"), "rows", F.col("low").alias("keeper"))
+    grown = common.joined(several.select("root", "key", F.col("n").alias("own"), "words"), whole, ["root"], several.count()).withColumnRenamed("n", "m")
+    alone = lines.join(named, "node", "left_anti").filter(again).select(F.col("node").alias("root"), "key", F.col("n").alias("own"), "words", F.lit(1).cast("long").alias("m"), F.col("n").alias("rows"), F.col("low").alias("keeper"))
+    found = common.written(grown.unionByName(alone), "candidates", folder)
+    result = lambda df: df.select("key", "keeper", F.col("own").alias("n"))
+    long, short = found.filter(F.col("words") >= SHORT), found.filter((F.col("words") < SHORT) & (F.col("rows") >= SHORT_SUPPORT))
+    # rows of one document, and its lines of one template, count once: documents are told apart where the support decides
+    pairs = common.written(line_table(docs, SHORT - 1).select("doc_id", "key"), "pairs", folder)
+    met = common.joined(pairs, short.select("key", "root", "m", F.col("own").alias("n")), ["key"], pairs.count())
+    support = met.select("root", "m", F.struct("doc_id").alias("d")).distinct().groupBy("root", F.col("m").alias("n")).agg(F.count("*").alias("documents")).filter(F.col("documents") >= SHORT_SUPPORT)
+    kept = common.joined(short, support, ["root"], short.count())
+    return common.written(result(long).unionByName(result(kept)), "recurring", folder)
 
 
 def drop_lines(docs: DataFrame, *keep: str, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """``keep`` columns, text without its dropped lines, n_lines and dropped (their numbers from 0) of each row.
 
-    Null texts have no lines and stay null. A document keeps the lines that it repeats within itself. Rows of equal doc_id count as one document.
-    A null doc_id is never the first while another document has the template. An empty table gives no rows.
+    Null texts have no lines and stay null; empty texts have one, which stays. A document keeps the lines that it repeats within itself. Rows of equal
+    doc_id count as one document, and so do all rows with a null doc_id, which is never the first while another document has the template. Kept columns pass untouched, whatever
+    their names and nulls. A very long text is read whole, in memory of a few times its lines. An empty table gives no rows.
     """
     spark = docs.sparkSession
     folder = common.scratch(spark)
-    named = common.text_batches(docs).select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), *keep)
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rules = recurring(lines, folder)
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", text string, n_lines long, dropped array<int>"
-
-    def rows(pdf: pd.DataFrame, drops) -> pd.DataFrame:
-        texts, sizes, gone = [], [], []
-        for at, text in enumerate(pdf["_text"]):
-            if text is None or pd.isna(text):
-                out, numbers, n = None, [], 0
-            else:
-                numbers, own = drops(at, keyed(text)), text.split("\n")
-                n, without = len(own), set(numbers)
-                out = "\n".join([x for i, x in enumerate(own) if i not in without]) if numbers else text
-            texts.append(out)
-            sizes.append(n)
-            gone.append(numbers)
-        return pdf[list(keep)].assign(text=pd.Series(texts, index=pdf.index, dtype=object), n_lines=np.array(sizes, np.int64), dropped=pd.Series(gone, index=pdf.index, dtype=object))
+    rules = recurring(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), folder)
+    carried = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(keep)), F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
+    named = [f"_c{i}" for i in range(len(keep))]
 
-    if rules.count() <= broadcast_lines:
-        table = rules.toPandas()
-        keys = np.array([k[:8] for k in map(bytes, table.key)], "S8") if len(table) else np.zeros(0, "S8")
-        rest, keepers = [bytes(k)[8:] for k in table.key], table.keeper.to_numpy()
-        numbers = np.frombuffer(b"".join(bytes(k)[:8] for k in table.key), ">u8").astype(np.uint64)
-        order = np.argsort(numbers, kind="stable")
-        shared = spark.sparkContext.broadcast((numbers[order], np.array(rest, dtype=object)[order] if len(rest) else keys, keepers[order]))
-
-        def by_table(batches):
-            first, second, keeper = shared.value
-            for pdf in batches:
-                ids = pdf["_id"].astype("Int64")
-
-                def drops(at, own, ids=ids):
-                    if not own:
-                        return []
-                    wanted = np.frombuffer(b"".join(k[:8] for _, k, _ in own), ">u8").astype(np.uint64)
-                    lows, highs = np.searchsorted(first, wanted), np.searchsorted(first, wanted, side="right")
-                    out = []
-                    for (i, key, _), low, high in zip(own, lows, highs, strict=True):
-                        for j in range(low, high):
-                            if second[j] == key[8:] and (ids.iloc[at] is pd.NA or ids.iloc[at] > keeper[j]):
-                                out.append(i)
-                    return out
-
-                yield rows(pdf, drops)
-
-        return named.mapInPandas(by_table, schema)
+    def without(text: str | None, numbers: list[int]) -> tuple[str | None, int, list[int]]:
+        if text is None:
+            return None, 0, []
+        own, gone = text.split("\n"), set(numbers)
+        return ("\n".join([x for i, x in enumerate(own) if i not in gone]) if gone else text), len(own), numbers
 
-    hits = line_table(lines).select("doc_id", "key").join(rules, "key").filter(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("keeper")))
-    hits = hits.groupBy("doc_id").agg(F.collect_set("key").alias("_keys"))
-
-    def by_join(batches):
-        for pdf in batches:
-            sets = [set() if k is None else set(map(bytes, k)) for k in pdf["_keys"]]
-            yield rows(pdf, lambda at, own, sets=sets: [i for i, key, _ in own if key in sets[at]])
+    added = "text string, n_lines long, dropped array<int>"
+    if rules.count() <= broadcast_lines:
+        table = rules.toArrow()
+        keys = np.frombuffer(b"".join(table.column("key").to_pylist()), ">u8").astype(np.uint64).reshape(-1, 2)
+        order = np.argsort(keys[:, 0], kind="stable")
+        shared = spark.sparkContext.broadcast((keys[order, 0], keys[order, 1], table.column("keeper").to_numpy()[order]))
 
-    return named.join(hits, named["_id"].eqNullSafe(hits.doc_id), "left").select("_id", "_text", *(named[c] for c in keep), "_keys").mapInPandas(by_join, schema)
+        def compute(ids, texts):
+            first, second, keeper = shared.value
+            out = []
+            for doc_id, text in zip(ids, texts, strict=True):
+                own, numbers = keyed(text), []
+                if own and len(first):
+                    wanted = np.frombuffer(b"".join([k for _, k, _ in own]), ">u8").astype(np.uint64).reshape(-1, 2)
+                    lows, highs = np.searchsorted(first, wanted[:, 0]), np.searchsorted(first, wanted[:, 0], side="right")
+                    for at in np.flatnonzero(lows < highs):
+                        for j in range(lows[at], highs[at]):
+                            if second[j] == wanted[at, 1] and (doc_id is None or doc_id > keeper[j]):
+                                numbers.append(own[at][0])
+                out.append(without(text, numbers))
+            return [list(x) for x in zip(*out, strict=True)] if out else [[], [], []]
+
+        packed, first = carried, "_id"
+    else:
+        # a row's lines depend on its id and text alone, so rows that are equal in both share what they drop
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64("text"))
+        pairs = common.written(line_table(texts.dropDuplicates(["doc_id", "th"]), None, "th").select("doc_id", "th", "key"), "all-pairs", folder)
+        hits = common.joined(pairs, rules, ["key"], pairs.count()).filter(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("keeper")))
+        hits = hits.groupBy("doc_id", "th").agg(F.collect_set("key").alias("_keys"))
+        own = carried.withColumn("_th", F.xxhash64("_text"))
+        met = own.join(hits, own["_id"].eqNullSafe(hits.doc_id) & (own["_th"] == hits.th), "left")
+        packed, first = met, "_keys"
+
+        def compute(keys, texts):
+            out = []
+            for own, text in zip(keys, texts, strict=True):
+                gone = set(own or ())
+                out.append(without(text, [i for i, key, _ in keyed(text) if key in gone] if gone else []))
+            return [list(x) for x in zip(*out, strict=True)] if out else [[], [], []]
+
+    return common.beside(packed, named, [first, "_text"], compute, added).toDF(*keep, "text", "n_lines", "dropped")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ def running(df: DataFrame, name: str, value: F.Column, buckets: int) -> DataFram
     sums = df.groupBy("_b").agg(F.sum("_v").alias("_s"))
     before = sums.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_o"))
     inner = F.sum("_v").over(Window.partitionBy("_b").orderBy("rid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_v")
-    return df.join(F.broadcast(before), "_b").withColumn(name, (F.col("_o") + inner).cast("long")).drop("_b", "_v", "_o")
+    return df.join(before, "_b").withColumn(name, (F.col("_o") + inner).cast("long")).drop("_b", "_v", "_o")
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, length: int, keep_ids: bool) -> DataFrame:
@@ -128,19 +128,21 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, length: int, keep_id
                     rows.append((n, [zlib.crc32(wide[i : i + 4 * length]) for i in range(0, 4 * n, 4 * length)]))
             out = pd.DataFrame(rows, columns=["n", "body"])
             out.insert(0, "h", pdf.h.to_numpy())
-            out.insert(0, "doc_id", pdf.doc_id.astype("Int64").to_numpy())
+            out.insert(0, "doc_id", pdf.doc_id.to_numpy())
             yield out
 
     body = "binary" if keep_ids else "array<long>"
-    return common.text_batches(docs).mapInPandas(run, f"doc_id long, h int, n long, body {body}")
+    docs = common.text_batches(docs).select(common.id_text(), "text", "h")
+    return common.id_long(docs.mapInPandas(run, f"doc_id string, h int, n long, body {body}"))
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (all long).
 
     Null texts are empty: their document is the end id alone. Rows of equal doc_id are packed each for itself; an empty table
-    gives no rows; columns other than doc_id and text play no part. Patterns, histograms and bucket sums are bounded by
-    UNITS, FILLER_BUCKETS and 4,096, whatever the input.
+    gives no rows; columns other than doc_id and text play no part, whatever their names. A very long text is many whole sequences and one remainder.
+    Patterns and the histogram are bounded by UNITS and FILLER_BUCKETS, whatever the input; running sums have a bucket for every 50,000 rows, so no
+    class of lengths, however common, is one window.
     """
     spark = docs.sparkSession
     unit = length // UNITS
@@ -150,7 +152,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH)
     rest = F.col("n") % length
     table = known.groupBy("h", F.ceil(rest / unit).cast("int").alias("c")).agg(F.count("*").alias("d"), F.sum("n").alias("n"), F.sum(rest).alias("r")).collect()
     total = sum(x.n for x in table)
-    buckets = int(min(4096, max(16, sum(x.d for x in table) // 50_000)))
+    buckets = int(max(256, sum(x.d for x in table) // 50_000))
     by_bucket = np.zeros(FILLER_BUCKETS, np.int64)
     for x in table:
         by_bucket[x.h] += x.n
@@ -200,7 +202,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH)
     mixed = solid.filter(rest > 0).select("rid", "doc_id", "n", rest.alias("r"), F.ceil(rest / unit).cast("int").alias("c"), F.element_at("body", -1).alias("ids_crc32"), F.pmod(F.xxhash64("rid"), F.lit(buckets)).alias("b"))
     sizes = mixed.groupBy("c", "b").count()
     ahead = sizes.select("c", "b", (F.sum("count").over(Window.partitionBy("c").orderBy("b")) - F.col("count")).alias("ahead"))
-    ranked = mixed.join(F.broadcast(ahead), ["c", "b"]).withColumn("rank", F.col("ahead") + F.row_number().over(Window.partitionBy("c", "b").orderBy("rid")) - 1)
+    ranked = mixed.join(ahead, ["c", "b"]).withColumn("rank", F.col("ahead") + F.row_number().over(Window.partitionBy("c", "b").orderBy("rid")) - 1)
     placed = ranked.withColumn("sequence_id", sequence_of("c", "rank"))
     within = Window.partitionBy("sequence_id").orderBy("rid")
     placed = common.written(placed.withColumn("offset", F.sum("r").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("r")).select("doc_id", "n", "r", "ids_crc32", "sequence_id", "offset"), "placed", folder)
@@ -229,7 +231,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH)
     def pieces(batches):
         for pdf in batches:
             rows = []
-            for doc_id, n, a, ids, cuts in zip(pdf.doc_id.astype("Int64"), pdf.n.tolist(), pdf.a.tolist(), pdf.body, pdf.cuts, strict=True):
+            for doc_id, n, a, ids, cuts in zip(pdf.doc_id, pdf.n.tolist(), pdf.a.tolist(), pdf.body, pdf.cuts, strict=True):
                 wide = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
                 own = [(c["start"], c["size"], c["sequence_id"], c["offset"]) for c in cuts] if cuts is not None else []
                 p, z = max(a, free) - free, a + n - free  # in the extra part of the line
@@ -244,8 +246,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH)
                     p = end
                 rows += [(doc_id, s, m, zlib.crc32(wide[4 * s : 4 * (s + m)]), n, q, o) for s, m, q, o in sorted(own)]
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-            yield out.assign(doc_id=out.doc_id.astype("Int64"))
+            yield out
 
     joined = fillers.select("rid", "doc_id", "n", "body").join(along.select("rid", "a"), "rid").join(cut, "rid", "left")
-    filled = joined.select("doc_id", "n", "a", "body", "cuts").mapInPandas(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    return mixed_out.unionByName(whole).unionByName(filled)
+    filled = joined.select(common.id_text(), "n", "a", "body", "cuts").mapInPandas(pieces, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return mixed_out.unionByName(whole).unionByName(common.id_long(filled))

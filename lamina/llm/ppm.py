@@ -240,7 +240,7 @@ def most(values: DataFrame, nodes: int) -> int:
     return least
 
 
-def score(docs: DataFrame, training: F.Column, order_by: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, training: F.Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes (spelled); ``training`` says which rows are learned from.
 
     Null and blank texts are the end alone. Rows of equal doc_id are scored each for itself. Without training rows every byte has
@@ -249,7 +249,7 @@ def score(docs: DataFrame, training: F.Column, order_by: str = "doc_id") -> Data
     """
     spark = docs.sparkSession
     folder = common.scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", training.alias("train"))
+    docs = docs.select(common.id_text(), "text", training.alias("train"))
     counts = gather(docs, folder)
     values = valued(counts, folder)
     string_from = most(values, NODES)
@@ -282,12 +282,12 @@ def score(docs: DataFrame, training: F.Column, order_by: str = "doc_id") -> Data
                 rows.append((len(own) + 1, known, total, rest, times, len(texts[-1])))
             out = pd.DataFrame(rows, columns=["n_tokens", "known", "logs", "rest", "times", "n_bytes"])
             out.insert(0, "train", pdf.train.to_numpy())
-            out.insert(0, "doc_id", pdf.doc_id.astype("Int64").to_numpy())
+            out.insert(0, "doc_id", pdf.doc_id.to_numpy())
             score, strange, often = looked_up(texts, *grams)
             yield out.assign(grams=strange, often=often, score=score)
 
-    schema = "doc_id long, train boolean, n_tokens long, known long, logs double, rest array<binary>, times array<int>, n_bytes long, grams array<long>, often array<int>, score double"
-    scored = common.written(common.text_batches(docs).mapInPandas(run, schema).withColumn("rid", F.monotonically_increasing_id()), "scored", folder)
+    schema = "doc_id string, train boolean, n_tokens long, known long, logs double, rest array<binary>, times array<int>, n_bytes long, grams array<long>, often array<int>, score double"
+    scored = common.written(common.id_long(common.text_batches(docs).mapInPandas(run, schema)).withColumn("rid", F.monotonically_increasing_id()), "scored", folder)
     rare = scored.select("rid", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("rid", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
     rare = rare.join(words.filter(F.col("n") < frequent_from), "word")
     rare = rare.select("rid", (F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.col("times").cast("long").alias("more_known"), F.lit(0.0).alias("more_score"))
@@ -346,6 +346,6 @@ def adaptive_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "score": [Trie(order).score(t, True) for t in pdf.text]})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "score": [Trie(order).score(t, True) for t in pdf.text]})
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    return common.id_long(common.text_batches(docs).select(common.id_text(), "text").mapInPandas(run, "doc_id string, score double"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm import common
+
 #: A Spark literal, which has no escape \f (it is the letter f there).
 BLANKS = r"' \t\n\u000B\u000C\r'"
 SYMBOLS = "#*$%&|<>"
@@ -39,7 +41,8 @@ def _let(name: str, value: str, body: str) -> str:
 def _repeats() -> str:
     """Words in three-word windows found twice or more; ``w``: the words.
 
-    Windows are compared by 64-bit hashes. Most texts have as many distinct hashes as windows and are done. For the others, windows
+    Windows are compared by 64-bit hashes: of n windows in a text two different ones clash with a chance of n * n / 2 ** 65 (3e-8 for a million words),
+    which would count three words too many. Most texts have as many distinct hashes as windows and are done. For the others, windows
     and places are sorted; each window with an equal neighbour covers three words, less what the next one covers.
     """
     pair = "zip_with(h, slice(h, 2, size(h)), (a, b) -> xxhash64(a, b))"
@@ -101,14 +104,28 @@ def keep(docs: DataFrame, version: int = CURRENT) -> DataFrame:
     return judge(ledger(entries, *names.values()), version).filter("kept").select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
+def store(docs: DataFrame, folder: str) -> DataFrame:
+    """The ledger of ``docs`` written below ``folder`` and read again: policies and ablations work on it without the texts."""
+    return common.written(ledger(docs), "ledger", folder)
+
+
 def assess(docs: DataFrame, version: int = CURRENT) -> DataFrame:
-    """The contract's columns, then the others of the ledger."""
+    """The contract's columns, then the others of the ledger, from a stored ledger."""
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return judge(ledger(docs), version).select(*first, "n_lines", "n_bangs", "failures", "policy")
+    return judge(store(docs, common.scratch(docs.sparkSession)), version).select(*first, "n_lines", "n_bangs", "failures", "policy")
+
+
+def policy_report(docs: DataFrame) -> DataFrame:
+    """policy, rule, failed, alone: the ablations of every policy version from one stored ledger."""
+    entries, out = store(docs, common.scratch(docs.sparkSession)), None
+    for version in POLICIES:
+        own = ablations(entries, version).select(F.lit(version).alias("policy"), "rule", "failed", "alone")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 #: The same in DuckDB's SQL, by another way: windows are unnested and counted.
-ORACLE = r"""
+MEASURED = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text,
          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -132,7 +149,22 @@ f AS (
            + CASE WHEN 2 * n_dup_lines > n_lines THEN 16 ELSE 0 END
            + CASE WHEN n_words > 0 AND (word_chars < 3 * n_words OR word_chars > 10 * n_words) THEN 32 ELSE 0 END)::BIGINT AS failures
   FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept,
+"""
+ORACLE = (
+    MEASURED
+    + """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept,
        n_lines, n_bangs, failures, 2 AS policy
 FROM f
 """
+)
+REPORT_ORACLE = (
+    MEASURED
+    + """, p AS (
+  SELECT * FROM (VALUES (1, 3), (2, 63)) AS x(policy, mask)),
+names AS (
+  SELECT * FROM (VALUES (1, 'few_words'), (2, 'repeated_words'), (4, 'symbols'), (8, 'shouting'), (16, 'repeated_lines'), (32, 'word_length')) AS x(bit, rule))
+SELECT policy, rule, count(*) FILTER (WHERE failures & bit <> 0) AS failed, count(*) FILTER (WHERE failures & mask = bit) AS alone
+FROM p JOIN names ON mask & bit <> 0 LEFT JOIN f ON true
+GROUP BY ALL
+"""
+)

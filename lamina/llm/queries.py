@@ -52,17 +52,24 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(_documents(spark, sf_dir))
+    """A new map of eight shards is stored, then loaded, edited for the table's bytes and stored as its next version."""
+    path = f"{common.scratch(spark)}/slot-map"
+    sharding.start(spark, path, shards=8)
+    return sharding.shard(_documents(spark, sf_dir), path, shards=8)
 
 
 def op10_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.policy_report(_documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_posting_lists, op2_ppm, op3_quality_ledger, op4_token_frames, op5_bpe_prefixes, op6_line_templates, op7_simhash_pivots, op8_language_id, op9_virtual_slots, op10_cutting_stock, pipeline)}
-ORACLES = {"op3_quality_ledger": quality.ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+QUERIES = {f.__name__: f for f in (op1_posting_lists, op2_ppm, op3_quality_ledger, op4_token_frames, op5_bpe_prefixes, op6_line_templates, op7_simhash_pivots, op8_language_id, op9_virtual_slots, op10_cutting_stock, quality_ablations, pipeline)}
+ORACLES = {"op3_quality_ledger": quality.ORACLE, "quality_ablations": quality.REPORT_ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 

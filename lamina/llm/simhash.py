@@ -5,7 +5,8 @@ distance d have coordinates that differ by d at most, so a pair whose largest co
 discarded unseen; survivors are verified. Which pairs meet at all: with ``limit`` differing bits over ``blocks`` blocks at
 least ``blocks - limit`` blocks agree in full, and each choice of so many blocks is one table of buckets. In a bucket, members are sorted
 by their first coordinate and only neighbours within the limit are paired. A bucket gives the edges of a spanning star of each of its
-components, never all pairs; a crowded bucket is cut into cells, one for each pair of its parts.
+components, never all pairs. The members of crowded buckets are dealt out again over FINE blocks, whose buckets hold at most 4,096 distinct fingerprints (those that
+differ in three half-bytes), so no bucket and no pair table grows with the input.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from lamina.llm import common
 from lamina.llm.components import components
 
 LIMIT, SHINGLE, SEED, PIVOTS = 3, 3, 42, 16
-#: Members of a bucket from which on it is cut into parts, and of a part.
-CROWDED, PART = 2048, 1024
+#: Members of a bucket from which on they are dealt out again, over FINE blocks.
+CROWDED, FINE = 2048, 16
 #: Buckets up to this size are paired by shifts over a whole batch.
 SMALL = 24
 #: Numbers of blocks, tried in turn until the buckets of random fingerprints would hold few members.
@@ -57,16 +58,7 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """``keep`` columns and fp of every row's ``text`` column."""
-    column = text if text in keep else "_text"
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
-
-    def run(batches):
-        for pdf in batches:
-            own = pdf if column in keep else pdf.drop(columns=column)
-            yield own.assign(fp=np.array([fingerprint(t) for t in pdf[column]], dtype=np.int64))
-
-    docs = docs.select(*keep) if text in keep else docs.select(F.col(text).alias("_text"), *keep)
-    return common.text_batches(docs).mapInPandas(run, f"{schema}, fp long")
+    return common.beside(docs, list(keep), [text], lambda texts: [[fingerprint(t) for t in texts]], "fp long")
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:
@@ -148,14 +140,20 @@ def links(distinct: DataFrame, folder: str, limit: int = LIMIT) -> DataFrame:
     n = table.count()
     blocks = next((b for b in BLOCKS if n >> (64 * (b - limit) // b) <= FEW), BLOCKS[-1])
     masks = block_masks(blocks, limit)
-    keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for t, m in enumerate(masks)))).alias("x")
-    dealt = table.select("fp", "coords", keys).select("fp", "coords", "x.t", "x.k")
-    # buckets with one member have no pair; crowded ones are cut into parts
-    held = dealt.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = F.when(F.col("n") > CROWDED, F.ceil(F.col("n") / PART)).otherwise(1).cast("int")
-    dealt = dealt.join(held, ["t", "k"]).withColumn("parts", parts).withColumn("p", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    cells = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("p", q).alias("a"), F.greatest("p", q).alias("b")))).alias("c")
-    dealt = dealt.select("fp", "coords", "t", "k", cells).select("fp", "coords", F.xxhash64("t", "k", "c.a", "c.b").alias("cell"))
+    def dealt(members: DataFrame, masks: list[int], crowd: int | None) -> tuple[DataFrame, DataFrame | None]:
+        """(fp, coords, cell) of the buckets with two members or more, and the members of those with more than ``crowd``."""
+        keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for t, m in enumerate(masks)))).alias("x")
+        rows = members.select("fp", "coords", keys).select("fp", "coords", "x.t", "x.k")
+        held = common.written(rows.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1"), f"held-{len(masks)}", folder)
+        total = n * len(masks)
+        cells = common.joined(rows, held if crowd is None else held.filter(F.col("n") <= crowd), ["t", "k"], total).select("fp", "coords", F.xxhash64(F.lit(len(masks)), "t", "k").alias("cell"))
+        if crowd is None or not held.filter(F.col("n") > crowd).limit(1).count():
+            return cells, None
+        return cells, common.joined(rows, held.filter(F.col("n") > crowd), ["t", "k"], total).select("fp", "coords").distinct()
+
+    ready, crowded = dealt(table, masks, CROWDED)
+    if crowded is not None:
+        ready = ready.unionByName(dealt(common.written(crowded, "crowded", folder), block_masks(FINE, limit), None)[0])
 
     def pair_up(batches):
         kept = None
@@ -192,28 +190,30 @@ def links(distinct: DataFrame, folder: str, limit: int = LIMIT) -> DataFrame:
             yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
 
     count = distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return dealt.repartition(int(count), "cell").sortWithinPartitions("cell").mapInPandas(pair_up, "u long, v long")
+    return ready.repartition(int(count), "cell").sortWithinPartitions("cell").mapInPandas(pair_up, "u long, v long")
 
 
 def grouped(prints: DataFrame, folder: str, limit: int = LIMIT) -> DataFrame:
-    """(fp, component_id, copies) of each distinct fingerprint among rows (doc_id, fp)."""
+    """(fp, component_id, n: copies) of each distinct fingerprint among rows (doc_id, fp)."""
     distinct = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")), "distinct", folder)
     found = components(links(distinct, folder, limit), folder)
-    rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "low", "copies", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id", "copies")
+    rooted = common.written(distinct.join(found, distinct.fp == found.node, "left").select("fp", "low", "copies", F.coalesce("root", "fp").alias("root")), "rooted", folder)
+    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    return common.joined(rooted, least, ["root"], rooted.count()).select("fp", "component_id", F.col("copies").alias("n"))
 
 
 def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id of all rows reachable over links), copies (rows with this fingerprint).
 
     Null and blank texts have fingerprint zero and link like any other. Rows of equal doc_id stay rows; a null doc_id is never
-    the least unless its component has no other. Equal fingerprints are one node, whatever their number. An empty table gives no rows.
+    the least unless its component has no other. Equal fingerprints are one node, whatever their number. An empty table gives no rows; other columns play no part.
+    A very long text is read whole, in memory of some ten times its words.
     """
     folder = common.scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = common.written(fingerprints(rows, "doc_id"), "fingerprints", folder)
-    return rows.join(grouped(rows, folder, limit), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
+    named = common.written(grouped(rows, folder, limit), "named", folder)
+    return common.joined(rows, named, ["fp"], rows.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("n").alias("copies"))
 
 
 def representatives(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -226,7 +226,7 @@ def representatives(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     rows = docs.select(*(F.col(c).alias(n) for c, n in names.items()), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_order"))
     rows = fingerprints(rows, *names.values(), "doc_id", "_order", text=names["text"])
     rows = common.written(rows.withColumn("_rid", F.monotonically_increasing_id()), "rows", folder)
-    named = grouped(rows.select("doc_id", "fp"), folder, limit)
+    named = common.written(grouped(rows.select("doc_id", "fp"), folder, limit), "named", folder)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_order", "_rid")
-    chosen = rows.select("fp", "doc_id", "_order", "_rid").join(named, "fp").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(F.min(place)["_rid"].alias("_rid"))
+    chosen = common.joined(rows.select("fp", "doc_id", "_order", "_rid"), named, ["fp"], rows.count()).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(F.min(place)["_rid"].alias("_rid"))
     return rows.join(chosen.select("_rid"), "_rid").select(*(F.col(n).alias(c) for c, n in names.items()))

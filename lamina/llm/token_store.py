@@ -30,8 +30,11 @@ from lamina.llm.encoders import shared_encoder
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC, WITH_CHECKSUM = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 
 FRAME_BYTES = 1 << 18
-ROWS_PER_FILE = 16_384
+#: Most rows and bytes of text of a file, unless one document has more.
+ROWS_PER_FILE, BYTES_PER_FILE = 16_384, 64 << 20
 MOST_FILES = 100_000
+#: Stands for null ids where files are told apart.
+LEAST_ID = -(1 << 63)
 
 
 class StoreWriter:
@@ -120,46 +123,87 @@ class StoreReader:
             before += n
 
 
-def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+def file_bounds(docs: DataFrame, rows_per_file: int, bytes_per_file: int) -> np.ndarray:
+    """Ascending doc_ids at which a new file starts; one that occurs k times may be spread over k + 1 files.
+
+    Fine quantiles of the ids are merged while rows and text bytes stay within a file's; at most MOST_FILES quantiles reach the driver.
+    """
+    n = docs.select("doc_id").count()
+    fine = max(1, min(MOST_FILES, 8 * -(-n // rows_per_file)))
+    cuts = docs.approxQuantile("doc_id", [i / fine for i in range(1, fine)], 1 / (8 * fine)) if fine > 1 else []
+    cuts = np.sort(np.array(cuts, dtype=np.int64))
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
+    known = np.zeros((len(cuts) + 1, 2), np.int64)
+    for r in docs.select(part_of("doc_id", "text", cuts).alias("part"), size.alias("size")).groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect():
+        known[r.part] = r.n, r["size"]
+    kept, held = [], np.zeros(2, np.int64)
+    most = np.array([rows_per_file, bytes_per_file])
+    for i, own in enumerate(known):
+        if i and (held + own > most).any():
+            kept.append(cuts[i - 1])
+            held[:] = 0
+        held += own
+    return np.array(kept, np.int64)
+
+
+def part_of(doc_id: str, text: str, cuts: np.ndarray) -> F.Column:
+    """The number of the part between ``cuts`` that a row falls in; rows of an id that is several cuts are spread over the parts around them by their texts."""
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series, salt: pd.Series) -> pd.Series:
+        own = np.array([LEAST_ID if i is None else int(i) for i in ids], np.int64)
+        low, high = np.searchsorted(cuts, own, side="left"), np.searchsorted(cuts, own, side="right")
+        return pd.Series(np.where(high - low > 1, low + salt.to_numpy() % (high - low + 1), high).astype(np.int32))
+
+    return place(F.col(doc_id).cast("string"), F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 30)))
+
+
+def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, rows_per_file: int = ROWS_PER_FILE, bytes_per_file: int = BYTES_PER_FILE) -> DataFrame:
     """Encodes whole texts (null: empty), appends ``end_id`` to each document and writes the files in ascending doc_id order.
 
-    Returns the manifest: file_no int, path string, n_docs long, n_tokens long, start long (ids in all files before).
-    Null doc_ids come first; rows of equal doc_id follow each other by their ids. An empty table gives no file.
-    Columns other than doc_id and text play no part. There are at most MOST_FILES files, so their bounds and the manifest fit the driver.
+    Returns the manifest: file_no int, path string, n_docs long, n_tokens long, start long (ids in all files before). It alone says which files count:
+    each attempt of a task writes names of its own, and Spark commits the manifest rows of one attempt, so nothing is ever moved or overwritten.
+    Null doc_ids come first; rows of equal doc_id follow each other, by their ids within a file (an id with more rows than a file takes several). A file
+    holds at most some ``rows_per_file`` rows and ``bytes_per_file`` bytes of text, but always whole documents, so a longer text is a file's own. An empty table
+    gives no file. Columns other than doc_id and text play no part. There are at most MOST_FILES files, so their bounds and the manifest fit the driver.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = docs.select("doc_id").count()
-    files = max(1, min(MOST_FILES, -(-n // rows_per_file)))
-    cuts = docs.select("doc_id").approxQuantile("doc_id", [i / files for i in range(1, files)], 1 / (8 * files)) if files > 1 else []
-    cuts = np.unique(np.array(cuts, dtype=np.int64))
+    cuts = file_bounds(docs, rows_per_file, bytes_per_file)
+    files = len(cuts) + 1
     tail = np.array([end_id], "<u2").tobytes()
 
     def encode(batches):
         encoder = shared_encoder(tokenizer)
         for pdf in batches:
-            file_no = np.searchsorted(cuts, pdf.doc_id.fillna(np.iinfo(np.int64).min).astype("int64"), side="right")
-            yield pd.DataFrame({"file_no": file_no.astype("int32"), "doc_id": pdf.doc_id.astype("Int64"), "ids": [encoder.encode(t) + tail for t in pdf.text]})
+            yield pd.DataFrame({"file_no": pdf.file_no, "doc_id": pdf.doc_id, "ids": [encoder.encode(t) + tail for t in pdf.text]})
 
     def write(batches):
-        writers = {}
-        for pdf in batches:
-            for file_no, doc_id, ids in zip(pdf.file_no.tolist(), pdf.doc_id.astype("Int64"), pdf.ids, strict=True):
-                if file_no not in writers:
-                    fs, base = common.file_system(folder)
-                    fs.create_dir(base, recursive=True)
-                    temporary = f"{base}/.{file_no}-{uuid.uuid4().hex}"
-                    sink = fs.open_output_stream(temporary)
-                    writers[file_no] = (fs, temporary, f"{base}/tokens-{file_no:06d}.zst", sink, StoreWriter(sink))
-                writers[file_no][-1].add(None if doc_id is pd.NA else int(doc_id), bytes(ids))
-        for file_no, (fs, temporary, final, sink, writer) in sorted(writers.items()):
+        current, fs, sink, writer, out = None, None, None, None, []
+
+        def close():
             writer.close()
             sink.close()
-            fs.move(temporary, final)  # a task that runs again writes the same bytes
-            yield pd.DataFrame({"file_no": [file_no], "path": [f"{folder}/{final.rpartition('/')[2]}"], "n_docs": [len(writer.doc_ids)], "n_tokens": [sum(writer.n_tokens)]})
+            out.append((current, path, len(writer.doc_ids), sum(writer.n_tokens)))
 
-    encoded = common.text_batches(docs).mapInPandas(encode, "file_no int, doc_id long, ids binary")
-    dealt = encoded.repartitionById(files, "file_no").sortWithinPartitions("file_no", F.col("doc_id").asc_nulls_first(), "ids")
+        for pdf in batches:
+            for file_no, doc_id, ids in zip(pdf.file_no.tolist(), pdf.doc_id, pdf.ids, strict=True):
+                if file_no != current:
+                    if writer is not None:
+                        close()
+                    fs, base = common.file_system(folder)
+                    fs.create_dir(base, recursive=True)
+                    name = f"tokens-{file_no:06d}-{uuid.uuid4().hex}.zst"
+                    current, path, sink = file_no, f"{folder}/{name}", fs.open_output_stream(f"{base}/{name}", compression=None)
+                    writer = StoreWriter(sink)
+                writer.add(None if doc_id is None else int(doc_id), bytes(ids))
+        if writer is not None:
+            close()
+        yield pd.DataFrame(out, columns=["file_no", "path", "n_docs", "n_tokens"])
+
+    placed = common.text_batches(docs).select(part_of("doc_id", "text", cuts).alias("file_no"), common.id_text(), "text")
+    encoded = common.id_long(placed.mapInPandas(encode, "file_no int, doc_id string, ids binary"))
+    dealt = encoded.repartitionById(files, "file_no").sortWithinPartitions("file_no", F.col("doc_id").asc_nulls_first(), "ids").select("file_no", common.id_text(), "ids")
     manifest = common.written(dealt.mapInPandas(write, "file_no int, path string, n_docs long, n_tokens long"), "manifest", folder + "-index")
     rows, start, out = manifest.orderBy("file_no").collect(), 0, []
     for r in rows:
@@ -182,8 +226,7 @@ def read_store(manifest: DataFrame, doc_ids: list[int] | None = None) -> DataFra
                 rows = []
                 with fs.open_input_file(place) as source:
                     for doc_id, before, ids in StoreReader(source).documents(wanted):
-                        rows.append((doc_id, start + before, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), path.rpartition("/")[2]))
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "file"])
-                yield out.assign(doc_id=out.doc_id.astype("Int64"))
+                        rows.append((None if doc_id is None else str(doc_id), start + before, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), path.rpartition("/")[2]))
+                yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "file"])
 
-    return manifest.select("path", "start").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
+    return common.id_long(manifest.select("path", "start").mapInPandas(read, "doc_id string, start long, n_tokens long, ids_crc32 long, file string"))
