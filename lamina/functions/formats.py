@@ -69,7 +69,8 @@ def marker(template: str, n: str, form: str) -> str:
 
 
 def marker_token(text: str) -> str:
-    return f"rtrim('().,:;', regexp_extract(trim(regexp_replace({text}, '%[0-9]', 'n')), '^(\\\\S*)', 1))"
+    """What makes markers equal: the first word, counters as their numbers (`%1.` is `1`), without closing punctuation."""
+    return f"rtrim(').,:;', regexp_extract(trim(regexp_replace({text}, '%([0-9]+)', '$1')), '^(\\\\S*)', 1))"
 
 
 def convert(x: str, a: str, b: str, dpi: int = 96) -> str:

@@ -60,18 +60,22 @@ def paths(rows: DataFrame) -> DataFrame:
 
 
 def structure(rows: DataFrame) -> DataFrame:
-    """Counts, densities, the kind that dominates and the type of each document, in one aggregation with a map-side part."""
+    """Counts, densities, the kind that dominates, the type and the complexity of each document, in one aggregation with a map-side part.
+
+    Complexity adds the scores of the tables (column ``score`` of their rows, see ``tables.structure``; none: 0) to a step of the number of elements.
+    """
     kinds = ("paragraph", "table", "image")
+    score = F.coalesce(F.sum(F.when(F.col("kind") == "table", F.col("score"))), F.lit(0)) if "score" in rows.columns else F.lit(0)
     n = {k: F.count_if(F.col("kind") == k) for k in kinds}
-    out = rows.groupBy("doc_id").agg(F.count("*").alias("total"), *(n[k].alias(f"{k}s") for k in kinds), F.sum(F.char_length("text")).alias("characters"))
+    out = rows.groupBy("doc_id").agg(F.count("*").alias("total"), *(n[k].alias(f"{k}s") for k in kinds), F.count_if(F.col("kind") == "textbox").alias("textboxes"), score.alias("table_score"), F.sum(F.char_length("text")).alias("characters"))
     top = F.greatest("paragraphs", "tables", "images")
     balance = F.when(F.col("paragraphs") == top, "text_heavy").when(F.col("tables") == top, "table_heavy").when(F.col("images") == top, "image_heavy")
     size = F.when(F.col("total") > 50, 3).when(F.col("total") > 20, 2).when(F.col("total") > 10, 1).otherwise(0)
-    score = size + F.col("tables")
+    score = size + F.col("table_score")
     return out.withColumns({
         **{f"{k}_density": F.col(f"{k}s") / F.col("total") for k in kinds},
         "balance": balance,
-        "doc_type": F.when(F.col("tables") > F.col("paragraphs"), "table_document").when(F.col("images") > F.col("paragraphs"), "image_document").otherwise("text_document"),
+        "doc_type": F.when(F.col("tables") > F.col("paragraphs"), "table_heavy").when(F.col("images") > F.col("paragraphs"), "image_heavy").when(F.col("textboxes") > 0, "mixed_layout").when(F.col("paragraphs") > 10, "text_heavy").otherwise("simple"),
         "complexity": F.when(score >= 10, "high").when(score >= 5, "medium").otherwise("low"),
     })
 
@@ -88,14 +92,25 @@ def flat_counters(items: DataFrame, start: Column | int = 1) -> DataFrame:
     return items.withColumn("counter", F.row_number().over(own) + F.lit(start) - 1)
 
 
-def scoped_counters(items: DataFrame, depth: int = 9) -> DataFrame:
-    """counter that restarts below each parent, the last item before of a shallower level; parent_seq says which."""
+def scoped_counters(items: DataFrame, depth: int = 10, start: Column | int = 1) -> DataFrame:
+    """counter that restarts below each parent, the last item before of a shallower level; parent_seq says which.
+
+    The first item of a scope takes ``start``. Levels from ``depth`` - 1 on share that one's parent.
+    """
     before = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     shallower = [F.last(F.when(F.col("level") < k, F.col("seq")), ignorenulls=True).over(before) for k in range(depth)]
-    parent = F.coalesce(*(F.when(F.col("level") == k, shallower[k]) for k in range(1, depth)))
+    parent = F.coalesce(*(F.when(F.least(F.col("level"), F.lit(depth - 1)) == k, shallower[k]) for k in range(1, depth)))
     items = items.withColumn("parent_seq", parent)
     own = Window.partitionBy("doc_id", "num_id", "level", "parent_seq").orderBy("seq")
-    return items.withColumn("counter", F.row_number().over(own))
+    return items.withColumn("counter", F.row_number().over(own) + F.lit(start) - 1)
+
+
+def continued(items: DataFrame, restart: str) -> DataFrame:
+    """counter of (num_id, level) that goes on through the document and starts again where ``restart`` is true."""
+    own = Window.partitionBy("doc_id", "num_id", "level").orderBy("seq")
+    items = items.withColumn("_part", F.count_if(F.col(restart)).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.row_number().over(Window.partitionBy("doc_id", "num_id", "level", "_part").orderBy("seq"))
+    return items.withColumn("counter", place).drop("_part")
 
 
 def rewound(items: DataFrame, hidden: str) -> DataFrame:

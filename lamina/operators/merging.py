@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.operators import styles as S
@@ -18,14 +18,36 @@ def merged_in_order(rows: DataFrame, group: str) -> DataFrame:
     return own.unionByName(breaks).withColumn("seq", F.row_number().over(order) - 1).drop("_at")
 
 
-def styles_merged(target: DataFrame, source: DataFrame, suffix: str = "_merged") -> DataFrame:
-    """Styles of both sides; a source style whose id the target has gets a new id, old_id tells which it was."""
-    taken = target.select("style_id").distinct().withColumn("_taken", F.lit(True))
-    own = source.join(taken, "style_id", "left").withColumn("old_id", F.col("style_id"))
+def styles_merged(target: DataFrame, source: DataFrame, suffix: str = "_merged", key: str = "doc_id") -> DataFrame:
+    """Styles of both sides of each document; a source style whose id the target has gets a new id, old_id tells which it was."""
+    taken = target.select(key, "style_id").distinct().withColumn("_taken", F.lit(True))
+    own = source.join(taken, [key, "style_id"], "left").withColumn("old_id", F.col("style_id"))
     own = own.withColumn("style_id", F.when(F.col("_taken"), F.concat("style_id", F.lit(suffix))).otherwise(F.col("style_id"))).drop("_taken")
     return target.withColumn("old_id", F.col("style_id")).unionByName(own)
 
 
+def selected(target: DataFrame, source: DataFrame, parts: tuple[str, ...], part: str = "part") -> DataFrame:
+    """Rows of the target, and those of the source whose part is asked for (body, tables, images, styles, headers): for ``parts`` with replacing rules the target's go."""
+    replaced_parts = [p for p in parts if p in ("headers", "footers")]
+    return target.filter(~F.col(part).isin(*replaced_parts) if replaced_parts else F.lit(True)).unionByName(source.filter(F.col(part).isin(*parts)))
+
+
+def sections_merged(target: DataFrame, source: DataFrame, *fields: str, key: str = "doc_id") -> DataFrame:
+    """The target's sections; its first one (section 0) takes the source's first one's fields where those say something."""
+    first = source.filter("section = 0").select(key, *(F.col(f).alias(f"_{f}") for f in fields))
+    joined = target.join(first, key, "left")
+    return joined.select(*(F.when(F.col("section") == 0, F.coalesce(f"_{c}", c)).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in target.columns))
+
+
+def media_merged(target: DataFrame, source: DataFrame, used: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, rel_id, target, new_id): the target's media, and the source's that its content uses (``used``: key, rel_id), numbered on from the target's largest id."""
+    own = source.join(used.select(key, "rel_id").distinct(), [key, "rel_id"], "left_semi")
+    number = F.expr("try_cast(regexp_extract(rel_id, '([0-9]+)$', 1) AS int)")
+    above = target.groupBy(key).agg(F.max(number).alias("_above"))
+    moved = new_ids(own.join(above, key, "left"), key, "rel_id", "_above")
+    return target.select(key, "rel_id", "target", F.col("rel_id").alias("new_id")).unionByName(moved.select(key, "rel_id", "target", "new_id"))
+
+
 def replaced(target: DataFrame, source: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value): the source's entries over the target's, as headers and footers of a type are."""
     own = source.select(key, F.col(value).alias("_new"))
@@ -44,13 +66,14 @@ def new_ids(parts: DataFrame, key: str, order: str, above: str, prefix: str = "r
     return parts.withColumn("new_id", F.concat(F.lit(prefix), F.coalesce(F.col(above), F.lit(0)) + place))
 
 
-def cycles(spark: SparkSession, styles: DataFrame) -> DataFrame:
-    """(style_id, depth, cyclic): length of each style's chain and whether its last member leads back into it."""
-    chain = S.chains(spark, styles).groupBy("style_id").agg(F.max("depth").alias("depth"), F.max_by("ancestor", "depth").alias("_last"), F.collect_set("ancestor").alias("_all"))
-    last = styles.select(F.col("style_id").alias("_last"), F.col("based_on").alias("_next"))
-    return chain.join(last, "_last").select("style_id", "depth", F.coalesce(F.array_contains("_all", F.col("_next")), F.lit(False)).alias("cyclic"))
+def cycles(styles: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, style_id, depth, cyclic): length of each style's chain and whether its last member leads back into it."""
+    chain = S.chains(styles, key).groupBy(key, "style_id").agg(F.max("depth").alias("depth"), F.max_by("ancestor", "depth").alias("_last"), F.collect_set("ancestor").alias("_all"))
+    last = styles.select(key, F.col("style_id").alias("_last"), F.col("based_on").alias("_next"))
+    return chain.join(last, [key, "_last"]).select(key, "style_id", "depth", F.coalesce(F.array_contains("_all", F.col("_next")), F.lit(False)).alias("cyclic"))
 
 
-def unused(styles: DataFrame, used: DataFrame, built_in: tuple[str, ...] = ()) -> DataFrame:
-    """style_id of styles that no row uses and that aren't built in."""
-    return styles.select("style_id").distinct().filter(~F.col("style_id").isin(*built_in)).join(used.select("style_id").distinct(), "style_id", "left_anti")
+def unused(styles: DataFrame, used: DataFrame, built_in: tuple[str, ...] = (), key: str = "doc_id") -> DataFrame:
+    """(key, style_id) of a document's styles that none of its rows uses and that aren't built in."""
+    own = styles.select(key, "style_id").distinct()
+    return (own.filter(~F.col("style_id").isin(*built_in)) if built_in else own).join(used.select(key, "style_id").distinct(), [key, "style_id"], "left_anti")

@@ -2,33 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import text
 
-DEEPEST = 32
+#: What a document's styles become: each with itself and its ancestors.
+CHAIN = "array<struct<style_id:string,ancestor:string,depth:int>>"
 
 
-def chains(spark: SparkSession, styles: DataFrame) -> DataFrame:
-    """(style_id, ancestor, depth): each style with itself and what it is based on, leaf first; a cycle ends where it closes."""
-    styles.createOrReplaceTempView("_styles")
-    return spark.sql(f"""
-        WITH RECURSIVE up(style_id, ancestor, based_on, depth, path) AS (
-          SELECT style_id, style_id, based_on, 0, array(style_id) FROM _styles
-          UNION ALL
-          SELECT up.style_id, s.style_id, s.based_on, up.depth + 1, array_append(up.path, s.style_id)
-          FROM up JOIN _styles s ON s.style_id = up.based_on
-          WHERE NOT array_contains(up.path, s.style_id) AND up.depth < {DEEPEST})
-        SELECT style_id, ancestor, depth FROM up""")
+def chains(styles: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, style_id, ancestor, depth): each style of a document with itself and what it is based on, leaf first.
 
+    A chain is as long as it is; it ends at a style that isn't there, and a cycle where it closes. Of repeated style ids the least base counts.
+    One document's styles are the unit of work; the document's key stays outside Python.
+    """
 
-def resolved(spark: SparkSession, styles: DataFrame) -> DataFrame:
-    """(style_id, properties): those of the whole chain, nearer styles over farther ones."""
-    own = chains(spark, styles).join(styles.select(F.col("style_id").alias("ancestor"), "properties"), "ancestor")
-    pairs = own.select("style_id", "depth", F.explode("properties").alias("name", "value"))
-    nearest = pairs.groupBy("style_id", "name").agg(F.min_by("value", "depth").alias("value"))
-    return nearest.groupBy("style_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("properties"))
+    @F.pandas_udf(CHAIN)
+    def walked(documents: pd.Series) -> pd.Series:
+        out = []
+        for styles in documents:
+            based = {x["style_id"]: x["based_on"] for x in styles}
+            rows = []
+            for style in based:
+                seen, at = {}, style
+                while at in based and at not in seen:
+                    seen[at] = len(seen)
+                    at = based[at]
+                rows += [{"style_id": style, "ancestor": a, "depth": n} for a, n in seen.items()]
+            out.append(rows)
+        return pd.Series(out, dtype=object)
+
+    one = styles.groupBy(key, "style_id").agg(F.min("based_on").alias("based_on"))
+    return one.groupBy(key).agg(F.collect_list(F.struct("style_id", "based_on")).alias("own")).select(key, F.inline(walked("own")))
+
+
+def resolved(styles: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, style_id, properties): those of the whole chain, nearer styles over farther ones."""
+    own = chains(styles, key).join(styles.select(key, F.col("style_id").alias("ancestor"), "properties"), [key, "ancestor"])
+    pairs = own.select(key, "style_id", "depth", F.explode("properties").alias("name", "value"))
+    nearest = pairs.groupBy(key, "style_id", "name").agg(F.min_by("value", "depth").alias("value"))
+    return nearest.groupBy(key, "style_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("properties"))
+
+
+def cascaded(*layers: str) -> F.Column:
+    """Maps on one another, the last on top, null and empty values skipped: theme, referenced style with its bases, local."""
+    out = f"coalesce({layers[0]}, map())"
+    for layer in layers[1:]:
+        out = f"map_filter(map_zip_with({out}, coalesce({layer}, map()), (k, x, y) -> coalesce(nullif(y, ''), x)), (k, v) -> v IS NOT NULL)"
+    return F.expr(out)
 
 
 def overlay(base: str, over: str, skip_empty: bool = True) -> F.Column:
@@ -59,7 +82,7 @@ def placeholders(templates: DataFrame, column: str = "text") -> DataFrame:
 
 
 def filled(rows: DataFrame, template: str, values: dict[str, str]) -> F.Column:
-    """``template`` with every spelling of every key replaced by its expression; keys without a value stay as they are.
+    """``template`` with every spelling of every key replaced by its expression; keys without a value stay as they are; a null value is the empty text.
 
     Nested replace() calls stay in generated code, whatever the number of keys.
     """
@@ -68,7 +91,7 @@ def filled(rows: DataFrame, template: str, values: dict[str, str]) -> F.Column:
         bare = key.partition(":")[2] if ":" in key else None
         for name in filter(None, (key, bare)):
             for a, b in (("{{ ", " }}"), ("{{ ", "}}"), ("{{", " }}"), ("{{", "}}"), ("{ ", " }"), ("{", "}")):
-                out = f"replace({out}, '{a}{name}{b}', {value})"
+                out = f"replace({out}, '{a}{name}{b}', coalesce({value}, ''))"
     return F.expr(out)
 
 

@@ -51,15 +51,43 @@ def qr_text(text: str) -> str:
     return f"concat('[QR: ', {text}, ']')"
 
 
-def levels(instances: DataFrame, abstract: DataFrame, overrides: DataFrame) -> DataFrame:
-    """(num_id, level, format, template, start) of each numbering instance: its abstract level with the override's non-empty values on top.
+def levels(instances: DataFrame, abstract: DataFrame, overrides: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, num_id, level, format, template, start) of each numbering instance of a document: its abstract level with the override's non-empty values on top.
 
-    Instances are (num_id, abstract_id), abstract levels (abstract_id, level, ...), overrides (num_id, level, ...).
+    Instances are (key, num_id, abstract_id), abstract levels (key, abstract_id, level, ...), overrides (key, num_id, level, ...).
     """
-    over = overrides.select("num_id", "level", *(F.col(c).alias(f"_{c}") for c in ("format", "template", "start")))
-    found = instances.join(abstract, "abstract_id").join(over, ["num_id", "level"], "left")
+    over = overrides.select(key, "num_id", "level", *(F.col(c).alias(f"_{c}") for c in ("format", "template", "start")))
+    found = instances.join(abstract, [key, "abstract_id"]).join(over, [key, "num_id", "level"], "left")
     text = lambda c: F.coalesce(F.nullif(f"_{c}", F.lit("")), c).alias(c)
-    return found.select("num_id", "level", text("format"), text("template"), F.coalesce(F.nullif("_start", F.lit(0)), "start").alias("start"))
+    return found.select(key, "num_id", "level", text("format"), text("template"), F.coalesce(F.nullif("_start", F.lit(0)), "start").alias("start"))
+
+
+def table_rows(rows: DataFrame, name: str, data: DataFrame, style: str = "TableGrid", key: str = "doc_id") -> DataFrame:
+    """Rows with tables in place of a table placeholder: (key, seq, part, kind, text, cells, bold, style).
+
+    ``data``: (key, row, cells), row 0 the header, whose cells are bold. A paragraph that holds nothing else gives way to its table (part 1 and on); any other
+    keeps its text without the placeholder (part 0) and the table follows. Without a header and a row beneath it nothing changes.
+    """
+    spelled = [p for p in (f"{{{{ {name} }}}}", f"{{{{{name}}}}}", f"{{ {name} }}", f"{{{name}}}")]
+    whole = data.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("row", "cells"))).alias("_rows")).filter(F.size("_rows") > 1)
+    hit = F.lit(False)
+    text = F.col("text")
+    for p in spelled:
+        hit, text = hit | F.contains(F.col("text"), F.lit(p)), F.replace(text, F.lit(p), F.lit(""))
+    found = rows.withColumn("_hit", hit).join(whole, key, "left").withColumn("_hit", F.col("_hit") & F.col("_rows").isNotNull()).withColumn("_left", text)
+    none = F.lit(None)
+    plain = found.filter(~F.col("_hit") | (F.trim("_left") != "")).select(key, "seq", F.lit(0).alias("part"), F.lit("paragraph").alias("kind"), F.when(F.col("_hit"), F.col("_left")).otherwise(F.col("text")).alias("text"), none.cast("array<string>").alias("cells"), F.lit(False).alias("bold"), none.cast("string").alias("style"))
+    table = found.filter("_hit").select(key, "seq", F.posexplode("_rows").alias("part", "r"))
+    return plain.unionByName(table.select(key, "seq", (F.col("part") + 1).alias("part"), F.lit("table_row").alias("kind"), F.lit("").alias("text"), F.col("r.cells").alias("cells"), (F.col("part") == 0).alias("bold"), F.lit(style).alias("style")))
+
+
+def watermarks(rows: DataFrame, name: str, text: str, angle: int = 45, opacity: float = 0.5, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The rows with a watermark placeholder blanked, and (key, text, angle, opacity) of the documents that had one."""
+    hit, blank = F.lit(False), F.col("text")
+    for p in (f"{{{{ {name} }}}}", f"{{{{{name}}}}}", f"{{ {name} }}", f"{{{name}}}"):
+        hit, blank = hit | F.contains(F.col("text"), F.lit(p)), F.replace(blank, F.lit(p), F.lit(""))
+    marked = rows.filter(hit).select(key).distinct().select(key, F.lit(text).alias("text"), F.lit(angle).alias("angle"), F.lit(opacity).alias("opacity"))
+    return rows.withColumn("text", blank), marked
 
 
 def rewound_counters(events: DataFrame, key: str, order: str, step: Column, start: int = 1) -> DataFrame:

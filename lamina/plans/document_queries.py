@@ -182,12 +182,14 @@ sql("field_values", f"SELECT event_id, {P.field_value('f', 'user_id', 'event_id'
     "SELECT event_id, CASE event_id % 7 WHEN 0 THEN user_id::VARCHAR WHEN 1 THEN event_id::VARCHAR WHEN 2 THEN '[REF: Mark]' WHEN 3 THEN '[TOC]' WHEN 4 THEN 'SEQ a \\# 0.0' WHEN 5 THEN strftime(ts, '%d.%m.%Y') ELSE strftime(ts, '%H:%M') END AS v, CASE WHEN event_id % 7 = 0 THEN 'ROMAN' END AS n, CASE WHEN event_id % 7 = 4 THEN '0.0' END AS d FROM events")
 
 
-@query("numbering_levels", "SELECT n_nationkey AS num_id, level, CASE WHEN n_nationkey % 3 = 1 THEN 'upperRoman' ELSE 'decimal' END AS format, CASE WHEN n_nationkey % 3 = 0 THEN '(%1)' ELSE '%' || level || '.' END AS template, CASE WHEN n_nationkey % 3 = 0 AND n_nationkey % 2 = 1 THEN 5 ELSE n_regionkey + 1 END AS start FROM nation, (VALUES (1), (2)) l(level)")
+@query("numbering_levels", "SELECT 1 AS doc_id, n_nationkey AS num_id, level, 'decimal' AS format, '%' || level || '.' AS template, n_regionkey + 1 AS start FROM nation, (VALUES (1), (2)) l(level) UNION ALL SELECT 0, n_nationkey AS num_id, level, CASE WHEN n_nationkey % 3 = 1 THEN 'upperRoman' ELSE 'decimal' END AS format, CASE WHEN n_nationkey % 3 = 0 THEN '(%1)' ELSE '%' || level || '.' END AS template, CASE WHEN n_nationkey % 3 = 0 AND n_nationkey % 2 = 1 THEN 5 ELSE n_regionkey + 1 END AS start FROM nation, (VALUES (1), (2)) l(level)")
 def numbering_levels(spark, d):
     nations = table(spark, d, "nation")
     abstract = table(spark, d, "region").selectExpr("r_regionkey AS abstract_id", "explode(array(1, 2)) AS level", "'decimal' AS format", "r_regionkey + 1 AS start").withColumn("template", F.expr("concat('%', level, '.')"))
     over = nations.filter("n_nationkey % 3 < 2").selectExpr("n_nationkey AS num_id", "explode(array(1, 2)) AS level", "if(n_nationkey % 3 = 0, '', 'upperRoman') AS format", "if(n_nationkey % 3 = 0, '(%1)', NULL) AS template", "if(n_nationkey % 3 = 0, 5 * (n_nationkey % 2), NULL) AS start")
-    return P.levels(nations.selectExpr("n_nationkey AS num_id", "n_regionkey AS abstract_id"), abstract, over)
+    # two documents with the same ids; the second one has no overrides
+    two = lambda df: df.crossJoin(spark.range(2).withColumnRenamed("id", "doc_id"))
+    return P.levels(two(nations.selectExpr("n_nationkey AS num_id", "n_regionkey AS abstract_id")), two(abstract), over.withColumn("doc_id", F.lit(0).cast("long")))
 
 
 @query("rewound_counters", "SELECT user_id, list_reduce(list_prepend(0, list(CASE WHEN event_type IN ('error', 'click') THEN -1 ELSE 1 END ORDER BY event_id)), lambda a, x: greatest(a + x, 0))::BIGINT AS last FROM events GROUP BY user_id")
@@ -202,7 +204,7 @@ def merge_many(spark, d):
 
 
 def brands(spark, d, condition):
-    return table(spark, d, "part").filter(condition).groupBy(F.col("p_type").alias("style_id")).agg(F.max("p_size").alias("size"))
+    return table(spark, d, "part").filter(condition).groupBy(F.col("p_type").alias("style_id")).agg(F.max("p_size").alias("size")).withColumn("doc_id", F.lit(1))
 
 
 @query("style_union", "WITH t AS (SELECT p_type AS s, max(p_size) AS size FROM part WHERE p_size < 20 AND p_partkey % 2 = 0 GROUP BY 1), u AS (SELECT p_type AS s, max(p_size) AS size FROM part WHERE p_size >= 20 GROUP BY 1) SELECT s AS style_id, s AS old_id, size FROM t UNION ALL SELECT CASE WHEN s IN (SELECT s FROM t) THEN s || '_merged' ELSE s END, s, size FROM u")
@@ -212,7 +214,7 @@ def style_union(spark, d):
 
 @query("unused_styles", "SELECT DISTINCT p_type AS style_id FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_size < 3) AND p_type <> 'PROMO'")
 def unused_styles(spark, d):
-    return M.unused(brands(spark, d, "true"), brands(spark, d, "p_size < 3"), ("PROMO",))
+    return M.unused(brands(spark, d, "true"), brands(spark, d, "p_size < 3"), ("PROMO",)).select("style_id")
 
 
 @query("header_replacement", "SELECT n_nationkey, CASE WHEN n_nationkey >= 10 THEN 'new ' || n_name ELSE n_name END AS n_name FROM nation")
@@ -239,7 +241,7 @@ CYCLE = "CASE WHEN n_nationkey < 4 THEN (n_nationkey + 1) % 4 WHEN n_nationkey %
 @query("style_cycles", f"WITH RECURSIVE st AS (SELECT n_nationkey AS id, {CYCLE} AS base FROM nation), up AS (SELECT id, base, [id] AS path FROM st UNION ALL SELECT up.id, st.base, list_append(path, st.id) FROM up JOIN st ON st.id = up.base WHERE NOT list_contains(path, st.id)) SELECT id::VARCHAR AS style_id, max(len(path) - 1)::INT AS depth, bool_or(coalesce(list_contains(path, base), false)) AS cyclic FROM up GROUP BY id")
 def style_cycles(spark, d):
     own = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("style_id"), F.expr(CYCLE.replace("//", "div")).cast("string").alias("based_on"))
-    return M.cycles(spark, own)
+    return M.cycles(own.withColumn("doc_id", F.lit(1))).drop("doc_id")
 
 
 @query("style_clean", "SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN 'bold,' ELSE '' END || 'brand' || CASE WHEN p_size % 2 = 0 THEN ',size' ELSE '' END AS kept FROM part")
@@ -259,13 +261,6 @@ def block_gaps(spark, d):
     return E.gaps(para(spark, d).selectExpr("doc_id", "seq", "seq div 10 AS page", "cast(seq * 7 % 40 AS double) AS y", "cast(length(text) % 13 AS double) AS h")).select("doc_id", "seq", F.round("gap", 6).alias("gap"))
 
 
-sql("revision_history", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS revision, role AS author, md5(text) AS v FROM conversations", "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS revision, role AS author, md5(text) AS v FROM conversations")
-sql("payload_resolve", "SELECT event_id, get_json_object(j, '$.id') AS id, get_json_object(j, '$.list[0]') AS kind, get_json_object(j, '$.kept') AS kept FROM (SELECT event_id, replace(replace('{\"id\": \"{{Id}}\", \"list\": [\"{{Type}}\", 1], \"kept\": \"{{No}}\"}', '{{Id}}', cast(event_id AS string)), '{{Type}}', event_type) AS j FROM events)",
-    "SELECT event_id, event_id::VARCHAR AS id, event_type AS kind, '{{No}}' AS kept FROM events")
-sql("tab_stops", "SELECT p_partkey, array_join(transform(filter(array(p_size * 20, -p_size, p_partkey % 7), t -> t >= 0), t -> cast(t AS string)), ';') AS v, p_size BETWEEN 10 AND 500 AS zoom_ok FROM part",
-    "SELECT p_partkey, (p_size * 20) || ';' || (p_partkey % 7) AS v, p_size BETWEEN 10 AND 500 AS zoom_ok FROM part WHERE p_size > 0")
-
-
 @query("layout_summary", f"WITH b AS (SELECT *, y - lag(y + h) OVER (PARTITION BY doc_id, page ORDER BY idx) AS gap, lag(after) OVER (PARTITION BY doc_id, page ORDER BY idx) + before AS wanted FROM ({PLACED})) SELECT doc_id, sum(e) = 0 AS valid, sum(e)::BIGINT AS errors, sum(w)::BIGINT AS warnings, count(DISTINCT page) AS pages, count(*) AS blocks FROM (SELECT doc_id, page, " + " + ".join(f"coalesce(({broken})::INT, 0)" for level, _, broken in CHECKS if level == "error") + " AS e, " + " + ".join(f"coalesce(({broken})::INT, 0)" for level, _, broken in CHECKS if level == "warning") + " AS w FROM b) GROUP BY doc_id")
 def layout_summary(spark, d):
     return C.summary(para(spark, d).selectExpr("doc_id", "seq div 10 + 1 AS page"), layout_issues(spark, d))

@@ -52,11 +52,12 @@ def element_paths(spark, d):
 
 @query("document_structure", f"""SELECT doc_id, total, paragraphs, tables, images, round(paragraphs / total, 9) AS density,
   CASE WHEN paragraphs >= tables AND paragraphs >= images THEN 'text_heavy' WHEN tables >= images THEN 'table_heavy' ELSE 'image_heavy' END AS balance,
-  CASE WHEN tables > paragraphs THEN 'table_document' WHEN images > paragraphs THEN 'image_document' ELSE 'text_document' END AS doc_type,
+  CASE WHEN tables > paragraphs THEN 'table_heavy' WHEN images > paragraphs THEN 'image_heavy' WHEN boxes > 0 THEN 'mixed_layout' WHEN paragraphs > 10 THEN 'text_heavy' ELSE 'simple' END AS doc_type,
   CASE WHEN s >= 10 THEN 'high' WHEN s >= 5 THEN 'medium' ELSE 'low' END AS complexity
-  FROM (SELECT *, tables + CASE WHEN total > 50 THEN 3 WHEN total > 20 THEN 2 WHEN total > 10 THEN 1 ELSE 0 END AS s FROM (SELECT doc_id, count(*) AS total, count_if(kind = 'paragraph')::BIGINT AS paragraphs, count_if(kind = 'table')::BIGINT AS tables, count_if(kind = 'image')::BIGINT AS images FROM (SELECT *, {KIND} AS kind FROM $PARA) GROUP BY doc_id))""")
+  FROM (SELECT *, tscore + CASE WHEN total > 50 THEN 3 WHEN total > 20 THEN 2 WHEN total > 10 THEN 1 ELSE 0 END AS s FROM (SELECT doc_id, count(*) AS total, count_if(kind = 'paragraph')::BIGINT AS paragraphs, count_if(kind = 'table')::BIGINT AS tables, count_if(kind = 'image')::BIGINT AS images, count_if(kind = 'textbox') AS boxes, coalesce(sum(CASE WHEN kind = 'table' THEN seq % 4 END), 0) AS tscore FROM (SELECT * REPLACE (CASE WHEN seq = 17 THEN 'textbox' ELSE kind END AS kind) FROM (SELECT *, {KIND} AS kind FROM $PARA)) GROUP BY doc_id))""")
 def document_structure(spark, d):
-    return E.structure(rows(spark, d)).select("doc_id", "total", "paragraphs", "tables", "images", F.round("paragraph_density", 9).alias("density"), "balance", "doc_type", "complexity")
+    own = rows(spark, d).withColumns({"kind": F.expr("if(seq = 17, 'textbox', kind)"), "score": F.expr("seq % 4")})
+    return E.structure(own).select("doc_id", "total", "paragraphs", "tables", "images", F.round("paragraph_density", 9).alias("density"), "balance", "doc_type", "complexity")
 
 
 @query("reading_order", f"SELECT doc_id, seq, row_number() OVER (PARTITION BY doc_id ORDER BY CASE kind WHEN 'paragraph' THEN 1 WHEN 'table' THEN 2 ELSE 3 END, y, x, seq) AS position FROM (SELECT *, {KIND} AS kind, length(text) % 9 AS y, seq % 4 AS x FROM $PARA)")
@@ -141,20 +142,20 @@ def dangling_labels(spark, d):
 
 def styles(spark, d):
     parts = table(spark, d, "part")
-    return parts.select(F.col("p_partkey").cast("string").alias("style_id"), F.when(F.col("p_partkey") % 8 != 0, F.floor(F.col("p_partkey") / 8).cast("string")).alias("based_on"), F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.concat(F.lit("k"), F.col("p_partkey") % 3), F.col("p_brand")).alias("properties"))
+    return parts.crossJoin(spark.range(2).withColumnRenamed("id", "doc_id")).select("doc_id", F.col("p_partkey").cast("string").alias("style_id"), F.when(F.col("p_partkey") % 8 != 0, F.floor(F.col("p_partkey") / 8).cast("string")).alias("based_on"), F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.concat(F.lit("k"), F.col("p_partkey") % 3), F.concat_ws("-", "p_brand", "doc_id")).alias("properties"))
 
 
 STYLES = "WITH RECURSIVE st AS (SELECT p_partkey::VARCHAR AS id, CASE WHEN p_partkey % 8 <> 0 THEN (p_partkey // 8)::VARCHAR END AS base, p_size, p_brand, 'k' || (p_partkey % 3) AS k FROM part), up AS (SELECT id, id AS a, base, 0 AS depth FROM st UNION ALL SELECT up.id, st.id, st.base, depth + 1 FROM up JOIN st ON st.id = up.base) "
 
 
-@query("style_chains", STYLES + "SELECT id AS style_id, a AS ancestor, depth FROM up")
+@query("style_chains", STYLES + "SELECT doc_id, id AS style_id, a AS ancestor, depth FROM up, range(2) t(doc_id)")
 def style_chains(spark, d):
-    return S.chains(spark, styles(spark, d))
+    return S.chains(styles(spark, d))
 
 
-@query("style_inheritance", STYLES + ", p AS (SELECT up.id, depth, unnest([('size', p_size::VARCHAR), (k, p_brand)]) AS x FROM up JOIN st ON st.id = up.a) SELECT id AS style_id, x[1] AS name, arg_min(x[2], depth) AS value FROM p GROUP BY 1, 2")
+@query("style_inheritance", STYLES + ", p AS (SELECT up.id, depth, doc_id, unnest([('size', p_size::VARCHAR), (k, p_brand || '-' || doc_id)]) AS x FROM up JOIN st ON st.id = up.a, range(2) t(doc_id)) SELECT doc_id, id AS style_id, x[1] AS name, arg_min(x[2], depth) AS value FROM p GROUP BY 1, 2, 3")
 def style_inheritance(spark, d):
-    return S.resolved(spark, styles(spark, d)).select("style_id", F.explode("properties").alias("name", "value"))
+    return S.resolved(styles(spark, d)).select("doc_id", "style_id", F.explode("properties").alias("name", "value"))
 
 
 @query("style_overlay", "SELECT p_partkey, coalesce(nullif(CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END, ''), p_type) AS a, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_name END AS kept FROM part")
@@ -194,12 +195,3 @@ def package_round_trip(spark, d):
     found = package.scan(packed, "elements", "doc_id").filter("kind = 'paragraph'")
     return found.select("doc_id", "seq", F.md5("text").alias("v"))
 
-
-sql("style_hierarchy_text", "SELECT r_name, array_join(sort_array(collect_list(n_name)), ', ') AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name", "SELECT r_name, string_agg(n_name, ', ' ORDER BY n_name) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
-sql("table_column_widths", "SELECT max(length(p_name)) AS name, max(length(p_brand)) AS brand, max(length(p_type)) AS type FROM part", "SELECT max(length(p_name))::INT AS name, max(length(p_brand))::INT AS brand, max(length(p_type))::INT AS type FROM part")
-sql("text_table", "SELECT p_partkey, concat_ws(' | ', rpad(p_name, w.a, ' '), rpad(p_brand, w.b, ' ')) AS line FROM part CROSS JOIN (SELECT max(length(p_name)) AS a, max(length(p_brand)) AS b FROM part) w", "SELECT p_partkey, rpad(p_name, w.a::INT, ' ') || ' | ' || rpad(p_brand, w.b::INT, ' ') AS line FROM part, (SELECT max(length(p_name)) AS a, max(length(p_brand)) AS b FROM part) w")
-sql("markdown_table", "SELECT p_partkey, concat('| ', concat_ws(' | ', p_name, p_brand, p_size), ' |') AS line FROM part", "SELECT p_partkey, '| ' || p_name || ' | ' || p_brand || ' | ' || p_size || ' |' AS line FROM part")
-sql("table_dimensions", "SELECT l_orderkey, count(*) AS n_rows, sum(n) AS cells, min(n) AS lo, max(n) AS hi, round(avg(n), 6) AS mean, min(n) = max(n) AS regular FROM (SELECT l_orderkey, l_linenumber, 3 + l_linenumber % 2 AS n FROM lineitem) GROUP BY l_orderkey", "SELECT l_orderkey, count(*) AS n_rows, sum(n)::BIGINT AS cells, min(n) AS lo, max(n) AS hi, round(avg(n), 6) AS mean, min(n) = max(n) AS regular FROM (SELECT l_orderkey, l_linenumber, 3 + l_linenumber % 2 AS n FROM lineitem) GROUP BY l_orderkey")
-sql("media_dictionary", "SELECT path, row_number() OVER (PARTITION BY 1 ORDER BY first) - 1 AS id FROM (SELECT p_type AS path, min(p_partkey) AS first FROM part GROUP BY p_type)", "SELECT path, (row_number() OVER (ORDER BY first) - 1)::INT AS id FROM (SELECT p_type AS path, min(p_partkey) AS first FROM part GROUP BY p_type)")
-sql("sequence_check", "SELECT conv_id, bool_and(turn > coalesce(before, -1)) AS ok FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) GROUP BY conv_id")
-sql("lost_and_gained", "SELECT 'lost' AS what, p_brand AS v FROM part WHERE p_size < 40 EXCEPT SELECT 'lost', p_brand FROM part WHERE p_size >= 20")

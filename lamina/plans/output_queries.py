@@ -105,7 +105,19 @@ def page_assembly(spark, d):
     return A.assembled(A.measured(rows(spark, d)))
 
 
-@query("list_indents")
+LIST_INDENTS = """WITH p AS (SELECT doc_id, seq, CASE WHEN seq % 11 <> 10 THEN seq % 3 END AS l, CASE WHEN seq % 11 <> 10 THEN length(text) % 4 END AS lvl FROM $PARA),
+o AS (SELECT *, 1 + coalesce((lvl > 0 AND last_value(CASE WHEN lvl <= 0 THEN lvl END IGNORE NULLS) OVER w = 0)::INT, 0) + coalesce((lvl > 1 AND last_value(CASE WHEN lvl <= 1 THEN lvl END IGNORE NULLS) OVER w = 1)::INT, 0) + coalesce((lvl > 2 AND last_value(CASE WHEN lvl <= 2 THEN lvl END IGNORE NULLS) OVER w = 2)::INT, 0) AS n
+  FROM p WINDOW w AS (PARTITION BY doc_id, l ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT *, l < 2 AND row_number() OVER w > 1 AS alike, CASE WHEN l < 2 THEN first_value(n * 18.0::DOUBLE) OVER w ELSE n * 18.0::DOUBLE END AS le, CASE WHEN l < 2 THEN first_value(n * l * 6.0::DOUBLE) OVER w ELSE n * l * 6.0::DOUBLE END AS ha
+  FROM o WINDOW w AS (PARTITION BY doc_id, l < 2, lvl ORDER BY seq)),
+m AS (SELECT *, CASE WHEN alike THEN 'auto-match' WHEN l = 1 AND lvl = 1 THEN 'manual' WHEN l IS NOT NULL THEN 'auto' ELSE 'none' END AS mode, greatest(CASE WHEN l < 2 THEN 21.0 ELSE 9.0 END - ha, 0)::DOUBLE AS room FROM b),
+r AS (SELECT *, CASE WHEN mode LIKE 'auto%' THEN le + room ELSE le END AS x, CASE WHEN mode LIKE 'auto%' THEN ha + room ELSE ha END AS h FROM m),
+u AS (SELECT *, median(CASE WHEN mode LIKE 'auto%' THEN x END) OVER (PARTITION BY doc_id, l, lvl) AS mid FROM r),
+f AS (SELECT doc_id, seq, mode, CASE WHEN mode = 'none' THEN 12.0::DOUBLE WHEN mode <> 'manual' AND abs(x - mid) <= 9 THEN mid ELSE x END AS le, CASE WHEN mode = 'none' THEN 0.0::DOUBLE ELSE h END AS ha FROM u)
+SELECT doc_id, seq, mode, greatest(le, 0.0)::DOUBLE AS text_start, greatest(le - ha, 0.0)::DOUBLE AS number_start, le AS "left", 0.0::DOUBLE AS "right", 0.0::DOUBLE AS first_line, ha AS hanging FROM f"""
+
+
+@query("list_indents", LIST_INDENTS)
 def list_indents(spark, d):
     """Lines of documents as items of three lists with up to four levels; every eleventh is a plain paragraph."""
     items = para(spark, d).selectExpr(
@@ -129,5 +141,3 @@ def autofit_widths(spark, d):
     own = table(spark, d, "lineitem").selectExpr("l_suppkey AS table_id", "l_linenumber % 3 AS col", "l_quantity AS w")
     return B.autofit_widths(own, "table_id", "col", "w", usable=60.0, padding=10.0)
 
-
-sql("block_identity", "SELECT conv_id, turn, concat('b', conv_id, '-', row_number() OVER (PARTITION BY conv_id ORDER BY turn)) AS uid FROM conversations", "SELECT conv_id, turn, 'b' || conv_id || '-' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS uid FROM conversations")

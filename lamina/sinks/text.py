@@ -73,3 +73,18 @@ def editable_html(rows: DataFrame) -> DataFrame:
     """(doc_id, html): paragraphs that can be edited in a browser, each with its place, so that an update finds it again."""
     line = F.concat(F.lit('<p contenteditable="true" data-seq="'), F.col("seq").cast("string"), F.lit('">'), F.replace(F.expr(T.escape_html("text")), F.lit("\n"), F.lit("<br/>")), F.lit("</p>"))
     return rows.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("seq", line.alias("line"))))["line"], "\n").alias("html"))
+
+
+def tidied_markdown(text: str) -> str:
+    """SQL expression: at most one blank line, and one before each heading, list item and table row that follows a line."""
+    out = f"regexp_replace({text}, '\\n{{3,}}', '\\n\\n')"
+    for mark in (r"#{1,6}\\s", r"[*+-]\\s", r"\\d+\\.\\s", r"\\|"):
+        out = f"regexp_replace({out}, '\\n({mark})', '\\n\\n$1')"
+    return f"btrim({out}, ' \\t\\n\\u000B\\u000C\\r')"
+
+
+def markdown_documents(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, markdown) of elements (key, seq, kind, text, level, form): headings, list items, table rows (text is the line) and paragraphs in order, tidied."""
+    mark = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.least("level", F.lit(6))), F.lit(" "))).when(F.col("kind") == "list_item", F.when(F.col("form") == "bullet", "- ").otherwise("1. ")).otherwise("")
+    lines = F.sort_array(F.collect_list(F.struct("seq", F.concat(mark, "text").alias("line"))))["line"]
+    return rows.groupBy(key).agg(F.array_join(lines, "\n").alias("markdown")).withColumn("markdown", F.expr(tidied_markdown("markdown")))

@@ -152,20 +152,21 @@ def test_assembly_keeps_every_line(spark):
     assert assembly.assembled(rows.limit(0)).count() == 0
 
 
-def item(seq: int, num_id: str | None, level: int = 0, marker: str = "", **other) -> dict:
-    zero = {f"{p}{s}": 0.0 for p in ("", "style_", "level_") for s in lists.SIDES}
-    return {"seq": seq, "num_id": num_id, "level": level, "marker": marker, "explicit": False, "style_is_list": False, "level_text": "", "format": "decimal", "overridden": False} | zero | other
-
-
 def test_list_indents(spark):
-    top, sub = {"level_left": 36.0, "level_hanging": 18.0, "level_text": "%1."}, {"level_left": 36.0, "level_hanging": 18.0, "level_text": "%2)"}
-    found = lists.resolve([item(0, "a", **top), item(1, "a", 1, **sub), item(2, "b", 0, **top | {"level_left": 50.0}), item(3, None, style_left=7.0, left=9.0), item(4, None, style_is_list=True, marker="x"), item(5, "a", 0, left=5.0, explicit=True, **top), item(6, "c", 0, "1.1.1", level_left=10.0)])
-    assert [(r["mode"], r["left"], r["hanging"]) for r in found] == [("auto", 39.0, 21.0), ("auto", 60.0, 21.0), ("auto-match", 39.0, 21.0), ("none", 9.0, 0.0), ("continuation", 50.0, 18.0), ("auto-match", 5.0, 18.0), ("auto", 43.0, 33.0)]
-    assert [r["number_start"] for r in found[:3]] == [18.0, 39.0, 18.0] and found[1]["text_start"] == 60.0
-    assert lists.token("%1.%2) x") == "1.2" and lists.token(None) == "" and lists.resolve([]) == []
-    own = spark.createDataFrame([(1, 0, "a", None, None, 0.0, 0.0, 0.0, 0.0, None, None, 4.0, 0.0, 0.0, 0.0), (1, 1, None, 2, "", None, None, None, None, None, None, 4.0, None, 9.0, 0.0)], "doc_id long, seq int, num_id string, level int, marker string, left double, right double, first_line double, hanging double, explicit boolean, style_is_list boolean, style_left double, style_right double, style_first_line double, style_hanging double")
-    levels = spark.createDataFrame([("a", 0, 36.0, 0.0, 0.0, 18.0, "%1.", "decimal", None)], "num_id string, level int, left double, right double, first_line double, hanging double, text string, format string, overridden boolean")
-    assert [(r.seq, r.mode, r.left, r.text_start) for r in lists.indented(own, levels).orderBy("seq").collect()] == [(0, "auto", 39.0, 39.0), (1, "none", 4.0, 13.0)]
+    sides = ", ".join(f"{p}{x} double" for p in ("", "style_") for x in lists.SIDES)
+
+    def item(seq, num_id, level=0, marker="", **other):
+        return {"doc_id": 1, "seq": seq, "num_id": num_id, "level": level, "marker": marker, "explicit": False, "style_is_list": False} | {f"{p}{x}": 0.0 for p in ("", "style_") for x in lists.SIDES} | other
+
+    items = [item(0, "a"), item(1, "a", 1), item(2, "b"), item(3, None, style_left=7.0, left=9.0), item(4, None, style_is_list=True, marker="x"), item(5, "a", left=5.0, explicit=True), item(6, "c", 0, "1.1.1"), item(7, "a", None, None, left=None), item(8, "d", 3)]
+    own = spark.createDataFrame(items, f"doc_id long, seq int, num_id string, level int, marker string, explicit boolean, style_is_list boolean, {sides}")
+    levels = [("a", 0, 36.0, 18.0, "%1.", False), ("a", 1, 36.0, 18.0, "%2)", False), ("b", 0, 50.0, 18.0, "%1.", False), ("c", 0, 10.0, 0.0, "", None)]
+    levels = spark.createDataFrame([(n, k, left, 0.0, 0.0, hanging, text, "decimal", over) for n, k, left, hanging, text, over in levels], "num_id string, level int, left double, right double, first_line double, hanging double, text string, format string, overridden boolean")
+    found = lists.indented(own, levels).orderBy("seq").collect()
+    # a second level adds the first one's sides; equal markers follow the first; a hanging indent has room for its marker
+    assert [(r["mode"], r["left"], r["hanging"]) for r in found[:7]] == [("auto", 39.0, 21.0), ("auto", 72.0, 36.0), ("auto-match", 39.0, 21.0), ("none", 9.0, 0.0), ("continuation", 50.0, 18.0), ("auto-match", 5.0, 18.0), ("auto", 43.0, 33.0)]
+    assert found[7]["mode"] == "auto-match" and found[7]["left"] == 39.0 and found[8]["mode"] == "auto" and found[8]["left"] == 9.0
+    assert [r["number_start"] for r in found[:3]] == [18.0, 36.0, 18.0] and found[1]["text_start"] == 72.0
     assert lists.indented(own.limit(0), levels).count() == 0
 
 
