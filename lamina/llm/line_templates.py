@@ -82,6 +82,8 @@ def line_table(docs: DataFrame, at_most: int | None = None, *also: str) -> DataF
                 at += [i] * len(own)
                 keys += own.keys()
                 lines += own.values()
+            if not keys:
+                continue
             same = {c: [own[i] for i in at] for c in ("doc_id", *also) for own in [pdf[c].tolist()]}
             yield pd.DataFrame({"doc_id": same.pop("doc_id"), "key": keys, "line": [None] * len(keys) if at_most else lines} | same)
 
