@@ -107,8 +107,8 @@ def test_merges_and_checks_of_little(spark):
     rows = spark.createDataFrame([(1, 7, 0, "paragraph", "x"), (1, 8, 0, "paragraph", "y"), (2, 9, 0, "table", "z")], "g int, doc_id long, seq int, kind string, text string")
     found = [(r.g, r.seq, r.kind) for r in merging.merged_in_order(rows, "g").orderBy("g", "seq").collect()]
     assert found == [(1, 0, "paragraph"), (1, 1, "page_break"), (1, 2, "paragraph"), (2, 0, "table")]
-    styles = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("d", "gone"), ("e", None)], "style_id string, based_on string")
-    assert {r.style_id: (r.depth, r.cyclic) for r in merging.cycles(spark, styles).collect()} == {"a": (1, True), "b": (1, True), "c": (2, True), "d": (0, False), "e": (0, False)}
+    styles = spark.createDataFrame([(1, "a", "b"), (1, "b", "a"), (1, "c", "a"), (1, "d", "gone"), (1, "e", None), (2, "a", None)], "doc_id long, style_id string, based_on string")
+    assert {(r.doc_id, r.style_id): (r.depth, r.cyclic) for r in merging.cycles(styles).collect()} == {(1, "a"): (1, True), (1, "b"): (1, True), (1, "c"): (2, True), (1, "d"): (0, False), (1, "e"): (0, False), (2, "a"): (0, False)}
     blocks = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "doc_id long, page int")
     issues = spark.createDataFrame([(1, "error")], "doc_id long, level string")
     assert {r.doc_id: (r.valid, r.errors, r.pages) for r in checks.summary(blocks, issues).collect()} == {1: (False, 1, 2), 2: (True, 0, 1)}
