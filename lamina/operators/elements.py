@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,18 +151,25 @@ def wrapped(rows: DataFrame, width: int = 80) -> DataFrame:
 def paginated(blocks: DataFrame, top: float = 25.4, usable: float = 246.2) -> DataFrame:
     """page and y of each block (column h in millimetres): a block that doesn't fit under the ones before it opens a page, even an empty one.
 
-    An ordered fold over one document's heights; the texts stay out of it.
+    An ordered pass over one document's heights, in time linear in them; the texts stay out of it.
     """
     heights = F.transform(F.sort_array(F.collect_list(F.struct("seq", "h"))), lambda x: x["h"])
-    start = F.struct(F.lit(1).alias("page"), F.lit(top).alias("y"), F.array().cast("array<struct<page:int,y:double>>").alias("out"))
 
-    def place(acc, h):
-        over = acc["y"] + h > top + usable
-        page, y = F.when(over, acc["page"] + 1).otherwise(acc["page"]), F.when(over, F.lit(top)).otherwise(acc["y"])
-        return F.struct(page.alias("page"), (y + h).alias("y"), F.concat(acc["out"], F.array(F.struct(page.alias("page"), y.alias("y")))).alias("out"))
-
-    folded = blocks.groupBy("doc_id").agg(F.aggregate(heights, start, place, lambda acc: acc["out"]).alias("places"), F.sort_array(F.collect_list("seq")).alias("seqs"))
-    return folded.select("doc_id", F.explode(F.arrays_zip("seqs", "places")).alias("x")).select("doc_id", F.col("x.seqs").alias("seq"), F.col("x.places.page").alias("page"), F.col("x.places.y").alias("y"))
+    @F.pandas_udf("array<struct<page:int,y:double>>")
+    def places(documents: pd.Series) -> pd.Series:
+        out = []
+        for own in documents:
+            page, y, rows = 1, top, []
+            for h in own:
+                if y + h > top + usable:
+                    page, y = page + 1, top
+                rows.append({"page": page, "y": y})
+                y += h
+            out.append(rows)
+        return pd.Series(out, dtype=object)
+
+    folded = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list("seq")).alias("seqs"), heights.alias("heights"))
+    return folded.select("doc_id", F.inline(F.arrays_zip("seqs", places("heights").alias("places")))).select("doc_id", F.col("seqs").alias("seq"), "places.page", "places.y")
 
 
 def with_heights(rows: DataFrame) -> DataFrame:

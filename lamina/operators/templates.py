@@ -145,3 +145,26 @@ def replaced_in_runs(rows: DataFrame, runs: str, placeholder: str, value: Column
     rows = rows.withColumn("_ends", ends).withColumn("_last", last)
     rows = rows.withColumn(runs, F.when(F.col("_begin") < 0, F.col(runs)).otherwise(F.transform(runs, run)))
     return rows.drop("_full", "_begin", "_end", "_ends", "_last")
+
+
+def typed(key: str, value: str) -> str:
+    """SQL expression: a value as its placeholder's type (`CURRENCY:Sum`) shows it; null is the empty text."""
+    text = f"cast({value} AS string)"
+    shown = {"CURRENCY": lambda: T.currency(value), "DATE": lambda: T.date(value), "TIME": lambda: T.date(value, "time"), "NUMBER": lambda: T.number(value), "PERCENT": lambda: T.percent(value), "PHONE": lambda: T.phone(text), "EMAIL": lambda: T.email(text), "BOOLEAN": lambda: T.boolean(text)}
+    return f"coalesce({shown.get(key.partition(':')[0].upper() if ':' in key else '', lambda: text)()}, '')"
+
+
+def filled(rows: DataFrame, values: dict[str, str], passes: int = 2, column: str = "text") -> DataFrame:
+    """``column`` with every placeholder replaced by its typed value (key -> SQL expression over the row); a value may hold placeholders, which the next pass fills.
+
+    A pass is a projection of its own, so the plan grows by one chain of replacements a pass. Longer spellings go first, so none is met inside another.
+    """
+    for _ in range(passes):
+        text = column
+        for key, value in values.items():
+            for name in filter(None, (key, key.partition(":")[2])):
+                for a, b in (("{{ ", " }}"), ("{{ ", "}}"), ("{{", " }}"), ("{{", "}}"), ("{ ", " }"), ("{", "}")):
+                    text = f"replace({text}, '{a}{name}{b}', {typed(key, value)})"
+        # inline keeps the passes from being written into one another
+        rows = rows.withColumn("_filled", F.expr(f"array({text})")).withColumn(column, F.explode("_filled")).drop("_filled")
+    return rows

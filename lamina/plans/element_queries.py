@@ -97,17 +97,23 @@ def style_dictionary(spark, d):
     return E.style_dictionary(para(spark, d).withColumn("size", F.length("text") % 5), "size").select("doc_id", "seq", F.col("style_id").cast("long").alias("style_id"))
 
 
-@query("word_wrap")
+WORDS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
+SO_FAR = "(CASE WHEN a.d = '' THEN '' ELSE a.d || chr(10) END)"
+WRAPPED = f"list_reduce(list_prepend({{'d': '', 'l': '', 'c': 0}}, list_transform({WORDS}, lambda w: {{'d': '', 'l': w, 'c': length(w)::INT}})), lambda a, x: CASE WHEN a.c + x.c + 1 <= 60 THEN {{'d': a.d, 'l': CASE WHEN a.l = '' THEN x.l ELSE a.l || ' ' || x.l END, 'c': (a.c + x.c + 1)::INT}} WHEN a.l <> '' THEN {{'d': {SO_FAR} || a.l, 'l': x.l, 'c': x.c}} ELSE {{'d': {SO_FAR} || x.l, 'l': '', 'c': 0}} END)"
+HEIGHT = f"CASE kind WHEN 'paragraph' THEN greatest(1, length(text) // 80) * 12 * 1.2::DOUBLE * 0.35::DOUBLE WHEN 'image' THEN 50 ELSE 40 END::DOUBLE"
+
+
+@query("word_wrap", f"SELECT doc_id, seq, md5(v) AS v, len(string_split(v, chr(10)))::INT AS n FROM (SELECT doc_id, seq, CASE WHEN text = '' THEN '' WHEN a.l = '' THEN a.d ELSE {SO_FAR} || a.l END AS v FROM (SELECT doc_id, seq, text, {WRAPPED} AS a FROM $PARA))")
 def word_wrap(spark, d):
     return E.wrapped(para(spark, d), 60).select("doc_id", "seq", F.md5("wrapped").alias("v"), F.size(F.split("wrapped", "\n")).alias("n"))
 
 
-@query("metric_line_counts")
+@query("metric_line_counts", f"SELECT doc_id, seq, (r.n + (r.c > 0)::INT)::INT AS n FROM (SELECT doc_id, seq, list_reduce(list_prepend({{'n': 0, 'c': 0}}, list_transform({WORDS}, lambda w: {{'n': 0, 'c': length(w)::INT}})), lambda a, x: CASE WHEN a.c > 0 AND a.c + x.c + 1 > 68 THEN {{'n': (a.n + 1)::INT, 'c': (x.c + 1)::INT}} ELSE {{'n': a.n, 'c': (a.c + x.c + 1)::INT}} END) AS r FROM $PARA)")
 def metric_line_counts(spark, d):
     return para(spark, d).select("doc_id", "seq", F.expr(T.metric_lines("text", 451.0, 11.0)).alias("n"))
 
 
-@query("pagination")
+@query("pagination", f"WITH RECURSIVE b AS (SELECT doc_id, seq, {HEIGHT} AS h FROM (SELECT *, {KIND} AS kind FROM $PARA)), p AS (SELECT doc_id, seq, h, CASE WHEN 25.4::DOUBLE + h > 25.4::DOUBLE + 246.2::DOUBLE THEN 2 ELSE 1 END AS page, 25.4::DOUBLE AS y FROM b WHERE seq = 0 UNION ALL SELECT b.doc_id, b.seq, b.h, CASE WHEN p.y + p.h + b.h > 25.4::DOUBLE + 246.2::DOUBLE THEN p.page + 1 ELSE p.page END, CASE WHEN p.y + p.h + b.h > 25.4::DOUBLE + 246.2::DOUBLE THEN 25.4::DOUBLE ELSE p.y + p.h END FROM p JOIN b ON b.doc_id = p.doc_id AND b.seq = p.seq + 1) SELECT doc_id, seq, page, round(y, 6) AS y FROM p")
 def pagination(spark, d):
     return E.paginated(E.with_heights(rows(spark, d))).select("doc_id", "seq", "page", F.round("y", 6).alias("y"))
 

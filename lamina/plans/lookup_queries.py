@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lamina import plugins
 from lamina.functions import formats
 from lamina.functions import values as V
 from lamina.operators import elements as E
@@ -15,6 +16,7 @@ from lamina.operators import templates as P
 from lamina.plans.base import PARA_DUCK, query, sql, table
 from lamina.plans.element_queries import para
 from lamina.sinks import text as sink
+from lamina.sources import media
 
 # --- filters and lookups ---------------------------------------------------------------------------------------------------------------
 
@@ -333,3 +335,36 @@ MD = "SELECT doc_id, seq, CASE seq % 5 WHEN 0 THEN '## ' || text WHEN 1 THEN '-
 def markdown_documents(spark, d):
     own = para(spark, d).selectExpr("doc_id", "seq", "text", "if(seq % 5 = 0, 'heading', if(seq % 5 < 3, 'list_item', 'paragraph')) AS kind", "2 AS level", "if(seq % 5 = 1, 'bullet', 'number') AS form")
     return sink.markdown_documents(own).select("doc_id", F.md5("markdown").alias("v"))
+
+
+@query("typed_fill", "SELECT o_orderkey, 'Pay ' || replace(replace(replace(format('{:,.2f}', o_totalprice), ',', ' '), '.', ','), ' PLN', '') || ' PLN by ' || strftime(o_orderdate, '%d.%m.%Y') || ' for order ' || o_orderkey || '; {Open}' AS text FROM orders")
+def typed_fill(spark, d):
+    """The first pass puts a text in that holds a further placeholder."""
+    own = table(spark, d, "orders").withColumn("text", F.lit("Pay {{ CURRENCY:Sum }} by {DATE:Due} for {{TEXT:What}}; {Open}"))
+    return P.filled(own, {"CURRENCY:Sum": "o_totalprice", "DATE:Due": "o_orderdate", "TEXT:What": "'order {No}'", "No": "o_orderkey"}).select("o_orderkey", "text")
+
+
+@query("xml_mapped", "SELECT p_partkey, p_name AS name, p_size AS size, p_partkey::VARCHAR AS id FROM part")
+def xml_mapped(spark, d):
+    own = table(spark, d, "part").select("p_partkey", F.expr("concat('<w:p xmlns:w=\"u\" w:id=\"', p_partkey, '\"><w:n>', p_name, '</w:n><w:s>', p_size, '</w:s></w:p>')").alias("xml"))
+    return media.mapped(own, "xml", name="n", size="s:int", id="p@id").drop("xml")
+
+
+@query("media_added", "SELECT p_size AS doc_id, md5(p_type) AS md5, min(p_name || p_partkey) AS path, 'other' AS type, CAST(octet_length(encode(p_type)) AS INT) AS size FROM part GROUP BY 1, 2, 4, 5")
+def media_added(spark, d):
+    own = table(spark, d, "part").select(F.col("p_size").alias("doc_id"), F.concat("p_name", "p_partkey").alias("path"), F.col("p_type").cast("binary").alias("content"), "p_partkey")
+    return media.added(own.filter("p_partkey % 2 = 0").drop("p_partkey"), own.filter("p_partkey % 2 = 1").drop("p_partkey")).select("doc_id", "md5", "path", "type", "size")
+
+
+@query("style_themes", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'Lato' END AS font, '11' AS size FROM part")
+def style_themes(spark, d):
+    own = table(spark, d, "part").select("p_partkey", plugins.theme_source(lambda: {"font": "Lato", "size": "11"}).alias("theme"), F.expr("if(p_size % 2 = 0, map('font', p_name), map())").alias("local"))
+    return own.select("p_partkey", S.cascaded("theme", "local").alias("s")).select("p_partkey", F.col("s")["font"].alias("font"), F.col("s")["size"].alias("size"))
+
+
+@query("dispatched_layout", "SELECT doc_id, seq, CASE WHEN seq % 5 = 3 THEN 40.0::DOUBLE WHEN seq % 7 = 5 THEN NULL ELSE length(text) / 2.0::DOUBLE END AS h FROM $PARA")
+def dispatched_layout(spark, d):
+    engines = plugins.Dispatcher()
+    engines.add(lambda kind: kind.startswith("para"), lambda kind: F.char_length("text") / 2.0)
+    engines.add(lambda kind: kind in ("table", "cell"), lambda kind: F.lit(40.0))
+    return E.with_kinds(para(spark, d)).select("doc_id", "seq", engines.column("kind", "paragraph", "table", "image").alias("h"))

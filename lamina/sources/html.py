@@ -6,7 +6,9 @@ import hashlib
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA = "seq int, kind string, text string, list_level int, list_format string, table_seq int, row_idx int, col_idx int, is_header boolean, src string, rel_id string, runs array<struct<text:string,bold:boolean,italic:boolean,underline:boolean,color:string,font_size:string,font_name:string>>"
 MARKS = {"strong": "bold", "b": "bold", "em": "italic", "i": "italic", "u": "underline"}
@@ -17,6 +19,7 @@ class PageScanner(HTMLParser):
 
     An open paragraph ends with its text when its own end tag comes. If another block opens first, or the page ends, it keeps the runs closed so far but
     its text stays empty. Text outside any paragraph opens one without numbering. After an inner list closes, the outer one keeps the inner's level.
+    A table within a cell is a table of its own (a further table_seq); its cells come before the outer cell, which keeps all its own text around it.
     """
 
     def __init__(self) -> None:
@@ -30,6 +33,7 @@ class PageScanner(HTMLParser):
         self.cell: dict | None = None
         self.row_idx = self.col_idx = -1
         self.in_table = False
+        self.table_seq, self.outer = -1, []
 
     def emit(self, kind: str, **fields) -> None:
         self.rows.append({"seq": len(self.rows), "kind": kind} | fields)
@@ -67,9 +71,10 @@ class PageScanner(HTMLParser):
             self.shut(False)
             self.begin(self.level - 1 if self.format else None, self.format)
         elif tag == "table":
-            self.shut(False)
+            self.shut(self.cell is not None)
+            self.outer.append((self.table_seq, self.row_idx, self.col_idx, self.cell, self.in_table))
             self.tables += 1
-            self.in_table, self.row_idx = True, -1
+            self.table_seq, self.in_table, self.row_idx, self.cell = self.tables, True, -1, None
         elif tag == "tr" and self.in_table:
             self.row_idx += 1
             self.col_idx = -1
@@ -101,9 +106,10 @@ class PageScanner(HTMLParser):
         elif tag in ("td", "th") and self.cell is not None:
             self.shut(True)
             cell, self.cell = self.cell, None
-            self.emit("cell", text="\n".join(t for t in cell["texts"] if t), table_seq=self.tables, row_idx=self.row_idx, col_idx=self.col_idx, is_header=cell["header"])
-        elif tag == "table":
-            self.in_table = False
+            self.emit("cell", text="\n".join(t for t in cell["texts"] if t), table_seq=self.table_seq, row_idx=self.row_idx, col_idx=self.col_idx, is_header=cell["header"])
+        elif tag == "table" and self.outer:
+            self.shut(False)
+            self.table_seq, self.row_idx, self.col_idx, self.cell, self.in_table = self.outer.pop()
         elif (tag in MARKS or tag in ("span", "font")) and self.styles:
             if self.open is not None:
                 self.flush()
@@ -161,3 +167,14 @@ def scan_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
             yield out.where(out.notna(), None)
 
     return pages.select(key, html).mapInPandas(run, f"{key} {kind}, {SCHEMA}")
+
+
+def read_pages(spark: SparkSession, path: str, key: str = "path") -> DataFrame:
+    """(key, html) of HTML files, one row a file; a path where nothing is gives no rows."""
+    try:
+        files = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e.getCondition() or e):
+            raise
+        return spark.createDataFrame([], f"{key} string, html string")
+    return files.select(F.col("_metadata.file_path").alias(key), F.col("value").alias("html"))
