@@ -14,7 +14,7 @@ PLACEHOLDER_TYPES = {
 CROSSREF = {"heading": "Rozdział %", "figure": "Rysunek %", "table": "Tabela %", "equation": "Równanie (%)"}
 
 PLACEHOLDER = r"(\\{\\{|\\{)\\s*([^{}]+?)\\s*(\\}\\}|\\})"
-SPACES = r"' \t\n\u000B\f\r'"
+SPACES = r"' \t\n\u000B\u000C\r'"
 
 
 def placeholder_names(text: str) -> str:

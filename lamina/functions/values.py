@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lamina.functions import formats
+from lamina.functions import text as T
 
 #: Pictures of fields and the patterns that Spark's date_format takes for them, longest first.
 PICTURES = {"MMMM": "MMMM", "dddd": "EEEE", "yyyy": "yyyy", "AM/PM": "a", "am/pm": "a", "MMM": "MMM", "ddd": "EEE", "dd": "dd", "MM": "MM", "yy": "yy", "HH": "HH", "hh": "hh", "mm": "mm", "ss": "ss"}
@@ -112,3 +113,53 @@ def valid_style(style: str) -> str:
     least = " AND ".join(f"coalesce(try_cast({style}['{k}'] AS double) >= 0, true)" for k in ("before", "after", "line", "left", "right", "first_line", "hanging"))
     color = f"{style}['color']"
     return f"(coalesce(try_cast({style}['size'] AS double) > 0, true) AND {least} AND (coalesce({color}, '') = '' OR {valid_color(color)} OR {color} RLIKE '^[0-9A-Fa-f]{{6}}$'))"
+
+
+def rgb(text: str) -> str:
+    """Struct (r, g, b) of a hex colour of three or six digits, with or without `#`; null for anything else."""
+    bare = f"regexp_replace({text}, '^#', '')"
+    six = f"if(length({bare}) = 3, regexp_replace({bare}, '(.)', '$1$1'), {bare})"
+    part = lambda k: f"cast(conv(substring({six}, {2 * k + 1}, 2), 16, 10) AS int)"
+    return f"if({bare} RLIKE '^([0-9A-Fa-f]{{3}}|[0-9A-Fa-f]{{6}})$', named_struct('r', {part(0)}, 'g', {part(1)}, 'b', {part(2)}), NULL)"
+
+
+def rgb_hex(r: str, g: str, b: str) -> str:
+    return "concat('#', " + ", ".join(f"lower(lpad(hex({c}), 2, '0'))" for c in (r, g, b)) + ")"
+
+
+def hsl_rgb(h: str, s: str, light: str) -> str:
+    """Struct (r, g, b) of a hue in degrees, saturation and lightness from 0 to 1."""
+    span = f"(1 - abs(2 * {light} - 1)) * {s} / 2"
+    # a channel is the lightness plus half the span times a trapezoid of the hue, shifted by a third of the circle for each
+    part = lambda shift: f"cast(round(255 * ({light} + 2 * {span} * (greatest(0D, least(1D, 2 - abs(pmod({h} / 60D + {shift}, 6D) - 3))) - 0.5D))) AS int)"
+    return f"named_struct('r', {part(3)}, 'g', {part(1)}, 'b', {part(5)})"
+
+
+def united(a: str, b: str) -> str:
+    """The least rectangle (struct x, y, w, h) that holds both."""
+    low = lambda s: f"least({a}.{s}, {b}.{s})"
+    size = lambda s, e: f"greatest({a}.{s} + {a}.{e}, {b}.{s} + {b}.{e}) - {low(s)}"
+    return f"named_struct('x', {low('x')}, 'y', {low('y')}, 'w', {size('x', 'w')}, 'h', {size('y', 'h')})"
+
+
+def number_or_text(text: str) -> str:
+    """A numeric text with blanks and a decimal comma as its number's text; any other text as it is."""
+    return f"coalesce(cast(try_cast(replace(replace({text}, ' ', ''), ',', '.') AS double) AS string), {text})"
+
+
+def field_parts(instruction: str) -> str:
+    """Struct of a field: name, target (the first word behind it that is no switch), levels (`\\o "1-3"`), picture (`\\@`), number_format (`\\*`), display (`\\#`), flags (single-letter switches)."""
+    t = f"trim({instruction})"
+    option = lambda s: f"nullif(regexp_extract({t}, '\\\\\\\\{s} *\"?([^\"\\\\\\\\]*[^\"\\\\\\\\ ])\"?', 1), '')"
+    return f"named_struct('name', upper(regexp_extract({t}, '^(\\\\S+)', 1)), 'target', nullif(regexp_extract({t}, '^\\\\S+ +([^\\\\\\\\ ]+)', 1), ''), 'levels', {option('o')}, 'picture', {option('@')}, 'number_format', {option('[*]')}, 'display', {option('#')}, 'flags', array_sort(array_distinct(regexp_extract_all({t}, '\\\\\\\\([a-np-z])(?= |$)', 1))))"
+
+
+def page_tokens(text: str, page: str, pages: str, moment: str) -> str:
+    """`[PAGE]`, `[NUMPAGES]`, `[DATE]` and `[TIME]` of a header or footer replaced."""
+    return filled_tokens(text, {"[PAGE]": page, "[NUMPAGES]": pages, "[DATE]": f"date_format({moment}, 'dd.MM.yyyy')", "[TIME]": f"date_format({moment}, 'HH:mm')"})
+
+
+def text_paragraph(text: str, kind: str, level: str, form: str, bold: str, italic: str, width: int) -> str:
+    """A paragraph in plain text: marked-up, then as a heading, a list item or wrapped."""
+    marked = T.inline_markup(text, bold, italic, "false")
+    return f"CASE {kind} WHEN 'heading' THEN {T.heading(marked, level)} WHEN 'list_item' THEN concat({T.list_marker(form, level)}, ' ', {marked}) ELSE {T.wrap(marked, width)} END"

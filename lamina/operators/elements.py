@@ -204,3 +204,19 @@ def issues(rows: DataFrame, **rules: Column) -> DataFrame:
     """(doc_id, seq, rule): one row for each rule that a row breaks, in one pass over the rows."""
     found = F.array_compact(F.array(*(F.when(broken, F.lit(name)) for name, broken in rules.items())))
     return rows.select("doc_id", "seq", F.explode(found).alias("rule"))
+
+
+def updated(body: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(doc_id, seq, text, change): the i-th paragraph takes the i-th parsed text, further parsed ones are appended, surplus paragraphs stay."""
+    pair = positional(body, parsed)
+    return pair.select("doc_id", "seq", F.coalesce("new", "old").alias("text"), "change")
+
+
+def built(rows: DataFrame, styles: DataFrame, levels: DataFrame) -> DataFrame:
+    """Elements with the style's properties and the numbering level's format and template beside them: (…, place, properties, format, template).
+
+    ``styles``: (doc_id, style_id, properties), resolved; ``levels``: (doc_id, num_id, level, format, template). Place is header, footer or body, from the part.
+    """
+    place = F.when(F.col("part").startswith("header"), "header").when(F.col("part").startswith("footer"), "footer").otherwise("body")
+    own = rows.withColumn("place", place).join(styles.select("doc_id", F.col("style_id").alias("style"), "properties"), ["doc_id", "style"], "left")
+    return own.join(levels.select("doc_id", "num_id", "level", "format", "template"), ["doc_id", "num_id", "level"], "left")

@@ -133,3 +133,42 @@ def property_issues(properties: DataFrame, key: str = "doc_id") -> DataFrame:
     number = F.expr("try_cast(value AS bigint)")
     bad = F.when(F.col("name").isNull() | (F.col("name") == ""), "no_name").when(F.col("name").isin(*COUNTS) & (number.isNull() | (number < 0)), "bad_count")
     return properties.select(key, bad.alias("rule"), "name").filter(F.col("rule").isNotNull())
+
+
+def document_stats(rows: DataFrame, properties: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Counts of a document's elements beside the pages, words and characters that its application properties (key, name, value) tell."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("total"), *(F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("paragraph", "table", "image")))
+    told = properties.groupBy(key).agg(*(F.max(F.when(F.col("name") == n, F.expr("try_cast(value AS bigint)"))).alias(n.lower()) for n in ("Pages", "Words", "Characters")))
+    return counts.join(told, key, "left")
+
+
+def run_signatures(runs: DataFrame, *look: str, key: str = "doc_id") -> DataFrame:
+    """(key, look, n, first): runs of one look, numbered by their first appearance; columns that say nothing are part of a look too."""
+    found = runs.groupBy(key, *look).agg(F.count("*").alias("n"), F.min(F.struct("seq", "run")).alias("_first"))
+    return found.withColumn("number", F.row_number().over(Window.partitionBy(key).orderBy("_first"))).drop("_first")
+
+
+def unique_ids(rows: DataFrame, taken: DataFrame, prefix: str, order: str, key: str = "doc_id") -> DataFrame:
+    """id of each row: prefix and a number from the largest taken one of that prefix on (``taken``: key, id)."""
+    number = F.expr(f"try_cast(regexp_extract(id, '^{prefix}([0-9]+)$', 1) AS int)")
+    above = taken.groupBy(key).agg(F.max(number).alias("_above"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return rows.join(above, key, "left").withColumn("id", F.concat(F.lit(prefix), F.coalesce("_above", F.lit(0)) + place)).drop("_above")
+
+
+def global_numbers(references: DataFrame, key: str = "doc_id") -> DataFrame:
+    """number of each note over footnotes and endnotes alike, by first reference (key, seq, kind, note_id)."""
+    first = references.groupBy(key, "kind", "note_id").agg(F.min("seq").alias("_first"))
+    return first.withColumn("number", F.row_number().over(Window.partitionBy(key).orderBy("_first", "kind", "note_id"))).drop("_first")
+
+
+def first_differences(left: DataFrame, right: DataFrame, n: int = 10, key: str = "doc_id") -> DataFrame:
+    """The first ``n`` places of each document whose texts differ: (key, seq, old, new)."""
+    pair = left.select(key, "seq", F.col("text").alias("old")).join(right.select(key, "seq", F.col("text").alias("new")), [key, "seq"], "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")))
+    return pair.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("seq"))).filter(F.col("_n") <= n).drop("_n")
+
+
+def row_heights(cells: DataFrame, line: float, padding: float, key: str = "table_id") -> DataFrame:
+    """(key, row, height, y): a row is as high as its cell of most lines (column ``lines``), and starts where the ones above end."""
+    rows = cells.groupBy(key, "row").agg((F.max("lines") * line + 2 * padding).alias("height"))
+    return rows.withColumn("y", F.sum("height").over(Window.partitionBy(key).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("height"))

@@ -98,3 +98,9 @@ def filled(rows: DataFrame, template: str, values: dict[str, str]) -> F.Column:
 def lookup(rows: DataFrame, column: str, table: DataFrame, key: str, *take: str) -> DataFrame:
     """Left equi-join for relationship, numbering and media lookups; Spark broadcasts the table where its size allows."""
     return rows.join(table.select(F.col(key).alias(column), *take), column, "left")
+
+
+def deep_merged(base: str, over: str, skip_empty: bool = True) -> F.Column:
+    """Maps of maps (`font` -> `size` -> text) merged at both depths; null and empty values of ``over`` are skipped if asked."""
+    inner = "coalesce(nullif(b, ''), a)" if skip_empty else "if(map_contains_key(coalesce(y, map()), j), b, a)"
+    return F.expr(f"map_zip_with(coalesce({base}, map()), coalesce({over}, map()), (k, x, y) -> map_filter(map_zip_with(coalesce(x, map()), coalesce(y, map()), (j, a, b) -> {inner}), (j, v) -> {'v IS NOT NULL' if skip_empty else 'true'}))")

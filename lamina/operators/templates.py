@@ -168,3 +168,29 @@ def filled(rows: DataFrame, values: dict[str, str], passes: int = 2, column: str
         # inline keeps the passes from being written into one another
         rows = rows.withColumn("_filled", F.expr(f"array({text})")).withColumn(column, F.explode("_filled")).drop("_filled")
     return rows
+
+
+def replaced_counted(rows: DataFrame, key: str, value: str, column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows (paragraphs and cells alike) with every spelling of a placeholder replaced, and (doc_id, n): how many pairs of a row and a spelling were met."""
+    spelled = [a + n + b for n in filter(None, (key, key.partition(":")[2])) for a, b in (("{{ ", " }}"), ("{{ ", "}}"), ("{{", " }}"), ("{{", "}}"), ("{ ", " }"), ("{", "}"))]
+    # a spelling counts in what the ones before it left
+    text, hits = F.col(column), F.lit(0)
+    for p in spelled:
+        hits = hits + F.contains(text, F.lit(p)).cast("int")
+        text = F.replace(text, F.lit(p), F.lit(value))
+    return rows.withColumn(column, text), rows.groupBy("doc_id").agg(F.sum(hits).alias("n"))
+
+
+def image_rows(rows: DataFrame, name: str, images: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows with images in place of an image placeholder: (key, seq, part, kind, text, path, width, height).
+
+    ``images``: (key, path, width, height wanted or null, own_width, own_height). The paragraph keeps its text without the placeholder, the image follows it.
+    """
+    hit, text = F.lit(False), F.col("text")
+    for p in (f"{{{{ {name} }}}}", f"{{{{{name}}}}}", f"{{ {name} }}", f"{{{name}}}"):
+        hit, text = hit | F.contains(F.col("text"), F.lit(p)), F.replace(text, F.lit(p), F.lit(""))
+    found = rows.withColumn("_hit", hit).withColumn("_left", text).join(images, key, "left").withColumn("_hit", F.col("_hit") & F.col("path").isNotNull())
+    plain = found.select(key, "seq", F.lit(0).alias("part"), F.lit("paragraph").alias("kind"), F.when(F.col("_hit"), F.col("_left")).otherwise(F.col("text")).alias("text"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"))
+    size = F.expr(image_size("width", "height", "own_width", "own_height"))
+    own = found.filter("_hit").withColumn("_size", size).select(key, "seq", F.lit(1).alias("part"), F.lit("image").alias("kind"), F.lit("").alias("text"), "path", F.col("_size.w").alias("width"), F.col("_size.h").alias("height"))
+    return plain.unionByName(own)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lamina import plugins
@@ -368,3 +369,110 @@ def dispatched_layout(spark, d):
     engines.add(lambda kind: kind.startswith("para"), lambda kind: F.char_length("text") / 2.0)
     engines.add(lambda kind: kind in ("table", "cell"), lambda kind: F.lit(40.0))
     return E.with_kinds(para(spark, d)).select("doc_id", "seq", engines.column("kind", "paragraph", "table", "image").alias("h"))
+
+# --- further rules ---------------------------------------------------------------------------------------------------------------------
+
+sql("color_channels", f"SELECT p_partkey, c.r, c.g, c.b, {V.rgb_hex('p_size', '(p_partkey % 256)', '0')} AS h FROM (SELECT p_partkey, p_size, {V.rgb('t')} AS c FROM (SELECT p_partkey, p_size, element_at(array('#a1b', '00FF7f', '#12', 'red'), cast(p_partkey % 4 + 1 AS int)) AS t FROM part))",
+    "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 170 WHEN 1 THEN 0 END AS r, CASE p_partkey % 4 WHEN 0 THEN 17 WHEN 1 THEN 255 END AS g, CASE p_partkey % 4 WHEN 0 THEN 187 WHEN 1 THEN 127 END AS b, '#' || format('{:02x}', p_size) || format('{:02x}', p_partkey % 256) || '00' AS h FROM part")
+sql("hsl_colors", f"SELECT p_partkey, c.r, c.g, c.b FROM (SELECT p_partkey, {V.hsl_rgb('(p_size * 7.2D)', '0.5D', '0.4D')} AS c FROM part)",
+    "SELECT p_partkey, round(255 * (0.2::DOUBLE + CASE WHEN s < 1 OR s >= 5 THEN 0.4::DOUBLE WHEN s < 2 THEN 0.4::DOUBLE * (2 - s) WHEN s < 4 THEN 0 ELSE 0.4::DOUBLE * (s - 4) END))::INT AS r, round(255 * (0.2::DOUBLE + CASE WHEN s < 1 THEN 0.4::DOUBLE * s WHEN s < 3 THEN 0.4::DOUBLE WHEN s < 4 THEN 0.4::DOUBLE * (4 - s) ELSE 0 END))::INT AS g, round(255 * (0.2::DOUBLE + CASE WHEN s < 2 THEN 0 WHEN s < 3 THEN 0.4::DOUBLE * (s - 2) WHEN s < 5 THEN 0.4::DOUBLE ELSE 0.4::DOUBLE * (6 - s) END))::INT AS b FROM (SELECT p_partkey, (p_size * 7.2::DOUBLE / 60) % 6 AS s FROM part)")
+sql("rect_unions", f"SELECT p_partkey, u.x, u.y, u.w, u.h FROM (SELECT p_partkey, {V.united('a', 'b')} AS u FROM (SELECT p_partkey, named_struct('x', p_size, 'y', 5, 'w', 10, 'h', 10) AS a, named_struct('x', 20, 'y', p_partkey % 9, 'w', 4, 'h', 30) AS b FROM part))",
+    "SELECT p_partkey, least(p_size, 20) AS x, least(5, p_partkey % 9) AS y, greatest(p_size + 10, 24) - least(p_size, 20) AS w, greatest(15, p_partkey % 9 + 30) - least(5, p_partkey % 9) AS h FROM part")
+sql("numbers_or_texts", f"SELECT p_partkey, {V.number_or_text('if(p_size % 2 = 0, concat(p_size, \" 000,5\"), p_name)')} AS v FROM part", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size || '000.5' ELSE p_name END AS v FROM part")
+FIELDS = "element_at(array('TOC \\\\o \"1-3\" \\\\h \\\\z', 'REF Mark \\\\h', 'PAGE \\\\* ROMAN', 'DATE \\\\@ \"dd MM\"', 'seq x \\\\# 0.0'), cast(event_id % 5 + 1 AS int))"
+sql("field_parts", f"SELECT event_id, p.name, p.target, p.levels, p.picture, p.number_format, p.display, array_join(p.flags, '') AS flags FROM (SELECT event_id, {V.field_parts(FIELDS)} AS p FROM events)",
+    "SELECT event_id, ['TOC', 'REF', 'PAGE', 'DATE', 'SEQ'][k] AS name, [NULL, 'Mark', NULL, NULL, 'x'][k] AS target, CASE WHEN k = 1 THEN '1-3' END AS levels, CASE WHEN k = 4 THEN 'dd MM' END AS picture, CASE WHEN k = 3 THEN 'ROMAN' END AS number_format, CASE WHEN k = 5 THEN '0.0' END AS display, ['hz', 'h', '', '', ''][k] AS flags FROM (SELECT event_id, event_id % 5 + 1 AS k FROM events)")
+sql("page_tokens", f"SELECT event_id, {V.page_tokens(chr(39) + '[PAGE]/[NUMPAGES] [DATE] [TIME]' + chr(39), 'user_id', 'event_id', 'ts')} AS v FROM events", "SELECT event_id, user_id || '/' || event_id || ' ' || strftime(ts, '%d.%m.%Y %H:%M') AS v FROM events")
+sql("text_paragraphs", f"SELECT p_partkey, {V.text_paragraph('p_name', 'k', '(p_size % 3 + 1)', 'if(p_size % 2 = 0, \"number\", \"bullet\")', 'p_size % 5 = 0', 'false', 200)} AS v FROM (SELECT *, element_at(array('heading', 'list_item', 'paragraph'), cast(p_partkey % 3 + 1 AS int)) AS k FROM part)",
+    "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN CASE p_size % 3 WHEN 0 THEN m || chr(10) || repeat('=', length(m)) WHEN 1 THEN m || chr(10) || repeat('-', length(m)) ELSE '### ' || m END WHEN 1 THEN repeat('  ', (p_size % 3 + 1)::INT) || CASE WHEN p_size % 2 = 0 THEN '1. ' ELSE '• ' END || m ELSE m END AS v FROM (SELECT *, CASE WHEN p_size % 5 = 0 THEN '**' || p_name || '**' ELSE p_name END AS m FROM part)")
+
+
+@query("deep_styles", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'Lato' END AS face, '11' AS size, p_brand AS color, CASE WHEN p_size % 2 = 0 THEN p_name ELSE '' END AS raw FROM part")
+def deep_styles(spark, d):
+    base, over = "map('font', map('face', 'Lato', 'size', '11'))", "map('font', map('face', if(p_size % 2 = 0, p_name, '')), 'text', map('color', p_brand))"
+    own = table(spark, d, "part").select("p_partkey", S.deep_merged(base, over).alias("s"), S.deep_merged(base, over, skip_empty=False).alias("r"))
+    return own.select("p_partkey", F.col("s")["font"]["face"].alias("face"), F.col("s")["font"]["size"].alias("size"), F.col("s")["text"]["color"].alias("color"), F.col("r")["font"]["face"].alias("raw"))
+
+
+@query("document_stats", f"SELECT doc_id, count(*) AS total, count_if(seq % 5 <> 3 AND seq % 7 <> 5)::BIGINT AS paragraphs, count_if(seq % 5 = 3)::BIGINT AS tables, 3::BIGINT AS pages, CASE WHEN doc_id % 2 = 0 THEN n_chars END AS characters FROM {PARA_DUCK} JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id) GROUP BY doc_id, n_chars")
+def document_stats(spark, d):
+    told = table(spark, d, "documents").selectExpr("doc_id", "inline(array(named_struct('name', 'Pages', 'value', '3'), named_struct('name', 'Characters', 'value', if(doc_id % 2 = 0, cast(n_chars AS string), 'many'))))")
+    return R.document_stats(E.with_kinds(para(spark, d)), told).select("doc_id", "total", "paragraphs", "tables", "pages", "characters")
+
+
+@query("run_signatures", "SELECT user_id AS doc_id, event_type AS font, count(*) AS n, (row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)))::INT AS number FROM events GROUP BY 1, 2")
+def run_signatures(spark, d):
+    return R.run_signatures(table(spark, d, "events").selectExpr("user_id AS doc_id", "event_id AS seq", "0 AS run", "event_type AS font"), "font")
+
+
+@query("unique_ids", "SELECT n_regionkey AS doc_id, n_name, 'el' || (n_regionkey * 10 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name)) AS id FROM nation")
+def unique_ids(spark, d):
+    taken = table(spark, d, "region").selectExpr("r_regionkey AS doc_id", "explode(array(concat('el', r_regionkey * 10), 'el2x', 'other99')) AS id")
+    return R.unique_ids(table(spark, d, "nation").selectExpr("n_regionkey AS doc_id", "n_name"), taken, "el", "n_name")
+
+
+@query("global_note_numbers", "SELECT user_id AS doc_id, event_type AS kind, event_id % 9 AS note_id, (row_number() OVER (PARTITION BY user_id ORDER BY min(event_id), event_type))::INT AS number FROM events GROUP BY 1, 2, 3")
+def global_note_numbers(spark, d):
+    return R.global_numbers(table(spark, d, "events").selectExpr("user_id AS doc_id", "event_id AS seq", "event_type AS kind", "event_id % 9 AS note_id"))
+
+
+@query("first_differences", "SELECT doc_id, seq FROM (SELECT doc_id, seq, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS n FROM $PARA WHERE seq % 3 = 0) WHERE n <= 10")
+def first_differences(spark, d):
+    own = para(spark, d)
+    return R.first_differences(own, own.withColumn("text", F.expr("if(seq % 3 = 0, concat(text, '!'), text)"))).select("doc_id", "seq")
+
+
+@query("row_heights", "SELECT l_orderkey AS table_id, \"row\", h AS height, (sum(h) OVER (PARTITION BY l_orderkey ORDER BY \"row\")) - h AS y FROM (SELECT l_orderkey, l_linenumber % 4 AS \"row\", max(l_quantity) * 12.0::DOUBLE + 4 AS h FROM lineitem GROUP BY 1, 2)")
+def row_heights(spark, d):
+    return R.row_heights(table(spark, d, "lineitem").selectExpr("l_orderkey AS table_id", "l_linenumber % 4 AS row", "l_quantity AS lines"), 12.0, 2.0)
+
+
+@query("html_updates", "SELECT doc_id, seq, md5(CASE WHEN seq % 2 = 0 OR doc_id % 2 = 0 THEN text ELSE text || '!' END) AS v FROM $PARA")
+def html_updates(spark, d):
+    own = para(spark, d)
+    return E.updated(own, own.filter("doc_id % 2 = 1").withColumn("text", F.expr("if(seq % 2 = 0, text, concat(text, '!'))"))).select("doc_id", "seq", F.md5("text").alias("v"))
+
+
+@query("layout_build", "SELECT n_regionkey AS doc_id, n_nationkey AS seq, CASE n_nationkey % 3 WHEN 0 THEN 'header' WHEN 1 THEN 'footer' ELSE 'body' END AS place, CASE WHEN n_nationkey % 2 = 0 THEN 'center' END AS jc, CASE WHEN n_nationkey % 4 = 1 THEN 'decimal' END AS format FROM nation")
+def layout_build(spark, d):
+    own = table(spark, d, "nation").selectExpr("n_regionkey AS doc_id", "n_nationkey AS seq", "element_at(array('header1', 'footer2', 'document'), n_nationkey % 3 + 1) AS part", "if(n_nationkey % 2 = 0, 'H', 'N') AS style", "if(n_nationkey % 4 = 1, '7', NULL) AS num_id", "0 AS level")
+    docs = own.select("doc_id").distinct()
+    styles = docs.withColumns({"style_id": F.lit("H"), "properties": F.expr("map('jc', 'center')")})
+    levels = docs.withColumns({"num_id": F.lit("7"), "level": F.lit(0), "format": F.lit("decimal"), "template": F.lit("%1.")})
+    return E.built(own, styles, levels).select("doc_id", "seq", "place", F.col("properties")["jc"].alias("jc"), "format")
+
+
+@query("replacement_counts", "SELECT doc_id, sum(CASE WHEN seq % 4 = 0 THEN 2 WHEN seq % 4 = 1 THEN 1 ELSE 0 END)::BIGINT AS n FROM $PARA GROUP BY doc_id")
+def replacement_counts(spark, d):
+    own = para(spark, d).withColumn("text", F.expr("CASE seq % 4 WHEN 0 THEN 'a {{TEXT:Xy}} {Xy} b' WHEN 1 THEN '{ Xy }' ELSE text END"))
+    return P.replaced_counted(own, "TEXT:Xy", "v")[1]
+
+
+@query("image_placeholders", "SELECT doc_id, seq, 0 AS part, 'paragraph' AS kind, NULL AS width, NULL AS height FROM $PARA UNION ALL SELECT doc_id, seq, 1, 'image', 400, 200 FROM $PARA WHERE seq = 1 AND doc_id % 2 = 0")
+def image_placeholders(spark, d):
+    own = para(spark, d).withColumn("text", F.expr("if(seq = 1, 'x {IMAGE:Logo}', text)"))
+    images = own.filter("doc_id % 2 = 0").select("doc_id").distinct().selectExpr("doc_id", "'a.png' AS path", "cast(NULL AS int) AS width", "cast(NULL AS int) AS height", "800 AS own_width", "400 AS own_height")
+    return P.image_rows(own, "IMAGE:Logo", images).select("doc_id", "seq", "part", "kind", "width", "height")
+
+
+@query("text_tables", """WITH c AS (SELECT l_orderkey AS table_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))::INT AS r, l_partkey::VARCHAR AS a, l_returnflag AS b FROM lineitem),
+  w AS (SELECT table_id, max(length(a))::INT AS n FROM c GROUP BY 1), l AS (SELECT table_id, r, rpad(a, n, ' ') || ' | ' || b AS line FROM c JOIN w USING (table_id))
+  SELECT table_id, min(line) FILTER (WHERE r = 1) || chr(10) || repeat('-', length(min(line) FILTER (WHERE r = 1))) || coalesce(chr(10) || string_agg(line, chr(10) ORDER BY r) FILTER (WHERE r > 1), '') AS text FROM l GROUP BY 1""")
+def text_tables(spark, d):
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    own = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("table_id"), place.alias("row"), F.array(F.col("l_partkey").cast("string"), "l_returnflag").alias("cells"))
+    return sink.text_tables(own)
+
+
+@query("csv_documents", "SELECT conv_id AS doc_id, 'Title,x' || chr(13) || chr(10) || string_agg(CASE WHEN turn % 2 = 0 THEN 'Paragraph,' || role ELSE 'Table ' || n || chr(13) || chr(10) || 'H,h' || chr(13) || chr(10) || role || ',' || turn END, chr(13) || chr(10) ORDER BY turn) AS csv FROM (SELECT *, sum(turn % 2) OVER (PARTITION BY conv_id ORDER BY turn)::INT AS n FROM conversations) GROUP BY conv_id")
+def csv_documents(spark, d):
+    tables = "if(turn % 2 = 0, NULL, array(named_struct('is_header', false, 'cells', array(role, cast(turn AS string))), named_struct('is_header', true, 'cells', array('H', 'h'))))"
+    return sink.csv_document(table(spark, d, "conversations").selectExpr("conv_id AS doc_id", "turn AS seq", "role AS text", f"{tables} AS tables"), {"Title": "x"})
+
+
+@query("flat_elements", "SELECT conv_id AS doc_id, count(*) AS n, count_if(turn % 2 = 0)::BIGINT AS styled, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY 1")
+def flat_elements(spark, d):
+    own = table(spark, d, "conversations").selectExpr("conv_id AS doc_id", "turn AS seq", "'paragraph' AS kind", "role AS text", "if(turn % 2 = 0, 'Quote', NULL) AS style", "named_struct('x', turn, 'y', 0) AS position")
+    read = sink.flat_elements(own, "style", "position").select("doc_id", F.from_json("json", "elements array<struct<type:string,id:string,text:string,style:string,position:struct<x:int,y:int>>>").alias("j"))
+    e = F.col("j.elements")
+    return read.select("doc_id", F.size(e).cast("long").alias("n"), F.size(F.filter(e, lambda x: x["style"] == "Quote")).cast("long").alias("styled"), F.array_join(e["text"], ",").alias("roles"))

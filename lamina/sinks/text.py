@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import text as T
@@ -88,3 +88,35 @@ def markdown_documents(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     mark = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.least("level", F.lit(6))), F.lit(" "))).when(F.col("kind") == "list_item", F.when(F.col("form") == "bullet", "- ").otherwise("1. ")).otherwise("")
     lines = F.sort_array(F.collect_list(F.struct("seq", F.concat(mark, "text").alias("line"))))["line"]
     return rows.groupBy(key).agg(F.array_join(lines, "\n").alias("markdown")).withColumn("markdown", F.expr(tidied_markdown("markdown")))
+
+
+def text_tables(rows: DataFrame, key: str = "table_id") -> DataFrame:
+    """(key, text): rows (key, row, cells) as lines of cells padded to their column's width, a line of dashes behind the first."""
+    cells = rows.select(key, "row", F.posexplode("cells").alias("col", "cell"))
+    width = F.max(F.char_length("cell")).over(Window.partitionBy(key, "col"))
+    lines = cells.withColumn("cell", F.rpad("cell", width, F.lit(" "))).groupBy(key, "row").agg(F.array_join(F.sort_array(F.collect_list(F.struct("col", "cell")))["cell"], " | ").alias("line"))
+    own = F.sort_array(F.collect_list(F.struct("row", "line")))["line"]
+    whole = lines.groupBy(key).agg(own.alias("l"))
+    return whole.select(key, F.array_join(F.concat(F.slice("l", 1, 1), F.array(F.repeat(F.lit("-"), F.char_length(F.col("l")[0]))), F.slice("l", F.lit(2), F.size("l"))), "\n").alias("text"))
+
+
+def csv_document(rows: DataFrame, metadata: dict[str, str] | None = None, separator: str = ",") -> DataFrame:
+    """(doc_id, csv): metadata rows, then paragraphs and tables in order; each table has a caption `Table N`, its header row first.
+
+    ``rows``: (doc_id, seq, text, tables array<struct<is_header, cells>> or null); blank paragraphs are dropped.
+    """
+    quoted = lambda cells: F.array_join(F.transform(cells, lambda c: F.when(c.rlike(f'[{separator}"\\r\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)), separator)
+    kept = rows.filter(F.col("tables").isNotNull() | (F.trim("text") != ""))
+    number = F.count("tables").over(Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    body = F.concat(F.filter("tables", lambda t: t["is_header"]), F.filter("tables", lambda t: ~t["is_header"]))
+    table = F.concat(F.array(F.concat(F.lit("Table "), number)), F.transform(body, lambda t: quoted(t["cells"])))
+    lines = kept.select("doc_id", "seq", F.when(F.col("tables").isNotNull(), table).otherwise(F.array(quoted(F.array(F.lit("Paragraph"), "text")))).alias("lines"))
+    head = [F.lit(f"{k}{separator}{v}") for k, v in (metadata or {}).items()]
+    whole = F.flatten(F.sort_array(F.collect_list(F.struct("seq", "lines")))["lines"])
+    return lines.groupBy("doc_id").agg(F.array_join(F.concat(F.array(*head), whole) if head else whole, "\r\n").alias("csv"))
+
+
+def flat_elements(rows: DataFrame, *extra: str) -> DataFrame:
+    """(doc_id, json): the elements in order with type, id, text and whatever of ``extra`` (style, formatting, position, table_data, image_data) a row has; absent values leave no key."""
+    element = F.struct("seq", F.struct(F.col("kind").alias("type"), F.concat_ws("_", "kind", "seq").alias("id"), F.nullif("text", F.lit("")).alias("text"), *extra).alias("e"))
+    return rows.groupBy("doc_id").agg(F.to_json(F.struct(F.lit("flat").alias("document_type"), F.sort_array(F.collect_list(element))["e"].alias("elements"))).alias("json"))
