@@ -1,11 +1,11 @@
-"""The thin queries of the ten operators and the pipeline, with production parameters over whole tables."""
+"""The thin queries of the operators and the pipeline, with production parameters over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lamina.llm import ann, bpe_dp, common, langid, line_templates, packing, ppm, quality, sharding, simhash, token_store
+from lamina.llm import ann, bpe_dp, common, langid, line_templates, negatives, packing, ppm, quality, secrets, sharding, simhash, token_store, whitening
 
 
 def _tokenizer(name: str) -> str:
@@ -62,6 +62,18 @@ def op10_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(_documents(spark, sf_dir))
+
+
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.policy_report(_documents(spark, sf_dir))
 
@@ -70,6 +82,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_posting_lists, op2_ppm, op3_quality_ledger, op4_token_frames, op5_bpe_prefixes, op6_line_templates, op7_simhash_pivots, op8_language_id, op9_virtual_slots, op10_cutting_stock, quality_ablations, pipeline)}
-ORACLES = {"op3_quality_ledger": quality.ORACLE, "quality_ablations": quality.REPORT_ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+QUERIES = {f.__name__: f for f in (op1_posting_lists, op2_ppm, op3_quality_ledger, op4_token_frames, op5_bpe_prefixes, op6_line_templates, op7_simhash_pivots, op8_language_id, op9_virtual_slots, op10_cutting_stock, op11_whitening, op12_hard_negatives, op13_secret_battery, quality_ablations, pipeline)}
+ORACLES = {"op3_quality_ledger": quality.ORACLE, "op12_hard_negatives": negatives.ORACLE, "quality_ablations": quality.REPORT_ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 
