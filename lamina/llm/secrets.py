@@ -28,7 +28,7 @@ VALUE = 8
 TOKEN = "[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Encodings by their first fit: pattern, alphabet, and for text: the chances that two and that three symbols are the same, and that the next one is of another class.
 HEX_DIGITS, LOWER, UPPER, DIGITS = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-WORDS, NAMES = (0.066, 0.0055, 0.15), (0.066, 0.0055, 0.35)
+WORDS, NAMES = (0.066, 0.0055, 0.15), (0.055, 0.0042, 0.45)
 ENCODINGS = {
     "base16": ("^([0-9a-f]+|[0-9A-F]+)$", HEX_DIGITS, (0.11, 0.0145, 0.15)),
     "base32": ("^[A-Z2-7]+$", UPPER + "234567", WORDS),
