@@ -130,7 +130,8 @@ def file_bounds(docs: DataFrame, rows_per_file: int, bytes_per_file: int) -> np.
     """
     n = docs.select("doc_id").count()
     fine = max(1, min(MOST_FILES, 8 * -(-n // rows_per_file)))
-    cuts = docs.approxQuantile("doc_id", [i / fine for i in range(1, fine)], 1 / (8 * fine)) if fine > 1 else []
+    ordered = docs.select(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("doc_id"))  # nulls come first and may be many
+    cuts = ordered.approxQuantile("doc_id", [i / fine for i in range(1, fine)], 1 / (8 * fine)) if fine > 1 else []
     cuts = np.sort(np.array(cuts, dtype=np.int64))
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
     known = np.zeros((len(cuts) + 1, 2), np.int64)
@@ -147,7 +148,7 @@ def file_bounds(docs: DataFrame, rows_per_file: int, bytes_per_file: int) -> np.
 
 
 def part_of(doc_id: str, text: str, cuts: np.ndarray) -> F.Column:
-    """The number of the part between ``cuts`` that a row falls in; rows of an id that is several cuts are spread over the parts around them by their texts."""
+    """The number of the part between ``cuts`` that a row falls in; rows of an id (or without one) that is several cuts are spread over the parts around them, equal texts too."""
 
     @F.pandas_udf("int")
     def place(ids: pd.Series, salt: pd.Series) -> pd.Series:
@@ -155,7 +156,7 @@ def part_of(doc_id: str, text: str, cuts: np.ndarray) -> F.Column:
         low, high = np.searchsorted(cuts, own, side="left"), np.searchsorted(cuts, own, side="right")
         return pd.Series(np.where(high - low > 1, low + salt.to_numpy() % (high - low + 1), high).astype(np.int32))
 
-    return place(F.col(doc_id).cast("string"), F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 30)))
+    return place(F.col(doc_id).cast("string"), F.pmod(F.xxhash64(F.coalesce(text, F.lit("")), F.monotonically_increasing_id()), F.lit(1 << 30)))
 
 
 def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, rows_per_file: int = ROWS_PER_FILE, bytes_per_file: int = BYTES_PER_FILE) -> DataFrame:
