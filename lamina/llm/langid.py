@@ -11,14 +11,14 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm import common
 
-#: Bounds of the sample that the dictionaries are made of, in whole texts: rows a language, bytes of a text, bytes of a language's dictionary, and
-#: languages (the most frequent). Predictions know no such bounds.
-SAMPLE_ROWS, TEXT_BYTES, DICTIONARY_BYTES, LANGUAGES = 400, 1 << 15, 1 << 17, 256
+#: Bounds of the sample that the dictionaries are made of: rows a language, bytes of a text, bytes of a language's dictionary and of all together, and
+#: languages (the most frequent). Predictions know no such bounds. Up to PREPARED languages the compressors' tables stay in memory.
+SAMPLE_ROWS, TEXT_BYTES, DICTIONARY_BYTES, ALL_BYTES, LANGUAGES, PREPARED = 400, 1 << 15, 1 << 17, 1 << 25, 1024, 64
 BLOCK_BYTES = 4096
 #: A text is rejected if the second language takes less than this share of bytes more.
 MARGIN = 0.002
@@ -47,7 +47,8 @@ class Classifier:
         for level, packers in self.packers.items():
             for language in self.languages:
                 content = zstandard.ZstdCompressionDict(dictionaries[language], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                content.precompute_compress(level=level)
+                if len(self.languages) <= PREPARED:
+                    content.precompute_compress(level=level)
                 packers.append(zstandard.ZstdCompressor(level=level, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def sizes(self, text: str) -> np.ndarray:
@@ -75,30 +76,35 @@ class Classifier:
 def fit(docs: DataFrame) -> dict[str, bytes]:
     """language -> dictionary from (doc_id, text, lang) rows with a language, in order of a hash of doc_id, equal texts once.
 
-    A text is taken whole or not at all: those of over TEXT_BYTES and those that no longer fit in DICTIONARY_BYTES are left out. Rows without a text or a
-    language teach nothing; of more than LANGUAGES languages the most frequent are learned (ties: the least name). Without labelled rows: no dictionary.
+    Texts are taken whole: those of over TEXT_BYTES and those that no longer fit in the dictionary are left out. A language that has only longer texts is
+    learned from TEXT_BYTES characters of each, cut at a blank. Rows without a text or a language, and texts without a letter, teach nothing; of more than LANGUAGES languages the most
+    frequent are learned (ties: the least name), and many languages share ALL_BYTES. Without labelled rows: no dictionary. Two passes over the labelled rows, whatever the
+    number of languages: one counts, one draws.
     """
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= TEXT_BYTES))
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    long = F.octet_length("text") > TEXT_BYTES
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")).withColumn("long", long)
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("all"), F.count_if(~F.col("long")).alias("short")).orderBy(F.desc("all"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return {}
+    most = min(DICTIONARY_BYTES, ALL_BYTES // len(counts))
     spot = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.length("text")), F.lit(1 << 30))
-    limit = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, 1.5 * SAMPLE_ROWS / n) * (1 << 30))))])
-    chosen = labelled.withColumn("spot", spot).filter(F.col("spot") <= limit[F.col("lang")]).select("lang", "spot", "text")
-    found: dict[str, bytes] = {}
-    for language in counts:  # one at a time: at most 1.5 x SAMPLE_ROWS texts of TEXT_BYTES are on the driver
-        rows = sorted(chosen.filter(F.col("lang") == language).orderBy("spot", "text").limit(SAMPLE_ROWS).collect(), key=lambda r: (r.spot, r.text))
-        seen, parts, size = set(), [], 0
-        for r in rows:
-            part = letters_of(r.text)
-            key = hashlib.md5(part).digest()
-            if part and key not in seen and size + len(part) + 1 <= DICTIONARY_BYTES:
-                seen.add(key)
-                parts.append(part)
-                size += len(part) + 1
-        if parts:
-            found[language] = b" ".join(parts)
-    return found
+    share = docs.sparkSession.createDataFrame([(r.lang, r.short == 0, int(min(1.0, 1.5 * SAMPLE_ROWS / (r.short or r["all"])) * (1 << 30))) for r in counts], "lang string, long boolean, least long")
+    chosen = labelled.withColumn("spot", spot).join(F.broadcast(share), ["lang", "long"]).filter(F.col("spot") <= F.col("least"))  # a row a language
+    text = F.when(F.col("long"), F.regexp_replace(F.left("text", F.lit(TEXT_BYTES)), r"\s\S*$", "")).otherwise(F.col("text"))
+    order = Window.partitionBy("lang").orderBy("spot", "text")
+    drawn = chosen.select("lang", "spot", text.alias("text")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= SAMPLE_ROWS)
+    drawn = drawn.withColumn("before", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))).filter(F.coalesce("before", F.lit(0)) <= 4 * most)
+    found: dict[str, list[bytes]] = {}
+    seen: dict[str, set] = {}
+    for r in sorted(drawn.select("lang", "r", "text").collect(), key=lambda r: (r.lang, r.r)):  # at most some 4 x ALL_BYTES and a text a language
+        parts, known = found.setdefault(r.lang, []), seen.setdefault(r.lang, set())
+        part = letters_of(r.text)
+        part = part if parts or len(part) < most else part[:most].rpartition(b" ")[0] or part[:most]  # the first one always teaches something
+        key = hashlib.md5(part).digest()
+        if part and key not in known and sum(map(len, parts)) + len(parts) + len(part) <= most:
+            known.add(key)
+            parts.append(part)
+    return {language: b" ".join(parts) for language, parts in found.items() if parts}
 
 
 @lru_cache(maxsize=4)
@@ -112,7 +118,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *keep: str) -> Dat
     Null texts and texts without a letter are `und`, score 0, not accepted. If no language was learned, every row is `und`, score 0, and those with a
     letter are accepted: nothing speaks against them. Ties of sizes go to the language that sorts first and are not accepted. A very long text is compressed
     block by block, whole. Repeated rows stay rows; kept columns pass untouched, whatever their names and nulls; an empty table gives no rows.
-    Rows stay where they are: nothing is shuffled. The dictionaries that go to all tasks hold at most LANGUAGES x DICTIONARY_BYTES.
+    Rows stay where they are: nothing is shuffled. The dictionaries that go to all tasks hold at most ALL_BYTES.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(sorted(dictionaries.items())))
 
