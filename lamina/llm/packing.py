@@ -147,7 +147,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH)
     spark = docs.sparkSession
     unit = length // UNITS
     folder = common.scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILLER_BUCKETS)).cast("int").alias("h"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(FILLER_BUCKETS)).cast("int").alias("h"))  # of the row: ids may be one or none
     known = common.written(tokenized(docs, tokenizer, end_id, length, False).withColumn("rid", F.monotonically_increasing_id()), "known", folder)
     rest = F.col("n") % length
     table = known.groupBy("h", F.ceil(rest / unit).cast("int").alias("c")).agg(F.count("*").alias("d"), F.sum("n").alias("n"), F.sum(rest).alias("r")).collect()

@@ -222,3 +222,48 @@ def test_very_long_texts(spark, tmp_path):
     assert line_templates.deduplicated(df).filter("doc_id = 1").first().n_lines == 40_000
     assert langid.held_out_identification(df).count() == simhash.near_duplicates(df).count() == 3
     assert packing.pack(df, WORD).filter("doc_id = 1").agg(F.max("doc_tokens") == F.sum("length")).first()[0]
+
+
+def test_store_splits_rows_without_id(spark):
+    """2,000 rows without an id, half of them equal, make files of some 20 rows."""
+    rows = [(None, "same text" if i % 2 else f"text {i}") for i in range(2000)] + [(i, "x") for i in range(50)]
+    manifest = token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"), f"{common.scratch(spark)}/nulls", BYTE, rows_per_file=20)
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert sum(sizes) == 2050 and max(sizes) <= 60
+    read = token_store.read_store(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in read] == [None] * 2000 + list(range(50))
+
+
+def test_languages_of_long_texts_and_many_languages(spark):
+    french = "le chat noir dort sur la chaise verte pendant que la pluie tombe doucement dans le jardin de la maison "
+    english = "the black cat sleeps on the green chair while the rain falls softly in the garden of the house "
+    rows = [(i, french * 400 + str(i), "fr") for i in range(30)] + [(100 + i, english + str(i), "en") for i in range(30)]
+    found = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(found) == {"fr", "en"} and all(0 < len(d) <= langid.DICTIONARY_BYTES for d in found.values())
+    classifier = langid.Classifier(found)
+    assert classifier.predict("le jardin de la maison verte")[0] == "fr" and classifier.predict("the garden of the house")[0] == "en"
+    letters = "abcdefghijklmnopqrst"
+    words = lambda k: " ".join(letters[(k * 7 + i * (k % 13 + 1)) % 20] * 2 + letters[(k + i) % 20] + letters[k % 20] + letters[k // 20] for i in range(60))
+    many = [(3 * k + j, words(k) + " " + letters[j], f"l{k:03}") for k in range(300) for j in range(2)]
+    assert len(langid.fit(spark.createDataFrame(many, "doc_id long, text string, lang string"))) == 300
+
+
+def test_packing_of_rows_without_id(spark):
+    """All rows without an id: they are dealt to fillers and patterns by their texts, and no sequence is padded."""
+    rows = [(None, "word " * (40 + 7 * i % 900)) for i in range(300)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), WORD).collect()
+    filled = Counter()
+    for r in out:
+        filled[r.sequence_id] += r.length
+    short = [n for n in filled.values() if n != packing.LENGTH]
+    assert sum(filled.values()) == sum(r.length for r in out) and all(n & (n - 1) == 0 for n in short)
+
+
+def test_search_bounds_lose_nothing(spark, monkeypatch):
+    """Many small groups, so that most cells have a bound: the same rows as with all in one group."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.standard_normal((1500, 8)), 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, ann.search(df).collect()))
+    monkeypatch.setattr(ann, "GROUP", 300)
+    assert sorted(map(tuple, ann.search(df).collect())) == whole
