@@ -4,11 +4,13 @@ A bounded sample is clustered by k-means whose overfull clusters are split, so t
 the number of vectors. A graph of near neighbours among the centroids stays in memory and is searched best-first. Every distinct vector goes to
 its nearest centroid's list, and a boundary vector also to further lists whose centroids are nearly as near, unless one lies too close to a
 centroid chosen before. A query searches the lists whose centroids are within a ratio of its nearest one's distance, and further ones until they hold READ vectors.
+Lists stop growing in number where the sample ends (at some 32,000 for vectors of 64 components), and grow in length from there on.
 
 The largest inner product becomes the least distance by one more coordinate, which gives all vectors the largest norm and is zero in
 queries. Equal vectors are one entry with its least ids, as many as a result can hold. Neighbouring lists are dealt out together, so that a vector travels
 once for each such group; groups and their queries are cut into cells of bounded size. A cell scores in double precision the entries that share a list with a
-query, and keeps its best by score, then least vec_id: nothing that ties with the last one is cut unseen.
+query, and keeps its best by score, then least vec_id: nothing that ties with the last one is cut unseen. The group of a query's nearest list is searched first; its
+worst score of the wanted number is a bound below which the cells of all other groups hand nothing on.
 """
 
 from __future__ import annotations
@@ -31,20 +33,26 @@ COPIES, BOUNDARY, APART = 4, 1.2, 0.3
 RATIO, READ = 1.17, 1024
 #: Neighbours of a centroid in the graph, and the width of the search.
 DEGREE, ENTRIES = 24, 32
-#: Entries of a group of lists, and most entries and queries in one cell.
-GROUP, CELL = 8192, 8192
+#: Entries of a group of lists, most entries and queries in one cell, and distances that are held at a time on the driver.
+GROUP, CELL, DISTANCES = 8192, 8192, 1 << 22
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
 
 
+def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The place of each row's nearest centre, in blocks of a bounded number of distances."""
+    step = max(16, DISTANCES // max(1, len(centers)))
+    return np.concatenate([squared(x[i : i + step], centers).argmin(1) for i in range(0, len(x), step)])
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """Centroids of clusters, none over twice the mean size: overfull ones are split in two until they fit."""
     rng = np.random.default_rng(seed)
     centers = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        of = np.concatenate([squared(x[i : i + 4096], centers).argmin(1) for i in range(0, len(x), 4096)])
+        of = nearest(x, centers)
         sizes = np.bincount(of, minlength=len(centers))
         sums = np.zeros_like(centers)
         np.add.at(sums, of, x)
@@ -168,7 +176,7 @@ def stacked(column: pd.Series) -> np.ndarray:
 
 
 def best_of(queries: pd.DataFrame, entries: pd.DataFrame, top: int) -> pd.DataFrame:
-    """One row a query: its ``top`` entries among those that share a list with it, by exact score and then least id, as arrays."""
+    """One row a query: its ``top`` entries among those that share a list with it and reach its ``bound``, by exact score and then least id, as arrays."""
     found = []
     if len(queries) and len(entries):
         x, q = stacked(entries.v), stacked(queries.v)
@@ -181,7 +189,7 @@ def best_of(queries: pd.DataFrame, entries: pd.DataFrame, top: int) -> pd.DataFr
 
         low = np.array([i[0] for i in entries.ids])
         asked, held = incidence(queries.lists), incidence(entries.lists)
-        keys = queries.key.to_numpy()
+        keys, bounds = queries.key.to_numpy(), queries.bound.to_numpy()
         for at in range(0, len(q), 256):
             rough = q[at : at + 256] @ x.T
             rough[asked[at : at + 256] @ held.T == 0] = -np.inf
@@ -192,7 +200,9 @@ def best_of(queries: pd.DataFrame, entries: pd.DataFrame, top: int) -> pd.DataFr
                 chosen = np.flatnonzero(np.isfinite(row) & (row >= least[i] - slack[i]))
                 exact = (x[chosen] * q[at + i]).sum(1)  # one order of summation wherever a pair is scored
                 order = np.lexsort((low[chosen], -exact))[:m]
-                found.append((keys[at + i], [entries.ids.iloc[j] for j in chosen[order]], exact[order]))
+                order = order[exact[order] >= bounds[at + i]]
+                if len(order):
+                    found.append((keys[at + i], [entries.ids.iloc[j] for j in chosen[order]], exact[order]))
     return pd.DataFrame(found, columns=["query", "ids", "scores"])
 
 
@@ -248,7 +258,7 @@ def index(vectors: DataFrame, top: int = TOP, every: int = EVERY) -> Index | Non
 
     graph = CentroidGraph(kmeans(lifted(sample), int(max(1, min(LISTS * isqrt(n), n // LIST, len(sample) // 2)))))
     near = kmeans(graph.centers.astype(float), max(1, min(len(graph.centers), n * COPIES // GROUP)))
-    group_of = squared(graph.centers.astype(float), near).argmin(1)
+    group_of = nearest(graph.centers, near.astype(np.float32))
     shared = spark.sparkContext.broadcast((graph, group_of))  # no more centroids than the sample has vectors
 
     def dealt(batches, lists_of):
@@ -259,7 +269,7 @@ def index(vectors: DataFrame, top: int = TOP, every: int = EVERY) -> Index | Non
                 for own in lists_of(stacked(part.v)):
                     g = shared.value[1][own]
                     first.append(int(own[0]))
-                    groups.append([{"g": int(k), "lists": own[g == k].tolist()} for k in np.unique(g)])
+                    groups.append([{"g": int(k), "lists": own[g == k].tolist(), "near": bool(k == g[0])} for k in np.unique(g)])
                 yield part.assign(first=first, groups=groups)
 
     def post(batches):
@@ -268,12 +278,12 @@ def index(vectors: DataFrame, top: int = TOP, every: int = EVERY) -> Index | Non
     def probe(batches):
         yield from dealt(batches, lambda v: shared.value[0].probes(lifted(v, True), sizes))
 
-    grouped = "first int, groups array<struct<g: int, lists: array<int>>>"
+    grouped = "first int, groups array<struct<g: int, lists: array<int>, near: boolean>>"
     postings = common.written(entries.select("key", "ids", "v").mapInPandas(post, f"key long, ids array<long>, v array<double>, {grouped}"), "placed", folder)
     sizes = np.zeros(len(graph.centers), np.int64)  # each vector once, on its first list
     for row in postings.groupBy("first").agg(F.count("*").alias("m")).collect():
         sizes[row["first"]] = row.m
-    postings = postings.select("key", "ids", "v", F.inline("groups"))
+    postings = postings.select("key", "ids", "v", F.inline("groups")).drop("near")
     probes = entries.filter("asked").select("key", "v").mapInPandas(probe, f"key long, v array<double>, {grouped}").select("key", "v", F.inline("groups"))
     return Index(rows=rows, entries=entries, postings=postings, probes=common.written(probes, "probes", folder), n=n, lists=len(graph.centers), folder=folder, spark=spark)
 
@@ -292,9 +302,18 @@ def found_by(built: Index | None, top: int, every: int) -> DataFrame:
         df = df.join(cut, "g").withColumn(a, F.pmod(F.xxhash64("key"), F.col(mine)).cast("int"))
         return df.withColumn(b, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).select(*own, "a", "b")
 
-    cells = dealt(probes, "nq", "np", "b", "a").groupBy("g", "a", "b").cogroup(dealt(postings, "np", "nq", "a", "b").groupBy("g", "a", "b"))
-    pairs = cells.applyInPandas(lambda queries, own: best_of(queries, own, top + 1), "query long, ids array<array<long>>, scores array<double>")
-    pairs = pairs.select("query", F.inline(F.arrays_zip("ids", "scores"))).withColumn("low", F.col("ids")[0])
+    def searched(asking: DataFrame, name: str) -> DataFrame:
+        """(query, ids, scores): what the cells of these queries (key, v, g, lists, bound) hand on, a row a cell and query."""
+        cells = dealt(asking, "nq", "np", "b", "a").groupBy("g", "a", "b").cogroup(dealt(postings, "np", "nq", "a", "b").groupBy("g", "a", "b"))
+        return common.written(cells.applyInPandas(lambda queries, own: best_of(queries, own, top + 1), "query long, ids array<array<long>>, scores array<double>"), name, built.folder)
+
+    lowest = F.lit(float("-inf"))
+    first = searched(probes.filter("near").drop("near").withColumn("bound", lowest), "nearest")
+    # the cells of a query's nearest group, at most top + 1 scores each; fewer in all leave it without a bound
+    bounds = first.select("query", F.explode("scores").alias("s")).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s")))).filter(F.col("r") == top + 1)
+    asking = probes.filter("NOT near").drop("near").join(bounds.select(F.col("query").alias("key"), F.col("s").alias("bound")), "key", "left")
+    others = searched(asking.withColumn("bound", F.coalesce("bound", lowest)), "further")
+    pairs = first.unionByName(others).select("query", F.inline(F.arrays_zip("ids", "scores"))).withColumn("low", F.col("ids")[0])
     pairs = pairs.groupBy("query", "ids", "low").agg(F.max("scores").alias("score"))  # an entry may lie in several groups
     best = Window.partitionBy("query").orderBy(F.desc("score"), "low")
     pairs = pairs.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= top + 1).select("query", "score", F.explode("ids").alias("vec_id"))
