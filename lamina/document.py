@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import text as T
-from lamina.operators import assembly, elements, merging, styles
+from lamina.operators import assembly, elements, fill, full_merge, merging, styles
 from lamina.sinks import package as package_sink
 from lamina.sinks import pdf as pdf_sink
 from lamina.sinks import text as text_sink
@@ -67,24 +67,25 @@ class Documents:
     def replace(self, needle: str, by: str, case_sensitive: bool = True) -> Documents:
         return self._with(elements.replace(self.rows, needle, by, case_sensitive).drop("n"), f"replace {needle}")
 
-    def fill(self, data: DataFrame, **values: str) -> Documents:
-        """Placeholders filled from one row of ``data`` (doc_id, ...) a document; values are SQL expressions over it by key.
+    def fill(self, data: DataFrame, blocks: dict[str, str] | None = None, sections: dict[str, str] | None = None, **values: str) -> Documents:
+        """Placeholders filled from one row of ``data`` (doc_id, ...) a document; values are SQL expressions over it by key, shown as the key's type asks.
 
+        ``blocks`` (key -> ``fill.table_block``, ``list_block``, ``image_block``, ``watermark_block``) come in place of their placeholders; ``sections`` (name -> condition) show or hide.
         Keys without a value, and documents without a row or with a null value, keep their placeholders.
         """
-        names = {key: f"_value_{i}" for i, key in enumerate(values)}
-        own = data.select("doc_id", *(F.expr(x).cast("string").alias(names[key]) for key, x in values.items()))
-        rows = self.rows.join(own, "doc_id", "left")
-        filled: Column = F.col("text")
-        for key, column in names.items():
-            for spelling in _spellings(key):
-                filled = F.replace(filled, F.lit(spelling), F.coalesce(column, F.lit(spelling)))
-        return self._with(rows.withColumn("text", filled).drop(*names.values()), "fill")
+        return self._with(fill.filled(self.rows, data, values, blocks, sections), "fill")
 
     def merge(self, other: Documents, prepend: bool = False) -> Documents:
         """Each document with the other's of the same doc_id behind or before it."""
         return self._with(elements.merged(self.rows, other.rows, prepend), "merge")
 
+    def merge_full(self, other: Documents, page_break: bool = True) -> dict[str, DataFrame]:
+        """The tables of whole merged packages by kind (elements, runs, styles, numbering, notes, comments, sections, relationships, parts): ``full_merge.merged`` of both sides' packages by their path's last name."""
+        if self.packages is None or other.packages is None:
+            raise ValueError("these documents don't come from packages")
+        named = lambda p: p.withColumn("doc_id", F.substring_index("path", "/", -1)).select("doc_id", "content")
+        return full_merge.merged(full_merge.tables_of(named(self.packages), "doc_id"), full_merge.tables_of(named(other.packages), "doc_id"), page_break=page_break)
+
     def merge_groups(self, groups: DataFrame, group: str) -> Documents:
         """One document a group of (doc_id, group), a page break between its members."""
         rows = merging.merged_in_order(self.rows.select("doc_id", "seq", "kind", "text").join(groups.select("doc_id", group), "doc_id"), group)
@@ -151,8 +152,3 @@ class Documents:
         own = F.sort_array(F.collect_list(F.struct("seq", "text")))["text"]
         return package_sink.write_packages(self.of_kind("paragraph").groupBy("doc_id").agg(own.alias("lines")), "doc_id", "lines")
 
-
-def _spellings(key: str) -> list[str]:
-    """All spellings of a key, the longest first, so that none is met inside another."""
-    names = [key, *([key.partition(":")[2]] if ":" in key else [])]
-    return [a + n + b for n in names for a, b in (("{{ ", " }}"), ("{{ ", "}}"), ("{{", " }}"), ("{{", "}}"), ("{ ", " }"), ("{", "}"))]

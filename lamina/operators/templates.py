@@ -154,22 +154,6 @@ def typed(key: str, value: str) -> str:
     return f"coalesce({shown.get(key.partition(':')[0].upper() if ':' in key else '', lambda: text)()}, '')"
 
 
-def filled(rows: DataFrame, values: dict[str, str], passes: int = 2, column: str = "text") -> DataFrame:
-    """``column`` with every placeholder replaced by its typed value (key -> SQL expression over the row); a value may hold placeholders, which the next pass fills.
-
-    A pass is a projection of its own, so the plan grows by one chain of replacements a pass. Longer spellings go first, so none is met inside another.
-    """
-    for _ in range(passes):
-        text = column
-        for key, value in values.items():
-            for name in filter(None, (key, key.partition(":")[2])):
-                for a, b in (("{{ ", " }}"), ("{{ ", "}}"), ("{{", " }}"), ("{{", "}}"), ("{ ", " }"), ("{", "}")):
-                    text = f"replace({text}, '{a}{name}{b}', {typed(key, value)})"
-        # inline keeps the passes from being written into one another
-        rows = rows.withColumn("_filled", F.expr(f"array({text})")).withColumn(column, F.explode("_filled")).drop("_filled")
-    return rows
-
-
 def replaced_counted(rows: DataFrame, key: str, value: str, column: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (paragraphs and cells alike) with every spelling of a placeholder replaced, and (doc_id, n): how many pairs of a row and a spelling were met."""
     spelled = [a + n + b for n in filter(None, (key, key.partition(":")[2])) for a, b in (("{{ ", " }}"), ("{{ ", "}}"), ("{{", " }}"), ("{{", "}}"), ("{ ", " }"), ("{", "}"))]
@@ -184,13 +168,15 @@ def replaced_counted(rows: DataFrame, key: str, value: str, column: str = "text"
 def image_rows(rows: DataFrame, name: str, images: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows with images in place of an image placeholder: (key, seq, part, kind, text, path, width, height).
 
-    ``images``: (key, path, width, height wanted or null, own_width, own_height). The paragraph keeps its text without the placeholder, the image follows it.
+    ``images``: (key, path, width, height wanted or null, own_width, own_height). The paragraph keeps its text without the placeholder, a document's images follow it by their paths.
     """
     hit, text = F.lit(False), F.col("text")
     for p in (f"{{{{ {name} }}}}", f"{{{{{name}}}}}", f"{{ {name} }}", f"{{{name}}}"):
         hit, text = hit | F.contains(F.col("text"), F.lit(p)), F.replace(text, F.lit(p), F.lit(""))
-    found = rows.withColumn("_hit", hit).withColumn("_left", text).join(images, key, "left").withColumn("_hit", F.col("_hit") & F.col("path").isNotNull())
-    plain = found.select(key, "seq", F.lit(0).alias("part"), F.lit("paragraph").alias("kind"), F.when(F.col("_hit"), F.col("_left")).otherwise(F.col("text")).alias("text"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"))
     size = F.expr(image_size("width", "height", "own_width", "own_height"))
-    own = found.filter("_hit").withColumn("_size", size).select(key, "seq", F.lit(1).alias("part"), F.lit("image").alias("kind"), F.lit("").alias("text"), "path", F.col("_size.w").alias("width"), F.col("_size.h").alias("height"))
+    all_images = images.filter("path IS NOT NULL").select(key, F.struct("path", size.alias("size")).alias("_i")).groupBy(key).agg(F.array_sort(F.collect_list("_i")).alias("_images"))
+    found = rows.withColumn("_hit", hit).withColumn("_left", text).join(all_images, key, "left").withColumn("_hit", F.col("_hit") & F.col("_images").isNotNull())
+    plain = found.select(key, "seq", F.lit(0).alias("part"), F.lit("paragraph").alias("kind"), F.when(F.col("_hit"), F.col("_left")).otherwise(F.col("text")).alias("text"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"))
+    own = found.filter("_hit").select(key, "seq", F.posexplode("_images").alias("part", "_i"))
+    own = own.select(key, "seq", (F.col("part") + 1).alias("part"), F.lit("image").alias("kind"), F.lit("").alias("text"), F.col("_i.path").alias("path"), F.col("_i.size.w").alias("width"), F.col("_i.size.h").alias("height"))
     return plain.unionByName(own)

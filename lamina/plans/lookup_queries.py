@@ -9,6 +9,7 @@ from lamina import plugins
 from lamina.functions import formats
 from lamina.functions import values as V
 from lamina.operators import elements as E
+from lamina.operators import fill
 from lamina.operators import lookups as L
 from lamina.operators import merging as M
 from lamina.operators import reports as R
@@ -342,7 +343,7 @@ def markdown_documents(spark, d):
 def typed_fill(spark, d):
     """The first pass puts a text in that holds a further placeholder."""
     own = table(spark, d, "orders").withColumn("text", F.lit("Pay {{ CURRENCY:Sum }} by {DATE:Due} for {{TEXT:What}}; {Open}"))
-    return P.filled(own, {"CURRENCY:Sum": "o_totalprice", "DATE:Due": "o_orderdate", "TEXT:What": "'order {No}'", "No": "o_orderkey"}).select("o_orderkey", "text")
+    return fill.texts(own, {"CURRENCY:Sum": "o_totalprice", "DATE:Due": "o_orderdate", "TEXT:What": "'order {No}'", "No": "o_orderkey"}).select("o_orderkey", "text")
 
 
 @query("xml_mapped", "SELECT p_partkey, p_name AS name, p_size AS size, p_partkey::VARCHAR AS id FROM part")
