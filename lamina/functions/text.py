@@ -112,6 +112,15 @@ def escape_html(text: str) -> str:
     return text
 
 
+def running(numbers: str) -> str:
+    """The running sums of an array of ints. Blocks of 256 keep the growing arrays short, so the work is all but linear."""
+    prefix = lambda a, start: f"slice(aggregate({a}, array({start}), (s, v) -> array_append(s, element_at(s, -1) + v)), 2, size({a}))"
+    once = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
+    sums = once("os", f"concat(array(0), {prefix('ts', '0')})", f"flatten(zip_with(bs, slice(os, 1, size(bs)), (x, o) -> {prefix('x', 'o')}))")
+    blocks = once("bs", "transform(sequence(0, (size(ns) - 1) div 256), b -> slice(ns, b * 256 + 1, 256))", once("ts", "transform(bs, x -> aggregate(x, 0, (s, v) -> s + v))", sums))
+    return once("ns", numbers, f"if(size(ns) = 0, cast(array() AS array<int>), {blocks})")
+
+
 def wrap(text: str, width: int) -> str:
     """Greedy wrap in one fold over the words. The first line of a text counts a column more than the next ones, as the rule has it."""
     words = f"filter(split({text}, '\\\\s+'), w -> w <> '')"

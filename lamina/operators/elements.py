@@ -33,14 +33,14 @@ def joined_text(rows: DataFrame, separator: str = "\n", key: str = "doc_id") ->
 def search(rows: DataFrame, needle: str, around: int = 50, case_sensitive: bool = False) -> DataFrame:
     """A row for each match that doesn't overlap the one before: start, end (from 0) and up to ``around`` characters on both sides.
 
-    Without case the text is lowered for matching only; places then index the text as it is.
+    Without case, letters match as the rules of Unicode fold them, one for one; places are those of the text as it is.
     """
-    hay = F.col("text") if case_sensitive else F.lower("text")
-    word = needle if case_sensitive else needle.lower()
-    parts = F.split(hay, f"\\Q{word}\\E", -1)
-    lengths = F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.char_length)
-    ends = F.aggregate(lengths, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n + len(word))))
-    hits = rows.filter(F.contains(hay, F.lit(word))).withColumn("end", F.explode(ends)).withColumn("start", F.col("end") - len(word))
+    pattern = ("" if case_sensitive else "(?iu)") + f"\\Q{needle}\\E"
+    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    spans = F.arrays_zip(F.transform(F.split("text", pattern, -1), F.char_length).alias("gap"), F.transform(found, F.char_length).alias("length"))
+    steps = rows.filter(F.col("text").rlike(pattern)).withColumn("_spans", F.filter(spans, lambda x: x["length"].isNotNull()))
+    ends = steps.withColumn("_ends", F.expr(text.running("transform(_spans, x -> x.gap + x.length)")))
+    hits = ends.withColumn("_hit", F.explode(F.arrays_zip("_ends", "_spans"))).withColumn("end", F.col("_hit._ends")).withColumn("start", F.col("end") - F.col("_hit._spans.length")).drop("_spans", "_ends", "_hit")
     low = F.greatest(F.col("start") - around, F.lit(0))
     return hits.withColumn("context", F.substring("text", low + 1, F.col("end") + around - low))
 

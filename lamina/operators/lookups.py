@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The category of each kind of element; kinds that are not listed are structural.
+#: The category of each kind of element; kinds that are not listed are structural. Kinds of this library's own scans are beside those that they stand for.
 CATEGORIES = {
-    "text": ("paragraph", "run", "text", "hyperlink", "field", "footnote", "endnote", "comment", "heading", "list_item"),
-    "table": ("table", "table_row", "table_cell", "cell", "row"),
-    "graphical": ("image", "drawing", "textbox", "shape", "chart", "smartart", "picture"),
+    "text": ("paragraph", "run", "text", "field", "hyperlink", "heading", "list_item"),
+    "table": ("table", "table_row", "table_cell", "row", "cell"),
+    "graphical": ("image", "textbox", "shape", "smartart", "chart", "drawing", "picture"),
+    "layout": ("header", "footer", "footnote", "endnote"),
+    "meta": ("comment", "bookmark", "controlbox"),
+    "style": ("style_ref", "relation_ref", "numbering", "metadata_ref"),
 }
 
 
@@ -49,7 +52,7 @@ def of_level(issues: DataFrame, *levels: str) -> DataFrame:
 
 
 def category(kind: str = "kind") -> Column:
-    """text, table, graphical or structural."""
+    """text, table, graphical, layout, meta, style or structural."""
     out = F.lit("structural")
     for name, kinds in CATEGORIES.items():
         out = F.when(F.col(kind).isin(*kinds), name).otherwise(out)

@@ -19,10 +19,14 @@ def merged_in_order(rows: DataFrame, group: str) -> DataFrame:
 
 
 def styles_merged(target: DataFrame, source: DataFrame, suffix: str = "_merged", key: str = "doc_id") -> DataFrame:
-    """Styles of both sides of each document; a source style whose id the target has gets a new id, old_id tells which it was."""
+    """Styles of both sides of each document; a source style whose id the target has gets a new id, old_id tells which it was, and what is based on it follows (column ``based_on``)."""
     taken = target.select(key, "style_id").distinct().withColumn("_taken", F.lit(True))
+    new = lambda c: F.concat(c, F.lit(suffix))
     own = source.join(taken, [key, "style_id"], "left").withColumn("old_id", F.col("style_id"))
-    own = own.withColumn("style_id", F.when(F.col("_taken"), F.concat("style_id", F.lit(suffix))).otherwise(F.col("style_id"))).drop("_taken")
+    own = own.withColumn("style_id", F.when(F.col("_taken"), new("style_id")).otherwise(F.col("style_id"))).drop("_taken")
+    if "based_on" in source.columns:
+        moved = source.select(key, "style_id").distinct().join(taken, [key, "style_id"]).withColumnRenamed("style_id", "based_on")
+        own = own.join(moved, [key, "based_on"], "left").withColumn("based_on", F.when(F.col("_taken"), new("based_on")).otherwise(F.col("based_on"))).drop("_taken")
     return target.withColumn("old_id", F.col("style_id")).unionByName(own)
 
 
@@ -54,10 +58,10 @@ def replaced(target: DataFrame, source: DataFrame, key: str, value: str) -> Data
     return target.select(key, value).join(own, key, "full_outer").select(key, F.coalesce("_new", value).alias(value))
 
 
-def remapped(rows: DataFrame, column: str, mapping: DataFrame, old: str, new: str) -> DataFrame:
-    """``column`` with old ids replaced by new ones; ids that the mapping lacks stay."""
-    pairs = mapping.select(F.col(old).alias(column), F.col(new).alias("_new"))
-    return rows.join(pairs, column, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+def remapped(rows: DataFrame, column: str, mapping: DataFrame, old: str, new: str, key: str = "doc_id") -> DataFrame:
+    """``column`` with a document's old ids replaced by its new ones (``mapping``: key, old, new); ids that its mapping lacks stay."""
+    pairs = mapping.select(key, F.col(old).alias(column), F.col(new).alias("_new"))
+    return rows.join(pairs, [key, column], "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
 def new_ids(parts: DataFrame, key: str, order: str, above: str, prefix: str = "rId") -> DataFrame:

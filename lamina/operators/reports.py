@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.operators.parts import part_name
+
 #: Parts that a package must and may have, and the property ranges that validation knows.
 REQUIRED = ("[Content_Types].xml", "_rels/.rels", "word/document.xml")
 OPTIONAL = ("word/styles.xml", "word/numbering.xml", "word/settings.xml", "word/theme/theme1.xml", "docProps/core.xml", "docProps/app.xml")
@@ -69,7 +71,8 @@ def text_table(rows: DataFrame, key: str, *columns: str, separator: str = " | ")
 
 
 def markdown_line(*columns: str) -> Column:
-    return F.concat(F.lit("| "), F.concat_ws(" | ", *columns), F.lit(" |"))
+    """Cells between bars; a bar in a cell is escaped."""
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")) for c in columns)), F.lit(" |"))
 
 
 def dimensions(rows: DataFrame, key: str, cells: str) -> DataFrame:
@@ -118,12 +121,7 @@ def package_issues(parts: DataFrame, relationships: DataFrame, key: str = "doc_i
     missing = lambda names, level: F.transform(F.array_except(F.array(*map(F.lit, names)), "_parts"), lambda p: F.struct(F.lit(level).alias("level"), F.lit("missing_part").alias("rule"), p.alias("element")))
     absent = own.select(key, F.inline(F.concat(missing(REQUIRED, "error"), missing(OPTIONAL, "warning"))))
     untyped = parts.filter(F.col("content_type").isNull() & (F.col("part") != REQUIRED[0])).select(key, F.lit("warning").alias("level"), F.lit("no_content_type").alias("rule"), F.col("part").alias("element"))
-    folder = F.regexp_extract("source", r"^(.*/)?[^/]*$", 1)
-    whole = F.when(F.col("target").startswith("/"), F.expr("substring(target, 2)")).otherwise(F.concat(folder, "target"))
-    # "word/../x" is "x"; a part name has few folders, so three steps up are enough
-    for _ in range(3):
-        whole = F.regexp_replace(whole, r"(^|/)[^/.]+/\.\./", "$1")
-    inner = relationships.filter(F.coalesce("target_mode", F.lit("Internal")) != "External").withColumn("part", whole)
+    inner = relationships.filter(F.coalesce("target_mode", F.lit("Internal")) != "External").withColumn("part", part_name())
     broken = inner.join(parts.select(key, "part"), [key, "part"], "left_anti").select(key, F.lit("error").alias("level"), F.lit("broken_target").alias("rule"), F.col("rel_id").alias("element"))
     return absent.unionByName(untyped).unionByName(broken)
 

@@ -38,12 +38,48 @@ def chains(styles: DataFrame, key: str = "doc_id") -> DataFrame:
     return one.groupBy(key).agg(F.collect_list(F.struct("style_id", "based_on")).alias("own")).select(key, F.inline(walked("own")))
 
 
+#: A document's styles with all that they inherit.
+RESOLVED = "array<struct<style_id:string,properties:array<struct<key:string,value:string>>>>"
+
+
+def inherited(based: dict[str, str | None], own: dict[str, dict]) -> dict[str, dict]:
+    """The properties of each style over those of its chain. A base is resolved once for all styles on it; only the members of a cycle walk their own way round."""
+    done: dict[str, dict] = {}
+    for style in based:
+        path, at = {}, style
+        while at in based and at not in done and at not in path:
+            path[at] = len(path)
+            at = based[at]
+        ring = [s for s in path if at in path and path[s] >= path[at]]
+        for i, s in enumerate(ring):
+            whole: dict = {}
+            for a in reversed(ring[i:] + ring[:i]):
+                whole |= own[a]
+            done[s] = whole
+        for s in reversed(path):
+            if s not in done:
+                done[s] = done.get(based[s], {}) | own[s]
+    return done
+
+
 def resolved(styles: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, style_id, properties): those of the whole chain, nearer styles over farther ones."""
-    own = chains(styles, key).join(styles.select(key, F.col("style_id").alias("ancestor"), "properties"), [key, "ancestor"])
-    pairs = own.select(key, "style_id", "depth", F.explode("properties").alias("name", "value"))
-    nearest = pairs.groupBy(key, "style_id", "name").agg(F.min_by("value", "depth").alias("value"))
-    return nearest.groupBy(key, "style_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("properties"))
+    """(key, style_id, properties): those of the whole chain, nearer styles over farther ones. Of repeated style ids the least base counts, with its properties.
+
+    One document's styles are the unit of work, and each is resolved once.
+    """
+
+    @F.pandas_udf(RESOLVED)
+    def walked(documents: pd.Series) -> pd.Series:
+        out = []
+        for rows in documents:
+            based = {x["style_id"]: x["based_on"] for x in rows}
+            own = {x["style_id"]: {p["key"]: p["value"] for p in x["properties"]} if x["properties"] is not None else {} for x in rows}
+            out.append([{"style_id": s, "properties": [{"key": k, "value": v} for k, v in sorted(p.items())]} for s, p in inherited(based, own).items() if p])
+        return pd.Series(out, dtype=object)
+
+    one = styles.groupBy(key, "style_id").agg(F.min(F.struct("based_on", F.array_sort(F.map_entries("properties")).alias("properties"))).alias("s"))
+    per = one.groupBy(key).agg(F.collect_list(F.struct("style_id", "s.based_on", "s.properties")).alias("own"))
+    return per.select(key, F.inline(walked("own"))).select(key, "style_id", F.map_from_entries("properties").alias("properties"))
 
 
 def cascaded(*layers: str) -> F.Column:
@@ -70,9 +106,9 @@ def pruned(style: str) -> F.Column:
     return F.expr(f"map_filter({style}, (k, v) -> coalesce(v, '') NOT IN ('', 'false', '[]', '{{}}'))")
 
 
-def dangling(rows: DataFrame, column: str, targets: DataFrame, key: str) -> DataFrame:
-    """Rows whose reference has no target."""
-    return rows.filter(F.col(column).isNotNull()).join(targets.select(F.col(key).alias(column)).distinct(), column, "left_anti")
+def dangling(rows: DataFrame, column: str, targets: DataFrame, target: str, key: str = "doc_id") -> DataFrame:
+    """Rows whose reference has no target in their own document."""
+    return rows.filter(F.col(column).isNotNull()).join(targets.select(key, F.col(target).alias(column)).distinct(), [key, column], "left_anti")
 
 
 def placeholders(templates: DataFrame, column: str = "text") -> DataFrame:

@@ -229,10 +229,11 @@ def relationship_ids(spark, d):
     return M.new_ids(own, "n_regionkey", "n_name", "above").select("n_nationkey", "new_id")
 
 
-@query("copied_references", "SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN s_nationkey + 100 ELSE s_nationkey END AS s_nationkey FROM supplier")
+@query("copied_references", "SELECT s_suppkey % 3 AS doc_id, s_suppkey, CASE WHEN s_suppkey % 3 < 2 AND s_nationkey % 2 = 0 THEN s_nationkey + 100 * (s_suppkey % 3 + 1) ELSE s_nationkey END AS s_nationkey FROM supplier")
 def copied_references(spark, d):
-    mapping = table(spark, d, "nation").filter("n_nationkey % 2 = 0").selectExpr("n_nationkey AS old", "n_nationkey + 100 AS new")
-    return M.remapped(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey", mapping, "old", "new")
+    """Two of three documents have new ids of their own for the same old ones."""
+    mapping = table(spark, d, "nation").filter("n_nationkey % 2 = 0").selectExpr("explode(array(0L, 1L)) AS doc_id", "n_nationkey AS old").selectExpr("doc_id", "old", "old + 100 * (doc_id + 1) AS new")
+    return M.remapped(table(spark, d, "supplier").selectExpr("s_suppkey % 3 AS doc_id", "s_suppkey", "s_nationkey"), "s_nationkey", mapping, "old", "new")
 
 
 CYCLE = "CASE WHEN n_nationkey < 4 THEN (n_nationkey + 1) % 4 WHEN n_nationkey % 5 = 0 THEN NULL WHEN n_nationkey % 2 = 0 THEN n_nationkey // 2 ELSE n_nationkey - 4 END"

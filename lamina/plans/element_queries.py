@@ -141,9 +141,11 @@ def validation_issues(spark, d):
     return E.issues(para(spark, d), empty=F.col("text") == "", long=F.length("text") > 500, blanks=F.contains("text", F.lit("  ")))
 
 
-@query("dangling_labels", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)")
+@query("dangling_labels", "SELECT o_orderkey % 3 AS doc_id, o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 10 <> 0 AND c_custkey % 3 = o_orderkey % 3)")
 def dangling_labels(spark, d):
-    return S.dangling(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", table(spark, d, "customer").filter("c_custkey % 10 <> 0"), "c_custkey")
+    """A label that another document has is none of this one."""
+    labels = table(spark, d, "customer").filter("c_custkey % 10 <> 0").selectExpr("c_custkey % 3 AS doc_id", "c_custkey")
+    return S.dangling(table(spark, d, "orders").selectExpr("o_orderkey % 3 AS doc_id", "o_orderkey", "o_custkey"), "o_custkey", labels, "c_custkey")
 
 
 def styles(spark, d):

@@ -73,16 +73,15 @@ def tables_by_style(spark, d):
     return R.dimensions(L.by_style(own, "Grid"), "table_id", "cells").select("table_id", "n_rows")
 
 
-KINDS = "['paragraph', 'table', 'image', 'section', 'textbox', 'cell', 'hyperlink', NULL]"
+KINDS = "['paragraph', 'table', 'image', 'section', 'textbox', 'cell', 'hyperlink', NULL, 'footnote', 'header', 'comment', 'bookmark', 'numbering', 'endnote', 'field', 'style_ref']"
 
 
-@query("element_categories", "SELECT event_id, ['text', 'table', 'graphical', 'structural', 'graphical', 'table', 'text', 'structural'][event_id % 8 + 1] AS category FROM events")
+@query("element_categories", "SELECT event_id, ['text', 'table', 'graphical', 'structural', 'graphical', 'table', 'text', 'structural', 'layout', 'layout', 'meta', 'meta', 'style', 'layout', 'text', 'style'][event_id % 16 + 1] AS category FROM events")
 def element_categories(spark, d):
-    own = table(spark, d, "events").selectExpr("event_id", f"element_at(array{KINDS.replace('[', '(').replace(']', ')')}, cast(event_id % 8 + 1 AS int)) AS kind")
+    own = table(spark, d, "events").selectExpr("event_id", f"element_at(array{KINDS.replace('[', '(').replace(']', ')')}, cast(event_id % 16 + 1 AS int)) AS kind")
     return own.select("event_id", L.category().alias("category"))
 
 
-
 @query("nested_elements", "SELECT doc_id, seq FROM $PARA WHERE seq % 4 > 0")
 def nested_elements(spark, d):
     own = para(spark, d).selectExpr("doc_id", "seq", "concat('body.', if(seq % 4 = 0, 'paragraph', if(seq % 4 = 1, 'table[0].cell', 'table[0].cell.table[0].cell')), '[', seq, ']') AS path", "if(seq % 4 = 0, 'paragraph', 'cell') AS kind")
@@ -181,9 +180,10 @@ def text_table(spark, d):
     return R.text_table(table(spark, d, "part"), "p_size", "p_name", "p_brand").select("p_partkey", "line")
 
 
-@query("markdown_table", "SELECT p_partkey, '| ' || p_name || ' | ' || p_brand || ' | ' || p_size || ' |' AS line FROM part")
+@query("markdown_table", "SELECT p_partkey, '| ' || p_name || '\\|x | ' || p_brand || ' | ' || p_size || ' |' AS line FROM part")
 def markdown_table(spark, d):
-    return table(spark, d, "part").select("p_partkey", R.markdown_line("p_name", "p_brand", "p_size").alias("line"))
+    """A bar in a cell is escaped."""
+    return table(spark, d, "part").withColumn("p_name", F.concat("p_name", F.lit("|x"))).select("p_partkey", R.markdown_line("p_name", "p_brand", "p_size").alias("line"))
 
 
 @query("table_dimensions", "SELECT l_orderkey, count(*) AS n_rows, sum(n)::BIGINT AS cells, min(n) AS lo, max(n) AS hi, round(avg(n), 6) AS mean, min(n) = max(n) AS regular FROM (SELECT l_orderkey, 3 + l_linenumber % 2 AS n FROM lineitem) GROUP BY l_orderkey")
