@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina import scratch
 from lamina.functions import text as T
-from lamina.operators import assembly, elements, fill, full_merge, merging, styles
+from lamina.operators import assembly, elements, fill, full_merge, merging, normalize, styles
 from lamina.sinks import package as package_sink
 from lamina.sinks import pdf as pdf_sink
 from lamina.sinks import text as text_sink
@@ -95,6 +96,14 @@ class Documents:
         """Runs of blanks become one."""
         return self._with(self.rows.withColumn("text", F.expr(T.collapse_spaces("text"))), "normalize")
 
+    def normalised_tables(self) -> dict[str, DataFrame]:
+        """elements, runs and styles of the packages with clean values, united runs and styles in place of local formatting (``normalize.normalised``)."""
+        if self.packages is None:
+            raise ValueError("these documents don't come from packages")
+        once = scratch.written(package.unpack(self.packages, "runs", "styles"), "packages")
+        runs, styles = (package.rows_of(once, kind).withColumnRenamed("path", "doc_id") for kind in ("runs", "styles"))
+        return normalize.normalised(self.rows, runs, styles)
+
     def to_text(self, title: Column | None = None) -> DataFrame:
         found = text_sink.plain(self.rows, title if title is not None else F.col("doc_id").cast("string"))
         return found.withColumn("text", F.expr(text_sink.finished("text")))
