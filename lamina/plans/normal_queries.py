@@ -1,11 +1,11 @@
-"""Normalised documents and lines of texts."""
+"""Normalised documents, lines of texts, identity of media."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lamina.operators import linebreak, normalize
+from lamina.operators import linebreak, media_identity, normalize
 from lamina.plans.base import query, table
 from lamina.plans.element_queries import para
 
@@ -69,3 +69,27 @@ def broken_lines(spark, d):
 @query("broken_lines_by_length", lines_duck("length(word) + 1", 0, "30") + " SELECT conv_id, turn, line, md5(string_agg(word, ' ' ORDER BY i)) AS v FROM g GROUP BY conv_id, turn, line UNION ALL SELECT conv_id, turn, 0, md5('') FROM conversations WHERE regexp_matches(text, '^\\s*$')")
 def broken_lines_by_length(spark, d):
     return linebreak.broken_by_length(table(spark, d, "conversations").select("conv_id", "turn", "text"), 200.0, 11.0).select("conv_id", "turn", "line", F.md5("text").alias("v"))
+
+
+MEDIA_DUCK = """WITH l AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq, l_partkey % 5 AS k, l_suppkey % 2 AS n FROM lineitem),
+o AS (SELECT doc_id, seq, CASE k WHEN 0 THEN 'word/media/' || n || '.png' WHEN 1 THEN 'word/media/' || n || '.png' WHEN 2 THEN 'word/media/' || n || '.png' WHEN 3 THEN 'rel9' || n ELSE 'size' || n END AS one, k < 3 AS file FROM l),
+f AS (SELECT doc_id, one, any_value(file) AS file, row_number() OVER (PARTITION BY doc_id ORDER BY min(seq)) - 1 AS id FROM o GROUP BY doc_id, one)"""
+
+
+def media(spark, d):
+    """Every line of an order uses one of two images: by path, by the path of an unpacked copy, by a relationship, by one that leads nowhere, or by its description alone."""
+    order = Window.partitionBy("doc_id").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    own = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "doc_id").withColumn("seq", F.row_number().over(order)).selectExpr("doc_id", "seq", "l_partkey % 5 AS k", "l_suppkey % 2 AS n")
+    rows = own.selectExpr("doc_id", "seq", "CASE k WHEN 0 THEN concat('media/', n, '.png') WHEN 1 THEN concat('/tmp/x', seq, '/word/media/', n, '.png') WHEN 2 THEN 'N/A' END AS path", "CASE k WHEN 2 THEN concat('rId', n) WHEN 3 THEN concat('rId9', n) END AS rel_id", "if(k = 2 AND seq % 2 = 0, 'cell', '') AS context", "if(seq % 2 = 0, concat('{\"w\": 1, \"h\": ', n, '}'), concat('{\"h\": ', n, ', \"w\": 1}')) AS info")
+    targets = own.select("doc_id").distinct().select("doc_id", F.inline(F.expr("transform(array(0, 1), i -> struct(concat('rId', i) AS rel_id, concat('word/media/', i, '.png') AS path))")))
+    return media_identity.registered(rows, targets)
+
+
+@query("media_references", f"{MEDIA_DUCK} SELECT o.doc_id, o.seq, f.id FROM o JOIN f USING (doc_id, one)")
+def media_references(spark, d):
+    return media(spark, d)[0]
+
+
+@query("media_kept", f"{MEDIA_DUCK} SELECT doc_id, id, CASE WHEN file THEN one END AS path FROM f")
+def media_kept(spark, d):
+    return media(spark, d)[1].select("doc_id", "id", "path")

@@ -78,6 +78,31 @@ def layout_json_pages(spark, d):
     return J.scan(J.written(placed(spark, d))).select("doc_id", "page", "part", "idx", "y", "style", "uid", F.md5("text").alias("v"))
 
 
+@query("layout_json_media", """
+  SELECT doc_id, seq, CASE WHEN seq % 4 = 1 THEN '{"path":"word/media/' || length(text) % 3 || '.png"}' END AS media FROM $PARA""")
+def layout_json_media(spark, d):
+    """Every fourth block shows one of three images; the dictionary holds each once."""
+    media = F.when(F.col("seq") % 4 == 1, F.concat(F.lit('{"path":"word/media/'), (F.length("text") % 3).cast("string"), F.lit('.png"}')))
+    return J.scan(J.written(placed(spark, d).withColumn("media", media))).select("doc_id", "seq", "media")
+
+
+@query("layout_json_model", """WITH p AS (SELECT *, seq % 3 AS k FROM $PARA)
+  SELECT doc_id, 'body' AS part, NULL AS rel, seq, CASE k WHEN 0 THEN 'paragraph' WHEN 1 THEN 'cell' ELSE 'image' END AS kind, CASE WHEN k = 1 THEN c // 2 END AS row_idx, CASE WHEN k = 1 THEN c % 2 END AS col_idx, CASE k WHEN 0 THEN md5(text || '!') WHEN 1 THEN md5(text || c) ELSE md5('') END AS v, CASE WHEN k = 0 THEN 2 ELSE 0 END AS n_runs, CASE WHEN k = 0 THEN '7' END AS num_id, CASE WHEN k = 2 THEN 'word/media/' || doc_id || '.png' END AS path
+  FROM p JOIN (VALUES (0), (1), (2), (3)) x(c) ON k = 1 OR c = 0
+  UNION ALL SELECT doc_id, 'header', 'rId5', 0, 'paragraph', NULL, NULL, md5('head ' || doc_id), 0, NULL, NULL FROM documents""")
+def layout_json_model(spark, d):
+    """Paragraphs of two runs in a list, tables of two rows and images by number, with a header."""
+    none = "cast(NULL AS {})".format
+    run, cell = "struct<text:string>", "struct<cells:array<struct<text:string>>>"
+    element = f"""CASE seq % 3 WHEN 0 THEN named_struct('type', 'paragraph', 'text', {none('string')}, 'm', {none('int')}, 'runs', array(named_struct('text', text), named_struct('text', '!')), 'list', named_struct('level', 1, 'numbering_id', '7'), 'rows', {none(f'array<{cell}>')})
+      WHEN 1 THEN named_struct('type', 'table', 'text', {none('string')}, 'm', {none('int')}, 'runs', {none(f'array<{run}>')}, 'list', {none('struct<level:int,numbering_id:string>')}, 'rows', transform(array(0, 2), r -> named_struct('cells', transform(array(0, 1), c -> named_struct('text', concat(text, r + c))))))
+      ELSE named_struct('type', 'image', 'text', '', 'm', 0, 'runs', {none(f'array<{run}>')}, 'list', {none('struct<level:int,numbering_id:string>')}, 'rows', {none(f'array<{cell}>')}) END"""
+    body = para(spark, d).select("doc_id", "seq", F.expr(element).alias("e")).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.to_json("e").alias("e")))), lambda x: x["e"]).alias("body"))
+    head = F.concat(F.lit('{"rId5":[{"type":"paragraph","text":"head '), "doc_id", F.lit('"}]}'))
+    made = body.select("doc_id", F.concat(F.lit('{"media":[{"path":"word/media/'), "doc_id", F.lit('.png"}],"headers":'), head, F.lit(',"body":['), F.array_join("body", ","), F.lit("]}")).alias("json"))
+    return J.model(made).select("doc_id", "part", "rel", "seq", "kind", "row_idx", "col_idx", F.md5(F.coalesce("text", F.lit(""))).alias("v"), "n_runs", "num_id", "path")
+
+
 ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
 
 
