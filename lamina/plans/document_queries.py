@@ -11,7 +11,7 @@ from lamina.operators import merging as M
 from lamina.operators import styles as S
 from lamina.operators import tables as B
 from lamina.operators import templates as P
-from lamina.plans.base import query, sql, table
+from lamina.plans.base import blocks, query, sql, table
 from lamina.plans.element_queries import KIND, para, rows
 from lamina.sinks import text as out
 
@@ -165,9 +165,9 @@ def marked(spark, d):
     return para(spark, d).withColumn("text", F.expr("CASE seq % 9 WHEN 2 THEN 'a {{START_Block}} b' WHEN 5 THEN 'a { END_Block } b' ELSE text END"))
 
 
-@query("list_blocks", "SELECT n_regionkey, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1)::INT AS item, n_name AS item_text, 'decimal' AS format, '%1.' AS template, 1440 AS indent_left, 360 AS indent_hanging FROM nation")
+@query("list_blocks", "SELECT n_regionkey, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1)::INT AS item, n_name AS item_text, 'decimal' AS format, '%1.' AS template, 1440 AS indent_left, 360 AS indent_hanging FROM $NATION")
 def list_blocks(spark, d):
-    own = table(spark, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names"))
+    own = blocks(spark, d).groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names"))
     return P.list_items(own, "names", "decimal", 1).drop("names", "level")
 
 
@@ -182,10 +182,10 @@ sql("field_values", f"SELECT event_id, {P.field_value('f', 'user_id', 'event_id'
     "SELECT event_id, CASE event_id % 7 WHEN 0 THEN user_id::VARCHAR WHEN 1 THEN event_id::VARCHAR WHEN 2 THEN '[REF: Mark]' WHEN 3 THEN '[TOC]' WHEN 4 THEN 'SEQ a \\# 0.0' WHEN 5 THEN strftime(ts, '%d.%m.%Y') ELSE strftime(ts, '%H:%M') END AS v, CASE WHEN event_id % 7 = 0 THEN 'ROMAN' END AS n, CASE WHEN event_id % 7 = 4 THEN '0.0' END AS d FROM events")
 
 
-@query("numbering_levels", "SELECT 1 AS doc_id, n_nationkey AS num_id, level, 'decimal' AS format, '%' || level || '.' AS template, n_regionkey + 1 AS start FROM nation, (VALUES (1), (2)) l(level) UNION ALL SELECT 0, n_nationkey AS num_id, level, CASE WHEN n_nationkey % 3 = 1 THEN 'upperRoman' ELSE 'decimal' END AS format, CASE WHEN n_nationkey % 3 = 0 THEN '(%1)' ELSE '%' || level || '.' END AS template, CASE WHEN n_nationkey % 3 = 0 AND n_nationkey % 2 = 1 THEN 5 ELSE n_regionkey + 1 END AS start FROM nation, (VALUES (1), (2)) l(level)")
+@query("numbering_levels", "SELECT 1 AS doc_id, n_nationkey AS num_id, level, 'decimal' AS format, '%' || level || '.' AS template, n_regionkey + 1 AS start FROM $NATION, (VALUES (1), (2)) l(level) UNION ALL SELECT 0, n_nationkey AS num_id, level, CASE WHEN n_nationkey % 3 = 1 THEN 'upperRoman' ELSE 'decimal' END AS format, CASE WHEN n_nationkey % 3 = 0 THEN '(%1)' ELSE '%' || level || '.' END AS template, CASE WHEN n_nationkey % 3 = 0 AND n_nationkey % 2 = 1 THEN 5 ELSE n_regionkey + 1 END AS start FROM $NATION, (VALUES (1), (2)) l(level)")
 def numbering_levels(spark, d):
-    nations = table(spark, d, "nation")
-    abstract = table(spark, d, "region").selectExpr("r_regionkey AS abstract_id", "explode(array(1, 2)) AS level", "'decimal' AS format", "r_regionkey + 1 AS start").withColumn("template", F.expr("concat('%', level, '.')"))
+    nations = blocks(spark, d)
+    abstract = nations.select("n_regionkey").distinct().selectExpr("n_regionkey AS abstract_id", "explode(array(1, 2)) AS level", "'decimal' AS format", "n_regionkey + 1 AS start").withColumn("template", F.expr("concat('%', level, '.')"))
     over = nations.filter("n_nationkey % 3 < 2").selectExpr("n_nationkey AS num_id", "explode(array(1, 2)) AS level", "if(n_nationkey % 3 = 0, '', 'upperRoman') AS format", "if(n_nationkey % 3 = 0, '(%1)', NULL) AS template", "if(n_nationkey % 3 = 0, 5 * (n_nationkey % 2), NULL) AS start")
     # two documents with the same ids; the second one has no overrides
     two = lambda df: df.crossJoin(spark.range(2).withColumnRenamed("id", "doc_id"))
@@ -217,15 +217,15 @@ def unused_styles(spark, d):
     return M.unused(brands(spark, d, "true"), brands(spark, d, "p_size < 3"), ("PROMO",)).select("style_id")
 
 
-@query("header_replacement", "SELECT n_nationkey, CASE WHEN n_nationkey >= 10 THEN 'new ' || n_name ELSE n_name END AS n_name FROM nation")
+@query("header_replacement", "SELECT n_nationkey, CASE WHEN n_nationkey >= 10 THEN 'new ' || n_name ELSE n_name END AS n_name FROM $NATION")
 def header_replacement(spark, d):
-    own = table(spark, d, "nation").select("n_nationkey", "n_name")
+    own = blocks(spark, d).select("n_nationkey", "n_name")
     return M.replaced(own.filter("n_nationkey < 20"), own.filter("n_nationkey >= 10").withColumn("n_name", F.concat(F.lit("new "), "n_name")), "n_nationkey", "n_name")
 
 
-@query("relationship_ids", "SELECT n_nationkey, 'rId' || (CASE WHEN n_regionkey % 2 = 0 THEN n_regionkey * 10 ELSE 0 END + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name)) AS new_id FROM nation")
+@query("relationship_ids", "SELECT n_nationkey, 'rId' || (CASE WHEN n_regionkey % 2 = 0 THEN n_regionkey * 10 ELSE 0 END + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name)) AS new_id FROM $NATION")
 def relationship_ids(spark, d):
-    own = table(spark, d, "nation").withColumn("above", F.expr("if(n_regionkey % 2 = 0, n_regionkey * 10, NULL)"))
+    own = blocks(spark, d).withColumn("above", F.expr("if(n_regionkey % 2 = 0, n_regionkey * 10, NULL)"))
     return M.new_ids(own, "n_regionkey", "n_name", "above").select("n_nationkey", "new_id")
 
 
@@ -272,18 +272,18 @@ sql("paragraph_breaks", f"SELECT p_partkey, {L.paragraph_break('p_size', '(p_par
 
 
 def header_items(spark, d):
-    return table(spark, d, "nation").selectExpr("n_regionkey AS doc_id", "'default' AS variant", "n_nationkey AS seq", "cast(n_nationkey % 3 AS double) AS before", "cast(n_nationkey % 20 AS double) AS h", "2D AS after")
+    return blocks(spark, d).selectExpr("n_regionkey AS doc_id", "'default' AS variant", "n_nationkey AS seq", "cast(n_nationkey % 3 AS double) AS before", "cast(n_nationkey % 20 AS double) AS h", "2D AS after")
 
 
 USED = "n_nationkey % 3 + CASE WHEN n_nationkey % 20 > 0 THEN n_nationkey % 20 ELSE 20 END"
 
 
-@query("header_places", f"SELECT n_regionkey AS doc_id, n_nationkey AS seq, (842 - 36 + 2 - sum({USED} + 2) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::DOUBLE AS y FROM nation")
+@query("header_places", f"SELECT n_regionkey AS doc_id, n_nationkey AS seq, (842 - 36 + 2 - sum({USED} + 2) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::DOUBLE AS y FROM $NATION")
 def header_places(spark, d):
     return L.header_places(header_items(spark, d), 842.0, 36.0).select("doc_id", "seq", "y")
 
 
-@query("body_offsets", f"SELECT n_regionkey AS doc_id, 'default' AS variant, greatest(90, 36 + sum({USED} + 2))::DOUBLE AS \"offset\" FROM nation GROUP BY 1")
+@query("body_offsets", f"SELECT n_regionkey AS doc_id, 'default' AS variant, greatest(90, 36 + sum({USED} + 2))::DOUBLE AS \"offset\" FROM $NATION GROUP BY 1")
 def body_offsets(spark, d):
     return L.body_offsets(header_items(spark, d), 36.0, 90.0)
 

@@ -15,7 +15,7 @@ from lamina.operators import merging as M
 from lamina.operators import reports as R
 from lamina.operators import styles as S
 from lamina.operators import templates as P
-from lamina.plans.base import PARA_DUCK, query, sql, table
+from lamina.plans.base import blocks, query, sql, table, PARA_DUCK
 from lamina.plans.element_queries import para
 from lamina.sinks import text as sink
 from lamina.sources import media
@@ -220,7 +220,7 @@ def issue_reports(spark, d):
     return report.select("doc_id", "errors", "warnings", F.md5("text").alias("t"), F.json_array_length("json").alias("n"))
 
 
-@query("package_issues", """WITH o AS (SELECT n_nationkey AS doc_id, CASE n_nationkey % 3 WHEN 0 THEN ['[Content_Types].xml', '_rels/.rels', 'word/document.xml', 'word/styles.xml', 'word/media/a.png'] WHEN 1 THEN ['[Content_Types].xml', 'word/document.xml'] ELSE ['[Content_Types].xml', '_rels/.rels', 'word/document.xml', 'word/styles.xml', 'word/numbering.xml', 'word/settings.xml', 'word/theme/theme1.xml', 'docProps/core.xml', 'docProps/app.xml'] END AS p FROM nation)
+@query("package_issues", """WITH o AS (SELECT n_nationkey AS doc_id, CASE n_nationkey % 3 WHEN 0 THEN ['[Content_Types].xml', '_rels/.rels', 'word/document.xml', 'word/styles.xml', 'word/media/a.png'] WHEN 1 THEN ['[Content_Types].xml', 'word/document.xml'] ELSE ['[Content_Types].xml', '_rels/.rels', 'word/document.xml', 'word/styles.xml', 'word/numbering.xml', 'word/settings.xml', 'word/theme/theme1.xml', 'docProps/core.xml', 'docProps/app.xml'] END AS p FROM $NATION)
   SELECT doc_id, 'error' AS level, 'missing_part' AS rule, e AS element FROM (SELECT doc_id, p, unnest(['[Content_Types].xml', '_rels/.rels', 'word/document.xml']) AS e FROM o) WHERE NOT list_contains(p, e)
   UNION ALL SELECT doc_id, 'warning', 'missing_part', e FROM (SELECT doc_id, p, unnest(['word/styles.xml', 'word/numbering.xml', 'word/settings.xml', 'word/theme/theme1.xml', 'docProps/core.xml', 'docProps/app.xml']) AS e FROM o) WHERE NOT list_contains(p, e)
   UNION ALL SELECT doc_id, 'warning', 'no_content_type', 'word/media/a.png' FROM o WHERE list_contains(p, 'word/media/a.png')
@@ -228,7 +228,7 @@ def issue_reports(spark, d):
   UNION ALL SELECT doc_id, 'error', 'broken_target', 'rId3' FROM o WHERE NOT list_contains(p, 'docProps/app.xml')""")
 def package_issues(spark, d):
     lists = "if(n_nationkey % 3 = 0, array('[Content_Types].xml', '_rels/.rels', 'word/document.xml', 'word/styles.xml', 'word/media/a.png'), if(n_nationkey % 3 = 1, array('[Content_Types].xml', 'word/document.xml'), array('[Content_Types].xml', '_rels/.rels', 'word/document.xml', 'word/styles.xml', 'word/numbering.xml', 'word/settings.xml', 'word/theme/theme1.xml', 'docProps/core.xml', 'docProps/app.xml')))"
-    nation = table(spark, d, "nation")
+    nation = blocks(spark, d)
     parts = nation.selectExpr("n_nationkey AS doc_id", f"explode({lists}) AS part").withColumn("content_type", F.when(~F.col("part").endswith(".png"), "application/xml"))
     rels = nation.selectExpr("n_nationkey AS doc_id", "'word/document.xml' AS source", "inline(array(named_struct('rel_id', 'rId1', 'target', 'media/a.png', 'target_mode', 'Internal'), named_struct('rel_id', 'rId2', 'target', 'http://x.org', 'target_mode', 'External'), named_struct('rel_id', 'rId3', 'target', '../docProps/app.xml', 'target_mode', CAST(NULL AS string)), named_struct('rel_id', 'rId4', 'target', '/word/document.xml', 'target_mode', 'Internal')))")
     return R.package_issues(parts, rels)
@@ -310,23 +310,23 @@ def watermarks(spark, d):
     return marks.join(left, "doc_id", "left").select("doc_id", "text", "angle", F.coalesce("n", F.lit(0)).alias("left_over"))
 
 
-@query("selective_merge", "SELECT n_nationkey, 't' AS side, ['body', 'headers', 'styles'][n_nationkey % 3 + 1] AS part FROM nation WHERE n_nationkey % 3 <> 1 UNION ALL SELECT n_nationkey, 's', ['body', 'headers', 'styles'][n_nationkey % 3 + 1] FROM nation WHERE n_nationkey % 3 < 2")
+@query("selective_merge", "SELECT n_nationkey, 't' AS side, ['body', 'headers', 'styles'][n_nationkey % 3 + 1] AS part FROM $NATION WHERE n_nationkey % 3 <> 1 UNION ALL SELECT n_nationkey, 's', ['body', 'headers', 'styles'][n_nationkey % 3 + 1] FROM $NATION WHERE n_nationkey % 3 < 2")
 def selective_merge(spark, d):
-    own = table(spark, d, "nation").selectExpr("n_nationkey", "element_at(array('body', 'headers', 'styles'), n_nationkey % 3 + 1) AS part")
+    own = blocks(spark, d).selectExpr("n_nationkey", "element_at(array('body', 'headers', 'styles'), n_nationkey % 3 + 1) AS part")
     return M.selected(own.withColumn("side", F.lit("t")), own.withColumn("side", F.lit("s")), ("body", "headers"))
 
 
-@query("section_merge", "SELECT n_regionkey AS doc_id, section, CASE WHEN section = 0 AND n_regionkey % 2 = 0 THEN 100 + n_regionkey ELSE 10 * section END AS width, 7 AS height FROM (SELECT DISTINCT n_regionkey FROM nation), (VALUES (0), (1)) t(section)")
+@query("section_merge", "SELECT n_regionkey AS doc_id, section, CASE WHEN section = 0 AND n_regionkey % 2 = 0 THEN 100 + n_regionkey ELSE 10 * section END AS width, 7 AS height FROM (SELECT DISTINCT n_regionkey FROM $NATION), (VALUES (0), (1)) t(section)")
 def section_merge(spark, d):
-    docs = table(spark, d, "nation").select(F.col("n_regionkey").alias("doc_id")).distinct()
+    docs = blocks(spark, d).select(F.col("n_regionkey").alias("doc_id")).distinct()
     target = docs.selectExpr("doc_id", "explode(array(0, 1)) AS section").withColumns({"width": F.col("section") * 10, "height": F.lit(7)})
     source = docs.selectExpr("doc_id", "0 AS section", "if(doc_id % 2 = 0, 100 + doc_id, NULL) AS width", "cast(NULL AS int) AS height")
     return M.sections_merged(target, source, "width", "height")
 
 
-@query("media_merge", "SELECT n_regionkey AS doc_id, 'rId' || n_nationkey AS rel_id, n_name AS target, 'rId' || n_nationkey AS new_id FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_regionkey, 'rId' || n_nationkey, n_name, 'rId' || ((SELECT max(t.n_nationkey) FROM nation t WHERE t.n_nationkey % 2 = 0 AND t.n_regionkey = s.n_regionkey) + row_number() OVER (PARTITION BY n_regionkey ORDER BY 'rId' || n_nationkey)) FROM nation s WHERE n_nationkey % 2 = 1 AND n_nationkey > 5")
+@query("media_merge", "SELECT n_regionkey AS doc_id, 'rId' || n_nationkey AS rel_id, n_name AS target, 'rId' || n_nationkey AS new_id FROM $NATION WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_regionkey, 'rId' || n_nationkey, n_name, 'rId' || ((SELECT max(t.n_nationkey) FROM $NATION t WHERE t.n_nationkey % 2 = 0 AND t.n_regionkey = s.n_regionkey) + row_number() OVER (PARTITION BY n_regionkey ORDER BY 'rId' || n_nationkey)) FROM $NATION s WHERE n_nationkey % 2 = 1 AND n_nationkey > 5")
 def media_merge(spark, d):
-    own = table(spark, d, "nation").selectExpr("n_nationkey AS k", "n_regionkey AS doc_id", "concat('rId', n_nationkey) AS rel_id", "n_name AS target")
+    own = blocks(spark, d).selectExpr("n_nationkey AS k", "n_regionkey AS doc_id", "concat('rId', n_nationkey) AS rel_id", "n_name AS target")
     return M.media_merged(own.filter("k % 2 = 0").drop("k"), own.filter("k % 2 = 1").drop("k"), own.filter("k > 5"))
 
 
@@ -406,10 +406,10 @@ def run_signatures(spark, d):
     return R.run_signatures(table(spark, d, "events").selectExpr("user_id AS doc_id", "event_id AS seq", "0 AS run", "event_type AS font"), "font")
 
 
-@query("unique_ids", "SELECT n_regionkey AS doc_id, n_name, 'el' || (n_regionkey * 10 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name)) AS id FROM nation")
+@query("unique_ids", "SELECT n_regionkey AS doc_id, n_name, 'el' || (n_regionkey * 10 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name)) AS id FROM $NATION")
 def unique_ids(spark, d):
-    taken = table(spark, d, "region").selectExpr("r_regionkey AS doc_id", "explode(array(concat('el', r_regionkey * 10), 'el2x', 'other99')) AS id")
-    return R.unique_ids(table(spark, d, "nation").selectExpr("n_regionkey AS doc_id", "n_name"), taken, "el", "n_name")
+    taken = blocks(spark, d).select("n_regionkey").distinct().selectExpr("n_regionkey AS doc_id", "explode(array(concat('el', n_regionkey * 10), 'el2x', 'other99')) AS id")
+    return R.unique_ids(blocks(spark, d).selectExpr("n_regionkey AS doc_id", "n_name"), taken, "el", "n_name")
 
 
 @query("global_note_numbers", "SELECT user_id AS doc_id, event_type AS kind, event_id % 9 AS note_id, (row_number() OVER (PARTITION BY user_id ORDER BY min(event_id), event_type))::INT AS number FROM events GROUP BY 1, 2, 3")
@@ -434,9 +434,9 @@ def html_updates(spark, d):
     return E.updated(own, own.filter("doc_id % 2 = 1").withColumn("text", F.expr("if(seq % 2 = 0, text, concat(text, '!'))"))).select("doc_id", "seq", F.md5("text").alias("v"))
 
 
-@query("layout_build", "SELECT n_regionkey AS doc_id, n_nationkey AS seq, CASE n_nationkey % 3 WHEN 0 THEN 'header' WHEN 1 THEN 'footer' ELSE 'body' END AS place, CASE WHEN n_nationkey % 2 = 0 THEN 'center' END AS jc, CASE WHEN n_nationkey % 4 = 1 THEN 'decimal' END AS format FROM nation")
+@query("layout_build", "SELECT n_regionkey AS doc_id, n_nationkey AS seq, CASE n_nationkey % 3 WHEN 0 THEN 'header' WHEN 1 THEN 'footer' ELSE 'body' END AS place, CASE WHEN n_nationkey % 2 = 0 THEN 'center' END AS jc, CASE WHEN n_nationkey % 4 = 1 THEN 'decimal' END AS format FROM $NATION")
 def layout_build(spark, d):
-    own = table(spark, d, "nation").selectExpr("n_regionkey AS doc_id", "n_nationkey AS seq", "element_at(array('header1', 'footer2', 'document'), n_nationkey % 3 + 1) AS part", "if(n_nationkey % 2 = 0, 'H', 'N') AS style", "if(n_nationkey % 4 = 1, '7', NULL) AS num_id", "0 AS level")
+    own = blocks(spark, d).selectExpr("n_regionkey AS doc_id", "n_nationkey AS seq", "element_at(array('header1', 'footer2', 'document'), n_nationkey % 3 + 1) AS part", "if(n_nationkey % 2 = 0, 'H', 'N') AS style", "if(n_nationkey % 4 = 1, '7', NULL) AS num_id", "0 AS level")
     docs = own.select("doc_id").distinct()
     styles = docs.withColumns({"style_id": F.lit("H"), "properties": F.expr("map('jc', 'center')")})
     levels = docs.withColumns({"num_id": F.lit("7"), "level": F.lit(0), "format": F.lit("decimal"), "template": F.lit("%1.")})

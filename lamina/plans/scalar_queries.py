@@ -35,12 +35,12 @@ sql("ligature_counts", f"SELECT doc_id, size(l) AS n, size(filter(l, x -> x.form
     "SELECT doc_id, CAST(f.fi + f.fl + f.ff + f.ffi + f.ffl + f.ft AS INT) AS n, CAST(f.ff AS INT) AS ff, CAST(f.ft AS INT) AS ft FROM (SELECT doc_id, struct_pack(fi := len(string_split(text, 'fi')) - 1, fl := len(string_split(text, 'fl')) - 1, ff := len(list_filter(range(1, length(text)), lambda i: substr(text, i, 2) = 'ff')), ffi := len(string_split(text, 'ffi')) - 1, ffl := len(string_split(text, 'ffl')) - 1, ft := len(string_split(text, 'ft')) - 1) AS f FROM documents)")
 sql("heading_levels", f"SELECT p_partkey, {T.heading_level('concat(\"Heading \", p_size % 9)')} AS level, {T.heading_level('p_name')} AS none FROM part", "SELECT p_partkey, CAST(p_size % 9 AS INT) AS level, CAST(NULL AS INT) AS none FROM part")
 sql("font_names", f"SELECT p_partkey, {T.font_name('concat(\"times NEW \", p_brand)')} AS v FROM part", "SELECT p_partkey, 'Times new ' || upper(left(p_brand, 1)) || lower(substr(p_brand, 2)) AS v FROM part WHERE true")
-sql("heading_text", f"SELECT n_nationkey, {T.heading('n_name', '(n_nationkey % 4 + 1)')} AS t, {T.markdown_heading('n_name', '(n_nationkey % 8 + 1)')} AS m FROM nation",
-    "SELECT n_nationkey, CASE n_nationkey % 4 + 1 WHEN 1 THEN n_name || chr(10) || repeat('=', length(n_name)) WHEN 2 THEN n_name || chr(10) || repeat('-', length(n_name)) ELSE repeat('#', n_nationkey % 4 + 1) || ' ' || n_name END AS t, repeat('#', least(n_nationkey % 8 + 1, 6)) || ' ' || n_name AS m FROM nation")
-sql("list_markers", f"SELECT n_nationkey, {T.list_marker('if(n_nationkey % 2 = 0, \"number\", \"bullet\")', 'n_nationkey % 3')} AS v, {T.inline_markup('n_name', 'n_nationkey % 2 = 0', 'n_nationkey % 3 = 0', 'n_nationkey % 5 = 0')} AS m FROM nation",
-    "SELECT n_nationkey, repeat('  ', n_nationkey % 3) || CASE WHEN n_nationkey % 2 = 0 THEN '1.' ELSE '•' END AS v, u || i || b || n_name || b || i || u AS m FROM (SELECT *, CASE WHEN n_nationkey % 2 = 0 THEN '**' ELSE '' END AS b, CASE WHEN n_nationkey % 3 = 0 THEN '*' ELSE '' END AS i, CASE WHEN n_nationkey % 5 = 0 THEN '_' ELSE '' END AS u FROM nation)")
-sql("xml_similarity", f"SELECT a.n_nationkey, round({T.similarity('a.n_name', 'b.n_name')}, 9) AS s FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1",
-    "SELECT a.n_nationkey, round(CASE WHEN a.n_name = b.n_name THEN 1.0 ELSE len(list_filter(range(1, least(length(a.n_name), length(b.n_name)) + 1), lambda i: substr(a.n_name, i, 1) = substr(b.n_name, i, 1)))::DOUBLE / greatest(length(a.n_name), length(b.n_name)) END, 9) AS s FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1")
+sql("heading_text", f"SELECT n_nationkey, {T.heading('n_name', '(n_nationkey % 4 + 1)')} AS t, {T.markdown_heading('n_name', '(n_nationkey % 8 + 1)')} AS m FROM $NATION",
+    "SELECT n_nationkey, CASE n_nationkey % 4 + 1 WHEN 1 THEN n_name || chr(10) || repeat('=', length(n_name)) WHEN 2 THEN n_name || chr(10) || repeat('-', length(n_name)) ELSE repeat('#', n_nationkey % 4 + 1) || ' ' || n_name END AS t, repeat('#', least(n_nationkey % 8 + 1, 6)) || ' ' || n_name AS m FROM $NATION")
+sql("list_markers", f"SELECT n_nationkey, {T.list_marker('if(n_nationkey % 2 = 0, \"number\", \"bullet\")', 'n_nationkey % 3')} AS v, {T.inline_markup('n_name', 'n_nationkey % 2 = 0', 'n_nationkey % 3 = 0', 'n_nationkey % 5 = 0')} AS m FROM $NATION",
+    "SELECT n_nationkey, repeat('  ', n_nationkey % 3) || CASE WHEN n_nationkey % 2 = 0 THEN '1.' ELSE '•' END AS v, u || i || b || n_name || b || i || u AS m FROM (SELECT *, CASE WHEN n_nationkey % 2 = 0 THEN '**' ELSE '' END AS b, CASE WHEN n_nationkey % 3 = 0 THEN '*' ELSE '' END AS i, CASE WHEN n_nationkey % 5 = 0 THEN '_' ELSE '' END AS u FROM $NATION)")
+sql("xml_similarity", f"SELECT a.n_nationkey, round({T.similarity('a.n_name', 'b.n_name')}, 9) AS s FROM $NATION a JOIN $NATION b ON b.n_nationkey = a.n_nationkey + 1",
+    "SELECT a.n_nationkey, round(CASE WHEN a.n_name = b.n_name THEN 1.0 ELSE len(list_filter(range(1, least(length(a.n_name), length(b.n_name)) + 1), lambda i: substr(a.n_name, i, 1) = substr(b.n_name, i, 1)))::DOUBLE / greatest(length(a.n_name), length(b.n_name)) END, 9) AS s FROM $NATION a JOIN $NATION b ON b.n_nationkey = a.n_nationkey + 1")
 N = "cast(p_partkey % 4200 AS int)"
 ROMAN = "list_aggregate(list_transform([[1000,1],[100,2],[10,3],[1,4]], lambda d: ['','M','MM','MMM','','','','','','','','C','CC','CCC','CD','D','DC','DCC','DCCC','CM','','X','XX','XXX','XL','L','LX','LXX','LXXX','XC','','I','II','III','IV','V','VI','VII','VIII','IX'][((d[2] - 1) * 10 + (n // d[1]) % 10 + 1)::INT]), 'string_agg', '')"
 sql("roman_counters", f"SELECT p_partkey, {F.roman(N)} AS v FROM part", f"SELECT p_partkey, CASE WHEN n <= 0 THEN '' WHEN n > 3999 THEN n::VARCHAR ELSE {ROMAN} END AS v FROM (SELECT *, (p_partkey % 4200)::INT AS n FROM part)")
