@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import text as T
@@ -80,3 +80,111 @@ def measured(rows: DataFrame, table_rows: str | None = None, width: float = 451.
     lines = F.when(F.col("kind") == "paragraph", F.greatest(F.expr(T.metric_lines("text", width, size)).cast("int"), F.lit(1))).when(F.col("kind") == "table", rows_of).otherwise(1)
     none = F.lit(0.0)
     return rows.select("doc_id", "seq", "kind", lines.alias("lines"), F.when(F.col("kind") == "image", 50.0).otherwise(size * 1.2).alias("line_h"), none.alias("before"), F.lit(6.0).alias("after"), F.lit(False).alias("break_before"), (F.col("kind") == "page_break").alias("break_after"), F.lit(False).alias("keep"), none.alias("notes_h"))
+
+
+NOTED = ("seq", "kind", "lines", "line_h", "before", "after", "break_before", "break_after", "keep", "notes")
+
+
+def fitting_noted(start: int, lines: int, line_h: float, room: float, notes: list[float], counted: int, gap: float, keep: bool, least: int) -> int:
+    """How many lines from ``start`` on fit, when each brings its notes (their height by line) that take from the same room, and the first notes a ``gap``: all, or so many that
+    ``least`` stay on both sides."""
+    n, used = 0, 0.0
+    while start + n < lines:
+        used += line_h + counted * notes[start + n]
+        if notes[start + n] and gap:
+            used, gap = used + counted * gap, 0.0
+        if used > room + EPSILON:
+            break
+        n += 1
+    if start + n == lines:
+        return n
+    if keep:
+        return 0
+    n -= max(least - (lines - start - n), 0)
+    return n if n >= least else 0
+
+
+def assemble_noted(blocks: list[dict], usable: float, least: int, counted: int, note_gap: float) -> list[dict]:
+    """Pieces of body blocks and the notes of their lines, on pages; see ``whole_pages``."""
+    out: list[dict] = []
+    page, y, pending, area, used, forced = 1, 0.0, 0.0, 0.0, False, False
+    waiting: list[tuple[int, str, float]] = []  # notes of this page, in order
+
+    def turn() -> None:
+        nonlocal page, y, pending, area, used, waiting
+        at = usable - sum(h for _, _, h in waiting)
+        for seq, note, h in waiting:
+            out.append({"seq": seq, "kind": "footnote", "note": note, "page": page, "first_line": 0, "n_lines": 1, "y": at, "h": h})
+            at += h
+        page, y, pending, area, used, waiting = page + 1, 0.0, 0.0, 0.0, False, []
+
+    for b in blocks:
+        lines, line_h = max(int(b["lines"] or 0), 1), float(b["line_h"] or 0)
+        own = [[] for _ in range(lines)]
+        for x in sorted(b["notes"] if b["notes"] is not None else (), key=lambda x: x["line"]):
+            own[min(max(int(x["line"]), 0), lines - 1)].append((x["id"], float(x["h"])))
+        heights = [sum(h for _, h in line) for line in own]
+        few = 1 if b["kind"] == "table" else least
+        if used and (forced or b["break_before"]):
+            turn()
+        start = 0
+        while start < lines:
+            gap = max(pending, float(b["before"] or 0)) if used and not start else 0.0
+            room = usable - y - gap - counted * area
+            first = 0.0 if area else note_gap
+            n = fitting_noted(start, lines, line_h, room, heights, counted, first, bool(b["keep"]) or b["kind"] == "image", few)
+            if n == 0 and used:
+                turn()
+                continue
+            if n == 0:  # it fits no empty page either: as much as goes, one line at least; images whole
+                n = lines if b["kind"] == "image" else max(fitting_noted(start, lines, line_h, room, heights, counted, first, False, 1), 1)
+            out.append({"seq": b["seq"], "kind": b["kind"], "note": None, "page": page, "first_line": start, "n_lines": n, "y": y + gap, "h": n * line_h})
+            met = [(b["seq"], note, h) for line in own[start : start + n] for note, h in line]
+            area += sum(h for _, _, h in met) + (note_gap if met and not area else 0.0)
+            waiting += met
+            y, used, start = y + gap + n * line_h, True, start + n
+            if start < lines:
+                turn()
+        pending, forced = float(b["after"] or 0), bool(b["break_after"])
+    turn()
+    return out
+
+
+def whole_pages(blocks: DataFrame, headers: DataFrame, watermarks: DataFrame, endnotes: DataFrame, usable: float = 697.9, least: int = 2, notes_counted: int = 1, note_gap: float = 6.0, key: str = "doc_id") -> DataFrame:
+    """(key, page, layer, seq, kind, note, first_line, n_lines, y, h): everything on every page of the documents.
+
+    Layers: `body` pieces and the `footnote` lines of each page as in ``assembled``, but with notes where their references are: ``blocks`` have notes (array of line, id, h), each line
+    brings its notes to its page, and the area they take at the page's foot (``note_gap`` above the first) is room that the body loses, so that a reference may be the one that no longer fits.
+    `endnotes`: (key, seq, lines, line_h) go on behind the body, from a new page on. `header`: (key, variant, text) by page: `first` on the first, `even` on even ones, else `default`, where a document has
+    the variant. `watermark`: (key, text) on every page. ``notes_counted``: how often an area counts against the room; the usual layout counts it twice.
+    """
+    own = blocks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*NOTED))).alias("blocks"))
+    types = dict(blocks.dtypes)
+    columns = [key, "seq", "kind", "note", "page", "first_line", "n_lines", "y", "h"]
+    schema = f"{key} {types[key]}, seq {types['seq']}, kind string, note string, page int, first_line int, n_lines int, y double, h double"
+
+    def run(batches):
+        for pdf in batches:
+            rows = [{key: k} | r for k, bs in zip(pdf[key], pdf["blocks"], strict=True) for r in assemble_noted(list(bs), usable, least, notes_counted, note_gap)]
+            yield pd.DataFrame(rows, columns=columns)
+
+    placed = own.mapInPandas(run, schema)
+    body = placed.withColumn("layer", F.when(F.col("kind") == "footnote", "footnote").otherwise("body"))
+    last = placed.groupBy(key).agg(F.max("page").alias("_last"))
+    # endnotes fill pages of their own: lines in one running sum, a page holds as many as fit whole
+    ends = endnotes.select(key, "seq", F.greatest(F.coalesce("lines", F.lit(1)), F.lit(1)).alias("lines"), "line_h").select(key, "seq", "line_h", F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("line"))
+    order = Window.partitionBy(key).orderBy("seq", "line")
+    per_page = F.floor(F.lit(usable + EPSILON) / F.max("line_h").over(Window.partitionBy(key)))
+    ends = ends.withColumn("_n", F.row_number().over(order) - 1).withColumn("_per", F.greatest(per_page, F.lit(1)))
+    ends = ends.withColumns({"_page": F.floor(F.col("_n") / F.col("_per")), "_y": (F.col("_n") % F.col("_per")) * F.max("line_h").over(Window.partitionBy(key))})
+    notes = ends.groupBy(key, "seq", "_page").agg(F.min("line").cast("int").alias("first_line"), F.count("*").cast("int").alias("n_lines"), F.min("_y").alias("y"), F.sum("line_h").alias("h"))
+    notes = notes.join(last, key, "left").select(key, F.col("seq").cast(types["seq"]).alias("seq"), F.lit("endnote").alias("kind"), F.lit(None).cast("string").alias("note"), (F.coalesce("_last", F.lit(0)) + F.col("_page") + 1).cast("int").alias("page"), "first_line", "n_lines", "y", "h", F.lit("endnotes").alias("layer"))
+    content = body.unionByName(notes)
+    pages = content.groupBy(key).agg(F.max("page").alias("_last")).select(key, F.explode(F.sequence(F.lit(1), F.col("_last"))).alias("page"))
+    variants = headers.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("variant", "text"))).alias("_v"))
+    of = lambda name: F.try_element_at(F.col("_v"), F.lit(name))
+    text = F.coalesce(F.when(F.col("page") == 1, of("first")), F.when(F.col("page") % 2 == 0, of("even")), of("default"))
+    extra = lambda df, layer: df.select(key, F.lit(-1).cast(types["seq"]).alias("seq"), F.lit(layer).alias("kind"), F.col("text").alias("note"), "page", F.lit(0).alias("first_line"), F.lit(1).alias("n_lines"), F.lit(0.0).alias("y"), F.lit(0.0).alias("h"), F.lit(layer).alias("layer"))
+    tops = extra(pages.join(variants, key).withColumn("text", text).filter("text IS NOT NULL"), "header")
+    marks = extra(pages.join(watermarks.select(key, "text"), key), "watermark")
+    return content.unionByName(tops).unionByName(marks).select(key, "page", "layer", "seq", "kind", "note", "first_line", "n_lines", "y", "h")

@@ -279,3 +279,35 @@ def test_rules_that_were_wrong(spark):
     assert {(r.doc_id, r.style_id, r.based_on) for r in merged.collect()} == {(1, "A", None), (1, "A_merged", None), (1, "C", "A_merged"), (2, "A", None), (2, "C", "A")}
     used = spark.createDataFrame([(1, "X"), (2, "X")], "doc_id long, style string")
     assert [r.doc_id for r in styles.dangling(used, "style", spark.createDataFrame([(2, "X")], "doc_id long, style_id string"), "style_id").collect()] == [1]
+
+
+def test_notes_take_room_where_their_references_are():
+    """Random blocks: every line once and in order, every note on its reference's page, no page over its height unless one line alone is, and no page left while its next lines would have fitted."""
+    from lamina.operators import assembly
+
+    rng = random.Random(9)
+    for _ in range(150):
+        usable, gap, counted, least = 100.0, 4.0, rng.choice([1, 2]), rng.choice([1, 2])
+        blocks = []
+        for i in range(rng.randrange(1, 12)):
+            lines = rng.randrange(1, 14)
+            notes = [{"line": rng.randrange(lines), "id": f"{i}-{k}", "h": float(rng.choice([6, 10, 18]))} for k in range(rng.choice([0, 0, 1, 2]))]
+            blocks.append({"seq": i, "kind": rng.choice(["paragraph", "table"]), "lines": lines, "line_h": 10.0, "before": 0.0, "after": 0.0, "break_before": False, "break_after": False, "keep": False, "notes": notes})
+        out = assembly.assemble_noted(blocks, usable, least, counted, gap)
+        body = [r for r in out if r["kind"] != "footnote"]
+        page_of = {}
+        for b in blocks:
+            own = [r for r in body if r["seq"] == b["seq"]]
+            assert [r["first_line"] for r in own] == [sum(x["n_lines"] for x in own[:k]) for k in range(len(own))] and sum(r["n_lines"] for r in own) == b["lines"]
+            for r in own:
+                page_of |= {(b["seq"], r["first_line"] + k): r["page"] for k in range(r["n_lines"])}
+            for x in b["notes"]:
+                assert [r["page"] for r in out if r["note"] == x["id"]] == [page_of[b["seq"], x["line"]]]
+        flat = [(b["seq"], k, sum(x["h"] for x in b["notes"] if x["line"] == k)) for b in blocks for k in range(b["lines"])]
+        pages = {p: [f for f in flat if page_of[f[:2]] == p] for p in set(page_of.values())}
+        full = lambda own: 10.0 * len(own) + counted * (sum(h for *_, h in own) + (gap if any(h for *_, h in own) else 0.0))
+        for p, own in pages.items():
+            assert full(own) <= usable + 1e-6 or len(own) == 1
+            if p + 1 in pages and least == 1:
+                assert full(own + pages[p + 1][:1]) > usable
+        assert [page_of[f[:2]] for f in flat] == sorted(page_of[f[:2]] for f in flat)
