@@ -22,6 +22,11 @@ def placeholder_names(text: str) -> str:
     return f"regexp_extract_all({text}, '{PLACEHOLDER}', 2)"
 
 
+def sorted_names(text: str) -> str:
+    """Each name of a placeholder once, in order."""
+    return f"array_sort(array_distinct({placeholder_names(text)}))"
+
+
 def placeholder_type(name: str) -> str:
     prefix = f"upper(substring_index({name}, ':', 1))"
     branches = " ".join("WHEN {} IN ({}) THEN '{}'".format(prefix, ", ".join(f"'{w}'" for w in words.split()), kind) for kind, words in PLACEHOLDER_TYPES.items())
@@ -155,8 +160,9 @@ def list_marker(kind: str, level: str) -> str:
     return f"concat(repeat('  ', {level}), CASE {kind} WHEN 'number' THEN '1.' WHEN 'alpha' THEN 'a.' WHEN 'roman' THEN 'i.' ELSE '•' END)"
 
 
-def inline_markup(text: str, bold: str, italic: str, underline: str) -> str:
-    for flag, a in ((bold, "**"), (italic, "*"), (underline, "_")):
+def inline_markup(text: str, bold: str, italic: str, underline: str, strike: str = "false", code: str = "false") -> str:
+    """A run's look as marks around its text, bold innermost."""
+    for flag, a in ((bold, "**"), (italic, "*"), (underline, "_"), (strike, "~~"), (code, "`")):
         text = f"if({flag}, concat('{a}', {text}, '{a}'), {text})"
     return text
 

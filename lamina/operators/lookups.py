@@ -79,6 +79,19 @@ def links(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataF
     return pages.select(key, F.posexplode(F.regexp_extract_all(column, F.lit('href="([^"]*)"'), 1)).alias("pos", "link"))
 
 
+def hyperlinks(elements: DataFrame, relationships: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, part, seq, place, text, target, type, external, tooltip): the links of bodies, headers and footers with what they lead to.
+
+    A link's relationship is its own part's; an anchor is `#name`. One whose relationship isn't there has no target.
+    """
+    own = elements.filter("kind = 'hyperlink'").select(key, "part", "seq", "place", "text", "rel_id", F.col("style").alias("_anchor"), F.try_element_at(F.col("properties"), F.lit("tooltip")).alias("tooltip"))
+    rels = relationships.select(key, F.regexp_replace(F.regexp_replace("source", "^word/", ""), r"\.xml$", "").alias("part"), "rel_id", F.col("target").alias("_target"), (F.coalesce("target_mode", F.lit("Internal")) == "External").alias("_external"))
+    found = own.join(rels, [key, "part", "rel_id"], "left")
+    target = F.when(F.col("_anchor").isNull(), F.col("_target")).otherwise(F.concat(F.coalesce("_target", F.lit("")), F.lit("#"), F.col("_anchor")))
+    found = found.withColumn("target", target)
+    return found.select(key, "part", "seq", "place", "text", "target", F.when(F.col("target").isNotNull(), link_target("target")).alias("type"), F.coalesce("_external", F.lit(False)).alias("external"), "tooltip")
+
+
 def link_target(url: str) -> Column:
     """anchor, email, url or file."""
     u = F.col(url)

@@ -11,6 +11,10 @@ SP = "'[\\x20\\x09-\\x0D]+'"
 
 sql("placeholder_inventory", f"SELECT name, type, count(*) AS cnt FROM (SELECT name, {T.placeholder_type('name')} AS type FROM (SELECT explode({T.placeholder_names(TPL)}) AS name FROM orders)) GROUP BY name, type",
     r"SELECT name, CASE upper(split_part(name, ':', 1)) WHEN 'CURRENCY' THEN 'currency' WHEN 'DATE' THEN 'date' ELSE 'text' END AS type, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all('Dear {{ TEXT:Name }}, pay {CURRENCY:Sum} by {{DATE:Due}} ({' || o_orderpriority || '})', '(\{\{|\{)\s*([^{}]+?)\s*(\}\}|\})', 2)) AS name FROM orders) GROUP BY 1, 2")
+sql("placeholder_names_sorted", f"SELECT o_orderkey, array_join({T.sorted_names(TPL)}, '|') AS names FROM orders",
+    "SELECT o_orderkey, array_to_string(list_sort(['TEXT:Name', 'CURRENCY:Sum', 'DATE:Due', o_orderpriority]), '|') AS names FROM orders")
+sql("inline_marks", f"SELECT p_partkey, {T.inline_markup('p_name', 'p_partkey % 2 = 0', 'p_partkey % 3 = 0', 'p_partkey % 5 = 0', 'p_partkey % 7 = 0', 'p_partkey % 11 = 0')} AS v FROM part",
+    "SELECT p_partkey, c || s || u || i || b || p_name || b || i || u || s || c AS v FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN '**' ELSE '' END AS b, CASE WHEN p_partkey % 3 = 0 THEN '*' ELSE '' END AS i, CASE WHEN p_partkey % 5 = 0 THEN '_' ELSE '' END AS u, CASE WHEN p_partkey % 7 = 0 THEN '~~' ELSE '' END AS s, CASE WHEN p_partkey % 11 = 0 THEN '`' ELSE '' END AS c FROM part)")
 sql("placeholder_keys", f"SELECT o_orderpriority, count(*) AS n, max({T.placeholder_key('concat(\"NUM:\", o_orderpriority)')}) AS k, max(size({T.spellings('o_orderpriority')})) AS forms FROM orders GROUP BY 1",
     "SELECT o_orderpriority, count(*) AS n, max(o_orderpriority) AS k, 6 AS forms FROM orders GROUP BY 1")
 sql("currency_format", f"SELECT o_orderkey, {T.currency('o_totalprice')} AS v FROM orders", "SELECT o_orderkey, replace(replace(replace(format('{:,.2f}', o_totalprice), ',', ' '), '.', ','), ' PLN', '') || ' PLN' AS v FROM orders")
