@@ -83,5 +83,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_posting_lists, op2_ppm, op3_quality_ledger, op4_token_frames, op5_bpe_prefixes, op6_line_templates, op7_simhash_pivots, op8_language_id, op9_virtual_slots, op10_cutting_stock, op11_whitening, op12_hard_negatives, op13_secret_battery, quality_ablations, pipeline)}
-ORACLES = {"op3_quality_ledger": quality.ORACLE, "op12_hard_negatives": negatives.ORACLE, "quality_ablations": quality.REPORT_ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLES = {"op3_quality_ledger": quality.ORACLE, "op12_hard_negatives": negatives.ORACLE, "op13_secret_battery": secrets.ORACLE, "quality_ablations": quality.REPORT_ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 

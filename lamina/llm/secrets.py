@@ -160,3 +160,46 @@ def find(docs: DataFrame, share: float = FALSE) -> DataFrame:
     """
     scanned = common.written(scan(docs), "secrets")
     return verdicts(scanned, threshold(scanned, share))
+
+
+def _duck_oracle() -> str:
+    """The same in DuckDB's SQL: matches and tokens are rows, their places sums over the pieces before them."""
+
+    def found(kind: int, pattern: str, fits: str) -> str:
+        own = pattern.replace("'", "''")
+        lengths = lambda a: f"coalesce(list_sum(list_transform({a}, lambda x: length(x))), 0)"
+        at = f"({lengths('ps[1:i]')} + {lengths('ms[1:i - 1]')})::INT"
+        split = f"SELECT k, regexp_extract_all(t, '{own}', 0) AS ms, regexp_extract_all(t, '{own}', {2 if kind == 0 else 0}) AS vs, regexp_split_to_array(t, '{own}') AS ps FROM d"
+        return f"SELECT k, {kind} AS kind, {at} AS a, {at} + length(ms[i]) AS b, ms[i] AS s FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM ({split})) WHERE {fits}"
+
+    def tail(z: str) -> str:
+        t = f"(1 / (1 + 0.2316419 * {z}))"
+        return f"greatest(1e-300, 0.3989422804014327 * exp(-{z} * {z} / 2) * {t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429)))))"
+
+    either = lambda z: f"CASE WHEN {z} >= 0 THEN {tail(z)} ELSE 1 - {tail(f'(-{z})')} END"
+    cases = lambda value: "CASE e " + " ".join(f"WHEN '{n}' THEN {value(a, c)}" for n, (_, a, c) in ENCODINGS.items()) + " END"
+    classes = " + ".join(f"regexp_matches(x, '[{c}]')::INT" for c in ("a-z", "A-Z", "0-9"))
+    encoded = f"CASE WHEN {classes} < 2 THEN NULL " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{n}'" for n, (p, _, _) in ENCODINGS.items()) + " END"
+    pairs = lambda a, test: f"len(list_filter(range(1, n), lambda i: {test.format(f'{a}[i]', f'{a}[i + 1]')}))"
+    spans = lambda where: f"SELECT k, string_agg(CASE kind {' '.join(f'WHEN {i} THEN {n!r}' for i, n in enumerate(KINDS))} END || ':' || a || ':' || b, ',' ORDER BY a, kind) AS s FROM {where} GROUP BY k"
+    return f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({found(0, ASSIGN, f'length(vs[i]) >= {VALUE}')} UNION ALL {found(1, ACCESS, 'true')} UNION ALL {found(2, HEX, 'true')}),
+tok AS (SELECT k, a, b, x, {encoded} AS e FROM (SELECT *, rtrim(s, '=') AS x FROM ({found(3, TOKEN, 'true')}))),
+sym AS (SELECT *, {cases(lambda a, _: f"'{a}'")} AS alphabet, {cases(lambda a, _: len(a))} AS m, {cases(lambda _, c: c[0])}::DOUBLE AS k2, {cases(lambda _, c: c[1])}::DOUBLE AS k3, {cases(lambda _, c: c[2])}::DOUBLE AS r,
+  length(x) AS n, string_split(CASE WHEN e IN ('base16', 'base36') THEN lower(translate(x, '-_', '+/')) ELSE translate(x, '-_', '+/') END, '') AS cs,
+  string_split(translate(translate(x, '-_', '+/'), '{LOWER + UPPER + DIGITS}', '{26 * 'a' + 26 * 'A' + 10 * '0'}'), '') AS h FROM tok WHERE e IS NOT NULL),
+cod AS (SELECT *, list_transform(cs, lambda y: (instr(alphabet, y) - 1)::DOUBLE) AS c FROM sym),
+cnt AS (SELECT *, list_sum(list_transform(list_distinct(c), lambda v: power(len(list_filter(c, lambda w: w = v)), 2)))::DOUBLE AS sq, {pairs('c', '(2 * {0} < m) <> (2 * {1} < m)')} AS changes, {pairs('h', '{0} <> {1}')} AS turns,
+  list_sum(list_transform(range(1, n), lambda i: (c[i] - (m - 1) / 2) * (c[i + 1] - (m - 1) / 2))) AS along FROM cod),
+dev AS (SELECT *, greatest(abs((m * sq / n - n - (m - 1)) / sqrt(2.0 * (m - 1) * (n - 1) / n)), abs((changes - (n - 1) / 2) / sqrt((n - 1) / 4)), abs(along / ((m * m - 1) / 12 * sqrt(n - 1)))) AS z,
+  (n + n::DOUBLE * (n - 1) * k2 - sq) / sqrt(2.0 * n * (n - 1) * (k2 - k2 * k2) + 4.0 * n * (n - 1) * (n - 2) * (k3 - k2 * k2)) AS even, (turns - 0.5 - (n - 1) * r) / sqrt((n - 1) * r * (1 - r)) AS turned FROM cnt),
+p AS (SELECT k, 3 AS kind, a, b, least(1, 6 * {tail('z')}) AS random, greatest(1e-300, ({either('even')}) * ({either('turned')})) AS q FROM dev),
+bins AS (SELECT *, CASE WHEN random < {REJECT} THEN 0 ELSE least({BINS}, floor(-log10(q * (1 - ln(q))) * {STEP}))::INT END AS bin FROM p),
+cut AS (SELECT min(bin) AS least FROM (SELECT bin, sum(count(*)) OVER (ORDER BY bin DESC) AS above, sum(count(*)) OVER () AS total FROM bins GROUP BY bin) WHERE bin > 0 AND total * power(10, -bin / {STEP}) <= {FALSE} * above),
+more AS (SELECT k, kind, a, b FROM bins, cut WHERE bin >= least),
+every AS (SELECT k, kind, a, b FROM base UNION ALL FROM more)
+SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, sha256(coalesce(any_value(bs.s), '')) AS base_sha256, coalesce(any_value(es.s), '') AS spans, count(*) FILTER (kind = 3) AS n_random
+FROM d LEFT JOIN every USING (k) LEFT JOIN ({spans('base')}) AS bs USING (k) LEFT JOIN ({spans('every')}) AS es USING (k) GROUP BY k, doc_id"""
+
+
+ORACLE = _duck_oracle()

@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def representatives(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """One row of each component, with all its columns: that of the least doc_id (null last), of rows with that doc_id the least text.
+    """One row of each component, with all its columns: that of the least doc_id (null last), of rows with that doc_id the text of the least hash, then the first row.
 
     The chosen row numbers come from fingerprints alone; texts stay in the written table until the last join.
     """

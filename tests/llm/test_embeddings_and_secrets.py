@@ -200,3 +200,10 @@ def test_secrets_of_nothing(spark):
 def test_secrets_stay_native(spark):
     plan = secrets.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_secrets_against_sql(spark):
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    found = secrets.find(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert sorted(map(tuple, found.collect())) == sorted(con.sql(secrets.ORACLE).project(", ".join(found.columns)).fetchall())
