@@ -311,3 +311,26 @@ def test_notes_take_room_where_their_references_are():
             if p + 1 in pages and least == 1:
                 assert full(own + pages[p + 1][:1]) > usable
         assert [page_of[f[:2]] for f in flat] == sorted(page_of[f[:2]] for f in flat)
+
+
+def test_chains_and_resolved_are_joins_and_brute_force(spark):
+    """Cycles, missing bases, a base of many and one long chain; Spark walks them, so that no document has to fit a Python worker."""
+    rng = random.Random(6)
+    own = {(d, f"s{i}"): (rng.choice([None, f"s{rng.randrange(14)}"]), {f"k{rng.randrange(3)}": f"{d}-{i}"} if rng.random() < 0.8 else {}) for d in range(4) for i in range(11)}
+    own |= {(9, f"s{i}"): (f"s{i - 1}" if i else None, {f"k{i}": "x"} if i % 50 == 0 else {}) for i in range(140)}
+    own |= {(8, f"s{i}"): (f"s{(i + 1) % 70}", {"k": str(i)}) for i in range(80)}
+    rows = spark.createDataFrame([(d, s, b, p) for (d, s), (b, p) in own.items()], "doc_id long, style_id string, based_on string, properties map<string,string>")
+    chains, resolved = styles.chains(rows), styles.resolved(rows)
+    assert not any("Python" in df._jdf.queryExecution().toString() or "InPandas" in df._jdf.queryExecution().toString() for df in (chains, resolved))
+    want = set()
+    for d, s in own:
+        at, seen = s, []
+        while (d, at) in own and at not in seen:
+            want.add((d, s, at, len(seen)))
+            seen.append(at)
+            at = own[d, at][0]
+    found = chains.collect()
+    assert len(found) == len(want) and {(r.doc_id, r.style_id, r.ancestor, r.depth) for r in found} == want
+    whole = {d: styles.inherited({s: b for (e, s), (b, _) in own.items() if e == d}, {s: p for (e, s), (_, p) in own.items() if e == d}) for d, _ in own}
+    got = resolved.collect()
+    assert {(r.doc_id, r.style_id): r.properties for r in got} == {(d, s): p for d, ps in whole.items() for s, p in ps.items() if p} and len(got) == len({(r.doc_id, r.style_id) for r in got})
