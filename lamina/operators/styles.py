@@ -17,7 +17,7 @@ def walked(rows: DataFrame, key: str, more: Column, ends: Callable[[int], Column
     Each round joins the open chains alone, and leaves a table of them; every style is a row of its own, so a document of any size is spread over all tasks.
     """
     folder = scratch.folder(rows.sparkSession)
-    found = scratch.written(rows, "round-0", folder)
+    found = scratch.written(scratch.dealt(rows, key, "style_id"), "round-0", folder)
     whole, going, steps = found.filter("at IS NULL"), found.filter("at IS NOT NULL"), 1
     while not going.isEmpty():
         steps *= 2

@@ -251,7 +251,7 @@ sql("color_validity", f"SELECT p_partkey, {V.valid_color('c')} AS ok, {V.valid_c
 sql("date_pictures", f"SELECT event_id, {V.shown('ts', 'dddd, d MMMM yyyy')} AS a, {V.shown('ts', 'dd.MM.yy HH:mm')} AS b, {V.shown('ts', 'ddd MMM dd hh:mm:ss AM/PM')} AS c FROM events",
     "SELECT event_id, strftime(ts, '%A, d %B %Y') AS a, strftime(ts, '%d.%m.%y %H:%M') AS b, strftime(ts, '%a %b %d %I:%M:%S %p') AS c FROM events")
 XML = "concat('<?xml version=\"1.0\"?>\\n<w:p xmlns:w=\"urn:w\">  <w:r w:id=\"', p_partkey, '\">\\n<w:t>', p_name, '</w:t></w:r> <w:t>', p_size, '</w:t>\\n</w:p>')"
-sql("xml_texts", f"SELECT p_partkey, array_join({V.xml_text(XML, 't')}, '|') AS v, {V.xml_count(XML, 't')} AS n, {V.xml_attribute(XML, 'r', 'id')} AS id FROM part", "SELECT p_partkey, p_name || '|' || p_size AS v, 2 AS n, p_partkey::VARCHAR AS id FROM part")
+sql("xml_texts", f"SELECT p_partkey, array_join({V.xml_text(XML, 't')}, '|') AS v, {V.xml_count(XML, 't')} AS n, {V.xml_attribute(XML, 'r', 'id')} AS id FROM part", "SELECT p_partkey, p_name || '|' || p_size AS v, 2 AS n, p_partkey::VARCHAR AS id FROM part", deal=True)
 sql("xml_normalized", f"SELECT p_partkey, {V.normalized_xml(XML)} AS v FROM part", "SELECT p_partkey, '<p><r w:id=\"' || p_partkey || '\"><t>' || p_name || '</t></r><t>' || p_size || '</t></p>' AS v FROM part")
 sql("scoped_markers", f"SELECT p_partkey, {V.scoped_marker('t', 'p_size', 'f')} AS v FROM (SELECT p_partkey, p_size, element_at(array('%1.', '•', '(%2)', NULL), cast(p_partkey % 4 + 1 AS int)) AS t, element_at(array('decimal', 'cardinalText', 'hex', 'ordinal'), cast(p_partkey % 4 + 1 AS int)) AS f FROM part)",
     "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size || '.' WHEN 1 THEN p_size::VARCHAR WHEN 2 THEN '(' || p_size || ')' ELSE p_size || CASE WHEN p_size % 100 BETWEEN 10 AND 20 THEN 'th' WHEN p_size % 10 = 1 THEN 'st' WHEN p_size % 10 = 2 THEN 'nd' WHEN p_size % 10 = 3 THEN 'rd' ELSE 'th' END END AS v FROM part")

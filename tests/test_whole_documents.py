@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lamina import scratch
 from lamina.document import Documents
 from lamina.operators import elements, fill, full_merge, linebreak, merging, normalize, parts, styles
+from lamina.plans import registry
 from lamina.sinks import package as sink
 from lamina.sources import package
 
@@ -334,3 +335,23 @@ def test_chains_and_resolved_are_joins_and_brute_force(spark):
     whole = {d: styles.inherited({s: b for (e, s), (b, _) in own.items() if e == d}, {s: p for (e, s), (_, p) in own.items() if e == d}) for d, _ in own}
     got = resolved.collect()
     assert {(r.doc_id, r.style_id): r.properties for r in got} == {(d, s): p for d, ps in whole.items() for s, p in ps.items() if p} and len(got) == len({(r.doc_id, r.style_id) for r in got})
+
+
+@pytest.mark.parametrize("name", ["package_styles", "package_numbering", "package_sections", "package_damage", "xml_texts"])
+def test_packages_of_one_small_file_are_many_tasks(spark, monkeypatch, name):
+    """The table of parts is one file of one row group; its packages aren't one task's work."""
+    seen = []
+    write = sink.write_documents
+    monkeypatch.setattr(sink, "write_documents", lambda documents, *args, **kw: seen.append(documents) or write(documents, *args, **kw))
+    out = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert (seen or [out])[0].rdd.getNumPartitions() >= 4
+
+
+def test_stored_entries_are_as_zipfile_makes_them():
+    own = {"[Content_Types].xml": b"<x/>", "word/\u00e4.bin": bytes(range(256)), "empty": b""}
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in own.items():
+            z.writestr(zipfile.ZipInfo(name, (2024, 1, 1, 0, 0, 0)), data)
+    assert sink.zipped(own) == out.getvalue()
+    assert {n: zipfile.ZipFile(io.BytesIO(sink.zipped(own))).read(n) for n in own} == own
