@@ -98,7 +98,8 @@ def tiles(rows: DataFrame, d: int) -> tuple[DataFrame, int]:
     tall = common.written(panels(anchors, down, d, "a"), "anchor-panels", folder).toDF("a", "k", "anchors", "anchor_ids", "anchor_labels", "m")
     wide = common.written(panels(rows, across, d, "b"), "row-panels", folder).toDF("b", "k", "rows", "ids", "labels", "other_m")
     everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    met = tall.withColumn("b", everywhere(across)).join(wide.withColumn("a", everywhere(down)), ["a", "b", "k"])
+    # Spark takes an exploded table for as small as its file: it would send every anchor panel, once for each row block, through the driver
+    met = tall.withColumn("b", everywhere(across)).hint("merge").join(wide.withColumn("a", everywhere(down)), ["a", "b", "k"])
     parts = met.mapInArrow(products, f"{TILE}, part binary").groupBy("a", "b")
     return common.written(parts.applyInArrow(summed, f"{TILE}, tile binary, near array<struct<anchor: long, score: long, id: long, key: long>>"), "tiles", folder), across
 
@@ -163,7 +164,7 @@ def mine(vectors: DataFrame) -> DataFrame:
     positives = common.written(ranked(near, ["anchor"], [F.desc("score"), F.asc("id"), F.asc("key")], POSITIVES), "positives", folder)
     limits = positives.groupBy("a").agg(F.collect_list(F.struct("anchor", "key", "id", "score")).alias("wanted"))  # the anchors of a block, times POSITIVES
     limits = limits.select("a", "wanted", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("b"))
-    found = whole.drop("near").join(limits, ["a", "b"]).mapInArrow(found_negatives, "anchor long, positive long, anchor_id long, positive_id long, positive_score long, negative long, negative_id long, negative_score long")
+    found = whole.drop("near").join(limits.hint("merge"), ["a", "b"]).mapInArrow(found_negatives, "anchor long, positive long, anchor_id long, positive_id long, positive_score long, negative long, negative_id long, negative_score long")
     first = ranked(common.written(found, "negatives", folder), ["anchor", "positive"], [F.desc("negative_score"), F.asc("negative_id"), F.asc("negative")], NEGATIVES)
     return first.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 

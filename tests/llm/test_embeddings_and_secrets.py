@@ -207,3 +207,14 @@ def test_secrets_against_sql(spark):
     con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
     found = secrets.find(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     assert sorted(map(tuple, found.collect())) == sorted(con.sql(secrets.ORACLE).project(", ".join(found.columns)).fetchall())
+
+
+def test_no_exploded_panels_are_broadcast(spark, monkeypatch):
+    """Panels and positives stand once for each block of the other side: as many copies as the table has blocks must not pass through the driver."""
+    from lamina.llm import common, negatives
+
+    plans, write = {}, common.written
+    monkeypatch.setattr(common, "written", lambda df, name, *folder: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or write(df, name, *folder))
+    rows = spark.range(300).selectExpr("id AS vec_id", "transform(sequence(1, 4), i -> cast(sin(id * i) AS float)) AS embedding", "cast(id % 3 AS int) AS label")
+    assert negatives.mine(rows).count() > 0
+    assert not any("Broadcast" in plans[name] for name in ("tiles", "negatives"))
