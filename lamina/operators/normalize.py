@@ -1,6 +1,6 @@
 """Documents normalised: clean values, united runs, no local formatting that a style says anyway, and styles made of the local formatting that is left.
 
-The text stays what it is, and a second pass changes nothing. Inputs are tables of the package scan with the document's key; whatever depends on order works within a paragraph.
+The text stays what it is, and a second pass changes nothing. Tables made here are larger than Spark takes them for, so joins say that none is to be broadcast. Inputs are tables of the package scan with the document's key; whatever depends on order works within a paragraph.
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina import scratch
 from lamina.operators import styles as S
 
 SWITCHES, LOOK = ("bold", "italic", "underline", "strike"), ("highlight", "color", "font_size", "font_name")
@@ -50,7 +51,7 @@ def said_anyway(rows: DataFrame, resolved: DataFrame, local: str = "properties",
     """``rows`` (key, style, ``local`` map) without the local entries that their style says, by itself or by what it is based on. Empty entries go too."""
     theirs = resolved.select(key, F.col("style_id").alias("style"), F.col("properties").alias("_theirs"))
     left = F.expr(f"map_filter(coalesce({local}, map()), (k, v) -> coalesce(v, '') <> '' AND NOT v <=> try_element_at(coalesce(_theirs, map()), k))")
-    return rows.join(theirs, [key, "style"], "left").withColumn(local, left).drop("_theirs")
+    return rows.join(theirs.hint("merge"), [key, "style"], "left").withColumn(local, left).drop("_theirs")
 
 
 def entries(properties: str) -> Column:
@@ -63,17 +64,18 @@ def synthesised(rows: DataFrame, styles: DataFrame, kind: str, prefix: str, key:
 
     A style of ``kind`` with that base and just those properties serves if there is one, the least id of several; new ones are numbered by first use, above what the document has.
     """
-    rows = rows.withColumn("_own", entries(local))
+    at = scratch.folder(rows.sparkSession)
+    rows = scratch.written(rows.withColumn("_own", entries(local)), "rows", at)  # three tables come of them, each of which would make them anew
     used = rows.filter(F.size("_own") > 0).groupBy(key, F.col(style).alias("_base"), "_own").agg(F.min(F.struct(*order)).alias("_first"))
     there = styles.filter(F.col("type") == kind).groupBy(F.col(key).alias("_key"), F.col("based_on").alias("_on"), entries("properties").alias("_same")).agg(F.min("style_id").alias("_there"))
-    met = used.join(there, (F.col(key) == F.col("_key")) & F.col("_base").eqNullSafe(F.col("_on")) & (F.col("_own") == F.col("_same")), "left").drop("_key", "_on", "_same")
+    met = used.join(there.hint("merge"), (F.col(key) == F.col("_key")) & F.col("_base").eqNullSafe(F.col("_on")) & (F.col("_own") == F.col("_same")), "left").drop("_key", "_on", "_same")
     number = F.expr(f"try_cast(regexp_extract(style_id, '^{prefix}([0-9]+)$', 1) AS int)")
     above = styles.groupBy(key).agg(F.max(number).alias("_above"))
     place = F.sum(F.col("_there").isNull().cast("int")).over(Window.partitionBy(key).orderBy("_first").rowsBetween(Window.unboundedPreceding, 0))
-    named = met.join(above, key, "left").withColumn("_new", F.coalesce("_there", F.concat(F.lit(prefix), (F.coalesce("_above", F.lit(0)) + place).cast("string"))))
+    named = scratch.written(met.join(above.hint("merge"), key, "left").withColumn("_new", F.coalesce("_there", F.concat(F.lit(prefix), (F.coalesce("_above", F.lit(0)) + place).cast("string")))), "named", at)
     made = named.filter("_there IS NULL").select(key, F.col("_new").alias("style_id"), F.lit(kind).alias("type"), F.concat(F.lit("Normalised "), F.lower(F.col("_new"))).alias("name"), F.col("_base").alias("based_on"), F.map_from_entries("_own").alias("properties"))
     names = named.select(F.col(key).alias("_key"), F.col("_base").alias("_was"), F.col("_own").alias("_what"), "_new")
-    out = rows.join(names, (F.col(key) == F.col("_key")) & F.col(style).eqNullSafe(F.col("_was")) & (F.col("_own") == F.col("_what")), "left")
+    out = rows.join(names.hint("merge"), (F.col(key) == F.col("_key")) & F.col(style).eqNullSafe(F.col("_was")) & (F.col("_own") == F.col("_what")), "left")
     out = out.withColumns({style: F.coalesce("_new", style), local: F.when(F.col("_new").isNull(), F.col(local)).otherwise(F.create_map().cast("map<string,string>"))})
     return out.drop("_own", "_key", "_was", "_what", "_new"), styles.unionByName(made.select(*styles.columns))
 
@@ -82,7 +84,7 @@ def used_only(styles: DataFrame, used: DataFrame, prefixes: tuple[str, ...] = (P
     """The document's styles without those made here that nothing uses any more. ``used``: (key, style_id), of rows; bases count as used."""
     made = F.col("style_id").rlike(f"^({'|'.join(prefixes)})[0-9]+$")
     every = used.unionByName(styles.select(key, F.col("based_on").alias("style_id"))).distinct().withColumn("_used", F.lit(True))
-    return styles.join(every, [key, "style_id"], "left").filter(~made | F.col("_used")).drop("_used")
+    return styles.join(every.hint("merge"), [key, "style_id"], "left").filter(~made | F.col("_used")).drop("_used")
 
 
 def normalised(elements: DataFrame, runs: DataFrame, styles: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
@@ -108,7 +110,7 @@ def normalised(elements: DataFrame, runs: DataFrame, styles: DataFrame, key: str
     # a run says nothing that its own style, or else its paragraph's, says
     owner = elements.filter(is_paragraph).select(key, *place, F.col("style").alias("_paragraph")).distinct()
     theirs = resolved.select(key, F.col("style_id").alias("_paragraph"), F.col("properties").alias("_theirs"))
-    looks = said_anyway(looks, resolved, "_local", key).join(owner.join(theirs, [key, "_paragraph"]).select(key, *place, "_theirs"), [key, *place], "left")
+    looks = said_anyway(looks, resolved, "_local", key).join(owner.join(theirs.hint("merge"), [key, "_paragraph"]).select(key, *place, "_theirs").hint("merge"), [key, *place], "left")
     looks = looks.withColumn("_local", F.expr("map_filter(_local, (k, v) -> style IS NOT NULL OR NOT v <=> try_element_at(coalesce(_theirs, map()), k))")).drop("_theirs")
     value = lambda c: F.try_element_at(F.col("_local"), F.lit(PROPERTY[c]))
     looks = looks.withColumns({c: (value(c) == "true") if c in SWITCHES else value(c) for c in PROPERTY}).drop("_local")

@@ -22,7 +22,8 @@ def walked(rows: DataFrame, key: str, more: Column, ends: Callable[[int], Column
     while not going.isEmpty():
         steps *= 2
         there = whole.unionByName(going).select(key, F.col("style_id").alias("at"), F.col("value").alias("_value"), F.col("at").alias("_at"))
-        met = going.join(there, [key, "at"], "left").withColumn("value", more)
+        # paths are small in a file and large in memory: nothing of them may be broadcast
+        met = going.join(there.hint("merge"), [key, "at"], "left").withColumn("value", more)
         found = scratch.written(met.select(key, "style_id", "value", F.when(~ends(steps), F.col("_at")).alias("at")), f"round-{steps}", folder)
         whole, going = whole.unionByName(found.filter("at IS NULL")), found.filter("at IS NOT NULL")
     return whole

@@ -355,3 +355,24 @@ def test_stored_entries_are_as_zipfile_makes_them():
             z.writestr(zipfile.ZipInfo(name, (2024, 1, 1, 0, 0, 0)), data)
     assert sink.zipped(own) == out.getvalue()
     assert {n: zipfile.ZipFile(io.BytesIO(sink.zipped(own))).read(n) for n in own} == own
+
+
+def test_normalised_makes_its_rows_once(spark):
+    """Elements, definitions and runs come of tables that are there; the source isn't read again for each of them."""
+    counter = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            counter.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(40).selectExpr("id % 5 AS doc_id", "'document' AS part", "cast(id AS int) AS seq", "'paragraph' AS kind", "'Base' AS style", "map('jc', if(id % 2 = 0, 'left', 'right')) AS properties")
+    rows = rows.mapInArrow(counted, rows.schema)
+    own = spark.range(5).selectExpr("id AS doc_id", "'Base' AS style_id", "'paragraph' AS type", "'Base' AS name", "cast(NULL AS string) AS based_on", "map('jc', 'left') AS properties")
+    none = [f"cast(NULL AS string) AS {c}" for c in (*normalize.LOOK, "field", "note")]
+    runs = spark.range(40).selectExpr("id % 5 AS doc_id", "'document' AS part", "cast(id AS int) AS seq", "'x' AS place", "0 AS run", "'t' AS text", *(f"cast(NULL AS boolean) AS {c}" for c in normalize.SWITCHES), *none)
+    out = normalize.normalised(rows, runs, own)
+    before = counter.value
+    made = [r for r in out["styles"].collect() if r.style_id != "Base"]
+    assert {(r.doc_id, r.style_id, r.based_on, r.properties["jc"]) for r in made} == {(d, "Paragraph1", "Base", "right") for d in range(5)} and len(made) == 5
+    assert counter.value == before
