@@ -376,3 +376,17 @@ def test_normalised_makes_its_rows_once(spark):
     made = [r for r in out["styles"].collect() if r.style_id != "Base"]
     assert {(r.doc_id, r.style_id, r.based_on, r.properties["jc"]) for r in made} == {(d, "Paragraph1", "Base", "right") for d in range(5)} and len(made) == 5
     assert counter.value == before
+
+
+def test_copies_write_one_table_however_long_the_ways(spark, monkeypatch):
+    """A chain of twelve parts is walked within its document's row: the only table is the result."""
+    names, real = [], parts.scratch.written
+    monkeypatch.setattr(parts.scratch, "written", lambda df, name, at=None: names.append(name) or real(df, name, at))
+    chain = [f"word/c{i}.xml" for i in range(12)]
+    source = spark.createDataFrame([(d, p, "s") for d in (1, 2) for p in ("word/document.xml", *chain)], "doc_id long, part string, digest string")
+    target = spark.createDataFrame([(1, "word/c3.xml", "t")], "doc_id long, part string, digest string")
+    rels = spark.createDataFrame([(d, a, "rId1", "x", "/" + b, None) for d in (1, 2) for a, b in zip(("word/document.xml", *chain), chain)], RELS)
+    used = spark.createDataFrame([(1, "word/document.xml", "rId1"), (2, "word/document.xml", "rId1")], "doc_id long, part string, rel_id string")
+    found = parts.copied(target, spark.createDataFrame([], RELS), source, rels, used)
+    assert {(r.doc_id, r.part, r.new_part) for r in found.parts.filter("copied").collect()} == {(d, p, "word/c12.xml" if (d, p) == (1, "word/c3.xml") else p) for d in (1, 2) for p in chain}
+    assert found.relationships.count() == 24 and found.missing.isEmpty() and names == ["copies"]
