@@ -390,3 +390,54 @@ def test_copies_write_one_table_however_long_the_ways(spark, monkeypatch):
     found = parts.copied(target, spark.createDataFrame([], RELS), source, rels, used)
     assert {(r.doc_id, r.part, r.new_part) for r in found.parts.filter("copied").collect()} == {(d, p, "word/c12.xml" if (d, p) == (1, "word/c3.xml") else p) for d in (1, 2) for p in chain}
     assert found.relationships.count() == 24 and found.missing.isEmpty() and names == ["copies"]
+
+
+def test_checks_of_one_partition_are_many_tasks(spark):
+    """Rows that compress well, or come from one small file, aren't put together in one task however many they are."""
+    from lamina.operators import checks, reports
+
+    docs = spark.range(400, numPartitions=1).withColumnRenamed("id", "doc_id")
+    types = docs.selectExpr("doc_id", "'*.xml' AS name", "'application/xml' AS content_type")
+    copies = docs.selectExpr("doc_id", "'a.xml' AS part", "'b.xml' AS new_part", "true AS copied")
+    own = types.unionByName(docs.selectExpr("doc_id", "'a.xml' AS name", "if(doc_id % 2 = 0, 'chart', NULL) AS content_type")).coalesce(1)
+    found = parts.united_types(types, own, copies)
+    assert {(r.doc_id, r.name, r.content_type) for r in found.collect()} == {(d, "*.xml", "application/xml") for d in range(400)} | {(d, "b.xml", "chart") for d in range(0, 400, 2)}
+    there = docs.selectExpr("doc_id", "'word/document.xml' AS part", "'x' AS content_type")
+    rels = docs.selectExpr("doc_id + 1 AS doc_id", "'word/document.xml' AS source", "'rId1' AS rel_id", "'document.xml' AS target", "cast(NULL AS string) AS target_mode")
+    issues = reports.package_issues(there, rels)
+    assert [(r.doc_id, r.rule) for r in issues.filter("doc_id = 400").collect()] == [(400, "broken_target")] and issues.filter("rule = 'broken_target'").count() == 1 and issues.filter("doc_id = 0").count() == 8
+    left = checks.dangling(docs.selectExpr("doc_id", "'s' AS style_id", "if(doc_id % 2 = 0, 's', 'gone') AS based_on"), "based_on", docs.selectExpr("doc_id", "'s' AS style_id"), "style_id", "missing_base", "style", "style_id")
+    assert {r.doc_id for r in left.collect()} == set(range(1, 400, 2))
+    for frame in (found, issues, left):
+        assert frame.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_numbering_is_dealt_out_once(spark):
+    """Levels that are there twice are no difference, and neither collected levels nor a join of instances lies between them and their list."""
+    schema = "doc_id long, num_id string, level int, format string, text string, start int, properties map<string,string>"
+    target = spark.createDataFrame([(1, "1", 0, "decimal", "%1.", 1, {"a": "1"}), (1, "1", 0, "decimal", "%1.", 1, {"a": "1"}), (1, "1", 1, "bullet", "o", 1, {})], schema)
+    source = spark.createDataFrame([(1, "1", 1, "bullet", "o", None, None), (1, "1", 0, "decimal", "%1.", 1, {"a": "1"}), (1, "2", 0, "decimal", "%1.", 1, {"a": "1"})], schema)
+    found = full_merge.numbering_merged(target, source, full_merge.numbered_on(target, source, "num_id"))
+    assert sorted((r.num_id, r.level, r.abstract_id) for r in found.collect()) == [("1", 0, 0), ("1", 0, 0), ("1", 1, 0), ("2", 0, 0), ("2", 1, 0), ("3", 0, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_" not in plan and plan.count("Join ") == 2
+
+
+def test_pages_read_their_blocks_once(spark):
+    from lamina.operators import assembly
+
+    counter = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            counter.add(batch.num_rows)
+            yield batch
+
+    blocks = spark.range(60).selectExpr("id % 6 AS doc_id", "id AS seq", "'paragraph' AS kind", "4 AS lines", "10.0D AS line_h", "0.0D AS before", "0.0D AS after", "false AS break_before", "false AS break_after", "false AS keep", "cast(NULL AS array<struct<line: int, id: string, h: double>>) AS notes")
+    ends = spark.createDataFrame([(1, 0, 7, 10.0), (1, 1, 25, 10.0), (9, 0, 1, 10.0)], "doc_id long, seq long, lines int, line_h double")
+    headers, marks = spark.createDataFrame([(1, "default", "h")], "doc_id long, variant string, text string"), spark.createDataFrame([(9, "m")], "doc_id long, text string")
+    rows = assembly.whole_pages(blocks.mapInArrow(counted, blocks.schema), headers, marks, ends, usable=100.0).collect()
+    assert counter.value == 60
+    assert sorted((r.doc_id, r.page, r.seq, r.first_line, r.n_lines, r.y, r.h) for r in rows if r.layer == "endnotes") == [(1, 5, 0, 0, 7, 0.0, 70.0), (1, 5, 1, 0, 3, 70.0, 30.0), (1, 6, 1, 3, 10, 0.0, 100.0), (1, 7, 1, 13, 10, 0.0, 100.0), (1, 8, 1, 23, 2, 0.0, 20.0), (9, 1, 0, 0, 1, 0.0, 10.0)]
+    assert sorted(r.page for r in rows if r.layer == "header") == list(range(1, 9)) and [(r.doc_id, r.page) for r in rows if r.layer == "watermark"] == [(9, 1)]
+    assert sorted((r.seq, r.page) for r in rows if r.layer == "body" and r.doc_id == 1 and r.first_line == 0) == [(1 + 6 * i, i * 4 // 10 + 1) for i in range(10)]
