@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.operators.parts import part_name
+from lamina.operators.parts import gathered, named
 
 #: Parts that a package must and may have, and the property ranges that validation knows.
 REQUIRED = ("[Content_Types].xml", "_rels/.rels", "word/document.xml")
@@ -117,13 +117,13 @@ def package_issues(parts: DataFrame, relationships: DataFrame, key: str = "doc_i
 
     ``parts``: (key, part, content_type), ``relationships``: (key, source, rel_id, target, target_mode). Targets are taken relative to their source's folder.
     """
-    own = parts.groupBy(key).agg(F.collect_set("part").alias("_parts"))
-    missing = lambda names, level: F.transform(F.array_except(F.array(*map(F.lit, names)), "_parts"), lambda p: F.struct(F.lit(level).alias("level"), F.lit("missing_part").alias("rule"), p.alias("element")))
-    absent = own.select(key, F.inline(F.concat(missing(REQUIRED, "error"), missing(OPTIONAL, "warning"))))
-    untyped = parts.filter(F.col("content_type").isNull() & (F.col("part") != REQUIRED[0])).select(key, F.lit("warning").alias("level"), F.lit("no_content_type").alias("rule"), F.col("part").alias("element"))
-    inner = relationships.filter(F.coalesce("target_mode", F.lit("Internal")) != "External").withColumn("part", part_name())
-    broken = inner.join(parts.select(key, "part"), [key, "part"], "left_anti").select(key, F.lit("error").alias("level"), F.lit("broken_target").alias("rule"), F.col("rel_id").alias("element"))
-    return absent.unionByName(untyped).unionByName(broken)
+    own = gathered(key, parts=parts.select(key, "part", "content_type"), rels=relationships.select(key, "source", "rel_id", "target", "target_mode"))
+    issue = lambda level, rule, element: f"struct('{level}' AS level, '{rule}' AS rule, {element} AS element)"
+    missing = lambda names, level: f"transform(array_except(array({', '.join(repr(n) for n in names)}), parts.part), p -> {issue(level, 'missing_part', 'p')})"
+    absent = f"if(size(parts) > 0, concat({missing(REQUIRED, 'error')}, {missing(OPTIONAL, 'warning')}), array())"
+    untyped = f"transform(filter(parts, p -> p.content_type IS NULL AND p.part <> '{REQUIRED[0]}'), p -> {issue('warning', 'no_content_type', 'p.part')})"
+    broken = f"transform(filter(rels, r -> coalesce(r.target_mode, 'Internal') <> 'External' AND NOT coalesce(array_contains(parts.part, {named('r.source', 'r.target')}), false)), r -> {issue('error', 'broken_target', 'r.rel_id')})"
+    return own.select(key, F.inline(F.expr(f"concat({absent}, {untyped}, {broken})")))
 
 
 def property_issues(properties: DataFrame, key: str = "doc_id") -> DataFrame:
