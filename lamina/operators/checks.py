@@ -7,15 +7,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina import scratch
+
 
 def _issues(rows: DataFrame, broken: Column, level: str, rule: str, kind: str, element: str) -> DataFrame:
     return rows.filter(broken).select("doc_id", F.lit(level).alias("level"), F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), F.col(element).cast("string").alias("element"))
 
 
+def without(rows: DataFrame, known: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` whose keys ``known`` hasn't. Both go to a fixed number of partitions: rows that compress well would be put together until a sort fills a task's memory."""
+    return scratch.dealt(rows, *keys).join(scratch.dealt(known.select(*keys), *keys), list(keys), "left_anti")
+
+
 def dangling(rows: DataFrame, reference: str, targets: DataFrame, key: str, rule: str, kind: str, element: str) -> DataFrame:
     """Warnings for references of a document that none of its own targets meets."""
-    known = targets.select("doc_id", F.col(key).alias(reference)).distinct()
-    left = rows.filter(F.col(reference).isNotNull() & (F.col(reference) != "")).join(known, ["doc_id", reference], "left_anti")
+    known = targets.select("doc_id", F.col(key).alias(reference))
+    left = without(rows.filter(F.col(reference).isNotNull() & (F.col(reference) != "")).select("doc_id", reference, F.col(element).cast("string").alias(element)), known, "doc_id", reference)
     return _issues(left, F.lit(True), "warning", rule, kind, element)
 
 
@@ -27,7 +34,7 @@ def document_issues(documents: DataFrame, tables: DataFrame, styles: DataFrame,
     A document without rows of styles or sections has an issue of its own.
     """
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
-    none = lambda other, rule, kind: _issues(documents.join(other.select("doc_id").distinct(), "doc_id", "left_anti"), F.lit(True), "warning", rule, kind, "doc_id")
+    none = lambda other, rule, kind: _issues(without(documents.select("doc_id"), other, "doc_id"), F.lit(True), "warning", rule, kind, "doc_id")
     parts = [
         _issues(documents, blank("text"), "warning", "no_text", "document", "doc_id"),
         _issues(tables, F.col("n_rows") == 0, "warning", "no_rows", "table", "table_id"),
