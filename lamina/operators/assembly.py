@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from lamina import scratch
 from lamina.functions import text as T
 
 BLOCK = ("seq", "kind", "lines", "line_h", "before", "after", "break_before", "break_after", "keep", "notes_h")
@@ -82,6 +88,8 @@ def measured(rows: DataFrame, table_rows: str | None = None, width: float = 451.
     return rows.select("doc_id", "seq", "kind", lines.alias("lines"), F.when(F.col("kind") == "image", 50.0).otherwise(size * 1.2).alias("line_h"), none.alias("before"), F.lit(6.0).alias("after"), F.lit(False).alias("break_before"), (F.col("kind") == "page_break").alias("break_after"), F.lit(False).alias("keep"), none.alias("notes_h"))
 
 
+#: Rows of a batch that leaves Python.
+ROWS = 10000
 NOTED = ("seq", "kind", "lines", "line_h", "before", "after", "break_before", "break_after", "keep", "notes")
 
 
@@ -158,33 +166,44 @@ def whole_pages(blocks: DataFrame, headers: DataFrame, watermarks: DataFrame, en
     `endnotes`: (key, seq, lines, line_h) go on behind the body, from a new page on. `header`: (key, variant, text) by page: `first` on the first, `even` on even ones, else `default`, where a document has
     the variant. `watermark`: (key, text) on every page. ``notes_counted``: how often an area counts against the room; the usual layout counts it twice.
     """
-    own = blocks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*NOTED))).alias("blocks"))
     types = dict(blocks.dtypes)
-    columns = [key, "seq", "kind", "note", "page", "first_line", "n_lines", "y", "h"]
-    schema = f"{key} {types[key]}, seq {types['seq']}, kind string, note string, page int, first_line int, n_lines int, y double, h double"
+    schema = StructType.fromDDL(f"{key} {types[key]}, seq {types['seq']}, kind string, note string, page int, first_line int, n_lines int, y double, h double")
+    arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for pdf in batches:
-            rows = [{key: k} | r for k, bs in zip(pdf[key], pdf["blocks"], strict=True) for r in assemble_noted(list(bs), usable, least, notes_counted, note_gap)]
-            yield pd.DataFrame(rows, columns=columns)
-
-    placed = own.mapInPandas(run, schema)
+        """Columns, not structs, of blocks that lie in order; a document may go on in the next batch."""
+        out: list[dict] = []
+        for k, own in groupby((row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in (key, *NOTED)), strict=True)), itemgetter(0)):
+            out += [{key: k} | r for r in assemble_noted([dict(zip(NOTED, row[1:], strict=True)) for row in own], usable, least, notes_counted, note_gap)]
+            if len(out) >= ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], f.type) for f in arrow], schema=arrow)
+                out = []
+        yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], f.type) for f in arrow], schema=arrow)
+
+    at = scratch.folder(blocks.sparkSession)
+    ordered = scratch.dealt(blocks.select(key, *NOTED), key).sortWithinPartitions(key, *NOTED)
+    placed = scratch.written(ordered.mapInArrow(run, schema), "placed", at)  # read three times, assembled once
     body = placed.withColumn("layer", F.when(F.col("kind") == "footnote", "footnote").otherwise("body"))
     last = placed.groupBy(key).agg(F.max("page").alias("_last"))
     # endnotes fill pages of their own: lines in one running sum, a page holds as many as fit whole
-    ends = endnotes.select(key, "seq", F.greatest(F.coalesce("lines", F.lit(1)), F.lit(1)).alias("lines"), "line_h").select(key, "seq", "line_h", F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("line"))
-    order = Window.partitionBy(key).orderBy("seq", "line")
-    per_page = F.floor(F.lit(usable + EPSILON) / F.max("line_h").over(Window.partitionBy(key)))
-    ends = ends.withColumn("_n", F.row_number().over(order) - 1).withColumn("_per", F.greatest(per_page, F.lit(1)))
-    ends = ends.withColumns({"_page": F.floor(F.col("_n") / F.col("_per")), "_y": (F.col("_n") % F.col("_per")) * F.max("line_h").over(Window.partitionBy(key))})
-    notes = ends.groupBy(key, "seq", "_page").agg(F.min("line").cast("int").alias("first_line"), F.count("*").cast("int").alias("n_lines"), F.min("_y").alias("y"), F.sum("line_h").alias("h"))
-    notes = notes.join(last, key, "left").select(key, F.col("seq").cast(types["seq"]).alias("seq"), F.lit("endnote").alias("kind"), F.lit(None).cast("string").alias("note"), (F.coalesce("_last", F.lit(0)) + F.col("_page") + 1).cast("int").alias("page"), "first_line", "n_lines", "y", "h", F.lit("endnotes").alias("layer"))
+    lines = F.greatest(F.coalesce("lines", F.lit(1)), F.lit(1))
+    per_page = lambda high: F.greatest(F.floor(F.lit(usable + EPSILON) / high), F.lit(1))
+    ends = endnotes.select(key, "seq", lines.alias("lines"), "line_h")
+    high = F.max("line_h").over(Window.partitionBy(key))
+    before = F.sum("lines").over(Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - F.col("lines")
+    ends = scratch.dealt(ends, key).select(key, "seq", "lines", "line_h", high.alias("_high"), per_page(high).alias("_per"), before.alias("_n"))
+    ends = ends.select("*", F.explode(F.expr("sequence(_n div _per, (_n + lines - 1) div _per)")).alias("_page"))
+    ends = ends.withColumn("first_line", F.expr("greatest(_page * _per - _n, 0)")).withColumn("n_lines", F.expr("least(lines, (_page + 1) * _per - _n) - first_line"))
+    notes = ends.select(key, "seq", "_page", F.col("first_line").cast("int").alias("first_line"), F.col("n_lines").cast("int").alias("n_lines"), F.expr("(_n + first_line) % _per * _high").alias("y"), (F.col("n_lines") * F.col("line_h")).alias("h"))
+    notes = notes.join(last.hint("merge"), key, "left").select(key, F.col("seq").cast(types["seq"]).alias("seq"), F.lit("endnote").alias("kind"), F.lit(None).cast("string").alias("note"), (F.coalesce("_last", F.lit(0)) + F.col("_page") + 1).cast("int").alias("page"), "first_line", "n_lines", "y", "h", F.lit("endnotes").alias("layer"))
     content = body.unionByName(notes)
-    pages = content.groupBy(key).agg(F.max("page").alias("_last")).select(key, F.explode(F.sequence(F.lit(1), F.col("_last"))).alias("page"))
+    behind = endnotes.groupBy(key).agg(F.ceil(F.sum(lines) / per_page(F.max("line_h"))).alias("_ends"))
+    whole = scratch.written(last.hint("merge").join(behind, key, "full").select(key, (F.coalesce("_last", F.lit(0)) + F.coalesce("_ends", F.lit(0))).cast("int").alias("_last")), "pages", at)
+    pages = whole.select(key, F.explode(F.sequence(F.lit(1), F.col("_last"))).alias("page"))
     variants = headers.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("variant", "text"))).alias("_v"))
     of = lambda name: F.try_element_at(F.col("_v"), F.lit(name))
     text = F.coalesce(F.when(F.col("page") == 1, of("first")), F.when(F.col("page") % 2 == 0, of("even")), of("default"))
     extra = lambda df, layer: df.select(key, F.lit(-1).cast(types["seq"]).alias("seq"), F.lit(layer).alias("kind"), F.col("text").alias("note"), "page", F.lit(0).alias("first_line"), F.lit(1).alias("n_lines"), F.lit(0.0).alias("y"), F.lit(0.0).alias("h"), F.lit(layer).alias("layer"))
-    tops = extra(pages.join(variants, key).withColumn("text", text).filter("text IS NOT NULL"), "header")
-    marks = extra(pages.join(watermarks.select(key, "text"), key), "watermark")
+    tops = extra(pages.join(variants.hint("merge"), key).withColumn("text", text).filter("text IS NOT NULL"), "header")
+    marks = extra(pages.join(watermarks.select(key, "text").hint("merge"), key), "watermark")
     return content.unionByName(tops).unionByName(marks).select(key, "page", "layer", "seq", "kind", "note", "first_line", "n_lines", "y", "h")
