@@ -441,3 +441,11 @@ def test_pages_read_their_blocks_once(spark):
     assert sorted((r.doc_id, r.page, r.seq, r.first_line, r.n_lines, r.y, r.h) for r in rows if r.layer == "endnotes") == [(1, 5, 0, 0, 7, 0.0, 70.0), (1, 5, 1, 0, 3, 70.0, 30.0), (1, 6, 1, 3, 10, 0.0, 100.0), (1, 7, 1, 13, 10, 0.0, 100.0), (1, 8, 1, 23, 2, 0.0, 20.0), (9, 1, 0, 0, 1, 0.0, 10.0)]
     assert sorted(r.page for r in rows if r.layer == "header") == list(range(1, 9)) and [(r.doc_id, r.page) for r in rows if r.layer == "watermark"] == [(9, 1)]
     assert sorted((r.seq, r.page) for r in rows if r.layer == "body" and r.doc_id == 1 and r.first_line == 0) == [(1 + 6 * i, i * 4 // 10 + 1) for i in range(10)]
+
+
+def test_full_merge_broadcasts_nothing(spark):
+    """A broadcast passes a table whole through the driver, and tables of documents are much larger there than in their files."""
+    from lamina.plans import registry
+
+    plan = registry.QUERIES["full_merge"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
