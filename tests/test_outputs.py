@@ -227,3 +227,27 @@ def test_command_others(spark, tmp_path, capsys):
     assert command.main(["pipeline", f"file://{tmp_path}/t", f"file://{tmp_path}/p", "--kind", "texts"], spark) == 0
     assert {(r.doc_id, r.seq, r.page) for r in spark.read.parquet(f"file://{tmp_path}/p").collect()} == {(1, 0, 1), (1, 1, 1), (2, 0, 1)}
     assert command.main(["info", f"file://{tmp_path}/t", "--kind", "texts"], spark) == 0
+
+
+def test_pages_and_files_leave_python_a_few_at_a_time():
+    """However many rows a batch of Arrow has, only some are Python objects at a time."""
+    import pyarrow as pa
+
+    from lamina import scratch
+    from lamina.sources import html
+
+    class Frame:
+        dtypes = [("page_id", "bigint"), ("html", "string")]
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, kind):  # noqa: N802
+            return run
+
+    seen = []
+    batch = pa.record_batch([pa.array(range(100)), pa.array(["<p>a</p><p>b</p>", None, "<p>" + "x" * 9] * 33 + [""])], ["page_id", "html"])
+    out = list(html.scan_pages(Frame())(iter([batch])))
+    assert len(out) == 4 and max(b.num_rows for b in out) <= 64 and [r["text"] for b in out for r in b.to_pylist() if r["page_id"] == 0] == ["a", "b"]
+    first = next(scratch.by_row(Frame(), lambda k, h: seen.append(k) or [(k,)], "k bigint", rows=7)(iter([batch])))
+    assert seen == list(range(7)) and first.column(0).to_pylist() == seen
