@@ -19,11 +19,6 @@ from lamina.sources import layout_json as J
 TEXTS = ArrayType(ArrayType(StringType()))
 
 
-@F.pandas_udf(TEXTS)
-def page_texts(content: pd.Series) -> pd.Series:
-    return content.map(pdf.page_texts)
-
-
 @F.pandas_udf(TEXTS)
 def sheet_rows(content: pd.Series) -> pd.Series:
     return content.map(workbook.sheet_rows)
@@ -31,7 +26,7 @@ def sheet_rows(content: pd.Series) -> pd.Series:
 
 @query("pdf_round_trip", "SELECT doc_id, ceil(count(*) / 50)::INT AS pages, count(*)::INT AS lines, md5(string_agg(text, chr(10) ORDER BY seq)) AS v FROM $PARA GROUP BY doc_id")
 def pdf_round_trip(spark, d):
-    found = pdf.write_pdfs(pdf.set_lines(para(spark, d)), "doc_id").select("doc_id", page_texts("content").alias("p"))
+    found = pdf.read_texts(pdf.write_pdfs(pdf.set_lines(para(spark, d)), "doc_id"), "doc_id").withColumnRenamed("pages", "p")
     return found.select("doc_id", F.size("p").alias("pages"), F.size(F.flatten("p")).alias("lines"), F.md5(F.array_join(F.flatten("p"), "\n")).alias("v"))
 
 

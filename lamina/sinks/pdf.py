@@ -10,10 +10,11 @@ import re
 import zlib
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina import scratch
+
 A4 = (595.28, 841.89)
 
 
@@ -89,18 +90,19 @@ def write_pdfs(lines: DataFrame, key: str, title: str | None = None, size: tuple
     own = F.sort_array(F.collect_list(F.struct("page", "seq", "x", "y", "size", "bold", "text"))).alias("lines")
     named = F.coalesce(F.max(title), F.lit("")) if title else F.lit("")
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for rows, name in zip(pdf["lines"], pdf["title"], strict=True):
-                pages: list[list[dict]] = [[] for _ in range(max((r["page"] for r in rows), default=1))]
-                for r in rows:
-                    pages[r["page"] - 1].append(r)
-                out.append(pdf_bytes(pages, name, size))
-            yield pd.DataFrame({key: pdf[key], "content": out})
+    def file(k, rows, name):
+        pages: list[list[dict]] = [[] for _ in range(max((r["page"] for r in rows), default=1))]
+        for r in rows:
+            pages[r["page"] - 1].append(r)
+        return [(k, pdf_bytes(pages, name, size))]
 
     grouped = lines.groupBy(key).agg(own, named.alias("title"))
-    return grouped.mapInPandas(run, f"{key} {dict(lines.dtypes)[key]}, content binary")
+    return scratch.by_row(grouped.select(key, "lines", "title"), file, f"{key} {dict(lines.dtypes)[key]}, content binary")
+
+
+def read_texts(files: DataFrame, key: str) -> DataFrame:
+    """(key, pages): the lines of each page of files (key, content) of this writer."""
+    return scratch.by_row(files.select(key, "content"), lambda k, content: [(k, page_texts(content))], f"{key} {dict(files.dtypes)[key]}, pages array<array<string>>")
 
 
 def set_lines(rows: DataFrame, key: str = "doc_id", per_page: int = 50, margin: float = 72.0, size: float = 11.0) -> DataFrame:
