@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina import scratch
 from lamina.functions import text as T
 from lamina.operators import templates
 
@@ -133,12 +134,12 @@ def filled(rows: DataFrame, data: DataFrame, values: dict[str, str], blocks: dic
     shows = F.expr(f"map_from_entries(filter(array({', '.join(f'struct({_text(n)} AS name, cast({v} AS boolean) AS shows)' for n, v in sections.items())}), x -> x.shows IS NOT NULL))") if sections else F.create_map().cast("map<string,boolean>")
     own = data.select(key, text_map(values).alias("_values"), block_map(blocks).alias("_blocks"), shows.alias("_shown"))
     none = F.create_map()
-    met = rows.join(own, key, "left").withColumns({
-        "_values": F.coalesce("_values", none.cast("map<string,string>")), "_blocks": F.coalesce("_blocks", none.cast(f"map<string,array<{INSERT}>>")), "_shown": F.coalesce("_shown", none.cast("map<string,boolean>")),
-    })
-    met = met.withColumn("text", F.expr(fixpoint("text", "_values")))
-    if sections:
-        met = conditional(met, keys)
+    empty = {"_values": "map<string,string>", "_blocks": f"map<string,array<{INSERT}>>", "_shown": "map<string,boolean>"}
+    with_own = lambda rows, *names: rows.join(own.select(key, *names).hint("merge"), key, "left").withColumns({n: F.coalesce(n, none.cast(empty[n])) for n in names})
+    met = with_own(rows, *(("_values",) if sections or not blocks else ("_values", "_blocks"))).withColumn("text", F.expr(fixpoint("text", "_values")))
+    if sections:  # markers, their filter and the rows would each fill the texts anew
+        met = conditional(with_own(scratch.written(met.select(*rows.columns), "filled"), "_shown"), keys).select(*rows.columns)
+        met = with_own(met, "_values", "_blocks") if blocks else met
     if not blocks:
         return met.select(*rows.columns)
     tokens = f"filter(transform(regexp_extract_all(text, '{TOKEN}', 0), t -> {NAME.format('t')}), n -> map_contains_key(_blocks, n))"

@@ -449,3 +449,18 @@ def test_full_merge_broadcasts_nothing(spark):
 
     plan = registry.QUERIES["full_merge"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_sections_fill_their_texts_once(spark):
+    """Markers and rows come of filled texts that are there: the rows aren't read again for each of them."""
+    counter = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            counter.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(8).selectExpr("id div 4 AS doc_id", "cast(id % 4 AS int) AS seq", "'paragraph' AS kind", "element_at(array('{A}', 'in {A}', '{{END_S}}', 'end'), cast(id % 4 AS int) + 1) AS text").mapInArrow(counted, "doc_id long, seq int, kind string, text string")
+    out = fill.filled(rows, spark.range(2).withColumnRenamed("id", "doc_id"), {"A": "'{{START_S}}'"}, {}, {"S": "doc_id = 1"})
+    assert sorted((r.doc_id, r.seq, r.text) for r in out.collect()) == [(0, 3, "end"), (1, 0, ""), (1, 1, "in "), (1, 2, ""), (1, 3, "end")]
+    assert counter.value == 8
