@@ -1,18 +1,17 @@
 """Operator 12: hard negatives by a two-dimensional block matrix multiply in the manner of SUMMA.
 
-The score matrix of anchors and rows is cut into tiles: a block of anchors against a block of rows. Dimensions are cut into chunks. A panel is the
-piece of a block that one chunk holds; panels of anchors and of rows meet in an equi-join on (anchor block, row block, chunk), and each pair gives a
-partial int64 tile. Partial tiles of the same place are shuffled together and added, and the whole tiles are written once. Both reductions
-work on them: the best same-label rows of each tile make the anchors' positives, whose windows of scores then choose the tile's best rows of other
-labels. A last shuffle of those few rows takes the best of all tiles.
-
-Blocks hold rows by a hash of the row, so no label or vector makes one of them larger. Tiles number anchors times rows, as every
-anchor meets every row; nothing larger than a tile is ever in one task.
+The score matrix of anchors and rows is cut into tiles: a block of anchors against a block of rows. A tile stays where it is: its panels of anchors and of rows are
+shuffled to the task that owns it, which adds up the products of one chunk of dimensions after the other, a strip of anchors at a time. Tiles are reduced where they are
+made and never leave their task, so they are made twice: first each gives its best same-label rows, which make the anchors' positives; then their windows of scores choose
+each tile's best rows of other labels. A last shuffle of those few rows takes the best of all tiles.
+
+Blocks hold rows by a hash of the row, so no label or vector makes one of them larger, and fewer rows where vectors are long. Tiles number anchors times rows, as every
+anchor meets every row; what is shuffled are rows, once for each block of anchors, and anchors, once for each block of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -23,42 +22,50 @@ from lamina.llm import common
 ANCHOR_EVERY, RELABEL_EVERY, LABELS = 100, 7, 10
 POSITIVES, NEGATIVES = 5, 5
 SCALE = 256
-#: Rows of a block of anchors and of a block of rows; dimensions of a chunk at least, and chunks at most.
-ANCHORS, ROWS, CHUNK, CHUNKS = 256, 1024, 32, 4
-TILE = "a int, b int, anchors array<long>, anchor_ids array<long>, anchor_labels array<int>, rows array<long>, ids array<long>, labels array<int>"
-NAMES = ["a", "b", "anchors", "anchor_ids", "anchor_labels", "rows", "ids", "labels"]
+#: Rows of a block of anchors and of a block of rows at most, of a block of rows at least where cores would idle; values of a panel at most; anchors of a strip and dimensions of a chunk.
+ANCHORS, ROWS, SPLIT, VALUES, STRIP, CHUNK = 2048, 8192, 1024, 1 << 20, 256, 256
+NEAR = "anchor long, score long, id long, key long"
+FOUND = "anchor long, positive long, anchor_id long, positive_id long, positive_score long, negative long, negative_id long, negative_score long"
 
 
 def prepared(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """(key, vec_id, label, x array<long>) of the rows that take part, written, and the length of their vectors (0: none)."""
+    """(key, vec_id, label, x) of the rows that take part, written, and the length of their vectors (0: none). ``x`` is an array of the narrowest whole numbers that hold all components."""
     good = "vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, c -> c IS NOT NULL AND NOT isnan(c) AND abs(c) < double('infinity'))"
     rows = vectors.selectExpr("cast(vec_id as long) vec_id", "cast(label as int) label", "cast(embedding as array<double>) embedding").filter(good)
     label = f"if(vec_id % {RELABEL_EVERY} = 0, cast((cast(label as long) + 1) % {LABELS} as int), label)"
     rows = rows.selectExpr("monotonically_increasing_id() key", "vec_id", f"{label} label", f"transform(embedding, c -> floor({SCALE} * c)) x")
     rows = common.written(rows, "prepared")  # the key of a row stays
-    widths = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
-    return (rows.filter(F.size("x") == widths[0].d), widths[0].d) if widths else (rows, 0)
+    widths = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.min(F.array_min("x")).alias("low"), F.max(F.array_max("x")).alias("high")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
+    if not widths:
+        return rows, 0
+    most = max(widths[0].high, -widths[0].low)
+    kind = "smallint" if most < 1 << 15 else "int" if most < 1 << 31 else "bigint"
+    return rows.filter(F.size("x") == widths[0].d).withColumn("x", F.col("x").cast(f"array<{kind}>")), widths[0].d
+
 
+def strips(left, right) -> Iterator[tuple[int, np.ndarray]]:
+    """(first anchor, scores) of a tile, a strip of anchors at a time. Floats multiply where every sum fits their bits, longs elsewhere (which wrap around beyond 64 bits)."""
+    x, y = (t.column("x").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t in (left, right))
+    d = x.shape[1]
+    most = max(int(x.max()), -int(x.min())) * max(int(y.max()), -int(y.min())) * min(d, CHUNK)
+    kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+    for at in range(0, len(x), STRIP):
+        tile = np.zeros((len(x[at : at + STRIP]), len(y)), np.int64)
+        for k in range(0, d, CHUNK):
+            tile += (x[at : at + STRIP, k : k + CHUNK].astype(kind) @ y[:, k : k + CHUNK].astype(kind).T).astype(np.int64)
+        yield at, tile
 
-def panels(rows: DataFrame, blocks: int, d: int, name: str) -> DataFrame:
-    """(``name``, k, keys, ids, labels, m): the matrix of each block and chunk, its rows in the order of their keys."""
-    width = max(CHUNK, -(-d // CHUNKS))
-    pieces = F.transform(F.sequence(F.lit(0), F.lit((d - 1) // width)), lambda k: F.slice("x", k * width + 1, F.lit(width)))
-    rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias(name), "key", "vec_id", "label", F.posexplode(pieces).alias("k", "piece"))
-    held = rows.groupBy(name, "k").agg(F.array_sort(F.collect_list(F.struct("key", "vec_id", "label", "piece"))).alias("r"))  # a block is bounded
-    return held.select(name, "k", F.col("r.key").alias("keys"), F.col("r.vec_id").alias("ids"), F.col("r.label").alias("labels"), F.flatten("r.piece").alias("m"))
 
+def names(table, *columns: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy() for c in columns]
 
-def products(batches) -> Iterator:
-    """Partial tiles of joined panels. Doubles multiply where every sum fits their 53 bits, longs elsewhere (which wrap around beyond 64 bits)."""
+
+def as_table(found: list[list[np.ndarray]], columns: str):
+    """Arrays of several places, put together as columns of longs."""
     import pyarrow as pa
 
-    for batch in batches:
-        for i in range(len(batch)):
-            x, y = (batch.column(m)[i].values.to_numpy(zero_copy_only=False).reshape(len(batch.column(keys)[i]), -1) for m, keys in (("m", "anchors"), ("other_m", "rows")))
-            small = float(abs(x.astype(float)).max()) * float(abs(y.astype(float)).max()) * x.shape[1] < 2**53
-            tile = (x.astype(float) @ y.T.astype(float)).astype(np.int64) if small else x @ y.T
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in NAMES), pa.array([tile.astype("<i8").tobytes()], pa.binary())], [*NAMES, "part"])
+    each = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(columns.count(",") + 1)]
+    return pa.table([pa.array(c, pa.int64()) for c in each], names=[c.split()[0] for c in columns.split(",")])
 
 
 def best(scores: np.ndarray, ids: np.ndarray, keys: np.ndarray, count: int) -> np.ndarray:
@@ -71,75 +78,56 @@ def best(scores: np.ndarray, ids: np.ndarray, keys: np.ndarray, count: int) -> n
     return near[np.lexsort((keys[near], ids[near], -scores[near]))[:count]]
 
 
-def windows(positives: list[tuple], tile: np.ndarray, meta: dict[str, np.ndarray]) -> Iterator[tuple]:
-    """(positive, place in the tile) of the best rows of other labels within each positive's window of scores; a positive: (anchor, positive, positive_id, score)."""
-    place = {int(k): i for i, k in enumerate(meta["anchors"])}
-    scores_of: dict[int, tuple] = {}
-    for own in positives:
-        at = place[own[0]]
-        if at not in scores_of:
-            other = np.flatnonzero(meta["labels"] != meta["anchor_labels"][at])
-            other = other[np.lexsort((meta["rows"][other], meta["ids"][other], -tile[at, other]))]
-            scores_of[at] = (other, -tile[at, other])
-        other, falling = scores_of[at]
-        least = -(-4 * own[3] // 5)  # 80 * positive <= 100 * negative, in whole numbers
-        first = np.searchsorted(falling, -own[3])  # the first that isn't above the positive
-        for p in other[first : first + NEGATIVES]:
-            if tile[at, p] >= least:
-                yield own, p
-
-
-def tiles(rows: DataFrame, d: int) -> tuple[DataFrame, int]:
-    """The whole tiles, written, each with its anchors' best same-label rows, and the number of row blocks."""
-    anchors = rows.filter(F.col("vec_id") % ANCHOR_EVERY == 0)
-    blocks = lambda df, size: max(1, -(-df.count() // size))
-    across, down = blocks(rows, ROWS), blocks(anchors, ANCHORS)
-    folder = common.scratch(rows.sparkSession)
-    tall = common.written(panels(anchors, down, d, "a"), "anchor-panels", folder).toDF("a", "k", "anchors", "anchor_ids", "anchor_labels", "m")
-    wide = common.written(panels(rows, across, d, "b"), "row-panels", folder).toDF("b", "k", "rows", "ids", "labels", "other_m")
+def near_rows(left, right):
+    """A tile's best same-label rows of each of its anchors."""
+    if not left.num_rows or not right.num_rows:
+        return as_table([], NEAR)
+    right = right.sort_by("label")
+    anchors, anchor_labels = names(left, "key", "label")
+    keys, ids, labels = names(right, "key", "vec_id", "label")
+    low, high = (np.searchsorted(labels, anchor_labels, side) for side in ("left", "right"))
+    found = []
+    for at, tile in strips(left, right):
+        for i, scores in enumerate(tile, at):
+            own = slice(low[i], high[i])
+            places = low[i] + best(scores[own], ids[own], keys[own], POSITIVES + 1)  # the anchor itself may be one
+            places = places[keys[places] != anchors[i]][:POSITIVES]
+            found.append([np.full(len(places), anchors[i]), scores[places], ids[places], keys[places]])
+    return as_table(found, NEAR)
+
+
+def found_negatives(left, right):
+    """A tile's best rows of other labels within the window of scores of each of its anchors' positives."""
+    if not left.num_rows or not right.num_rows:
+        return as_table([], FOUND)
+    anchors, anchor_ids, anchor_labels = names(left, "key", "vec_id", "label")
+    keys, ids, labels = names(right, "key", "vec_id", "label")
+    wanted = left.column("wanted").to_pylist()
+    found = []
+    for at, tile in strips(left, right):
+        for i, scores in enumerate(tile, at):
+            top = max(p["score"] for p in wanted[i])
+            least = min(-(-4 * p["score"] // 5) for p in wanted[i])  # 80 * positive <= 100 * negative, in whole numbers
+            near = np.flatnonzero((scores <= top) & (scores >= least) & (labels != anchor_labels[i]))
+            for p in wanted[i] if len(near) else ():
+                within = near[(scores[near] <= p["score"]) & (scores[near] >= -(-4 * p["score"] // 5))]
+                within = within[best(scores[within], ids[within], keys[within], NEGATIVES)]
+                same = [np.full(len(within), v) for v in (anchors[i], p["key"], anchor_ids[i], p["id"], p["score"])]
+                found.append([*same, keys[within], ids[within], scores[within]])
+    return as_table(found, FOUND)
+
+
+def tiles(anchors: DataFrame, rows: DataFrame, reduced: Callable, schema: str, blocks: tuple[int, int]) -> DataFrame:
+    """What ``reduced`` gives for each tile's anchors and rows. Panels are plain rows on their way, so no large value is written, shuffled or put in a batch."""
+    down, across = blocks
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    block = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
     everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    # Spark takes an exploded table for as small as its file: it would send every anchor panel, once for each row block, through the driver
-    met = tall.withColumn("b", everywhere(across)).hint("merge").join(wide.withColumn("a", everywhere(down)), ["a", "b", "k"])
-    parts = met.mapInArrow(products, f"{TILE}, part binary").groupBy("a", "b")
-    return common.written(parts.applyInArrow(summed, f"{TILE}, tile binary, near array<struct<anchor: long, score: long, id: long, key: long>>"), "tiles", folder), across
-
-
-def summed(parts):
-    """The sum of a place's partial tiles, with the best same-label rows of each of its anchors."""
-    import pyarrow as pa
-
-    total = np.zeros(len(parts["part"][0].as_buffer()) // 8, np.int64)
-    for part in parts["part"]:
-        total += np.frombuffer(part.as_buffer(), "<i8")
-    whole = parts.select(NAMES).slice(0, 1).combine_chunks().append_column("tile", pa.array([total.astype("<i8").tobytes()], pa.binary()))
-    meta, tile = opened(whole, 0)
-    near = []
-    for at, (key, label) in enumerate(zip(meta["anchors"], meta["anchor_labels"], strict=True)):
-        same = np.flatnonzero((meta["labels"] == label) & (meta["rows"] != key))
-        same = same[best(tile[at, same], meta["ids"][same], meta["rows"][same], POSITIVES)]
-        near += [{"anchor": int(key), "score": int(tile[at, p]), "id": int(meta["ids"][p]), "key": int(meta["rows"][p])} for p in same]
-    return whole.append_column("near", pa.array([near], pa.list_(pa.struct([(c, pa.int64()) for c in ("anchor", "score", "id", "key")]))))
-
-
-def opened(batch, i: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """The names of a tile's anchors and rows, and its scores."""
-    meta = {c: batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("anchors", "anchor_labels", "rows", "ids", "labels")}
-    return meta, np.frombuffer(batch.column("tile")[i].as_buffer(), "<i8").reshape(len(meta["anchors"]), len(meta["rows"]))
-
-
-def found_negatives(batches) -> Iterator:
-    """The negatives that a tile gives each of its anchors' positives."""
-    import pyarrow as pa
-
-    names = ["anchor", "positive", "anchor_id", "positive_id", "positive_score", "negative", "negative_id", "negative_score"]
-    for batch in batches:
-        for i in range(len(batch)):
-            meta, tile = opened(batch, i)
-            place = {int(k): at for at, k in enumerate(meta["anchors"])}
-            ids = batch.column("anchor_ids")[i].values.to_numpy(zero_copy_only=False)
-            wanted = [(x["anchor"], x["key"], x["id"], x["score"]) for x in batch.column("wanted")[i].as_py()]
-            out = [(o[0], o[1], int(ids[place[o[0]]]), o[2], o[3], int(meta["rows"][p]), int(meta["ids"][p]), int(tile[place[o[0]], p])) for o, p in windows(wanted, tile, meta)]
-            yield pa.RecordBatch.from_arrays([pa.array([row[c] for row in out], pa.int64()) for c in range(len(names))], names)
+    tall = anchors.withColumn("a", block(down)).withColumn("b", everywhere(across))
+    wide = rows.withColumn("b", block(across)).withColumn("a", everywhere(down)).toDF(*rows.columns, "b", "a")  # both sides come of one table
+    sides = [df.repartition(tasks, "a", "b").groupBy("a", "b") for df in (tall, wide)]  # a tile's work doesn't show in its bytes, by which tasks would be put together
+    return sides[0].cogroup(sides[1]).applyInArrow(reduced, schema)
 
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column], most: int) -> DataFrame:
@@ -158,13 +146,17 @@ def mine(vectors: DataFrame) -> DataFrame:
     rows, d = prepared(vectors)
     if not d:
         return vectors.sparkSession.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
-    whole, across = tiles(rows, d)
+    anchors = rows.filter(F.col("vec_id") % ANCHOR_EVERY == 0)
+    count, panel = rows.count(), max(1, VALUES // d)
+    parts = lambda n, size: max(1, -(-n // size))
+    down = parts(anchors.count(), min(ANCHORS, panel))
+    across = max(parts(count, min(ROWS, panel)), min(rows.sparkSession.sparkContext.defaultParallelism, parts(count, SPLIT)))
     folder = common.scratch(rows.sparkSession)
-    near = whole.select("a", F.inline("near"))
-    positives = common.written(ranked(near, ["anchor"], [F.desc("score"), F.asc("id"), F.asc("key")], POSITIVES), "positives", folder)
-    limits = positives.groupBy("a").agg(F.collect_list(F.struct("anchor", "key", "id", "score")).alias("wanted"))  # the anchors of a block, times POSITIVES
-    limits = limits.select("a", "wanted", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("b"))
-    found = whole.drop("near").join(limits.hint("merge"), ["a", "b"]).mapInArrow(found_negatives, "anchor long, positive long, anchor_id long, positive_id long, positive_score long, negative long, negative_id long, negative_score long")
+    near = common.written(tiles(anchors, rows, near_rows, NEAR, (down, across)), "tiles", folder)
+    positives = ranked(near, ["anchor"], [F.desc("score"), F.asc("id"), F.asc("key")], POSITIVES)
+    wanted = common.written(positives.groupBy("anchor").agg(F.collect_list(F.struct("key", "id", "score")).alias("wanted")), "positives", folder)
+    owners = anchors.join(wanted.withColumnRenamed("anchor", "key").hint("merge"), "key")
+    found = tiles(owners, rows, found_negatives, FOUND, (down, across))
     first = ranked(common.written(found, "negatives", folder), ["anchor", "positive"], [F.desc("negative_score"), F.asc("negative_id"), F.asc("negative")], NEGATIVES)
     return first.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 

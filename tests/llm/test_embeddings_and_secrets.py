@@ -218,3 +218,18 @@ def test_no_exploded_panels_are_broadcast(spark, monkeypatch):
     rows = spark.range(300).selectExpr("id AS vec_id", "transform(sequence(1, 4), i -> cast(sin(id * i) AS float)) AS embedding", "cast(id % 3 AS int) AS label")
     assert negatives.mine(rows).count() > 0
     assert not any("Broadcast" in plans[name] for name in ("tiles", "negatives"))
+
+
+def test_no_tile_leaves_its_task(spark, monkeypatch):
+    """Scores stay in the task that makes them: tables between the steps have plain rows, whose largest value is a vector. Strips, chunks and long vectors cut a tile without a change of its rows."""
+    from lamina.llm import common
+
+    kinds, write = {}, common.written
+    monkeypatch.setattr(common, "written", lambda df, name, *folder: kinds.update({name: [t for _, t in df.dtypes]}) or write(df, name, *folder))
+    for name, value in (("STRIP", 2), ("CHUNK", 2), ("VALUES", 500)):
+        monkeypatch.setattr(negatives, name, value)
+    own = np.random.default_rng(5).integers(-3, 9, (300, 5)) / 8
+    rows = [(10 * i, own[i].tolist(), i % 4) for i in range(300)]
+    found = negatives.mine(vectors(spark, rows)).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect()
+    assert sorted(map(tuple, found)) == brute_negatives(rows)
+    assert set(kinds["tiles"]) == {"bigint"} and not any("binary" in t for kind in kinds.values() for t in kind)
