@@ -30,21 +30,28 @@ def clean(runs: DataFrame) -> DataFrame:
     )
 
 
-def united(runs: DataFrame, key: str = "doc_id") -> DataFrame:
+def united(runs: DataFrame, key: str = "doc_id", owners: DataFrame | None = None) -> DataFrame:
     """Neighbouring runs of a paragraph with one look are one run, numbered anew; fields and notes stay runs of their own, and empty runs without either go.
 
-    Runs: (key, part, seq, place, run, text, look..., field, note), and a style if they have one.
+    Runs: (key, part, seq, place, run, text, look..., field, note), and a style if they have one. ``owners`` (key, part, seq, _theirs map): what a paragraph says for its runs without a style
+    is dropped from their looks first. A paragraph's runs are gathered into one row, by one shuffle, and united there.
     """
     paragraph = [key, "part", "seq", "place"]
     look = [*SWITCHES, *LOOK, *(c for c in ("style",) if c in runs.columns)]
-    special = F.col("field").isNotNull() | F.col("note").isNotNull()
-    kept = runs.filter(special | (F.coalesce("text", F.lit("")) != "")).withColumns({"_look": F.struct(*look), "_special": special})
-    order = Window.partitionBy(*paragraph).orderBy("run")
-    new = F.col("_special") | F.coalesce(F.lag("_special").over(order), F.lit(True)) | ~F.col("_look").eqNullSafe(F.lag("_look").over(order))
-    numbered = kept.withColumn("_island", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "")
-    whole = numbered.groupBy(*paragraph, "_island").agg(text.alias("text"), *(F.first(c).alias(c) for c in (*look, "field", "note")))
-    return whole.withColumnRenamed("_island", "run").select(*runs.columns)
+    kept = runs.filter("field IS NOT NULL OR note IS NOT NULL OR coalesce(text, '') <> ''")
+    one = F.struct("run", F.coalesce("text", F.lit("")).alias("text"), F.struct(*look).alias("look"), "field", "note")
+    own = scratch.dealt(kept, key, "seq").groupBy(*paragraph).agg(F.sort_array(F.collect_list(one)).alias("_runs"))
+    if owners is not None:
+        said = {c: f"NOT {f"if(r.look.{c}, 'true', NULL)" if c in SWITCHES else f'r.look.{c}'} <=> try_element_at(_theirs, '{p}')" for c, p in PROPERTY.items()}
+        free = "r.look.style IS NOT NULL OR " if "style" in look else ""
+        left = ", ".join(f"'{c}', if({free}{said[c]}, r.look.{c}, NULL)" if c in said else f"'{c}', r.look.{c}" for c in look)
+        changed = F.expr(f"transform(_runs, r -> named_struct('run', r.run, 'text', r.text, 'look', named_struct({left}), 'field', r.field, 'note', r.note))")
+        own = own.join(owners.hint("merge"), [key, "part", "seq"], "left").withColumn("_runs", F.when(F.col("_theirs").isNull(), F.col("_runs")).otherwise(changed))
+    alone = lambda i: f"_runs[{i}].field IS NOT NULL OR _runs[{i}].note IS NOT NULL"
+    own = own.withColumn("_starts", F.expr(f"filter(sequence(0, size(_runs) - 1), i -> i = 0 OR {alone('i')} OR {alone('i - 1')} OR NOT _runs[i].look <=> _runs[i - 1].look)"))
+    text = "array_join(transform(sequence(s, coalesce(get(_starts, j + 1), size(_runs)) - 1), k -> _runs[k].text), '')"
+    islands = f"transform(_starts, (s, j) -> struct(cast(j AS bigint) AS run, {text} AS text, _runs[s].look AS look, _runs[s].field AS field, _runs[s].note AS note))"
+    return own.select(*paragraph, F.inline(F.expr(islands))).select(*(F.col(f"look.{c}").alias(c) if c in look else F.col(c) for c in runs.columns))
 
 
 def said_anyway(rows: DataFrame, resolved: DataFrame, local: str = "properties", key: str = "doc_id") -> DataFrame:
@@ -106,15 +113,18 @@ def normalised(elements: DataFrame, runs: DataFrame, styles: DataFrame, key: str
     paragraphs = paragraphs.withColumn("properties", F.map_concat(renamed, F.coalesce("properties", F.create_map().cast("map<string,string>")))).select(*columns)
 
     pairs = F.filter(F.array(*(F.struct(F.lit(p).alias("key"), (F.when(F.col(c), F.lit("true")) if c in SWITCHES else F.col(c)).alias("value")) for c, p in PROPERTY.items())), lambda x: x["value"].isNotNull())
-    looks = clean(runs if "style" in runs.columns else runs.withColumn("style", F.lit(None).cast("string"))).withColumn("_local", F.map_from_entries(pairs))
+    looks = clean(runs if "style" in runs.columns else runs.withColumn("style", F.lit(None).cast("string")))
     # a run says nothing that its own style, or else its paragraph's, says
+    if "style" in runs.columns:
+        looks = said_anyway(looks.withColumn("_local", F.map_from_entries(pairs)), resolved, "_local", key)
+        value = lambda c: F.try_element_at(F.col("_local"), F.lit(PROPERTY[c]))
+        looks = looks.withColumns({c: (value(c) == "true") if c in SWITCHES else value(c) for c in PROPERTY}).drop("_local")
+    else:
+        looks = looks.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in LOOK})
     owner = elements.filter(is_paragraph).select(key, *place, F.col("style").alias("_paragraph")).distinct()
     theirs = resolved.select(key, F.col("style_id").alias("_paragraph"), F.col("properties").alias("_theirs"))
-    looks = said_anyway(looks, resolved, "_local", key).join(owner.join(theirs.hint("merge"), [key, "_paragraph"]).select(key, *place, "_theirs").hint("merge"), [key, *place], "left")
-    looks = looks.withColumn("_local", F.expr("map_filter(_local, (k, v) -> style IS NOT NULL OR NOT v <=> try_element_at(coalesce(_theirs, map()), k))")).drop("_theirs")
-    value = lambda c: F.try_element_at(F.col("_local"), F.lit(PROPERTY[c]))
-    looks = looks.withColumns({c: (value(c) == "true") if c in SWITCHES else value(c) for c in PROPERTY}).drop("_local")
-    whole = united(looks, key).withColumn("_local", F.map_from_entries(pairs))
+    owner = owner.join(theirs.hint("merge"), [key, "_paragraph"]).select(key, *place, "_theirs")
+    whole = united(looks, key, owner).withColumn("_local", F.map_from_entries(pairs))
     whole, styles = synthesised(whole, styles, "character", RUN_STYLE, key, local="_local", order=("part", "seq", "place", "run"))
     bare = {c: F.when(F.size("_local") > 0, F.col(c)) for c in PROPERTY}
     whole = whole.withColumns(bare).drop("_local")

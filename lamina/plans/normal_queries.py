@@ -15,12 +15,14 @@ NONE = "cast(NULL AS string)"
 @query("normalised_runs", "SELECT doc_id, seq, (i // 2)::INT AS run, md5(string_agg(w, '' ORDER BY i)) AS v, CASE WHEN any_value(i // 2) % 2 = 0 THEN 'Run1' END AS style FROM (SELECT doc_id, seq, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT doc_id, seq, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM $PARA)) GROUP BY doc_id, seq, i // 2")
 def normalised_runs(spark, d):
     """Every word is a run; two by two they look alike once their colours are in one spelling, and every other pair has a look that becomes a style."""
-    words = para(spark, d).select("doc_id", "seq", F.posexplode(F.filter(F.split("text", " "), lambda x: x != "")).alias("run", "text"))
+    lines = para(spark, d).select("doc_id", "seq", F.filter(F.split("text", " "), lambda x: x != "").alias("words"))
+    words = lines.select("doc_id", "seq", F.posexplode("words").alias("run", "text"))
     look = "run div 2 % 2 = 0"
     columns = {"bold": f"if({look}, true, if(run % 2 = 0, false, NULL))", "italic": "cast(NULL AS boolean)", "underline": "false", "strike": "cast(NULL AS boolean)", "highlight": "'none'", "color": f"if({look}, if(run % 2 = 0, '#ff0000', 'FF0000'), 'auto')", "font_size": "' '", "font_name": NONE, "field": NONE, "note": NONE}
     runs = words.withColumns({"part": F.lit("document"), "place": F.concat(F.lit("p"), "seq")} | {c: F.expr(x) for c, x in columns.items()})
-    elements = runs.select("doc_id", "part", "seq").distinct().selectExpr("*", "'paragraph' AS kind", f"{NONE} AS style", "cast(map() AS map<string,string>) AS properties")
-    styles = runs.select("doc_id").distinct().selectExpr("doc_id", "'Base' AS style_id", "'paragraph' AS type", "'base' AS name", f"{NONE} AS based_on", "map('jc', 'left') AS properties")
+    lines = lines.filter("size(words) > 0")  # the lines that have runs
+    elements = lines.selectExpr("doc_id", "'document' AS part", "seq").distinct().selectExpr("*", "'paragraph' AS kind", f"{NONE} AS style", "cast(map() AS map<string,string>) AS properties")
+    styles = lines.select("doc_id").distinct().selectExpr("doc_id", "'Base' AS style_id", "'paragraph' AS type", "'base' AS name", f"{NONE} AS based_on", "map('jc', 'left') AS properties")
     return normalize.normalised(elements, runs, styles)["runs"].select("doc_id", "seq", F.col("run").cast("int").alias("run"), F.md5("text").alias("v"), "style")
 
 

@@ -464,3 +464,15 @@ def test_sections_fill_their_texts_once(spark):
     out = fill.filled(rows, spark.range(2).withColumnRenamed("id", "doc_id"), {"A": "'{{START_S}}'"}, {}, {"S": "doc_id = 1"})
     assert sorted((r.doc_id, r.seq, r.text) for r in out.collect()) == [(0, 3, "end"), (1, 0, ""), (1, 1, "in "), (1, 2, ""), (1, 3, "end")]
     assert counter.value == 8
+
+
+def test_runs_are_united_in_one_shuffle(spark):
+    """A paragraph's runs are one row between the scan and the united runs: no window, no join of single runs; a style's look, fields and notes part neighbours."""
+    blank = [f"cast(NULL AS {'boolean' if c in normalize.SWITCHES else 'string'}) AS {c}" for c in (*normalize.SWITCHES, *normalize.LOOK) if c != "bold"]
+    runs = spark.range(12).selectExpr("id % 2 AS doc_id", "'document' AS part", "cast(id % 1 AS int) AS seq", "'x' AS place", "cast(id div 2 AS int) AS run", "if(id div 2 = 3, '', concat('t', id div 2)) AS text", "if(id div 2 < 2, true, NULL) AS bold", *blank, "if(id div 2 = 4, 'PAGE', NULL) AS field", "cast(NULL AS string) AS note")
+    whole = normalize.united(runs)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "Join" not in plan
+    assert sorted((r.doc_id, r.run, r.text, r.bold, r.field) for r in whole.collect()) == sorted((d, *r) for d in (0, 1) for r in ((0, "t0t1", True, None), (1, "t2", None, None), (2, "t4", None, "PAGE"), (3, "t5", None, None)))
+    owners = spark.createDataFrame([(0, "document", 0, {"b": "true"})], "doc_id long, part string, seq int, _theirs map<string,string>")
+    assert [r.text for r in normalize.united(runs, owners=owners).filter("doc_id = 0").orderBy("run").collect()] == ["t0t1t2", "t4", "t5"]
