@@ -143,3 +143,38 @@ def test_hooks_and_registry():
         registry.get("parser", "x")
     except KeyError as e:
         assert "none" in str(e)
+
+
+def test_short_and_long_ways_through_a_paragraph_agree(monkeypatch):
+    """Paragraphs of plain runs are read without a walk, and say what the walk says; whatever else a paragraph holds takes the walk."""
+    from xml.etree import ElementTree as ET
+
+    from lamina.sources import package
+
+    w = package.W[1:-1]
+    bold = '<w:rPr><w:b/><w:color w:val="FF0000"/></w:rPr>'
+    plain = ["", "<w:r><w:t>a</w:t></w:r>", f"<w:pPr><w:rPr><w:b/></w:rPr></w:pPr><w:r>{bold}<w:t>a</w:t></w:r><w:r><w:t/></w:r><w:r><w:t>b</w:t></w:r>"]
+    other = ["<w:r/>", "<w:r><w:tab/></w:r>", "<w:r><w:t>a</w:t><w:t>b</w:t></w:r>", "<w:hyperlink><w:r><w:t>a</w:t></w:r></w:hyperlink>", '<w:r><w:footnoteReference w:id="2"/></w:r>', '<w:fldSimple w:instr="PAGE"/>', "<w:r><w:br/><w:t>a</w:t></w:r>", "<w:r><w:t>a<w:r><w:t>b</w:t></w:r></w:t></w:r>", f"<w:r><w:t>a</w:t>{bold}</w:r>"]
+    for inner, short in [(x, True) for x in plain] + [(x, False) for x in other]:
+        node = ET.fromstring(f'<w:p xmlns:w="{w}">{inner}</w:p>')
+        assert (package.plain_runs(node) is not None) == short
+        said = package.runs(node)
+        with monkeypatch.context() as m:
+            m.setattr(package, "plain_runs", lambda p: None)
+            assert said == package.runs(node)
+
+
+def test_only_the_chosen_columns_are_made(spark):
+    """Python makes and sends what a query uses; nested values come out of Arrow as ``to_pylist`` gives them."""
+    import pyarrow as pa
+
+    from lamina.sinks import package as sink
+    from lamina.sources import package
+
+    blocks = [{"kind": "table", "cells": [["a", "b"], ["c", ""]], "runs": None}, {"kind": None, "cells": None, "runs": [{"text": "x", "bold": None}, None]}]
+    nested = pa.array([{"blocks": blocks, "m": [("k", "v")], "n": 1}, {"blocks": None, "m": None, "n": None}, None], pa.struct([("blocks", pa.list_(pa.struct([("kind", pa.string()), ("cells", pa.list_(pa.list_(pa.string()))), ("runs", pa.list_(pa.struct([("text", pa.string()), ("bold", pa.bool_())])))]))), ("m", pa.map_(pa.string(), pa.string())), ("n", pa.int64())]))
+    assert sink.plain(nested) == nested.to_pylist() and sink.plain(nested[1:]) == nested[1:].to_pylist()
+    own = spark.createDataFrame([(1, [{"kind": "table", "cells": [["a", "b"]]}])], "doc_id long, blocks array<struct<kind: string, cells: array<array<string>>>>")
+    found = package.scan(sink.write_documents(own), "elements", "doc_id", columns=["kind", "text", "properties"])
+    assert found.columns == ["doc_id", "kind", "text", "properties"]
+    assert [(r.text, r.properties["tcW.w"]) for r in found.filter("kind = 'cell'").orderBy("text").collect()] == [("a", "2000"), ("b", "2000")]
