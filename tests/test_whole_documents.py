@@ -476,3 +476,14 @@ def test_runs_are_united_in_one_shuffle(spark):
     assert sorted((r.doc_id, r.run, r.text, r.bold, r.field) for r in whole.collect()) == sorted((d, *r) for d in (0, 1) for r in ((0, "t0t1", True, None), (1, "t2", None, None), (2, "t4", None, "PAGE"), (3, "t5", None, None)))
     owners = spark.createDataFrame([(0, "document", 0, {"b": "true"})], "doc_id long, part string, seq int, _theirs map<string,string>")
     assert [r.text for r in normalize.united(runs, owners=owners).filter("doc_id = 0").orderBy("run").collect()] == ["t0t1t2", "t4", "t5"]
+
+
+def test_names_of_parts_as_before(spark):
+    """Paths with nothing to resolve go the short way, and texts without a number are never cast."""
+    names = [("word/document.xml", "media/a.png", "word/media/a.png"), ("word/charts/c.xml", "../media/./a.png", "word/media/a.png"), ("", "word//document.xml", "word/document.xml"), ("a/b.xml", "/x/../y.xml", "y.xml"), ("b.xml", "c.xml", "c.xml"), ("a/b.xml", "..", ""), ("a/b.xml", "c./d", "a/c./d"), ("a/b.xml", "../../../d", "d"), ("a/b.xml", "", "a"), ("a/b", None, None), ("a/", "c", "a/c")]
+    rows = spark.createDataFrame(names, "source string, target string, want string").select("want", parts.part_name().alias("found"))
+    assert [r for r in rows.collect() if r.want != r.found] == []
+    numbers = [("rId12", 12), ("rId", None), ("", None), (None, None), ("word/media/image7.png", 7), ("x7y.png", None), ("a9.b8.xml", 8), ("9" * 30, None)]
+    found = spark.createDataFrame(numbers, "name string, want long").select("want", parts.number_of("name").alias("found"))
+    assert [r for r in found.collect() if r.want != r.found] == []
+    assert "number IS NULL" not in parts._number("x") and "if(x = ''" in parts._number("x")
